@@ -8,12 +8,20 @@ from pyspark.sql import DataFrame, SparkSession
 
 from kadastra.llm.bpe import op6_bpe
 from kadastra.llm.mixing import op5_mixing
+from kadastra.llm.pii import op8_pii
+from kadastra.llm.pivots import op9_pivots
 from kadastra.llm.ranking import op4_quality
+from kadastra.llm.secrets import op10_secrets
+from kadastra.llm.vptree import op7_simhash_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_quality": op4_quality,
     "op5_mixing": op5_mixing,
     "op6_bpe": op6_bpe,
+    "op7_simhash_dedup": op7_simhash_dedup,
+    "op8_pii": op8_pii,
+    "op9_pivots": op9_pivots,
+    "op10_secrets": op10_secrets,
 }
 
 ORACLE_SQL: dict[str, str] = {}
