@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -13,6 +14,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def bound(value: Column, then: Callable[[Column], Column]) -> Column:
+    """`then` of a value that is computed once, however often `then` names it."""
+    return F.transform(F.array(value), then)[0]
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """The rows of `df` written to the shared checkpoint folder, lineage cut.
 

@@ -12,9 +12,11 @@ from kadastra.llm.pii import op8_pii
 from kadastra.llm.pivots import op9_pivots
 from kadastra.llm.ranking import op4_quality
 from kadastra.llm.secrets import op10_secrets
+from kadastra.llm.simhash import op2_simhash
 from kadastra.llm.vptree import op7_simhash_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_simhash": op2_simhash,
     "op4_quality": op4_quality,
     "op5_mixing": op5_mixing,
     "op6_bpe": op6_bpe,

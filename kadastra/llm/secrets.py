@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kadastra.llm.common import checkpoint, table
+from kadastra.llm.common import bound, checkpoint, table
 
 #: Base kinds in order: their patterns, and the length of the value from which a match counts.
 NAMES = r"([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])"
@@ -27,20 +27,22 @@ def _marked(text: Column, pattern: str, kind: int) -> Column:
     give the places. Marks that stand in the text itself are replaced beforehand by a
     third character, which no pattern contains either.
     """
-    pieces = F.split(F.regexp_replace(F.translate(text, _IN + _OUT, _OTHER * 2), pattern, _IN + "$0" + _OUT), _IN, -1)
-    match = lambda p: F.substring_index(p, _OUT, 1)
+    split = F.split(F.regexp_replace(F.translate(text, _IN + _OUT, _OTHER * 2), pattern, _IN + "$0" + _OUT), _IN, -1)
     spans = "array<struct<start:int,kind:int,end:int,value:string>>"
-    return F.aggregate(
-        F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0))),
-        F.struct(F.char_length(pieces[0]).alias("at"), F.array().cast(spans).alias("out")),
-        lambda acc, p: F.struct(
-            (acc["at"] + F.char_length(p) - 1).alias("at"),
-            F.concat(
-                acc["out"],
-                F.array(F.struct(acc["at"].alias("start"), F.lit(kind).alias("kind"), (acc["at"] + F.char_length(match(p))).alias("end"), match(p).alias("value"))),
-            ).alias("out"),
+
+    def placed(acc: Column, piece: Column) -> Column:
+        match = F.substring_index(piece, _OUT, 1)
+        one = F.struct(acc["at"].alias("start"), F.lit(kind).alias("kind"), (acc["at"] + F.char_length(match)).alias("end"), match.alias("value"))
+        return F.struct((acc["at"] + F.char_length(piece) - 1).alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
+
+    return bound(
+        split,
+        lambda pieces: F.aggregate(
+            F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0))),
+            F.struct(F.char_length(pieces[0]).alias("at"), F.array().cast(spans).alias("out")),
+            placed,
+            lambda acc: acc["out"],
         ),
-        lambda acc: acc["out"],
     )
 
 
