@@ -10,12 +10,14 @@ from kadastra.llm.bpe import op6_bpe
 from kadastra.llm.mixing import op5_mixing
 from kadastra.llm.pii import op8_pii
 from kadastra.llm.pivots import op9_pivots
+from kadastra.llm.quotes import OP1_SQL, op1_quotes
 from kadastra.llm.ranking import op4_quality
 from kadastra.llm.secrets import op10_secrets
 from kadastra.llm.simhash import op2_simhash
 from kadastra.llm.vptree import op7_simhash_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quotes": op1_quotes,
     "op2_simhash": op2_simhash,
     "op4_quality": op4_quality,
     "op5_mixing": op5_mixing,
@@ -26,4 +28,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_secrets": op10_secrets,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op1_quotes": OP1_SQL}
