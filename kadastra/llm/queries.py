@@ -14,11 +14,13 @@ from kadastra.llm.quotes import OP1_SQL, op1_quotes
 from kadastra.llm.ranking import op4_quality
 from kadastra.llm.secrets import op10_secrets
 from kadastra.llm.simhash import op2_simhash
+from kadastra.llm.suffixes import op3_suffixes
 from kadastra.llm.vptree import op7_simhash_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quotes": op1_quotes,
     "op2_simhash": op2_simhash,
+    "op3_suffixes": op3_suffixes,
     "op4_quality": op4_quality,
     "op5_mixing": op5_mixing,
     "op6_bpe": op6_bpe,
