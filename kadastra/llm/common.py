@@ -19,15 +19,21 @@ def bound(value: Column, then: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), then)[0]
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """The rows of `df` written to the shared checkpoint folder, lineage cut.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share: the one the cluster names in `spark.checkpoint.dir`.
 
-    The folder is the one the cluster names in `spark.checkpoint.dir`. Only where that
-    is unset (local tests) is a temporary folder taken instead.
+    Only where that is unset (local tests) is a temporary folder taken and set instead.
     """
-    sc = df.sparkSession.sparkContext
+    sc = spark.sparkContext
+    named = sc.getConf().get("spark.checkpoint.dir")
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="kadastra-"))
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="kadastra-"))
+    return named or sc.getCheckpointDir()
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """The rows of `df` written to the shared folder, lineage cut."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

@@ -184,6 +184,31 @@ def near_components(rows: DataFrame, *, row_id: str = "doc_id", radius: int = RA
     return rows.join(labelled.join(least, "component").select("fp", "component_id"), "fp")
 
 
+def keep_one(docs: DataFrame, *, row_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row of `docs` for each component: that of the least row_id.
+
+    Which rows stay is decided on narrow rows told apart by id and text hash, and one semi-join
+    brings the texts; of rows alike in id and text one stays. Rows whose component has null ids only stay
+    once for each different text.
+    """
+    sign = F.xxhash64(row_id, text)
+    narrow = docs.select(row_id, text, sign.alias("_sign"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fp = np.array([fingerprint(v.as_py()) for v in batch.column(1)], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(fp, pa.int64())], names=[row_id, "_sign", "fp"])
+
+    kind = docs.schema[row_id].dataType.simpleString()
+    rows = checkpoint(narrow.mapInArrow(run, f"`{row_id}` {kind}, _sign long, fp long"))
+    parts = near_components(rows, row_id=row_id)
+    kept = parts.where(F.col(row_id).eqNullSafe(F.col("component_id"))).groupBy(row_id, "component_id").agg(F.min("_sign").alias("_sign"))
+    null_kept = parts.where(F.col(row_id).isNull() & F.col("component_id").isNull()).select("_sign").distinct()
+    signs = checkpoint(kept.where(F.col(row_id).isNotNull()).select("_sign").unionByName(null_kept).distinct())
+    # the semi-join deals rows by the sign already, so making them distinct moves nothing more
+    return docs.withColumn("_sign", sign).join(signs, "_sign", "left_semi").dropDuplicates(["_sign"]).drop("_sign")
+
+
 def op7_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, fingerprint, component_id of all documents."""
     rows = checkpoint(fingerprints(table(spark, sf_dir, "documents")))
