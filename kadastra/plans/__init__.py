@@ -1,0 +1,5 @@
+"""Registered queries of the library's own operators and their SQL."""
+
+from kadastra.plans.registry import ORACLE_SQL, QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
