@@ -155,7 +155,7 @@ def age_filter(text: Column, scheme: str = "portrait") -> Column:
     under = F.regexp_extract(t, r"moins de\s*(\d+)", 1).try_cast("int")
     over = F.regexp_extract(t, r"plus de\s*(\d+)", 1).try_cast("int")
     first = AGE_SCHEMES[scheme][0][1]
-    age = F.coalesce(F.floor((span[0] + span[1]) / 2).cast("int"), F.greatest(under - 1, F.lit(first)), over + 1)
+    age = F.coalesce(F.floor((span[0] + span[1]) / 2).cast("int"), F.when(under.isNotNull(), F.greatest(under - 1, F.lit(first))), over + 1)
     return F.when(age.isNotNull(), age_bucket(age, scheme))
 
 

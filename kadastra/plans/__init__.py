@@ -1,6 +1,6 @@
 """Registered queries of the library's own operators and their SQL."""
 
-from kadastra.plans import survey_queries  # noqa: F401
+from kadastra.plans import survey_queries, text_queries  # noqa: F401
 from kadastra.plans.registry import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
