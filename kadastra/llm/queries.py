@@ -9,10 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from kadastra.llm.bpe import op6_bpe
 from kadastra.llm.mixing import op5_mixing
 from kadastra.llm.pii import op8_pii
-from kadastra.llm.pivots import op9_pivots
+from kadastra.llm.pivots import OP9_SQL, op9_pivots
 from kadastra.llm.quotes import OP1_SQL, op1_quotes
 from kadastra.llm.ranking import op4_quality
-from kadastra.llm.secrets import op10_secrets
+from kadastra.llm.secrets import OP10_SQL, op10_secrets
 from kadastra.llm.simhash import op2_simhash
 from kadastra.llm.suffixes import op3_suffixes
 from kadastra.llm.vptree import op7_simhash_dedup
@@ -30,4 +30,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_secrets": op10_secrets,
 }
 
-ORACLE_SQL: dict[str, str] = {"op1_quotes": OP1_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_quotes": OP1_SQL, "op9_pivots": OP9_SQL, "op10_secrets": OP10_SQL}

@@ -123,3 +123,36 @@ def find_secrets(docs: DataFrame, *, row_id: str = "doc_id", text: str = "text",
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_shared of all documents."""
     return find_secrets(table(spark, sf_dir, "documents"))
+
+
+OP10_SQL = r"""
+with d as (
+  select row_number() over () as rid, doc_id, coalesce(source, '') as o, coalesce(source, '') || '|' || coalesce(lang, '') as rp, translate(coalesce(text, ''), chr(1) || chr(2), chr(3) || chr(3)) as t from documents
+), kinds(kind, pattern) as (values
+  (0, '([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)'),
+  (1, 'AKIA[A-Z0-9]+'), (2, '[0-9a-f]+'), (3, '[A-Za-z0-9+/_=-]+')
+), p as (
+  select rid, o, rp, kind, pattern, string_split(regexp_replace(t, pattern, chr(1) || '\0' || chr(2), 'g'), chr(1)) as ps from d, kinds
+), m as (
+  select rid, o, rp, kind, pattern, split_part(unnest(ps[2:]), chr(2), 1) as v, unnest(list_transform(range(1, len(ps)), lambda i: list_sum(list_transform(ps[1:i], lambda x: length(x)))::bigint - (i - 1))) as s
+  from p where len(ps) > 1 and (kind <> 3 or regexp_matches(array_to_string(ps, ''), '[A-Za-z0-9+/_=-]{20}')) and (kind <> 2 or regexp_matches(array_to_string(list_transform(ps, lambda x: replace(x, chr(2), '')), ''), '[0-9a-f]{24}'))
+), c as (
+  select rid, o, rp, kind, s, s + length(v) as e, case when kind = 0 then regexp_extract(v, pattern, 2) else v end as val from m
+), f as (
+  select *, len(list_distinct(string_split(val, ''))) as chars from c
+  where case kind when 0 then length(val) >= 6 when 1 then length(val) >= 20 when 2 then length(val) >= 24 else length(val) >= 20 and regexp_matches(val, '[0-9]') and regexp_matches(val, '[A-Za-z]') end
+), own as (
+  select val, count(distinct o) as n_owners from f group by 1
+), k as (
+  select f.*, n_owners, n_owners <= 1 and chars >= 12 as live from f join own using (val)
+), g as (
+  select k.*, kind < 3 or (live and not exists (select 1 from k b where b.rid = k.rid and b.kind < 3 and b.s < k.e and k.s < b.e)) as more,
+    (['assign', 'access', 'hex', 'token'])[kind + 1] || ':' || s || ':' || e as label from k
+), told as (
+  select rid, count_if(kind = 0) as n_assign, count_if(kind = 1) as n_access, count_if(kind = 2) as n_hex,
+    coalesce(string_agg(label, ',' order by s, kind) filter (where kind < 3), '') as base, coalesce(string_agg(label, ',' order by s, kind) filter (where more), '') as spans,
+    count_if(more and live) as n_live, count_if(n_owners > 1) as n_shared from g group by 1
+)
+select doc_id, coalesce(n_assign, 0)::bigint as n_assign, coalesce(n_access, 0)::bigint as n_access, coalesce(n_hex, 0)::bigint as n_hex, sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans,
+  coalesce(n_live, 0)::bigint as n_live, coalesce(n_shared, 0)::bigint as n_shared from d left join told using (rid)
+"""
