@@ -94,3 +94,19 @@ def accept_pages(pages: DataFrame, text: str, rejected: Sequence[str], wanted: S
         has = has | F.contains(F.col(text), F.lit(w))
     rows = pages.where(ok & has).withColumn("_rn", F.row_number().over(Window.partitionBy(group).orderBy(*order)))
     return rows.where("_rn = 1").drop("_rn")
+
+
+def by_rules(rules: Sequence[tuple[Column, str]], other: str | None = None) -> Column:
+    """The name of the first rule that holds."""
+    out = F.lit(other)
+    for test, name in reversed(rules):
+        out = F.when(test, F.lit(name)).otherwise(out)
+    return out
+
+
+def truth_tokens(df: DataFrame, key: str, text: str, rules: Sequence[tuple[str, Sequence[str]]], place: str, sep: str = ",") -> DataFrame:
+    """(key, token, category, commune, optional): the comma tokens of a ground-truth cell; brackets mark optional ones."""
+    from kadastra.functions.columns import first_keyword
+
+    t = df.select(key, F.explode(F.split(text, sep)).alias("token")).select(key, F.trim("token").alias("token")).where("token <> ''")
+    return t.select(key, "token", first_keyword(F.col("token"), rules).alias("category"), F.nullif(F.regexp_extract("token", place, 1), F.lit("")).alias("commune"), F.startswith("token", F.lit("(")).alias("optional"))

@@ -76,6 +76,44 @@ def txt8(spark, d):
     return within_one_edit(p.select(F.concat("n", F.lit("x")).alias("w")), p, "w", "n", least=6)
 
 
+@query("txt9_group_aliases", "select c_custkey, case when contains(t, 'far east') then 'ASIA' when contains(t, 'middle east') then 'MIDDLE EAST' when contains(t, 'africa') then 'AFRICA' when contains(t, 'asia') then 'ASIA' end as epci from (select c_custkey, lower(['news of Africa', 'the Far East and Africa', 'Middle East', 'in Asia now', 'none'][c_custkey % 5 + 1]) as t from customer)")
+def txt9(spark, d):
+    texts = F.array(*map(F.lit, ("news of Africa", "the Far East and Africa", "Middle East", "in Asia now", "none")))
+    t = F.get(texts, (F.col("c_custkey") % 5).cast("int"))
+    # aliases in order first, then the longest canonical name
+    epci = F.coalesce(C.first_keyword(t, [("ASIA", ["far east"])]), C.longest_keyword(t, [("MIDDLE EAST", ["middle east"]), ("AFRICA", ["africa"]), ("ASIA", ["asia"])]))
+    return table(spark, d, "customer").select("c_custkey", epci.alias("epci"))
+
+
+@query("txt12_question_filters", "select c_custkey, case when c_custkey % 2 = 0 then '25-34' end as age, case when c_custkey % 3 = 0 then 'F' end as genre, c_custkey % 2 = 0 or c_custkey % 3 = 0 as has_filter from customer")
+def txt12(spark, d):
+    k = F.col("c_custkey")
+    q = F.concat(F.when(k % 2 == 0, "les 25-35 ans ").otherwise(""), F.when(k % 3 == 0, "les femmes").otherwise("tous"))
+    return question_filters(table(spark, d, "customer").select("c_custkey", q.alias("question"))).select("c_custkey", "age", "genre", "has_filter")
+
+
+def question_filters(df):
+    age, genre = C.age_filter(F.col("question")), C.longest_keyword(F.col("question"), [("F", ["femmes", "femme"]), ("M", ["hommes", "homme"])])
+    return df.withColumns({"age": age, "genre": genre, "has_filter": age.isNotNull() | genre.isNotNull()})
+
+
+@query("txt17_truth_tokens", "with t as (select n_nationkey, trim(unnest(string_split('verbatims ' || n_name || ', (oppchovec), raptor', ','))) as token from nation) select n_nationkey, token, case when contains(token, 'verbatim') then 'verbatim' when contains(token, 'oppchovec') then 'indicator' when contains(token, 'raptor') then 'view' end as category, nullif(regexp_extract(token, '(NATION_[0-9]+)', 1), '') as commune, starts_with(token, '(') as optional from t")
+def txt17(spark, d):
+    from kadastra.operators.text import truth_tokens
+
+    text = F.concat(F.lit("verbatims "), "n_name", F.lit(", (oppchovec), raptor"))
+    rules = [("verbatim", ["verbatim"]), ("indicator", ["oppchovec"]), ("view", ["raptor"])]
+    return truth_tokens(table(spark, d, "nation").select("n_nationkey", text.alias("gt")), "n_nationkey", "gt", rules, r"(NATION_[0-9]+)")
+
+
+@query("txt18_source_categories", "select doc_id, case when source in ('src0', 'src1') then 'survey' when starts_with(source, 'src1') then 'view' else 'other' end as category from documents")
+def txt18(spark, d):
+    from kadastra.operators.text import by_rules
+
+    s = F.col("source")
+    return docs(spark, d).select("doc_id", by_rules([(s.isin("src0", "src1"), "survey"), (F.startswith(s, F.lit("src1")), "view")], "other").alias("category"))
+
+
 @query("txt10_age_filters", f"with q as (select c_custkey, case c_custkey % 4 when 0 then 'les ' || (15 + c_custkey % 50) || '-' || (25 + c_custkey % 50) || ' ans' when 1 then 'moins de ' || (20 + c_custkey % 50) when 2 then 'Plus de ' || (20 + c_custkey % 50) else 'tous' end as t from customer), a as (select c_custkey, case c_custkey % 4 when 0 then 20 + c_custkey % 50 when 1 then greatest(19 + c_custkey % 50, 18) when 2 then 21 + c_custkey % 50 end as a from q) select c_custkey, case when a is not null then {C.age_bucket_sql('a', 'portrait')} end as age_filter from a")
 def txt10(spark, d):
     k = F.col("c_custkey")
