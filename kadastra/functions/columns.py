@@ -14,15 +14,15 @@ FOLDED = "aaaaaeeeeiiiiooooouuuucny"
 #: Age schemes as (label, first age); the last has no end.
 AGE_SCHEMES = {
     "survey": (("15-29", 15), ("30-44", 30), ("45-59", 45), ("60-74", 60), ("75+", 75)),
-    "portrait": (("18-24", 18), ("25-34", 25), ("35-49", 35), ("50-64", 50), ("65+", 65)),
-    "report": (("15-24", 15), ("25-34", 25), ("35-49", 35), ("50-64", 50), ("65+", 65)),
+    "portrait": (("18-24", 0), ("25-34", 25), ("35-49", 35), ("50-64", 50), ("65+", 65)),
+    "report": (("15-24", 0), ("25-34", 25), ("35-49", 35), ("50-64", 50), ("65+", 65)),
 }
 UNKNOWN_AGE = "Non spécifié"
 #: Band tables as (least score, label), best first.
 LEVELS = {
-    "scale5": ((4.0, "très satisfaisant"), (3.5, "satisfaisant"), (2.5, "moyen"), (1.5, "faible"), (float("-inf"), "très faible")),
-    "scale10": ((8.0, "très élevé"), (6.0, "élevé"), (4.0, "moyen"), (2.0, "faible"), (float("-inf"), "très faible")),
-    "stars": ((4.5, "★★★★★"), (3.5, "★★★★"), (2.5, "★★★"), (1.5, "★★"), (float("-inf"), "★")),
+    "score": ((4.5, "très élevé"), (3.5, "moyen-fort"), (2.5, "moyen"), (1.5, "faible"), (float("-inf"), "très faible")),
+    "indicator": ((7.5, "très élevé"), (5.0, "élevé"), (3.0, "moyen"), (1.5, "faible"), (float("-inf"), "très faible")),
+    "stars": ((4.2, "✦✦ (fort)"), (3.3, "✦ (moyen-fort)"), (2.5, "→ (moyen)"), (float("-inf"), "↓ (faible)")),
 }
 #: Fixed value: the namespace of names in UUID version 5 (RFC 9562, URLs).
 URL_NAMESPACE = "6ba7b8119dad11d180b400c04fd430c8"
@@ -73,9 +73,9 @@ def uuid5(name: Column, namespace: str = URL_NAMESPACE) -> Column:
 
 
 def age_number(c: Column) -> Column:
-    """Age of a text: its first number, one more after "plus de"; null if there is none."""
-    n = F.regexp_extract(c, r"(\d+)", 1).try_cast("int")
-    return n + F.when(F.contains(F.lower(c), F.lit("plus de")), F.lit(1)).otherwise(F.lit(0))
+    """Age of a text: a number as it stands, one more after "plus de"; null for anything else."""
+    more = F.regexp_extract(F.lower(c), r"plus de (\d+)", 1).try_cast("int") + 1
+    return F.coalesce(more, F.trim(c).try_cast("double").cast("int"))
 
 
 def age_bucket(age: Column, scheme: str = "portrait") -> Column:
@@ -92,7 +92,7 @@ def age_bucket_sql(age: str, scheme: str = "portrait") -> str:
     return f"case {steps} else '{UNKNOWN_AGE}' end"
 
 
-def level(score: Column, table: str = "scale5") -> Column:
+def level(score: Column, table: str = "score") -> Column:
     """The label of the first band that a score reaches."""
     out = F.lit(None).cast("string")
     for least, label in reversed(LEVELS[table]):
@@ -100,7 +100,7 @@ def level(score: Column, table: str = "scale5") -> Column:
     return out
 
 
-def level_sql(score: str, table: str = "scale5") -> str:
+def level_sql(score: str, table: str = "score") -> str:
     steps = " ".join(f"when {score} >= {least} then '{label}'" for least, label in LEVELS[table][:-1])
     return f"case {steps} when {score} is not null then '{LEVELS[table][-1][1]}' end"
 
@@ -190,7 +190,18 @@ def refuses(answer: Column, markers: Sequence[str]) -> Column:
 
 def stars_of_p(p: Column) -> Column:
     """Significance stars of a p-value."""
-    return F.when(p < 0.001, F.lit("***")).when(p < 0.01, F.lit("**")).when(p < 0.05, F.lit("*")).otherwise(F.lit("ns"))
+    return F.when(p < 0.001, F.lit("***")).when(p < 0.01, F.lit("**")).when(p < 0.05, F.lit("*")).otherwise(F.lit(""))
+
+
+def p_text(p: Column) -> Column:
+    """A p-value in words."""
+    return F.when(p < 0.001, F.lit("p<0.001")).when(p < 0.01, F.lit("p<0.01")).when(p < 0.05, F.lit("p<0.05")).otherwise(F.format_string("p=%.3f", p))
+
+
+def bias_phrase(b: Column) -> Column:
+    """A bias (human minus judge) in words."""
+    side = F.when(b > 0, F.lit("l'humain note plus haut")).otherwise(F.lit("le juge note plus haut"))
+    return F.when(F.abs(b) < 0.05, F.lit("pas de biais notable")).otherwise(F.format_string("biais de %+.2f (%s)", b, side))
 
 
 def correlation_word(r: Column) -> Column:

@@ -418,9 +418,9 @@ def prj9(spark, d):
     return i.crossJoin(F.broadcast(m)).select("zone", C.min_max(F.col("opp"), F.col("lo"), F.col("hi")).alias("opp_10"))
 
 
-@query("prj10_age_texts", f"{W}, t as (select respondent_id, case when respondent_id % 7 = 0 then 'plus de 70 ans' when respondent_id % 5 = 0 then 'inconnu' else age || ' ans' end as txt from survey), n as (select *, try_cast(regexp_extract(txt, '[0-9]+') as int) + case when contains(txt, 'plus de') then 1 else 0 end as a from t) select respondent_id, a as age, {C.age_bucket_sql('a', 'portrait')} as bucket from n")
+@query("prj10_age_texts", f"{W}, t as (select respondent_id, case when respondent_id % 7 = 0 then 'plus de 70 ans' when respondent_id % 5 = 0 then 'inconnu' else age::varchar end as txt from survey), n as (select *, try_cast(nullif(regexp_extract(txt, '[0-9]+'), '') as int) + case when contains(txt, 'plus de') then 1 else 0 end as a from t) select respondent_id, a as age, {C.age_bucket_sql('a', 'portrait')} as bucket from n")
 def prj10(spark, d):
-    txt = F.when(F.col("respondent_id") % 7 == 0, "plus de 70 ans").when(F.col("respondent_id") % 5 == 0, "inconnu").otherwise(F.concat(F.col("age"), F.lit(" ans")))
+    txt = F.when(F.col("respondent_id") % 7 == 0, "plus de 70 ans").when(F.col("respondent_id") % 5 == 0, "inconnu").otherwise(F.col("age").cast("string"))
     a = C.age_number(txt)
     return survey(spark, d).select("respondent_id", a.alias("age"), C.age_bucket(a).alias("bucket"))
 

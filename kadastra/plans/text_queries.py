@@ -189,7 +189,7 @@ def txt23(spark, d):
     return docs(spark, d).select("doc_id", C.refuses(F.col("text"), ["est pas", "nicht"]).alias("refuses"))
 
 
-@query("txt24_wording", "select p_partkey, case when p < 0.001 then '***' when p < 0.01 then '**' when p < 0.05 then '*' else 'ns' end as stars, case when p >= 0.7 then 'forte' when p >= 0.4 then 'modérée' when p >= 0.2 then 'faible' else 'négligeable' end as word from (select p_partkey, (p_partkey % 1000) / 1000.0::double as p from part)")
+@query("txt24_wording", "select p_partkey, case when p < 0.001 then '***' when p < 0.01 then '**' when p < 0.05 then '*' else '' end as stars, case when p >= 0.7 then 'forte' when p >= 0.4 then 'modérée' when p >= 0.2 then 'faible' else 'négligeable' end as word from (select p_partkey, (p_partkey % 1000) / 1000.0::double as p from part)")
 def txt24(spark, d):
     p = (F.col("p_partkey") % 1000) / F.lit(1000.0)
     return table(spark, d, "part").select("p_partkey", C.stars_of_p(p).alias("stars"), C.correlation_word(p).alias("word"))

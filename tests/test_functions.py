@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kadastra.functions import columns as C
+from kadastra.functions import scales as Z
 from kadastra.operators import chunking as K
 from kadastra.operators import evaluation as E
 from kadastra.operators import graph as G
@@ -29,8 +30,8 @@ def test_f1_cases(spark):
 
 
 def test_ages(spark):
-    got = one(spark, *(C.age_bucket(C.age_number(F.lit(t))) for t in ("plus de 70 ans", "24 ans", "rien", None, "17")))
-    assert got == ("65+", "18-24", C.UNKNOWN_AGE, C.UNKNOWN_AGE, C.UNKNOWN_AGE)
+    got = one(spark, *(C.age_bucket(C.age_number(F.lit(t))) for t in ("plus de 70 ans", "24.0", "24 ans", None, "17")))
+    assert got == ("65+", "18-24", C.UNKNOWN_AGE, C.UNKNOWN_AGE, "18-24")
     assert one(spark, C.age_number(F.lit("plus de 70 ans")))[0] == 71
     assert one(spark, C.age_filter(F.lit("les 25 à 35 ans")), C.age_filter(F.lit("tous")), C.age_filter(F.lit("Moins de 30"))) == ("25-34", None, "25-34")
 
@@ -57,6 +58,15 @@ def test_p_value_against_known(spark):
     assert math.isclose(p[0], 0.0978, abs_tol=5e-4) and math.isclose(p[1], 0.0374, abs_tol=5e-4) and math.isnan(p[2]) and math.isnan(p[3])
 
 
+def test_scales(spark):
+    s = lambda t: Z.asks_wellbeing(F.lit(t))
+    assert one(spark, s("Qualité de vie à Bastia ?"), s("perception de la qualité de vie"), Z.asks_dimension_ranking(F.lit("Quelle dimension obtient la note la plus élevée")), Z.is_refusal(F.lit("Je ne dispose pas de cela"))) == (True, False, True, True)
+    assert one(spark, Z.source_category(F.lit(None), F.lit("communes_geo"), F.lit(None)), Z.source_category(F.lit("x"), F.lit("y"), F.lit("enquete_methodology")), Z.source_category(F.lit("x"), F.lit(None), F.lit(None))) == ("equipements", "methodology_enquete", "autre")
+    df = spark.createDataFrame([("Très satisfait",), ("Moyennement Impliqué",), (None,)], "label string")
+    assert [r["score"] for r in S.encode_labels(df, Z.likert_table(spark, "five")).collect()] == [5, 3, None]
+    assert one(spark, C.level(F.lit(3.6)), C.level(F.lit(6.0), "indicator"), C.level(F.lit(None).cast("double")), C.bias_phrase(F.lit(0.312)), C.p_text(F.lit(0.0312)), C.p_text(F.lit(0.5))) == ("moyen-fort", "élevé", None, "biais de +0.31 (l'humain note plus haut)", "p<0.05", "p=0.500")
+
+
 def test_judge_notes_mean(spark):
     df = spark.createDataFrame([('{"a":{"note":4},"b":{"note":3},"c":{"note":5},"d":{"note":4}}',), ("broken",), (None,)], "js string")
     assert [r["global_note"] for r in X.judge_notes(df, "js", ["a", "b", "c", "d"]).collect()] == [4.0, None, None]
