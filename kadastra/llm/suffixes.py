@@ -103,7 +103,14 @@ def _find_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     for keys, raw, ends in _buffers(batches):
         text, start, size, h, whole = segments(raw, ends)
         k = np.array(keys, np.int64).reshape(-1, 2)
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (h, whole, k[text, 0], k[text, 1], start, size)], names=["h", "whole", "k1", "k2", "start", "size"])
+        # of equal segments in one buffer the first stands for all; the others are repeats for certain
+        order = np.lexsort((whole, h))
+        same = (h[order][1:] == h[order][:-1]) & (whole[order][1:] == whole[order][:-1])
+        local, twice = np.zeros(len(h), bool), np.zeros(len(h), bool)
+        local[order[1:][same]] = True
+        twice[order[:-1][same]] = True
+        columns = (h, whole, k[text, 0], k[text, 1], start, size, twice, local)
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["h", "whole", "k1", "k2", "start", "size", "twice", "local"])
 
 
 def _keep_repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -112,7 +119,7 @@ def _keep_repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     A row needs only its neighbours, so one batch and one row are held. `alike`: an equal segment
     exists; `first`: the first of its equals; `number`: how many different segments the anchor has had.
     """
-    names = ["h", "whole", "k1", "k2", "start", "size"]
+    names = ["h", "whole", "k1", "k2", "start", "size", "twice"]
     held: list[np.ndarray] | None = None
     prev, number = (None, None), 0
 
@@ -128,15 +135,16 @@ def _keep_repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         total = np.cumsum(new)
         opening = np.maximum.accumulate(np.where(~same_h, at, -1))
         since = np.where(opening >= 0, total - np.where(opening >= 0, total[opening], 0) + 1, total + number)
-        keep = np.flatnonzero((same_h | next_h)[:n])
+        twice = rows[6]
+        keep = np.flatnonzero((same_h | next_h | twice)[:n])
         prev, number = (h[n - 1], whole[n - 1]), int(since[n - 1])
-        arrays = [pa.array(r[keep]) for r in rows] + [pa.array((same | next_same)[keep]), pa.array(~same[keep]), pa.array(since[keep])]
-        return pa.RecordBatch.from_arrays(arrays, names=[*names, "alike", "first", "number"])
+        arrays = [pa.array(r[keep]) for r in rows[:6]] + [pa.array((same | next_same | twice)[keep]), pa.array(~same[keep]), pa.array(since[keep])]
+        return pa.RecordBatch.from_arrays(arrays, names=[*names[:6], "alike", "first", "number"])
 
     for batch in batches:
         if not batch.num_rows:
             continue
-        rows = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(6)]
+        rows = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(len(names))]
         rows = rows if held is None else [np.concatenate(x) for x in zip(held, rows)]
         n = len(rows[0]) - 1
         if n:
@@ -349,7 +357,8 @@ def remove_repeats(docs: DataFrame, *, row_id: str = "doc_id", text: str = "text
 
     Texts are parted into segments by content-chosen anchors, so that equal strings always fall under equal
     anchors. Anchors that occur once can't hold a repeat and go. Segments that are equal as a whole are
-    repeats throughout and stay as numbers; only the different segments of one anchor are brought
+    repeats throughout and stay as numbers; within a buffer all but the first are settled before any shuffle,
+    so that a passage of a third of the texts reaches its task as a few rows. Only the different segments of one anchor are brought
     together and suffix-sorted in batches of bounded size. An anchor with very many different segments
     is split by the exact 200-byte strings instead, whose counts are summed before the shuffle.
 
@@ -360,9 +369,9 @@ def remove_repeats(docs: DataFrame, *, row_id: str = "doc_id", text: str = "text
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     value = F.coalesce(F.col(text), F.lit(""))
     keyed = docs.select(F.xxhash64(F.lit(1), row_id, value).alias("k1"), F.xxhash64(F.lit(2), value, row_id).alias("k2"), F.col(row_id).alias("_id"), value.alias("text"))
-    found = keyed.select("k1", "k2", "text").mapInArrow(_find_segments, "h long, whole long, k1 long, k2 long, start long, size int")
+    found = keyed.select("k1", "k2", "text").mapInArrow(_find_segments, "h long, whole long, k1 long, k2 long, start long, size int, twice boolean, local boolean")
     again = checkpoint(
-        found.repartition(n, "h").sortWithinPartitions("h", "whole")
+        found.where("not local").drop("local").repartition(n, "h").sortWithinPartitions("h", "whole")
         .mapInArrow(_keep_repeated, "h long, whole long, k1 long, k2 long, start long, size int, alike boolean, first boolean, number long")
     )
     hot = again.where(F.col("first") & (F.col("number") == HOT)).select("h", F.lit(True).alias("hot"))
@@ -382,7 +391,7 @@ def remove_repeats(docs: DataFrame, *, row_id: str = "doc_id", text: str = "text
     windows = cut.where("window is not null")
     twice = windows.groupBy("window").agg(F.sum("weight").alias("n")).where("n > 1").select("window")
     exact_runs = windows.join(twice, "window").select("k1", "k2", "start", (F.col("start") + LENGTH).alias("end"))
-    whole_runs = again.where("alike").select("k1", "k2", "start", (F.col("start") + F.col("size")).alias("end"))
+    whole_runs = again.where("alike").unionByName(found.where("local"), allowMissingColumns=True).select("k1", "k2", "start", (F.col("start") + F.col("size")).alias("end"))
     runs = whole_runs.unionByName(sorted_runs).unionByName(exact_runs).groupBy("k1", "k2").agg(F.collect_set(F.struct("start", "end")).alias("runs"))
     kind = docs.schema[row_id].dataType.simpleString()
     return by_text.join(runs, ["k1", "k2"], "left").select(F.col("_id").alias(row_id), "text", "runs").mapInArrow(
