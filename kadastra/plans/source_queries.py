@@ -74,21 +74,11 @@ def src7(spark, d):
 def src8(spark, d):
     at = shared(spark)
     feature = F.format_string('{"type":"FeatureCollection","features":[{"properties":{"nom":"sq%d"},"geometry":{"type":"Polygon","coordinates":[[[0,0],[1,0],[1,1],[0,1],[0,0]]]}}]}', F.col("n_nationkey"))
-    table(spark, d, "nation").select(feature.alias("value")).repartition(25).write.text(at)
-    lines = spark.read.text(at).count()  # each line is a collection of its own here
-    f = X.read_features(spark, at, ["nom"]) if lines == 1 else _features_by_line(spark, at)
+    table(spark, d, "nation").select(feature.alias("value")).write.text(at)
+    f = X.read_features(spark, at, ["nom"], multi_line=False)
     return f.select("nom", F.size("rings").alias("n_rings"), F.size(F.col("rings")[0]).alias("n_points"))
 
 
-def _features_by_line(spark, at):
-    """Line-delimited collections go through the same schema without the multi-line option."""
-    out = shared(spark)
-    spark.read.text(at).select("value").write.text(out)
-    schema = "features array<struct<properties:struct<nom:string>,geometry:struct<type:string,coordinates:array<array<array<double>>>>>>"
-    f = spark.read.schema(schema).json(out).select(F.explode("features").alias("f"))
-    return f.select(F.col("f.properties.nom").alias("nom"), F.transform("f.geometry.coordinates", lambda r: F.transform(r, lambda p: F.struct(p[0].alias("x"), p[1].alias("y")))).alias("rings"))
-
-
 @query("src9_triples", "select 'ex:n' || n_nationkey as s, 'rdfs:label' as p, n_name as o, 'fr' as lang from nation")
 def src9(spark, d):
     line = F.concat(F.lit("<http://ex.org/n"), F.col("n_nationkey").cast("string"), F.lit('> <http://www.w3.org/2000/01/rdf-schema#label> "'), "n_name", F.lit('"@fr .'))
@@ -106,11 +96,9 @@ def src10(spark, d):
 def src11(spark, d):
     at = shared(spark)
     one = F.format_string('{"excel_row":%d,"answer":"%s"}', "n_nationkey", "n_name")
-    table(spark, d, "nation").select(F.concat(F.lit('{"k10":['), one, F.lit('],"k25":['), one, F.lit("]}")).alias("value")).repartition(25).write.text(at)
-    rows = spark.read.text(at)
+    table(spark, d, "nation").select(F.concat(F.lit('{"k10":['), one, F.lit('],"k25":['), one, F.lit("]}")).alias("value")).write.text(at)
     entry = T.StructType([T.StructField("excel_row", T.IntegerType()), T.StructField("answer", T.StringType())])
-    m = rows.select(F.explode(F.from_json("value", T.MapType(T.StringType(), T.ArrayType(entry)))).alias("config", "rows"))
-    return m.select("config", F.explode("rows").alias("r")).select("config", "r.*")
+    return X.read_results(spark, at, entry, by_line=True)
 
 
 @query("src12_scores", "select p_partkey, (p_size / 2.0)::double as h, p_size::double as j from part where p_partkey % 4 <> 0")

@@ -56,12 +56,12 @@ def interview_turns(blocks: DataFrame) -> DataFrame:
     return t.select("commune", "num", "turn", F.substring("t", 1, 1).alias("role"), F.trim(F.regexp_replace("t", r"^[QR]\s*:", ""), F.lit(BLANKS)).alias("text"))
 
 
-def read_features(spark: SparkSession, path: str, properties: Sequence[str]) -> DataFrame:
-    """(properties, rings) of GeoJSON polygons."""
+def read_features(spark: SparkSession, path: str, properties: Sequence[str], *, multi_line: bool = True) -> DataFrame:
+    """(properties, rings) of GeoJSON polygons: a collection for each file, or one for each line."""
     props = T.StructType([T.StructField(p, T.StringType()) for p in properties])
     geometry = T.StructType([T.StructField("type", T.StringType()), T.StructField("coordinates", T.ArrayType(T.ArrayType(T.ArrayType(T.DoubleType()))))])
     schema = T.StructType([T.StructField("features", T.ArrayType(T.StructType([T.StructField("properties", props), T.StructField("geometry", geometry)])))])
-    f = spark.read.schema(schema).json(path, multiLine=True).select(F.explode("features").alias("f"))
+    f = spark.read.schema(schema).json(path, multiLine=multi_line).select(F.explode("features").alias("f"))
     rings = F.transform("f.geometry.coordinates", lambda r: F.transform(r, lambda p: F.struct(p[0].alias("x"), p[1].alias("y"))))
     return f.select(*(F.col(f"f.properties.{p}").alias(p) for p in properties), rings.alias("rings"))
 
@@ -83,9 +83,9 @@ def flags(df: DataFrame, columns: Sequence[str], question: str = "question") ->
     return df.where(F.trim(F.coalesce(question, F.lit(""))) != "").withColumns({c: F.coalesce(F.upper(F.trim(c)) == "X", F.lit(False)) for c in columns})
 
 
-def read_results(spark: SparkSession, path: str, entry: T.StructType) -> DataFrame:
-    """(config, entry fields) of run files that map configurations to lists of entries."""
-    text = spark.read.text(path, wholetext=True)
+def read_results(spark: SparkSession, path: str, entry: T.StructType, *, by_line: bool = False) -> DataFrame:
+    """(config, entry fields) of run files, or lines, that map configurations to lists of entries."""
+    text = spark.read.text(path, wholetext=not by_line)
     m = text.select(F.explode(F.from_json("value", T.MapType(T.StringType(), T.ArrayType(entry)))).alias("config", "rows"))
     return m.select("config", F.explode("rows").alias("r")).select("config", "r.*")
 
