@@ -123,7 +123,7 @@ def mix(docs: DataFrame, size: Column, *, source: str = "source", row_id: str =
     """
     key = F.coalesce(F.concat(F.lit("s"), F.col(source)), F.lit("n"))
     h = F.xxhash64(F.col(row_id), F.lit(20240229))
-    rows = docs.drop("size", "source_size", "target", "copies", "taken", "_key", "_part", "_h").withColumns(
+    rows = docs.drop("size", "source_size", "target", "copies", "taken", "_key", "_part", "_h", "_pick", "_base", "_extra").withColumns(
         {"size": size, "_key": key, "_h": h, "_part": F.pmod(h, F.lit(PARTS)).cast("int")}
     )
     parts = checkpoint(rows.groupBy(F.col(source).alias("source"), F.col("_key").alias("key"), "size", F.col("_part").alias("part")).agg(F.count("*").alias("n")))
@@ -139,17 +139,17 @@ def mix(docs: DataFrame, size: Column, *, source: str = "source", row_id: str =
         parts.join(whole, ["key", "size"])
         .withColumn("upto", F.sum("n").over(w)).withColumn("all", F.sum("n").over(Window.partitionBy("key", "size")))
         .withColumn("extra", F.expr("(extra * upto) div all - (extra * (upto - n)) div all"))
-        .select(F.col("key").alias("_key"), "size", F.col("part").alias("_part"), "base", "extra")
+        .select(F.col("key").alias("_key"), "size", F.col("part").alias("_part"), F.col("base").alias("_base"), F.col("extra").alias("_extra"))
     )
     pick = F.row_number().over(Window.partitionBy("_key", "size", "_part").orderBy("_h", row_id))
     out = (
         rows.withColumn("_pick", pick)
         .join(shared, ["_key", "size", "_part"], "left")
-        .withColumn("copies", F.coalesce(F.col("base") + (F.col("_pick") <= F.col("extra")).cast("long"), F.lit(0)).cast("long"))
+        .withColumn("copies", F.coalesce(F.col("_base") + (F.col("_pick") <= F.col("_extra")).cast("long"), F.lit(0)).cast("long"))
         .join(targets.withColumnRenamed("key", "_key"), "_key", "left")
         .withColumn("taken", F.col("copies") * F.col("size"))
     )
-    return out.drop("_key", "_h", "_part", "_pick", "base", "extra")
+    return out.drop("_key", "_h", "_part", "_pick", "_base", "_extra")
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

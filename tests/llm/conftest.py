@@ -1,12 +1,12 @@
 import pytest
 
-EXTRA = "size long, key string, fp long, h long, n long, row long, score double, x string"
+EXTRA = "size long, key string, fp long, h long, n long, row long, score double, x string, base long, extra long, target double, component long, spans string, range int"
 
 
 @pytest.fixture(scope="session")
 def edge(spark):
     """Documents with nulls, empty and long texts, ties, repeated rows and columns with clashing names."""
-    more = (7, "k", 1, 2, 3, 4, 0.5, "x")
+    more = (7, "k", 1, 2, 3, 4, 0.5, "x", 1, 2, 0.5, 3, "s", 1)
     long = " ".join(f"word{i % 911}" for i in range(30_000))
     rows = [
         (1, "Hello world, this is a first small text for the test.", "en", "b", 52, *more),

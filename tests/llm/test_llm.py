@@ -80,6 +80,20 @@ def test_simhash_edits(spark, data, texts):
     assert np.mean([r["near_edited"] for r in got.values()]) > 0.65 > np.mean([r["near_next"] for r in got.values()])
 
 
+def test_simhash_edge(spark, edge):
+    rows = sorted(((r["doc_id"], r["text"] or "") for r in edge.collect()), key=lambda r: (r[0] is None, -(r[0] or 0), r[1]))
+    want = Counter()
+    for (i, a), (_, b) in zip(rows, [*rows[1:], rows[0]]):
+        n = len(a) // 3
+        want[i, len(a), sha(a[: len(a) - n] + b[:n])] += 1
+    got = simhash.fingerprint_documents(edge).collect()
+    assert Counter((r["doc_id"], r["n_chars"], r["edited_sha256"]) for r in got) == want
+    assert {r["fp"] for r in got if r["doc_id"] in (2, 3, 4)} == {0} and len({r["fp"] for r in got if r["doc_id"] in (1, 8)}) == 1
+    one = simhash.fingerprint_documents(edge.where("doc_id = 5")).collect()
+    assert [(r["edited_sha256"], r["fp"] == r["next_fp"]) for r in one] == [(sha("ono"), True)]
+    assert simhash.fingerprint_documents(edge.where("false")).count() == 0
+
+
 def test_simhash_votes(spark):
     t = "a b c d e f g"
     w = t.split()
