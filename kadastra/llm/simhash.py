@@ -36,14 +36,14 @@ def terms(text: Column, shingle: int = SHINGLE) -> Column:
     return bound(split, of)
 
 
-def vote(exploded: DataFrame, keys: list[str], carried: list[Column]) -> DataFrame:
+def vote(exploded: DataFrame, keys: list[str]) -> DataFrame:
     """One row per `keys` with fp: each term's hash votes with its weight for or against each bit.
 
     Two bits are counted in one sum, in its lower and its upper 32 bits. A bit is 1 if more than half of the weight has it set. `exploded` has a column t
     (h, w), null where a text has no term; such texts have fingerprint 0.
     """
     sums = [F.expr(f"sum((shiftrightunsigned(t.h, {i}) & 4294967297L) * t.w)").alias(f"v{i}") for i in range(32)]
-    by = exploded.groupBy(*keys).agg(*sums, F.sum("t.w").alias("total"), *carried)
+    by = exploded.groupBy(*keys).agg(*sums, F.sum("t.w").alias("total"))
     bits = F.lit(0).cast("long")
     for i in range(32):
         low = F.col(f"v{i}").bitwiseAND(F.lit(0xFFFFFFFF))
@@ -144,10 +144,9 @@ def fingerprint_documents(docs: DataFrame, *, row_id: str = "doc_id") -> DataFra
     rows = rows.withColumn("edited", edited).select("range", "seq", row_id, F.char_length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), "text", "edited")
     versions = F.array(F.struct(F.lit(0).alias("which"), F.col("text").alias("t")), F.struct(F.lit(1).alias("which"), F.col("edited").alias("t")))
     flat = rows.select(*kept, F.explode(versions).alias("x")).select(*kept, "x.which", F.explode_outer(terms(F.col("x.t"))).alias("t"))
-    votes = vote(flat, ["range", "seq", "which"], [F.first(c).alias(c) for c in kept[2:]])
-    both = votes.groupBy("range", "seq").agg(
-        *(F.first(c).alias(c) for c in kept[2:]), F.max(F.when(F.col("which") == 0, F.col("fp"))).alias("fp"), F.max(F.when(F.col("which") == 1, F.col("fp"))).alias("edited_fp")
-    )
+    # what is carried is part of the key: sums alone keep the aggregation in hash maps, and the ranges keep it in place
+    votes = vote(flat, [*kept, "which"])
+    both = votes.groupBy(*kept).agg(F.max(F.when(F.col("which") == 0, F.col("fp"))).alias("fp"), F.max(F.when(F.col("which") == 1, F.col("fp"))).alias("edited_fp"))
     both = checkpoint(both)
     first = _moved(both.where("seq = 1").select("range", F.col("fp").alias("value")), before)
     w = Window.partitionBy("range").orderBy("seq")
