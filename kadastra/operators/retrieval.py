@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kadastra.functions.columns import words
+from kadastra.operators.storage import cut_lineage
 
 #: Question tables up to this many vectors are sent to every task; larger ones are worked on in such blocks.
 BLOCK = 4096
@@ -97,9 +98,9 @@ def bm25(queries: DataFrame, docs: DataFrame, *, q: str = "query_id", d: str = "
     """
     terms = lambda df, key: df.select(key, F.explode(words(F.col(text))).alias("term"))
     asked = terms(queries, q).distinct()
-    every = docs.select(d, words(F.col(text)).alias("ws")).withColumn("dl", F.size("ws"))
-    totals = every.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
-    tf = every.select(d, "dl", F.explode("ws").alias("term")).groupBy(d, "dl", "term").agg(F.count("*").alias("tf"))
+    every = docs.select(d, words(F.col(text)).alias("ws")).select(d, F.size("ws").alias("dl"), F.explode("ws").alias("term"))
+    tf = cut_lineage(every.groupBy(d, "dl", "term").agg(F.count("*").alias("tf")))  # texts are cut into words once
+    totals = docs.agg(F.count("*").alias("n_docs")).crossJoin(tf.agg(F.sum("tf").alias("n_terms"))).select("n_docs", (F.col("n_terms") / F.col("n_docs")).alias("avgdl"))
     df_ = tf.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(totals)).withColumn("raw", F.log(F.col("n_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     mean = df_.agg((F.lit(floor) * F.avg("raw")).alias("low"))
     idf = df_.crossJoin(F.broadcast(mean)).select("term", "avgdl", F.when(F.col("raw") < 0, F.col("low")).otherwise(F.col("raw")).alias("idf"))
