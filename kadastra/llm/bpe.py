@@ -17,6 +17,8 @@ from kadastra.llm.common import table
 
 #: Remembered pre-tokens and runs between spaces, per worker and generation; two generations are held.
 REMEMBERED = 250_000
+#: Longer ones are encoded anew each time, so what is remembered has a bound in bytes too.
+LONGEST = 128
 
 
 class RankQueue:
@@ -112,7 +114,9 @@ class BytePairs:
             i = after[i]
         return tuple(out)
 
-    def _known(self, held: str, key, make):
+    def _known(self, held: str, key: str, make):
+        if len(key) > LONGEST:
+            return make(key)
         new, old = getattr(self, held)
         if (ids := new.get(key)) is None:
             if (ids := old.get(key)) is None:
