@@ -266,6 +266,12 @@ def test_bpe_random(library):
     assert own.encode(long) == library.encode_ordinary(long)
 
 
+def test_bpe_remembers_short_runs_only():
+    mine = bpe.byte_pairs(*bpe.vocabulary())
+    mine.encode("x" * 5000 + " " + "ab" * 3000)
+    assert all(len(k) <= bpe.LONGEST for held in (*mine.pieces, *mine.runs) for k in held)
+
+
 def test_bpe_documents(spark, edge, library):
     for r in bpe.encode_documents(edge, ids=True).collect():
         pass
@@ -405,6 +411,18 @@ def test_pivot_links(spark, edge):
     assert pivots.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<double>")).count() == 0
 
 
+def test_pivot_copies_count_as_many(spark):
+    rng = np.random.default_rng(11)
+    base = rng.normal(size=(30, 16))
+    x = np.concatenate([base, np.repeat(base[:1], 300, axis=0), base[:1] + 0.02 * rng.normal(size=(20, 16)), np.repeat(base[1:2], 3, axis=0)])
+    got = {r["vec_id"]: r for r in pivots.near_vectors(spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, embedding array<double>"), block=64).collect()}
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    links = u @ u.T >= 0.95
+    np.fill_diagonal(links, False)
+    assert [got[i]["n_links"] for i in range(len(x))] == links.sum(axis=1).tolist()
+    assert [i for i in range(len(x)) if got[i]["kept"]] == list(range(30)) and got[200]["component_id"] == 0 and got[len(x) - 1]["component_id"] == 1
+
+
 def test_pivot_recall_and_repeated_ids(spark, data):
     e = spark.read.parquet(f"{data}/embeddings.parquet")
     twice = e.unionByName(e.limit(20))
