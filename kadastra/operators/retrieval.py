@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -24,20 +25,22 @@ def _unit(column: pd.Series) -> np.ndarray:
     return x / np.where(n > 0, n, 1)[:, None]
 
 
-def dense_top_k(queries: DataFrame, docs: DataFrame, k: int, *, where: Column | None = None, q: str = "query_id", d: str = "doc_id", vector: str = "embedding") -> DataFrame:
+def dense_top_k(queries: DataFrame, docs: DataFrame, k: int, *, where: Column | None = None, q: str = "query_id", d: str = "doc_id", vector: str = "embedding", same: str | None = None) -> DataFrame:
     """(q, d, distance, rank): the k nearest documents by cosine distance for each query.
 
     Queries go block by block to the documents' partitions; each partition keeps k per query, so the shuffle
     carries partitions x queries x k narrow rows. Documents stay where they are. The predicate comes first and
-    reaches the scan. Ties go by document id.
+    reaches the scan. Ties go by document id. A query whose column `same` isn't null is held against the
+    documents that have its value there.
     """
     docs = docs if where is None else docs.where(where)
-    docs = docs.select(d, vector).where(F.col(vector).isNotNull())
+    more = [same] if same else []
+    docs = docs.select(d, vector, *more).where(F.col(vector).isNotNull())
     found = None
-    rows = queries.select(q, vector).where(F.col(vector).isNotNull()).toLocalIterator()
+    rows = queries.select(q, vector, *more).where(F.col(vector).isNotNull()).toLocalIterator()
     kinds = {c: df.schema[c].dataType.simpleString() for c, df in ((q, queries), (d, docs))}
 
-    def part(ids: list, m: np.ndarray):
+    def part(ids: list, m: np.ndarray, wants: list):
         def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             best_d: list[np.ndarray] = [np.zeros(0)] * len(ids)
             best_i: list[np.ndarray] = [np.zeros(0, object)] * len(ids)
@@ -46,6 +49,11 @@ def dense_top_k(queries: DataFrame, docs: DataFrame, k: int, *, where: Column |
                     continue
                 dist = 1 - m @ _unit(f[vector]).T
                 names = f[d].to_numpy()
+                if same:
+                    has = f[same].to_numpy()
+                    for j, want in enumerate(wants):
+                        if want is not None:
+                            dist[j, has != want] = np.inf
                 for j in range(len(ids)):
                     dd, ii = np.concatenate([best_d[j], dist[j]]), np.concatenate([best_i[j], names])
                     keep = np.lexsort((ii, dd))[:k] if len(dd) <= 4 * k else None
@@ -53,6 +61,7 @@ def dense_top_k(queries: DataFrame, docs: DataFrame, k: int, *, where: Column |
                         limit = np.partition(dd, k - 1)[k - 1]
                         near = np.flatnonzero(dd <= limit)
                         keep = near[np.lexsort((ii[near], dd[near]))[:k]]
+                    keep = keep[dd[keep] < np.inf]
                     best_d[j], best_i[j] = dd[keep], ii[keep]
             yield pd.DataFrame({q: np.repeat(np.array(ids, object), [len(x) for x in best_d]), d: np.concatenate(best_i) if ids else [], "distance": np.concatenate(best_d) if ids else []})
 
@@ -60,7 +69,7 @@ def dense_top_k(queries: DataFrame, docs: DataFrame, k: int, *, where: Column |
 
     def block(held: list) -> DataFrame:
         m = _unit(pd.Series([r[vector] for r in held]))
-        return docs.mapInPandas(part([r[q] for r in held], m), f"`{q}` {kinds[q]}, `{d}` {kinds[d]}, distance double")
+        return docs.mapInPandas(part([r[q] for r in held], m, [r[same] for r in held] if same else []), f"`{q}` {kinds[q]}, `{d}` {kinds[d]}, distance double")
 
     held: list = []
     for r in rows:
@@ -169,3 +178,54 @@ def context(hits: DataFrame, limits: dict[str, int], q: str = "query_id", sep: s
     return rows.groupBy(q).agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["t"]), sep).alias("context"))
 
 
+
+
+@dataclass(frozen=True)
+class Collection:
+    """How one collection is searched: the distance that its hits may have, and what changes that.
+
+    Questions with one of `keywords` get the threshold `raised`. Where `same` names a column, a question that has
+    a value there is held against the rows of that value only, with the threshold `forced` if there is one. `k` is the number of hits
+    if it differs from the search's.
+    """
+
+    name: str
+    threshold: float
+    keywords: tuple[str, ...] = ()
+    raised: float | None = None
+    same: str | None = None
+    forced: float | None = None
+    k: int | None = None
+
+
+def search_collections(
+    queries: DataFrame, docs: DataFrame, collections: Sequence[Collection], lexical: Callable[[DataFrame], DataFrame], k: int, *, expand: int = 3, constant: int = 60, question: str = "question", q: str = "query_id", d: str = "doc_id",
+) -> DataFrame:
+    """(q, collection, d, distance, rank): up to k hits of every collection for each query.
+
+    Each collection gives `expand` times k nearest rows; these are ranked again by the sum of 1 / (constant + rank)
+    over the dense order and that of `lexical`, which makes (q, d, score) of candidates (q, d), and the best k
+    within the threshold stay. Collections are a short stated list, each a filter that reaches the scan; only
+    candidates are joined or ranked.
+    """
+    out = None
+    for c in collections:
+        n = c.k or k
+        text = F.lower(question)
+        limit = F.lit(c.threshold)
+        if c.raised is not None:
+            hit = F.lit(False)
+            for word in c.keywords:
+                hit = hit | F.contains(text, F.lit(word))
+            limit = F.when(hit, F.lit(c.raised)).otherwise(limit)
+        if c.same and c.forced is not None:
+            limit = F.when(F.col(c.same).isNotNull(), F.lit(c.forced)).otherwise(limit)
+        hits = cut_lineage(dense_top_k(queries, docs, n * expand, where=F.col("collection") == c.name, q=q, d=d, same=c.same))
+        scored = hits.join(lexical(hits.select(q, d)).select(q, d, F.col("score").alias("_lex")), [q, d], "left")
+        by_words = F.row_number().over(Window.partitionBy(q).orderBy(F.coalesce("_lex", F.lit(0.0)).desc(), "rank"))
+        fused = scored.withColumn("_words", by_words).withColumn("_rrf", 1.0 / (constant + F.col("rank") - 1) + 1.0 / (constant + F.col("_words") - 1))
+        place = F.row_number().over(Window.partitionBy(q).orderBy(F.col("_rrf").desc(), "rank"))
+        kept = fused.withColumn("_place", place).where(F.col("_place") <= n).join(queries.select(q, limit.alias("_limit")), q).where(F.col("distance") <= F.col("_limit"))
+        one = kept.select(q, F.lit(c.name).alias("collection"), d, "distance", F.col("_place").alias("rank"))
+        out = one if out is None else out.unionByName(one)
+    return out

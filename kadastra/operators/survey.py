@@ -84,3 +84,32 @@ def member_lists(df: DataFrame, key: str, member: str) -> DataFrame:
 
 def match_rate(df: DataFrame, flag: str) -> DataFrame:
     return df.agg(F.count("*").alias("n"), F.count_if(flag).alias("n_certain"), F.count_if(~F.col(flag)).alias("n_uncertain"))
+
+
+def two_digits(value: Column) -> Column:
+    """A number rounded half up to two digits, as text."""
+    return F.format_string("%.2f", F.floor(value * 100 + 0.5) / 100)
+
+
+def verbatim_sentences(df: DataFrame, text: str = "verbatim") -> DataFrame:
+    """`df` with sentence: the verbatim after its author's gender, age, job, town and theme; unknown parts are left out."""
+    known = F.concat_ws(", ", "genre", F.concat(F.col("age").cast("string"), F.lit(" ans")), F.concat(F.lit("("), "age_range", F.lit(")")), "profession", F.concat(F.lit("à "), "commune"))
+    theme = F.concat(F.lit(" sur le thème "), "dimension")
+    return df.withColumn("sentence", F.concat(F.lit("Verbatim de "), known, F.coalesce(theme, F.lit("")), F.lit(" : "), F.coalesce(text, F.lit(""))))
+
+
+def town_documents(df: DataFrame, scores: DataFrame, key: str, means: Sequence[tuple[str, str]], choices: str, most: int = 3) -> DataFrame:
+    """(key, n, doc): header, the global means, the mean of each dimension and the most cited dimensions of every town.
+
+    `scores` are (key, dimension, avg_score). Parts without data are left out. Dimensions are a short list of their
+    own, so what is gathered for a town doesn't grow with its respondents.
+    """
+    base = df.groupBy(key).agg(F.count("*").alias("n"), *(F.avg(c).alias(f"_m{i}") for i, (_, c) in enumerate(means)))
+    one = F.struct("dimension", two_digits(F.col("avg_score")).alias("t"))
+    listed = scores.where("avg_score is not null").groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(one)), lambda x: F.concat(x["dimension"], F.lit("="), x["t"])), ", ").alias("_dims"))
+    cited = top_per(choice_shares(df, key, choices), [key], [F.col("n").desc(), F.col("choice")], most)
+    cited = cited.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "choice"))), lambda x: x["choice"]), ", ").alias("_cited"))
+    head = F.concat(F.lit("Scores of "), F.col(key), F.lit(" ("), F.col("n").cast("string"), F.lit(" respondents)."))
+    lines = [F.concat(F.lit(f"Mean {name}: "), two_digits(F.col(f"_m{i}")), F.lit("/5.")) for i, (name, _) in enumerate(means)]
+    parts = [head, *lines, F.concat(F.lit("By dimension: "), "_dims", F.lit(".")), F.concat(F.lit("Most cited: "), "_cited", F.lit("."))]
+    return base.join(listed, key, "left").join(cited, key, "left").select(key, "n", F.concat_ws(" ", *parts).alias("doc"))

@@ -102,3 +102,20 @@ def pick_by_tier(candidates: DataFrame, key: str, tier: Column, order: Sequence[
     """The best candidate of the first tier that has any."""
     w = Window.partitionBy(key).orderBy(tier, *order)
     return candidates.withColumn("rn", F.row_number().over(w)).where("rn = 1").drop("rn")
+
+
+def fallback_view(questions: DataFrame, exact: DataFrame, nearest: DataFrame, whole: DataFrame, reach: float = 0.60, strict: bool = False, key: str = "q") -> DataFrame:
+    """(key, doc, tier) for each question: a view of its town, else the nearest within reach, else the whole's view.
+
+    questions (key, town), exact (town, doc), nearest (key, doc, town, distance), whole (doc), a row at most. Of several views of a
+    town the least doc is taken. With `strict` there is neither the first tier nor the last, and the nearest view
+    is refused if it is of a town that the question doesn't name. Questions without any view have a null doc.
+    """
+    known = questions.where("town is not null").join(exact.groupBy("town").agg(F.min("doc").alias("doc")), "town").select(key, "doc", F.lit(1).alias("tier"))
+    near = nearest.where(F.col("distance") <= reach).select(key, "doc", F.col("town").alias("_of"), "distance").join(questions, key)
+    if strict:
+        near = near.where(F.col("_of").isNull() | F.coalesce(F.col("_of") == F.col("town"), F.lit(False)))
+    near = pick_by_tier(near, key, F.col("distance"), [F.col("doc")]).select(key, "doc", F.lit(2).alias("tier"))
+    last = questions.select(key).crossJoin(F.broadcast(whole.select("doc"))).select(key, "doc", F.lit(3).alias("tier"))  # one row
+    found = near if strict else known.unionByName(near).unionByName(last)
+    return questions.select(key).join(pick_by_tier(found, key, F.col("tier"), [F.col("doc")]), key, "left")
