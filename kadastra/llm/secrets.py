@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kadastra.llm.common import bound, checkpoint, table
@@ -17,6 +17,8 @@ KINDS = ("assign", "access", "hex")
 TOKEN = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}+"
 #: A value is live-looking if it belongs to one owner, and looks random: so many different characters.
 MOST_OWNERS, LEAST_CHARACTERS = 1, 12
+#: Matches of a text are gathered in blocks of so many, as an array that grows by one match at a time is copied each time.
+BLOCK = 256
 _IN, _OUT, _OTHER = "\u0001", "\u0002", "\u0003"
 
 
@@ -35,15 +37,16 @@ def _marked(text: Column, pattern: str, kind: int) -> Column:
         one = F.struct(acc["at"].alias("start"), F.lit(kind).alias("kind"), (acc["at"] + F.char_length(match)).alias("end"), match.alias("value"))
         return F.struct((acc["at"] + F.char_length(piece) - 1).alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
 
-    return bound(
-        split,
-        lambda pieces: F.aggregate(
-            F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0))),
-            F.struct(F.char_length(pieces[0]).alias("at"), F.array().cast(spans).alias("out")),
-            placed,
-            lambda acc: acc["out"],
-        ),
-    )
+    def blocks(pieces: Column) -> Column:
+        def one(acc: Column, b: Column) -> Column:
+            part = F.aggregate(F.slice(pieces, b * BLOCK + 2, F.lit(BLOCK)), F.struct(acc["at"].alias("at"), F.array().cast(spans).alias("out")), placed)
+            return bound(part, lambda r: F.struct(r["at"].alias("at"), F.concat(acc["outs"], F.array(r["out"])).alias("outs")))
+
+        start = F.struct(F.char_length(pieces[0]).alias("at"), F.array().cast(f"array<{spans}>").alias("outs"))
+        numbers = F.sequence(F.lit(0), F.floor((F.size(pieces) - 1) / BLOCK).cast("int"))
+        return F.when(F.size(pieces) > 1, F.flatten(F.aggregate(numbers, start, one, lambda acc: acc["outs"]))).otherwise(F.array().cast(spans))
+
+    return F.coalesce(bound(split, blocks), F.array().cast(spans))
 
 
 def find_candidates(text: Column) -> Column:
@@ -103,12 +106,18 @@ def find_secrets(docs: DataFrame, *, row_id: str = "doc_id", text: str = "text",
     flat = held.where(F.size("_found") > 0).select("_row", "_owner", "_repo", F.explode("_found").alias("x")).select("_row", "_owner", "_repo", "x.*")
     owners = flat.select("hash", "_owner", "_repo").distinct().groupBy("hash").agg(F.count("*").alias("n_repos"), F.count_distinct("_owner").alias("n_owners"))
     known = flat.join(owners, "hash").withColumn("live", (F.col("n_owners") <= MOST_OWNERS) & (F.col("chars") >= LEAST_CHARACTERS))
+    # the furthest end of the base spans that start no later, and the nearest start of those that start no earlier
+    is_base = F.col("kind") < 3
+    before = Window.partitionBy("_row").orderBy("start").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    after = Window.partitionBy("_row").orderBy(F.col("start").desc()).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    known = known.withColumns({"_upto": F.max(F.when(is_base, F.col("end"))).over(before), "_next": F.min(F.when(is_base, F.col("start"))).over(after)})
+    touches = F.coalesce(F.col("_upto") > F.col("start"), F.lit(False)) | F.coalesce(F.col("_next") < F.col("end"), F.lit(False))
+    known = known.withColumn("more", is_base | (F.col("live") & ~touches))
     by = known.groupBy("_row").agg(
-        F.sort_array(F.collect_list(F.struct("start", "kind", "end", "live", "n_owners"))).alias("all"),
+        F.sort_array(F.collect_list(F.struct("start", "kind", "end", "live", "n_owners", "more"))).alias("all"),
     )
     base = F.filter("all", lambda x: x["kind"] < 3)
-    apart = lambda x: ~F.exists(F.filter("all", lambda y: y["kind"] < 3), lambda y: (y["start"] < x["end"]) & (x["start"] < y["end"]))
-    more = F.filter("all", lambda x: (x["kind"] < 3) | (x["live"] & apart(x)))
+    more = F.filter("all", lambda x: x["more"])
     n = lambda k: F.size(F.filter("all", lambda x: x["kind"] == k)).cast("long")
     told = by.select(
         "_row", *(n(k).alias(f"n_{name}") for k, name in enumerate(KINDS)), _joined(base).alias("base"), _joined(more).alias("spans"),

@@ -499,3 +499,18 @@ def test_pipeline_edge(spark, edge, data):
     for name, stage in cp.STAGES[1:]:
         assert stage(spark, edge, data).count() >= 0, name
         assert stage(spark, edge.where("false"), data).count() == 0, name
+
+
+def test_secrets_in_a_text_of_many_matches(spark):
+    rng = random.Random(5)
+    parts = ["token=abcdef1 ", "AKIA" + "Q7" * 9 + " ", "0123456789abcdef" * 2 + " ", "Xy9" + "kLmNoPqRsTuVwZ0" * 2 + " ", "password: hunter22, ", "plain words here. "]
+    text = "".join(p[:-1] + f"{rng.randint(0, 10**9):x} " if rng.random() < 0.5 else p for p in rng.choices(parts, k=9000))
+    df = spark.createDataFrame([(1, text, "a", "en"), (2, "é" + text[:5000], "b", "en")], "doc_id long, text string, source string, lang string")
+    for r in secrets.find_secrets(df).collect():
+        t = text if r["doc_id"] == 1 else "é" + text[:5000]
+        base = brute_secrets(t)
+        assert r["base_sha256"] == sha(",".join(f"{secrets.KINDS[k]}:{a}:{b}" for a, k, b in base))
+        spans = [x.split(":") for x in r["spans"].split(",")]
+        more = [(int(a), int(b)) for k, a, b in spans if k == "token"]
+        assert len(spans) - len(more) == len(base) and not any(a < e and s < b for a, b in more for s, _, e in base)
+        assert more or r["doc_id"] == 2
