@@ -108,18 +108,51 @@ def neighbours(nodes: DataFrame, edges: DataFrame, most: int = 3, key: str = "ur
     return rows.withColumn("_rn", F.row_number().over(Window.partitionBy(key).orderBy("rel", "other", "direction"))).where(F.col("_rn") <= most).drop("_rn")
 
 
+def _numbered(rows: DataFrame, seed: int) -> DataFrame:
+    """Column i: 0, 1, ... within each rel, in an order by hash. Rows of a relation are numbered in 64 parts, so none meets in one task."""
+    rows = rows.withColumn("_h", F.xxhash64(F.lit(seed), *rows.columns)).withColumn("_part", F.pmod("_h", F.lit(64)))
+    sizes = rows.groupBy("rel", "_part").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy("rel").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    place = F.row_number().over(Window.partitionBy("rel", "_part").orderBy("_h", *(c for c in rows.columns if c[0] != "_"))) - 1
+    return rows.withColumn("i", place).join(F.broadcast(sizes.withColumn("_before", before)), ["rel", "_part"]).withColumn("i", F.col("i") + F.col("_before")).drop("_h", "_part", "_n", "_before")
+
+
 def negative_pairs(edges: DataFrame, *, seed: int = 11) -> DataFrame:
-    """(src, rel, dst): for each edge one pair of the same relation that is no edge.
+    """(src, rel, dst): as many different pairs of each relation as it has different edges, none of them an edge.
 
-    Ends are met anew by a hash of the seed: row k of the relation's sources with row k of its shuffled targets.
-    Pairs that happen to be edges, or that repeat, are dropped, so a few fewer than the edges can come out.
+    Pairs are drawn from the relation's sources and targets by hashes of the edges; those that are edges or repeat are
+    drawn again with new seeds until the count is met. A relation whose ends make at most four pairs for each edge has
+    all of them looked at, so fewer come out only where no other pair is left. In the others at least half of the
+    draws of a round are new, so rounds grow with the logarithm of the edges.
     """
-    w = lambda s, c: F.row_number().over(Window.partitionBy("rel", "part").orderBy(F.xxhash64("src", "dst", F.lit(s)), c))
-    part = F.pmod(F.xxhash64("src", "dst"), F.lit(64))
-    e = edges.withColumn("part", part)
-    a = e.withColumn("k", w(seed, "src")).select("rel", "part", "k", "src")
-    b = e.withColumn("k", w(seed + 1, "dst")).select("rel", "part", "k", "dst")
-    return a.join(b, ["rel", "part", "k"]).select("src", "rel", "dst").distinct().join(edges, ["src", "rel", "dst"], "left_anti")
+    from kadastra.operators.storage import cut_lineage
+
+    e = cut_lineage(_numbered(edges.select("src", "rel", "dst").where("src is not null and rel is not null and dst is not null").distinct(), seed))
+    ends = {c: cut_lineage(_numbered(e.select("rel", c).distinct(), seed)) for c in ("src", "dst")}
+    size = e.groupBy("rel").agg(F.count("*").alias("n"))
+    for c, df in ends.items():
+        size = size.join(df.groupBy("rel").agg(F.count("*").alias(f"n_{c}")), "rel")
+    pairs = F.col("n_src") * F.col("n_dst")
+    size = cut_lineage(size.withColumn("pairs", pairs).withColumn("need", F.least("n", pairs - F.col("n"))))  # a row for each relation
+
+    def drawn(numbers: DataFrame, wanted: DataFrame) -> DataFrame:
+        at = numbers.select("rel", F.expr("p div n_dst").alias("a"), (F.col("p") % F.col("n_dst")).alias("b"))
+        for c, k in (("src", "a"), ("dst", "b")):
+            at = at.join(ends[c].withColumnRenamed("i", k), ["rel", k])
+        new = at.select("src", "rel", "dst").distinct().join(e, ["src", "rel", "dst"], "left_anti")
+        new = new if found is None else new.join(found, ["src", "rel", "dst"], "left_anti")
+        return _numbered(new, seed + turn).join(F.broadcast(wanted.select("rel", "need")), "rel").where("i < need").select("src", "rel", "dst")
+
+    found, turn = None, 0
+    every = e.join(F.broadcast(size), "rel").where("pairs <= 4 * n").select("rel", "n_dst", "pairs", F.explode(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda k: F.col("i") + k * F.col("n"))).alias("p"))
+    found = cut_lineage(drawn(every.where("p < pairs"), size))
+    while True:
+        left = size.join(found.groupBy("rel").agg(F.count("*").alias("got")), "rel", "left").withColumn("need", F.col("need") - F.coalesce("got", F.lit(0))).where("need > 0")
+        if not left.limit(1).count():
+            return found
+        turn += 1
+        numbers = e.join(F.broadcast(left), "rel").withColumn("p", F.pmod(F.xxhash64(F.lit(seed + turn), "src", "dst"), F.col("pairs")))
+        found = cut_lineage(found.unionByName(drawn(numbers, left)))
 
 
 def to_triples(df: DataFrame, subject: Column, properties: Sequence[tuple[str, Column]]) -> DataFrame:

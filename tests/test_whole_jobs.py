@@ -1,7 +1,10 @@
 """Operators that must do the whole job: no query, pair or quote is left out."""
 
+from collections import Counter
+
 from pyspark.sql import functions as F
 
+from kadastra.operators import graph as G
 from kadastra.operators import retrieval as R
 from kadastra.plans import QUERIES
 
@@ -19,3 +22,24 @@ def test_approximate_search_finds_nine_of_ten(spark, data):
 
 def test_approximate_query_gives_k_rows_each(spark, data):
     assert {r["count"] for r in QUERIES["ret2_approximate_top_k"](spark, data).groupBy("query_id").count().collect()} == {5}
+
+
+def test_as_many_negative_pairs_as_edges(spark):
+    star = [(f"s{i}", "star", "hub") for i in range(5)]  # no other pair is left
+    tight = [(f"s{i}", "tight", f"t{j}") for i in range(6) for j in range(6) if i != j]  # six are left
+    half = [(f"s{i}", "half", f"t{j}") for i in range(8) for j in range(8) if (i + j) % 3]
+    hubs = [(f"s{i}", "hubs", "t0") for i in range(60)] + [("s0", "hubs", f"t{j}") for j in range(1, 60)]
+    edges = [*star, *tight, *half, *hubs, ("a", "one", "b"), ("s0", "star", "hub"), (None, "star", "hub")]
+    got = [(r["src"], r["rel"], r["dst"]) for r in G.negative_pairs(spark.createDataFrame(edges, "src string, rel string, dst string")).collect()]
+    assert len(set(got)) == len(got) and not set(got) & set(edges)
+    assert Counter(r for _, r, _ in got) == {"tight": 6, "half": 64 - len(half), "hubs": len(hubs)}
+    assert all((s, r) in {x[:2] for x in edges} and (r, t) in {x[1:] for x in edges} for s, r, t in got)
+
+
+def test_negative_pairs_query(spark, data):
+    from kadastra.plans.graph_queries import edges
+
+    e = edges(spark, data).distinct()
+    ends = {r["rel"]: min(r["n"], r["s"] * r["t"] - r["n"]) for r in e.groupBy("rel").agg(F.count("*").alias("n"), F.count_distinct("src").alias("s"), F.count_distinct("dst").alias("t")).collect()}
+    got = {r["rel"]: r["count"] for r in QUERIES["gra13_negative_pairs"](spark, data).groupBy("rel").count().collect()}
+    assert got == {k: n for k, n in ends.items() if n}
