@@ -27,20 +27,37 @@ def without_quotes(text: Column) -> Column:
     return F.regexp_replace(F.array_join(kept, "\n"), r"^\s+|\s+$", "")
 
 
+def _runs(messages: DataFrame) -> DataFrame:
+    """(conv, turn, level, norms, text) of every passage of the messages (row, conv, turn, text); norms are its lines."""
+    lines = messages.select("row", "conv", "turn", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\r?\n", -1)).alias("pos", "line"))
+    lines = lines.select("row", "conv", "turn", "pos", quote_level(F.col("line")).alias("level"), normalised(F.col("line")).alias("norm"))
+    w = Window.partitionBy("row").orderBy("pos")
+    opens = (F.col("norm") == "") | F.coalesce(F.lag("norm").over(w) == "", F.lit(True)) | (F.lag("level").over(w) != F.col("level"))
+    runs = lines.withColumn("opens", opens.cast("int")).withColumn("run", F.sum("opens").over(w)).where("norm <> ''")
+    norms = F.transform(F.sort_array(F.collect_list(F.struct("pos", "norm"))), lambda x: x["norm"])
+    by = runs.groupBy("row", "run").agg(F.first("conv").alias("conv"), F.first("turn").alias("turn"), F.first("level").alias("level"), norms.alias("norms"))
+    return by.select("conv", "turn", "level", "norms", F.array_join("norms", " ").alias("text"))
+
+
+def _md5(text: Column) -> Column:
+    return F.md5(text.cast("binary"))
+
+
 def passages(messages: DataFrame) -> DataFrame:
     """(conv, turn, level, hash, chars) of every passage of the messages (row, conv, turn, text).
 
     A passage is a run of lines of one level between blank ones, its normalised lines joined by a
     blank; so a rewrapped quote equals its original. The hash is the md5 of that text.
     """
-    lines = messages.select("row", "conv", "turn", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\r?\n", -1)).alias("pos", "line"))
-    lines = lines.select("row", "conv", "turn", "pos", quote_level(F.col("line")).alias("level"), normalised(F.col("line")).alias("norm"))
-    w = Window.partitionBy("row").orderBy("pos")
-    opens = (F.col("norm") == "") | F.coalesce(F.lag("norm").over(w) == "", F.lit(True)) | (F.lag("level").over(w) != F.col("level"))
-    runs = lines.withColumn("opens", opens.cast("int")).withColumn("run", F.sum("opens").over(w)).where("norm <> ''")
-    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "norm"))), lambda x: x["norm"]), " ")
-    by = runs.groupBy("row", "run").agg(F.first("conv").alias("conv"), F.first("turn").alias("turn"), F.first("level").alias("level"), text.alias("text"))
-    return by.select("conv", "turn", "level", F.md5(F.col("text").cast("binary")).alias("hash"), F.char_length("text").cast("long").alias("chars"))
+    return _runs(messages).select("conv", "turn", "level", _md5(F.col("text")).alias("hash"), F.char_length("text").cast("long").alias("chars"))
+
+
+def pieces(messages: DataFrame) -> DataFrame:
+    """(conv, turn, level, hash, kind, piece, chars): the lines (kind 0) and sentences (kind 1) of every passage, each once."""
+    both = F.array(F.struct(F.lit(0).alias("kind"), F.col("norms").alias("xs")), F.struct(F.lit(1).alias("kind"), F.split("text", r"(?<=[.!?]) ").alias("xs")))
+    rows = _runs(messages).select("conv", "turn", "level", _md5(F.col("text")).alias("hash"), F.explode(both).alias("b"))
+    rows = rows.select("conv", "turn", "level", "hash", "b.kind", F.explode("b.xs").alias("x")).where("x <> ''")
+    return rows.select("conv", "turn", "level", "hash", "kind", _md5(F.col("x")).alias("piece"), F.char_length("x").cast("long").alias("chars")).distinct()
 
 
 def link_quotes(found: DataFrame) -> DataFrame:
@@ -55,6 +72,21 @@ def link_quotes(found: DataFrame) -> DataFrame:
     return quoted.join(firsts, ["conv", "hash"]).where("original < turn")
 
 
+def link_pieces(messages: DataFrame, unlinked: DataFrame) -> DataFrame:
+    """As link_quotes, for quoted passages (conv, turn, level, hash) that equal no whole passage: trimmed or split quotes.
+
+    Their lines and sentences are held against those of unquoted passages. Originals are again one row,
+    the earliest message, for each conversation and piece. A passage comes from the message that most of its
+    characters link with, counted by lines or by sentences, whichever are more; then from the later one.
+    """
+    asked = checkpoint(pieces(messages.join(unlinked.select("conv").distinct(), "conv", "left_semi")))
+    firsts = asked.where("level = 0 and turn is not null").groupBy("conv", "piece").agg(F.min("turn").alias("original"))
+    quoted = asked.where("level > 0").join(unlinked, ["conv", "turn", "level", "hash"], "left_semi")
+    by = quoted.join(firsts, ["conv", "piece"]).where("original < turn").groupBy("conv", "turn", "level", "hash", "kind", "original").agg(F.sum("chars").alias("chars"))
+    best = by.groupBy("conv", "turn", "level", "hash").agg(F.max(F.struct("chars", "original")).alias("best"))
+    return best.select("conv", "turn", "level", "hash", "best.chars", "best.original")
+
+
 def reply_order(nodes: DataFrame) -> DataFrame:
     """(conv, turn, parent, root, depth) of nodes (conv, turn, parent): each step doubles the way to the root.
 
@@ -75,7 +107,8 @@ def reply_order(nodes: DataFrame) -> DataFrame:
 def thread_conversations(messages: DataFrame, *, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
     """conv, turn, role, body, n_passages, n_linked, parent_turn, root_turn, depth, in reply order.
 
-    Quoted lines are taken out of the bodies. A message replies to the one whose passages it quotes:
+    Quoted lines are taken out of the bodies. A message replies to the one whose passages, or else their lines and
+    sentences, it quotes:
     the outermost level that links decides, then the number of linked characters, then the later
     message. Without a link a message is a root. Reply order is by conversation, root, depth and
     turn; the whole result is sorted by ranges, and no conversation is gathered in one task.
@@ -87,6 +120,9 @@ def thread_conversations(messages: DataFrame, *, conv: str = "conv_id", turn: st
     rows = messages.select(F.monotonically_increasing_id().alias("row"), F.col(conv).alias("conv"), F.col(turn).alias("turn"), F.col(role).alias("role"), F.col(text).alias("text"))
     found = checkpoint(passages(rows))
     links = checkpoint(link_quotes(found))
+    unlinked = checkpoint(found.where("level > 0 and conv is not null and turn is not null").select("conv", "turn", "level", "hash").distinct().join(links, ["conv", "turn", "level", "hash"], "left_anti"))
+    if unlinked.limit(1).count():
+        links = checkpoint(links.unionByName(link_pieces(rows, unlinked)))
     by = links.groupBy("conv", "turn", "level", "original").agg(F.sum("chars").alias("chars"))
     parents = by.groupBy("conv", "turn").agg(F.max(F.struct((-F.col("level")).alias("level"), "chars", "original")).alias("best")).select("conv", "turn", F.col("best.original").alias("parent"))
     nodes = rows.where("conv is not null and turn is not null").select("conv", "turn").distinct().join(parents, ["conv", "turn"], "left")
