@@ -58,3 +58,8 @@ def test_trimmed_and_interleaved_quotes_link(spark):
     assert key[1, 2] == (0, 1, 1, 1) and key[1, 3] == (0, 2, 2, 1) and key[1, 4] == (0, 1, 1, 1) and key[1, 5] == (0, 1, 1, 1)
     assert key[1, 6] == (None, 1, 0, 0) and key[1, 7] == (1, 1, 1, 1) and key[2, 1] == (None, 1, 0, 0) and key[3, 2] == (1, 1, 1, 1)
     assert {(r["turn"], r["body"]) for r in got if r["conv_id"] == 1} >= {(2, "only that"), (3, "why?\nand this?")}
+
+
+def test_approximate_query_asks_every_fiftieth(spark, data):
+    asked = {r["vec_id"] for r in spark.read.parquet(f"{data}/embeddings.parquet").where("vec_id % 50 = 0").collect()}
+    assert {r["query_id"] for r in QUERIES["ret2_approximate_top_k"](spark, data).select("query_id").distinct().collect()} == asked
