@@ -6,6 +6,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -266,15 +267,27 @@ def test_bpe_random(library):
     assert own.encode(long) == library.encode_ordinary(long)
 
 
-def test_bpe_remembers_short_runs_only():
-    mine = bpe.byte_pairs(*bpe.vocabulary())
-    mine.encode("x" * 5000 + " " + "ab" * 3000)
-    assert all(len(k) <= bpe.LONGEST for held in (*mine.pieces, *mine.runs) for k in held)
+def test_bpe_shared_list_equals_single_lists(library):
+    """Many pre-tokens under one queue, in full and in thin buckets, as each alone; text by text as in one group."""
+    own, rng = bpe.byte_pairs(*bpe.vocabulary()), random.Random(4)
+    pieces = list({"".join(rng.choice("abcdeéß") for _ in range(rng.randint(1, 20))) for _ in range(3000)} | {"ab" * 30, "a" * 60, "abcab" * 9})
+    ids, counts = own.merge_many([p.encode() for p in pieces])
+    at = np.append(0, np.cumsum(counts))
+    for p, a, b in zip(pieces, at[:-1], at[1:]):
+        # a whole token is found before the queue, so merging may end in parts of it
+        if p.encode() not in own.ranks:
+            assert tuple(ids[a:b].tolist()) == own.merge(p.encode())
+    assert own.queue.summary == 0 and not any(own.queue.words) and not any(own.queue.buckets)
+    texts = ["", None, " ", "a b", "  x  y ", "caf\u00e9 \u00a0 d\u2003e f\u3000 g", *(" ".join(rng.sample(pieces, 9)) for _ in range(50)), "q" * 500 + " " + "ab" * 300]
+    flat, bounds = own.encode_many(pa.array([None, *texts], pa.string()).slice(1))
+    assert [flat[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:])] == [library.encode_ordinary(t or "") for t in texts]
+    sizes = [sum(len((v.as_py() or "").encode()) for v in g) for g in bpe._groups(pa.array(["x" * (bpe.GROUP - 1), "y", None, "z", "w" * (bpe.GROUP + 5), ""]))]
+    assert sizes == [bpe.GROUP, 1, bpe.GROUP + 5] or sum(sizes) == 2 * bpe.GROUP + 6 and max(sizes) <= bpe.GROUP + 5
 
 
 def test_bpe_documents(spark, edge, library):
-    for r in bpe.encode_documents(edge, ids=True).collect():
-        pass
+    for r in bpe.encode_documents(edge, ids=True).select("ids", "decoded_sha256").collect():
+        assert sha(library.decode_bytes(r["ids"])) == r["decoded_sha256"]
     got = Counter((r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in bpe.encode_documents(edge).collect())
     want = Counter()
     for r in edge.collect():
