@@ -25,9 +25,14 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
 
-#: Wider candidates of the method: numbers without a plus sign, and addresses with the signs spelt out.
+#: Wider candidates of the method. Numbers with and without a plus sign, in the groups that people write.
+_PLUS = re.compile(r"\+[0-9]{1,3}[\x20.-]?(?:\([0-9]{1,4}\)[\x20.-]?)?[0-9]{2,4}(?:[\x20.-][0-9]{2,4}){1,3}(?![0-9])")
 _NUMBER = re.compile(r"(?<![\w.+-])\(?[0-9]{2,4}\)?[\x20.-][0-9]{2,4}(?:[\x20.-][0-9]{2,4}){1,3}(?![\w-])")
+#: Addresses with the signs spelt out, four numbers within longer dotted runs, and addresses of eight hexadecimal groups.
 _SPELT = re.compile(r"(?<![\w.])[A-Za-z0-9_%+-]{2,40}(?:\.[A-Za-z0-9_%+-]{1,40})*\s?[\[({]at[\])}]\s?[A-Za-z0-9-]{2,40}(?:\s?[\[({]dot[\])}]\s?[A-Za-z0-9-]{2,20})+", re.I)
+_QUAD = re.compile(r"(?<![0-9])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9])")
+_COLONS = re.compile(r"(?<![\w:.])[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){7}(?![\w:])")
+_GROUP = re.compile(r"[0-9]++")
 
 #: Words before a span that name its kind, and words that speak against one.
 _NAMED = {
@@ -37,10 +42,15 @@ _NAMED = {
     "phone": ("phone", "tel", "call", "mobile", "fax", "cell", "whatsapp", "sms", "telefon", "portable"),
 }
 _AGAINST = ("version", "isbn", "issn", "order", "invoice", "page", "chapter", "section", "figure", "table", "no.", "id", "$", "#", "ref")
-_TOP_LEVEL = frozenset("com org net edu gov io co info biz us uk de fr es it nl eu ch at be ca au in jp".split())
-_NAMES = frozenset("info admin sales support contact hello office mail john jane mary peter paul anna maria jean pierre hans juan".split())
+#: Domains of all kinds (those of two letters are countries'), first digits of card issuers, calling codes of two digits.
+_TOP_LEVEL = frozenset("com org net edu gov int mil arpa info biz name pro aero coop museum jobs mobi travel tel cat asia post app dev blog shop online site xyz".split())
+_ISSUERS = ("22", "23", "24", "25", "26", "27", "34", "35", "36", "37", "38", "4", "50", "51", "52", "53", "54", "55", "56", "57", "58", "60", "62", "63", "64", "65", "67")
+_TWO_DIGITS = frozenset("20 27 28 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split())
 #: Votes: 1 for, 0 against, 2 none.
-LABELERS = ("format", "structure", "context", "gazetteer", "neighbours")
+LABELERS = ("regex", "arithmetic", "context", "gazetteer", "neighbours")
+#: Before any text is seen, the other labelers are taken to vote for so many of the false and of the true spans, as if so many had been seen.
+FOR = ((0.2, 0.2, 0.4, 0.6), (0.98, 0.8, 0.8, 0.8))
+SEEN = (4.0, 20.0)
 #: Added spans need this probability from the classifier.
 SURE = 0.9
 
@@ -52,6 +62,12 @@ def _luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def _octet(number: str) -> bool:
+    """Whether decimal digits, however many zeros lead, are 255 at most."""
+    number = number.lstrip("0")
+    return len(number) < 3 or len(number) == 3 and number <= "255"
+
+
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, kind number, end) in code points: leftmost non-overlapping matches per kind that pass its test."""
     out = []
@@ -68,7 +84,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
         at = text.find("@", nxt)
     if _DIGIT.search(text):
         for m in _IP.finditer(text):
-            if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m.group().split(".")):
+            if all(map(_octet, m.group().split("."))):
                 out.append((m.start(), 1, m.end()))
         for m in _CARD.finditer(text):
             if m.end() - m.start() >= 14:
@@ -83,55 +99,95 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return out
 
 
+def _number_groups(text: str, start: int, end: int) -> Iterator[tuple[int, int]]:
+    """Parts of a run of digits, blanks and hyphens that could be a card: a group of 13 to 19 digits, or 4-4-4-4, or 4-6-5."""
+    at = [(m.start(), m.end()) for m in _GROUP.finditer(text, start, end)]
+    sizes = [e - s for s, e in at]
+    k = 0
+    while k < len(at):
+        n = 1 if 13 <= sizes[k] <= 19 else 4 if sizes[k : k + 4] == [4, 4, 4, 4] else 3 if sizes[k : k + 3] == [4, 6, 5] else 0
+        if n:
+            yield at[k][0], at[k + n - 1][1]
+        k += max(n, 1)
+
+
 def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int, bool]]:
-    """(start, kind number, end, is base): base spans, and wider matches that touch none of them."""
+    """(start, kind number, end, is base): base spans, and wider matches that touch none of them.
+
+    The wider ones are what the base patterns pass over: the numbers inside a run that fails as a whole (a card behind
+    another number, a telephone number before one), numbers without a plus sign, addresses spelt out or in
+    hexadecimal groups. Of wider ones that overlap the leftmost stays, cards before telephone numbers.
+    """
     out = [(s, k, e, True) for s, k, e in base]
     wider = []
-    if "at" in text or "AT" in text or "At" in text:
-        if "[" in text or "(" in text or "{" in text:
-            wider += [(m.start(), 0, m.end()) for m in _SPELT.finditer(text)]
+    if ("[" in text or "(" in text or "{" in text) and "at" in text.lower():
+        wider += [(m.start(), 0, m.end()) for m in _SPELT.finditer(text)]
     if _DIGIT.search(text):
+        wider += [(m.start(), 1, m.end()) for m in _QUAD.finditer(text)]
+        if ":" in text:
+            wider += [(m.start(), 1, m.end()) for m in _COLONS.finditer(text)]
+        for m in _CARD.finditer(text):
+            if m.end() - m.start() >= 13:
+                wider += [(s, 2, e) for s, e in _number_groups(text, m.start(), m.end())]
+        if "+" in text:
+            wider += [(m.start(), 3, m.end()) for m in _PLUS.finditer(text)]
         wider += [(m.start(), 3, m.end()) for m in _NUMBER.finditer(text) if 9 <= sum(c.isdigit() for c in m.group()) <= 13]
     if wider:
         taken = sorted((s, e) for s, _, e in base)
-        i, reach = 0, -1
+        i, reach, top = 0, -1, -1
         for s, k, e in sorted(wider):
-            while i < len(taken) and taken[i][1] <= s:
+            while i < len(taken) and taken[i][0] < e:
+                top = max(top, taken[i][1])
                 i += 1
-            if s >= reach and not (i < len(taken) and taken[i][0] < e):
+            if s >= reach and top <= s:
                 out.append((s, k, e, False))
                 reach = e
     return out
 
 
+def _gazetteer(kind: int, value: str, groups: list[str]) -> int:
+    """Whether the value's beginning or end stands in the list for its kind."""
+    if kind == 0:
+        last = re.split(r"[.@\s\[\](){}]+", value.lower().rstrip("])} "))[-1]
+        return int(last in _TOP_LEVEL or len(last) == 2 and last.isalpha())
+    if kind == 1:
+        return 2 if ":" in value else int(0 < int(groups[0].lstrip("0")[:4] or 0) < 224)
+    if kind == 2:
+        return int(value.startswith(_ISSUERS))
+    if not value.startswith("+"):
+        return 2
+    code = "".join(groups)
+    return int(code[0] in "17" or code[:2] in _TWO_DIGITS or code[0] in "2345689" and code[:2] not in _TWO_DIGITS)
+
+
 def votes(text: str, span: tuple[int, int, int, bool]) -> tuple[str, str]:
-    """(votes, form) of a candidate: one digit for each labeler, and the classifier's discrete features."""
+    """(votes, form) of a candidate: the kind and a digit for each labeler; the kind and the classifier's discrete features.
+
+    The regex labeler votes for base spans and has no vote on others. The others judge by the kind's arithmetic (check digit,
+    numbers up to 255, how many digits), by words before the span, by lists of known beginnings and ends, and by the characters beside it.
+    """
     start, kind, end, is_base = span
     value, name = text[start:end], KINDS[kind]
-    before, after = text[max(0, start - 32) : start].lower(), text[end : end + 8].lower()
-    digits = [c for c in value if c.isdigit()]
-    groups = re.findall(r"[0-9]+", value)
-    sizes = tuple(map(len, groups))
-    structure = {
-        0: 1,
-        1: 1 if len(groups) == 4 else 0,
-        2: 1 if sizes in ((4, 4, 4, 4), (4, 6, 5)) or len(groups) == 1 else 0,
-        3: 1 if sizes[-2:] in ((3, 4), (2, 2), (4, 4)) and len(digits) >= 9 else 0,
-    }[kind]
-    context = 1 if any(w in before for w in _NAMED[name]) else 0 if any(w in before[-10:] for w in _AGAINST) else 2
+    before, beside = text[max(0, start - 32) : start].lower(), text[max(0, start - 1) : start] + text[end : end + 1]
+    groups = _GROUP.findall(value)
+    digits = "".join(groups)
+    sizes = [len(g) for g in groups]
     if kind == 0:
-        parts = re.split(r"[.@\s\[\](){}]+", value.lower())
-        gazetteer = 1 if parts and parts[-1] in _TOP_LEVEL or set(parts) & _NAMES else 0
+        shape, structure = int("@" in value), int("@" not in value or value[0] not in ".-" and ".." not in value)
     elif kind == 1:
-        gazetteer = 1 if groups and groups[0] not in ("0", "1", "2", "3") else 0
+        shape = 1
+        structure = int(":" in value or len(groups) == 4 and all(map(_octet, groups)))
     elif kind == 2:
-        gazetteer = 1 if value[:1] in "3456" else 2
+        shape, structure = int(len(groups) == 1 or sizes in ([4, 4, 4, 4], [4, 6, 5])), int(_luhn(digits))
     else:
-        gazetteer = 1 if value.startswith("+") else 2
-    beside = before[-1:] + after[:1]
-    neighbours = 0 if re.search(r"[\w=/$#%-]", beside) else 1
-    form = f"{kind}{int(value[:1] == '+')}{min(len(digits) // 3, 6)}{min(len(groups), 5)}{int('(' in value)}{context}{neighbours}"
-    return f"{int(is_base)}{structure}{context}{gazetteer}{neighbours}", form
+        shape, structure = int(value[0] == "+"), int(10 <= len(digits) <= 15 if value[0] == "+" else 9 <= len(digits) <= 11 and sizes[-1] != 2)
+    context = 1 if any(w in before for w in _NAMED[name]) else 0 if any(w in before[-10:] for w in _AGAINST) else 2
+    # a point between digits goes on with the number, one at a sentence's end does not
+    longer = bool(re.match(r"[.:,][0-9]", text[end : end + 2]) or re.search(r"[0-9][.:,]\Z", text[max(0, start - 2) : start]))
+    neighbours = int(not (longer or re.search(r"[\w=/$#%+-]", beside)))
+    gazetteer = _gazetteer(kind, value, groups)
+    form = f"{kind}{shape}{structure}{context}{gazetteer}{neighbours}{min(len(digits) // 2, 9)}{min(len(groups), 9)}{int('(' in value)}"
+    return f"{kind}{1 if is_base else 2}{structure}{context}{gazetteer}{neighbours}", form
 
 
 def vote_counts(docs: DataFrame, *, text: str = "text") -> DataFrame:
@@ -149,82 +205,98 @@ def vote_counts(docs: DataFrame, *, text: str = "text") -> DataFrame:
     return docs.select(text).mapInArrow(run, "votes string, form string, n long").groupBy("votes", "form").agg(F.sum("n").alias("n"))
 
 
-def fit_labelers(patterns: list[tuple[str, float]], rounds: int = 50) -> tuple[float, np.ndarray]:
-    """(prior, table[labeler, truth, vote]) by expectation-maximisation over counted vote patterns.
+def fit_labelers(patterns: list[tuple[str, float]], rounds: int = 200) -> tuple[float, np.ndarray]:
+    """(prior, share[truth, labeler] of votes for) by expectation-maximisation over counted vote patterns of one kind.
 
-    Starts from the share of votes for; counts are smoothed, so a labeler that never votes
-    stays neutral. The number of patterns is bounded by 3 to the number of labelers.
+    A pattern's first vote is the regex labeler's: what it votes for is personal data by definition, so the other labelers are measured
+    on it; the spans that it leaves open are weighed by their votes, round by round, and the prior is theirs. A missing vote says nothing.
+    Counts have those of FOR and SEEN added, so truth keeps its meaning where all spans vote alike. The number of patterns is
+    bounded by 3 to the number of labelers.
     """
     v = np.array([[int(c) for c in p] for p, _ in patterns])
     n = np.array([float(x) for _, x in patterns])
-    post = np.array([(row == 1).sum() / max(1, (row != 2).sum()) for row in v])
-    prior, odds = 0.5, np.zeros((v.shape[1], 2, 3))
+    known = v[:, 0] == 1
+    prior, share = 0.5, np.array(FOR)
+    post = np.array([posterior(p, prior, share) for p, _ in patterns])
     for _ in range(rounds):
-        prior = float((n * post).sum() + 1) / (n.sum() + 2)
-        for j in range(v.shape[1]):
-            for vote in range(3):
-                here = n * (v[:, j] == vote)
-                odds[j, 1, vote], odds[j, 0, vote] = (here * post).sum() + 1, (here * (1 - post)).sum() + 1
-        odds /= odds.sum(axis=2, keepdims=True)
-        score = math.log(prior / (1 - prior)) + sum(np.log(odds[j, 1, v[:, j]] / odds[j, 0, v[:, j]]) for j in range(v.shape[1]))
-        new = 1 / (1 + np.exp(-np.clip(score, -50, 50)))
+        prior = float((n * post)[~known].sum() + 2) / (n[~known].sum() + 4)
+        for truth, weight in enumerate((n * (1 - post), n * post)):
+            for j in range(share.shape[1]):
+                voted = v[:, j + 1] != 2
+                share[truth, j] = (weight[v[:, j + 1] == 1].sum() + SEEN[truth] * FOR[truth][j]) / (weight[voted].sum() + SEEN[truth])
+        new = np.array([posterior(p, prior, share) for p, _ in patterns])
         if np.abs(new - post).max() < 1e-9:
             break
         post = new
-    return prior, odds
+    return prior, share
+
+
+def posterior(pattern: str, prior: float, share: np.ndarray) -> float:
+    """Probability of personal data from the votes on one span."""
+    if pattern[0] == "1":
+        return 1.0
+    score = math.log(prior / (1 - prior))
+    for j, c in enumerate(pattern[1:]):
+        if c != "2":
+            no, yes = share[0, j], share[1, j]
+            score += math.log(yes / no) if c == "1" else math.log((1 - yes) / (1 - no))
+    return 1 / (1 + math.exp(-max(-50.0, min(50.0, score))))
+
 
+def _features(form: str) -> list[int]:
+    """Places of the ones: a constant for the kind, and each feature's value within the kind."""
+    kind, places = int(form[0]), len(form)
+    return [kind * places * 10, *(kind * places * 10 + j * 10 + int(c) for j, c in enumerate(form[1:], 1))]
 
-def _one_hot(form: str) -> list[int]:
-    return [1, *(j * 10 + int(c) + 1 for j, c in enumerate(form))]
 
+class SpanModel:
+    """A logistic classifier of spans by their form. Without weights it is sure of nothing."""
 
-def train_spans(counts: list[tuple[str, str, float]]) -> dict[str, float]:
-    """Probability of personal data by form: logistic regression on the EM posteriors as soft labels.
+    def __init__(self, weights: np.ndarray | None = None):
+        self.weights = weights
+
+    def probability(self, form: str) -> float:
+        if self.weights is None:
+            return 0.0
+        return float(1 / (1 + np.exp(-np.clip(self.weights[_features(form)].sum(), -30, 30))))
+
+
+def train_spans(counts: list[tuple[str, str, float]]) -> SpanModel:
+    """The span classifier: logistic regression by form on the EM posteriors as soft labels.
 
     Works on the counted (votes, form) cells of the whole corpus, whose number is bounded by the
-    digits of the two keys. Without candidates the result is empty.
+    digits of the two keys. Reliabilities are estimated for each kind. Without candidates the model is sure of nothing.
     """
     if not counts:
-        return {}
-    by: Counter = Counter()
+        return SpanModel()
+    by: dict[str, Counter] = {}
     for v, _, n in counts:
-        by[v] += n
-    prior, odds = fit_labelers(sorted(by.items()))
-
-    def posterior(v: str) -> float:
-        s = math.log(prior / (1 - prior)) + sum(math.log(odds[j, 1, int(c)] / odds[j, 0, int(c)]) for j, c in enumerate(v))
-        return 1 / (1 + math.exp(-max(-50.0, min(50.0, s))))
-
+        by.setdefault(v[0], Counter())[v[1:]] += n
+    fitted = {kind: fit_labelers(sorted(patterns.items())) for kind, patterns in by.items()}
     forms = sorted({f for _, f, _ in counts})
     at = {f: i for i, f in enumerate(forms)}
     n, y = np.zeros(len(forms)), np.zeros(len(forms))
     for v, f, k in counts:
         n[at[f]] += k
-        y[at[f]] += k * posterior(v)
+        y[at[f]] += k * posterior(v[1:], *fitted[v[0]])
     y = y / n
-    x = np.zeros((len(forms), 2 + 10 * len(forms[0])))
+    x = np.zeros((len(forms), len(KINDS) * len(forms[0]) * 10))
     for f, i in at.items():
-        x[i, _one_hot(f)] = 1
-    w, weight = np.zeros(x.shape[1]), n / n.sum()
-    for _ in range(30):
+        x[i, _features(f)] = 1
+    # rare forms are fitted as well as common ones
+    w, weight = np.zeros(x.shape[1]), np.log1p(n) / np.log1p(n).sum()
+    for _ in range(40):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         g = x.T @ (weight * (p - y)) + 1e-5 * w
         h = (x * (weight * p * (1 - p))[:, None]).T @ x + 1e-5 * np.eye(len(w))
-        step = np.linalg.solve(h, g)
-        w -= np.clip(step, -4, 4)
-    p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-    return {f: float(p[i]) for f, i in at.items()}
+        w -= np.clip(np.linalg.solve(h, g), -4, 4)
+    return SpanModel(w)
 
 
-def find_spans(text: str, model: dict[str, float]) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
-    """(base spans, all spans) of one text. Added spans need a form the model is sure of and a naming context."""
+def find_spans(text: str, model: SpanModel) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
+    """(base spans, all spans) of one text. Wider candidates are added where the classifier is sure of them."""
     base = base_spans(text)
-    more = []
-    for c in candidates(text, base):
-        if not c[3]:
-            v, form = votes(text, c)
-            if model.get(form, 0.0) >= SURE and v[2] == "1":
-                more.append(c[:3])
+    more = [c[:3] for c in candidates(text, base) if not c[3] and model.probability(votes(text, c)[1]) >= SURE]
     return base, sorted(base + more)
 
 
@@ -242,12 +314,12 @@ def redact(text: str, spans: list[tuple[int, int, int]]) -> str:
     return "".join([*out, text[at:]])
 
 
-def train_model(docs: DataFrame, *, text: str = "text") -> dict[str, float]:
+def train_model(docs: DataFrame, *, text: str = "text") -> SpanModel:
     """The span classifier learned from all texts; the driver gets the counted cells only."""
     return train_spans([(r["votes"], r["form"], r["n"]) for r in vote_counts(docs, text=text).collect()])
 
 
-def find_personal_data(docs: DataFrame, model: dict[str, float], *, text: str = "text", keep: list[str] | None = None, redacted: bool = False) -> DataFrame:
+def find_personal_data(docs: DataFrame, model: SpanModel, *, text: str = "text", keep: list[str] | None = None, redacted: bool = False) -> DataFrame:
     """`docs` (or its columns `keep`) with n_email, n_ip, n_card, n_phone, base_sha256 and spans.
 
     With `redacted` only the text changes: every span is replaced by its kind, and the columns stay

@@ -390,20 +390,73 @@ def test_pii_random():
         assert pii.base_spans(t) == brute_pii(t), t
 
 
-def test_pii_method(spark, edge):
-    plain = [(i, f"call {'+1 (200) 555-%04d' % i} or mail a{i}@host.com, phone 020 7946 {i:04d} now; ratio 1234-5678-90 id") for i in range(60)]
-    df = spark.createDataFrame(plain, "doc_id long, text string")
-    model = pii.train_model(df)
-    base, spans = pii.find_spans(plain[3][1], model)
-    assert set(base) <= set(spans)
-    assert pii.redact("x a@b.c y", [(2, 0, 7)]) == "x <EMAIL> y"
-    assert pii.train_model(df.where("false")) == {} and pii.find_personal_data(edge, {}, keep=["doc_id", "x"]).count() == 9
-    assert [r["text"] for r in pii.find_personal_data(edge, {}, redacted=True).where("doc_id = 2").collect()] == [None]
-
-
-def test_labeler_em_ranks_reliable_ones():
-    prior, odds = pii.fit_labelers([("11112", 60), ("00002", 30), ("10112", 3), ("01002", 3)])
-    assert 0.4 < prior < 0.9 and odds[0, 1, 1] > odds[1, 1, 1] * 0.9
+def test_pii_long_numbers(spark):
+    """Numbers of more digits than Python turns into int don't fail the job."""
+    texts = ["0" * 5000 + ".1.1.1", "1.1.1." + "9" * 6000, "0" * 9000, "+" + "1" * 7000, "256.0.0.0001", "0255.1.1.1"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["n_ip"] for r in pii.find_personal_data(df, pii.train_model(df)).collect()}
+    assert got == {0: 1, 1: 0, 2: 0, 3: 0, 4: 0, 5: 1}
+
+
+CARDS = ["4111111111111111", "5500005555555559", "4012888888881881", "371449635398431"]
+
+
+def planted_pii(n=200):
+    """Documents, and for each the wider spans that are personal data and those that aren't."""
+    rows = []
+
+    def one(*parts):
+        text, wanted, unwanted = "", [], []
+        for kind, part in parts:
+            (wanted if kind == 1 else unwanted if kind == 0 else []).append(part)
+            text += part
+        rows.append((text, wanted, unwanted))
+
+    for i in range(n):
+        card = CARDS[i % 4]
+        one((2, "paid by "), (2, card), (2, f" from 10.1.{i % 256}.7 by a{i}@host.com, +1 (200) 555-{i:04d}."))
+        one((2, "see "), (1, card), (2, " "), (0, "9807915762804491"), (2, " there"))
+        one((2, "ring "), (1, f"+1 (345) 555-{i:04d}"), (2, " "), (1, card), (2, " now"))
+        one((2, "lot "), (0, "7536784127813057"), (2, " was sold"))
+        one((2, "my phone "), (1, f"020 7946 {i:04d}"), (2, " please"))
+        one((2, "ratio "), (0, "1234-5678-90"), (2, " seen"))
+    return rows
+
+
+def test_pii_method_adds_and_rejects(spark):
+    """Cards and telephone numbers that hide in failing runs are added, numbers with a wrong check digit aren't."""
+    rows = planted_pii()
+    df = spark.createDataFrame([(i, r[0]) for i, r in enumerate(rows)], "doc_id long, text string")
+    got = {r["doc_id"]: r["spans"] for r in pii.find_personal_data(df, pii.train_model(df), keep=["doc_id"]).collect()}
+    hits = misses = wrong = 0
+    for i, (text, wanted, unwanted) in enumerate(rows):
+        found = {text[int(a) : int(b)] for _, a, b in (x.split(":") for x in got[i].split(",") if x)}
+        base = {text[a:b] for a, _, b in brute_pii(text)}
+        assert base <= found
+        hits, misses, wrong = hits + len(found & set(wanted)), misses + len(set(wanted) - found), wrong + len(found & set(unwanted) - base)
+    assert wrong == 0 and misses <= 0.02 * hits, (hits, misses, wrong)
+
+
+def test_pii_edges(spark, edge):
+    empty = pii.train_model(edge.where("false"))
+    assert empty.probability("2111111111") == 0 and pii.find_personal_data(edge, empty, keep=["doc_id", "x"]).count() == 9
+    assert [r["text"] for r in pii.find_personal_data(edge, empty, redacted=True).where("doc_id = 2").collect()] == [None]
+    assert pii.redact("x a@b.c y", [(2, 0, 7)]) == "x <EMAIL> y" and pii.redact("abcdef", [(0, 2, 3), (2, 3, 5)]) == "<CARD>f"
+
+
+def test_labelers_are_measured():
+    """Expectation-maximisation finds the shares that votes were drawn from, and the truth of open spans."""
+    rng = np.random.default_rng(3)
+    true, false, n = np.array([0.95, 0.7, 0.9, 0.85]), np.array([0.1, 0.05, 0.3, 0.5]), 6000
+    truth = rng.random(n) < 0.6
+    known = truth & (rng.random(n) < 0.5)
+    v = (rng.random((n, 4)) < np.where(truth[:, None], true, false)).astype(int)
+    v[rng.random((n, 4)) < 0.2] = 2
+    rows = ["".join(map(str, (1 if k else 2, *x))) for k, x in zip(known, v)]
+    prior, share = pii.fit_labelers(sorted(Counter(rows).items()))
+    assert abs(prior - (truth & ~known).sum() / (~known).sum()) < 0.05 and np.abs(share[1] - true).max() < 0.03 and np.abs(share[0] - false).max() < 0.05
+    right = np.array([(pii.posterior(p, prior, share) >= 0.5) == t for p, t in zip(rows, truth)])
+    assert right.mean() > 0.93
 
 
 # 9
@@ -496,10 +549,27 @@ def test_pipeline_stages(spark, data):
     ids = sorted(kept)
     label = brute_components([brute_fp(before[i]["text"]) for i in ids])
     assert {r["doc_id"] for r in one.collect()} == {ids[k] for k in label}
+    # a card hides behind another number in one more document, in a run that fails as a whole
+    before[10**9] = {"text": "see 9807915762804491 4111111111111111 there"}
+    one = common.checkpoint(one.unionByName(spark.createDataFrame([(10**9, before[10**9]["text"], "en", "src0", 43)], one.schema)))
     private = common.checkpoint(cp.personal_data(spark, one, data))
+    model, more = pii.train_model(one), 0
     for r in private.collect():
-        base = brute_pii(before[r["doc_id"]]["text"])
-        assert (r["text"] == before[r["doc_id"]]["text"]) == (not base) and not re.search(r"@mail\d", r["text"]) and r["n_chars"] == len(r["text"])
+        text = before[r["doc_id"]]["text"]
+        base, spans = pii.find_spans(text, model)
+        assert base == brute_pii(text) and set(base) <= set(spans)
+        more += len(spans) - len(base)
+        # by characters: covered ones go, and where a covered stretch begins its kind is put
+        out, reach = "", 0
+        for i, c in enumerate(text):
+            for s, k, e in spans:
+                if s == i and s >= reach:
+                    out, reach = out + ("<EMAIL>", "<IP>", "<CARD>", "<PHONE>")[k], e
+                elif s == i:
+                    reach = max(reach, e)
+            out += c if i >= reach else ""
+        assert r["text"] == out and r["n_chars"] == len(out)
+    assert more > 0
     mixed = common.checkpoint(cp.mixing(spark, private, data))
     want = {r["doc_id"]: r["copies"] for r in mixing.mix(private, mixing.word_count(F.col("text"))).collect() if r["copies"]}
     assert Counter(r["doc_id"] for r in mixed.collect()) == want
@@ -510,7 +580,9 @@ def test_pipeline_edge(spark, edge, data):
     import corpus_pipeline as cp
 
     for name, stage in cp.STAGES[1:]:
-        assert stage(spark, edge, data).count() >= 0, name
+        kept = {r["doc_id"] for r in stage(spark, edge, data).collect()}
+        # near duplicates and the mix take some; the others take all
+        assert kept <= {None, 1, 2, 3, 4, 5, 6, 8} and (name in (cp.STAGES[1][0], cp.STAGES[3][0]) or len(kept) == 8), name
         assert stage(spark, edge.where("false"), data).count() == 0, name
 
 
