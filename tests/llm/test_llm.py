@@ -343,8 +343,65 @@ def test_vantage_tree():
     rng = random.Random(5)
     base = [rng.getrandbits(64) for _ in range(40)]
     fps = list({b ^ sum(1 << k for k in rng.sample(range(64), rng.randint(0, 7))) for b in base for _ in range(12)})
-    got = vptree.VantageTree(np.array(fps, np.uint64), 4).labels.all()
-    assert got.tolist() == brute_components(fps)
+    tree = vptree.VantageTree(np.array(fps, np.uint64), 4)
+    assert tree.labels.all().tolist() == brute_components(fps)
+    # nodes split and their bounds spare comparisons
+    assert tree.nodes > 5 and tree.compared < 0.7 * len(fps) ** 2
+    crowd = np.array(list({base[0] ^ sum(1 << k for k in rng.sample(range(64), 2)) for _ in range(1500)}), np.uint64)
+    tree = vptree.VantageTree(crowd, 4)
+    assert len(set(tree.labels.all().tolist())) == 1 and tree.compared < 40 * len(crowd)
+    assert not len(vptree.VantageTree(np.zeros(0, np.uint64), 4).labels.all())
+
+
+def test_trees_answer_the_query(spark, data, texts, monkeypatch):
+    """Without trees there are no links: every pair that the query links comes from one of them."""
+    fps = spark.createDataFrame([(vptree.fingerprint(t) - (1 << 64) * (vptree.fingerprint(t) >> 63), i) for i, t in texts.items()], "fp long, node long").dropDuplicates(["fp"])
+    assert vptree.near_links(fps).count() > 0
+    seen = []
+    real = vptree.VantageTree
+    monkeypatch.setattr(vptree, "VantageTree", lambda x, r: seen.append(real(x, r)) or seen[-1])
+    x = [(r["fp"], r["node"]) for r in fps.collect()]
+    batch = pa.RecordBatch.from_arrays([pa.array([0] * len(x), pa.int64()), pa.array([a for a, _ in x], pa.int64()), pa.array([b for _, b in x], pa.int64())], names=["key", "fp", "node"])
+    list(vptree._tree_links(4)(iter([batch.slice(0, 100), batch.slice(100)])))
+    assert len(seen) == 1 and seen[0].nodes > 0 and len(seen[0].x) == len(x) and seen[0].compared < len(x) ** 2
+
+
+def test_shards_lose_no_pair():
+    """Fingerprints within the radius have a shard in common, whatever the number of blocks and buckets."""
+    for n, blocks in ((10, 1), (40_000, 5), (10**7, 5), (10**9, 15), (10**11, 35)):
+        masks, buckets = vptree.shard_keys(n)
+        assert len(masks) == blocks and n / buckets <= 4096
+        rng = random.Random(n)
+        for _ in range(300):
+            d = sum(1 << k for k in rng.sample(range(64), rng.randint(0, 4)))
+            assert any(d & m == 0 for m in masks)
+
+
+def test_large_shards_are_split_at_vantage_points(spark):
+    rng = random.Random(6)
+    base = [rng.getrandbits(64) for _ in range(60)]
+    fps = sorted({b ^ sum(1 << k for k in rng.sample(range(64), rng.randint(0, 6))) for b in base for _ in range(10)})
+    crowd = sorted({base[0] ^ sum(1 << k for k in rng.sample(range(64), 2)) for _ in range(200)} - set(fps))
+    rows = [(0, f - (1 << 64) * (f >> 63), i) for i, f in enumerate(fps + crowd)]
+    split = vptree.split_large(spark.createDataFrame(rows, "key long, fp long, node long"), 4, 100).collect()
+    held = {}
+    for r in split:
+        held.setdefault(r["key"], set()).add(r["node"])
+    assert len(held) > 4 and sum(len(h) > 100 for h in held.values()) <= 1 and len(set().union(*held.values())) == len(rows)
+    shards_of = {}
+    for k, h in held.items():
+        for i in h:
+            shards_of.setdefault(i, set()).add(k)
+    both = fps + crowd
+    for i, a in enumerate(both):
+        for j in range(i):
+            assert (a ^ both[j]).bit_count() > 4 or shards_of[i] & shards_of[j]
+    got = vptree.near_components(spark.createDataFrame([(i, f - (1 << 64) * (f >> 63)) for i, f in enumerate(both)], "doc_id long, fp long"))
+    want = brute_components(both)
+    assert {r["doc_id"]: r["component_id"] for r in got.collect()} == dict(enumerate(want))
+    small = vptree.near_links(spark.createDataFrame([(f - (1 << 64) * (f >> 63), i) for i, f in enumerate(both)], "fp long, node long"), size=16, large=40)
+    parts = {r["id"]: r["component"] for r in common.connected_components(small).collect()}
+    assert [parts.get(i, i) for i in range(len(both))] == want
 
 
 def test_near_components_edge(spark, edge):
@@ -352,6 +409,10 @@ def test_near_components_edge(spark, edge):
     got = vptree.near_components(rows).collect()
     assert len(got) == 9 and {r["component_id"] for r in got if r["doc_id"] in (2, 3, 4)} == {2} and {r["component_id"] for r in got if r["doc_id"] in (1, 8)} == {1}
     assert vptree.near_components(rows.where("false")).count() == 0
+    ids = spark.createDataFrame([(None, 0), (7, 3), (3, 1 << 20), (None, (1 << 40) * 1023)], "doc_id long, fp long")
+    assert {r["fp"]: r["component_id"] for r in vptree.near_components(ids).collect()} == {0: 3, 3: 3, 1 << 20: 3, (1 << 40) * 1023: None}
+    again = spark.createDataFrame([(1, "one two three four five", "a"), (1, "one two three four five", "b"), (1, "quite other words stand in here", "a")], "doc_id long, text string, source string")
+    assert vptree.keep_one(again).count() == 1 and vptree.keep_one(again.where("false")).count() == 0
     kept = vptree.keep_one(edge.select("doc_id", "text", "lang", "source", "n_chars")).collect()
     assert sorted(r["doc_id"] or -1 for r in kept) == [-1, 1, 2, 5, 6]
 
