@@ -42,14 +42,14 @@ def _mixed(h: np.ndarray) -> np.ndarray:
 
 
 def segments(raw: np.ndarray, ends: np.ndarray, length: int = LENGTH, anchor: int = ANCHOR) -> tuple[np.ndarray, ...]:
-    """(text number, start, size, anchor hash, segment hash) of the segments of concatenated texts.
+    """(text number, start, size, anchor hash, both halves of the segment's 128-bit digest) of the segments of concatenated texts.
 
     Every string of `length` bytes belongs to the anchor of least hash that it holds, the leftmost of
     equals; so equal strings belong to equal anchors. A segment is the stretch of a text whose
     strings belong to one anchor; all its strings together are `size` bytes from `start` in the text.
     """
     n, w = len(raw), length - anchor + 1
-    none = tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int32, np.int64, np.int64))
+    none = tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int32, np.int64, np.int64, np.int64))
     if n < length:
         return none
     power, back = _powers(1 << max(BUFFER.bit_length(), int(n + 1).bit_length()))
@@ -75,8 +75,9 @@ def segments(raw: np.ndarray, ends: np.ndarray, length: int = LENGTH, anchor: in
     first = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (t[1:] != t[:-1])])
     begin, last = good[first], good[np.r_[first[1:] - 1, len(good) - 1]]
     size = last - begin + length
-    whole = _mixed((sums[begin + size] - sums[begin]) * back[begin] + size.astype(np.uint64))
-    return t[first], begin - starts[t[first]], size.astype(np.int32), h[a[first]].view(np.int64), whole.view(np.int64)
+    held = memoryview(np.ascontiguousarray(raw))
+    digest = np.frombuffer(b"".join(xxhash.xxh3_128_digest(held[x:y]) for x, y in zip(begin.tolist(), (begin + size).tolist())), np.int64).reshape(-1, 2)
+    return t[first], begin - starts[t[first]], size.astype(np.int32), h[a[first]].view(np.int64), digest[:, 0], digest[:, 1]
 
 
 def _buffers(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, np.ndarray, np.ndarray]]:
@@ -101,50 +102,53 @@ def _buffers(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, np.ndarr
 
 def _find_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for keys, raw, ends in _buffers(batches):
-        text, start, size, h, whole = segments(raw, ends)
+        text, start, size, h, w1, w2 = segments(raw, ends)
         k = np.array(keys, np.int64).reshape(-1, 2)
         # of equal segments in one buffer the first stands for all; the others are repeats for certain
-        order = np.lexsort((whole, h))
-        same = (h[order][1:] == h[order][:-1]) & (whole[order][1:] == whole[order][:-1])
+        order = np.lexsort((w2, w1, h))
+        same = np.all([x[order][1:] == x[order][:-1] for x in (h, w1, w2)], axis=0)
         local, twice = np.zeros(len(h), bool), np.zeros(len(h), bool)
         local[order[1:][same]] = True
         twice[order[:-1][same]] = True
-        columns = (h, whole, k[text, 0], k[text, 1], start, size, twice, local)
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["h", "whole", "k1", "k2", "start", "size", "twice", "local"])
+        columns = (h, w1, w2, k[text, 0], k[text, 1], start, size, twice, local)
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["h", "w1", "w2", "k1", "k2", "start", "size", "twice", "local"])
 
 
 def _keep_repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by anchor and segment hash, those whose anchor occurs again.
+    """Of rows sorted by anchor and digest, those whose anchor occurs again, and those that are repeats for certain.
 
     A row needs only its neighbours, so one batch and one row are held. `alike`: an equal segment
     exists; `first`: the first of its equals; `number`: how many different segments the anchor has had.
     """
-    names = ["h", "whole", "k1", "k2", "start", "size", "twice"]
     held: list[np.ndarray] | None = None
-    prev, number = (None, None), 0
+    prev, number = None, 0
+    names = ["h", "k1", "k2", "start", "size", "alike", "first", "number"]
 
     def out(rows: list[np.ndarray], n: int) -> pa.RecordBatch:
         """The first n of `rows`; what comes after them is only looked at."""
         nonlocal prev, number
-        h, whole = rows[0], rows[1]
-        same_h = np.r_[prev[0] is not None and h[0] == prev[0], h[1:] == h[:-1]]
-        same = same_h & np.r_[prev[1] is not None and whole[0] == prev[1], whole[1:] == whole[:-1]]
+        h, w1, w2, twice = *rows[:3], rows[7]
+        same_h = np.r_[prev is not None and h[0] == prev[0], h[1:] == h[:-1]]
+        same = same_h & np.r_[prev is not None and (w1[0], w2[0]) == prev[1:], (w1[1:] == w1[:-1]) & (w2[1:] == w2[:-1])]
         next_h, next_same = np.r_[same_h[1:], False], np.r_[same[1:], False]
         at = np.arange(len(h))
         new = (~same).astype(np.int64)
         total = np.cumsum(new)
         opening = np.maximum.accumulate(np.where(~same_h, at, -1))
         since = np.where(opening >= 0, total - np.where(opening >= 0, total[opening], 0) + 1, total + number)
-        twice = rows[6]
         keep = np.flatnonzero((same_h | next_h | twice)[:n])
-        prev, number = (h[n - 1], whole[n - 1]), int(since[n - 1])
-        arrays = [pa.array(r[keep]) for r in rows[:6]] + [pa.array((same | next_same | twice)[keep]), pa.array(~same[keep]), pa.array(since[keep])]
-        return pa.RecordBatch.from_arrays(arrays, names=[*names[:6], "alike", "first", "number"])
+        prev, number = (h[n - 1], w1[n - 1], w2[n - 1]), int(since[n - 1])
+        return pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (h, *rows[3:7], same | next_same | twice, ~same, since)], names=names)
 
     for batch in batches:
-        if not batch.num_rows:
+        rows = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(9)]
+        local = rows[8]
+        if local.any():
+            n = int(local.sum())
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (*(rows[i][local] for i in (0, 3, 4, 5, 6)), np.ones(n, bool), np.zeros(n, bool), np.zeros(n, np.int64))], names=names)
+        rows = [x[~local] for x in rows[:8]]
+        if not len(rows[0]):
             continue
-        rows = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(len(names))]
         rows = rows if held is None else [np.concatenate(x) for x in zip(held, rows)]
         n = len(rows[0]) - 1
         if n:
@@ -276,16 +280,17 @@ def repeated_runs(parts: list[bytes]) -> list[tuple[int, int, int]]:
     """(part, start, end): maximal runs of starts whose string occurs at another place of `parts`."""
     sizes = np.array([len(p) + 1 for p in parts])
     text = np.frombuffer(b"\0".join(parts) + b"\0", np.uint8)
+    ends = np.cumsum(sizes)
+    begin = ends - sizes
+    part = np.repeat(np.arange(len(parts)), sizes)
     sa = two_stage(text)
+    # strings that reach over a part's end are none, even where a part itself holds the byte between parts
+    sa = sa[sa + LENGTH < ends[part[sa]]]
     same = common_prefixes(text, sa) >= LENGTH
     hit = np.zeros(len(text), bool)
     hit[sa[same]] = True
     hit[sa[np.flatnonzero(same) - 1]] = True
-    ends = np.cumsum(sizes)
-    begin = ends - sizes
-    part = np.repeat(np.arange(len(parts)), sizes)
     at = np.flatnonzero(hit)
-    at = at[at + LENGTH < ends[part[at]]]  # no string reaches over a part's end
     if not len(at):
         return []
     new = np.r_[True, (np.diff(at) > 1) | (part[at][1:] != part[at][:-1])]
@@ -356,9 +361,9 @@ def remove_repeats(docs: DataFrame, *, row_id: str = "doc_id", text: str = "text
     of any text, its own included, is removed. Overlaps count, strings never cross texts.
 
     Texts are parted into segments by content-chosen anchors, so that equal strings always fall under equal
-    anchors. Anchors that occur once can't hold a repeat and go. Segments that are equal as a whole are
-    repeats throughout and stay as numbers; within a buffer all but the first are settled before any shuffle,
-    so that a passage of a third of the texts reaches its task as a few rows. Only the different segments of one anchor are brought
+    anchors. Anchors that occur once can't hold a repeat and go. Segments that are equal as a whole, by 128 bits of digest, are
+    repeats throughout and stay as numbers; within a buffer all but the first are known as such and dealt out by text,
+    so that a passage of a third of the texts reaches its anchor's task as a few rows. Only the different segments of one anchor are brought
     together and suffix-sorted in batches of bounded size. An anchor with very many different segments
     is split by the exact 200-byte strings instead, whose counts are summed before the shuffle.
 
@@ -369,10 +374,11 @@ def remove_repeats(docs: DataFrame, *, row_id: str = "doc_id", text: str = "text
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     value = F.coalesce(F.col(text), F.lit(""))
     keyed = docs.select(F.xxhash64(F.lit(1), row_id, value).alias("k1"), F.xxhash64(F.lit(2), value, row_id).alias("k2"), F.col(row_id).alias("_id"), value.alias("text"))
-    found = keyed.select("k1", "k2", "text").mapInArrow(_find_segments, "h long, whole long, k1 long, k2 long, start long, size int, twice boolean, local boolean")
+    found = keyed.select("k1", "k2", "text").mapInArrow(_find_segments, "h long, w1 long, w2 long, k1 long, k2 long, start long, size int, twice boolean, local boolean")
+    # both kinds come from one pass: which of equal segments stands for the others depends on the order of rows
     again = checkpoint(
-        found.where("not local").drop("local").repartition(n, "h").sortWithinPartitions("h", "whole")
-        .mapInArrow(_keep_repeated, "h long, whole long, k1 long, k2 long, start long, size int, alike boolean, first boolean, number long")
+        found.repartition(n, F.when(F.col("local"), F.col("k1")).otherwise(F.col("h"))).sortWithinPartitions("h", "w1", "w2")
+        .mapInArrow(_keep_repeated, "h long, k1 long, k2 long, start long, size int, alike boolean, first boolean, number long")
     )
     hot = again.where(F.col("first") & (F.col("number") == HOT)).select("h", F.lit(True).alias("hot"))
     # segments of an anchor that has one kind only need no sorting
@@ -391,7 +397,7 @@ def remove_repeats(docs: DataFrame, *, row_id: str = "doc_id", text: str = "text
     windows = cut.where("window is not null")
     twice = windows.groupBy("window").agg(F.sum("weight").alias("n")).where("n > 1").select("window")
     exact_runs = windows.join(twice, "window").select("k1", "k2", "start", (F.col("start") + LENGTH).alias("end"))
-    whole_runs = again.where("alike").unionByName(found.where("local"), allowMissingColumns=True).select("k1", "k2", "start", (F.col("start") + F.col("size")).alias("end"))
+    whole_runs = again.where("alike").select("k1", "k2", "start", (F.col("start") + F.col("size")).alias("end"))
     runs = whole_runs.unionByName(sorted_runs).unionByName(exact_runs).groupBy("k1", "k2").agg(F.collect_set(F.struct("start", "end")).alias("runs"))
     kind = docs.schema[row_id].dataType.simpleString()
     return by_text.join(runs, ["k1", "k2"], "left").select(F.col("_id").alias(row_id), "text", "runs").mapInArrow(

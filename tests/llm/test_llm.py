@@ -158,6 +158,29 @@ def test_suffix_edge(spark, edge):
     assert suffixes.remove_repeats(rows.where("false")).count() == 0
 
 
+def test_suffix_repeats_with_zero_bytes(spark):
+    """A string over the end of one part is no repeat of one that holds the byte put between parts."""
+    a, b = b"a" * 150 + b"bc", b"defg" * 60
+    parts = [a + b"\0" + b, a, b]
+    counts = Counter(p[i : i + 200] for p in parts for i in range(len(p) - 199))
+    got = {(p, i) for p, s, e in suffixes.repeated_runs(parts) for i in range(s, e - 199)}
+    assert got == {(p, i) for p, x in enumerate(parts) for i in range(len(x) - 199) if counts[x[i : i + 200]] > 1}
+    rng = random.Random(12)
+    word = lambda n: "".join(rng.choice("ab\0") for _ in range(n))
+    shared = [word(rng.randint(150, 320)) for _ in range(6)]
+    texts = ["".join(x for _ in range(rng.randint(1, 3)) for x in (rng.choice(shared), word(rng.randint(0, 40)))) for _ in range(80)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    check_repeats([tuple(r)[1:5] for r in suffixes.remove_repeats(df).collect()], [t.encode() for t in texts])
+
+
+def test_segments_are_told_apart_by_128_bits():
+    raw = np.frombuffer(b"".join(bytes([65 + i % 7]) * (i % 5 + 1) for i in range(400)), np.uint8)
+    *_, w1, w2 = suffixes.segments(raw, np.array([len(raw)]))
+    text, start, size, *_ = suffixes.segments(raw, np.array([len(raw)]))
+    for s, n, a, b in zip(start.tolist(), size.tolist(), w1.tolist(), w2.tolist()):
+        assert np.array([a, b]).tobytes() == xxhash.xxh3_128_digest(raw[s : s + n].tobytes())
+
+
 def test_suffix_array():
     rng = np.random.default_rng(1)
     for _ in range(60):
