@@ -1,6 +1,7 @@
 """The operators against brute force on the small tables and on rows of edge cases."""
 
 import hashlib
+import math
 import random
 import re
 from collections import Counter
@@ -573,6 +574,35 @@ def test_pivot_copies_count_as_many(spark):
     assert [i for i in range(len(x)) if got[i]["kept"]] == list(range(30)) and got[200]["component_id"] == 0 and got[len(x) - 1]["component_id"] == 1
 
 
+@pytest.mark.parametrize("prefix", [1, 2, 3])
+def test_pivot_recall_of_every_prefix(spark, data, prefix):
+    """Links found against all pairs, whatever the number of pivots that a list's set has; never one too many."""
+    e = spark.read.parquet(data.replace("0.001", "0.01") + "/embeddings.parquet")
+    rows = [(r["vec_id"], r["embedding"]) for r in e.collect()]
+    rng = np.random.default_rng(13)
+    v = np.array([x for _, x in rows], np.float64)
+    near = v[:200] + 0.15 * np.linalg.norm(v[:200], axis=1)[:, None] * rng.normal(size=v[:200].shape) / math.sqrt(v.shape[1])
+    v = np.concatenate([v, near])
+    got = {r["vec_id"]: r for r in pivots.near_vectors(spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>"), prefix=prefix).collect()}
+    u = v / np.linalg.norm(v, axis=1)[:, None]
+    links = u @ u.T >= 0.95
+    np.fill_diagonal(links, False)
+    want, found = links.sum(axis=1), np.array([got[i]["n_links"] for i in range(len(v))])
+    assert links.sum() > 300 and (found <= want).all() and found.sum() >= 0.9 * want.sum(), (found.sum(), want.sum())
+
+
+def test_prefix_follows_the_number_of_vectors():
+    assert [pivots.prefix_length(n) for n in (0, 10**6, 10**7, 10**8, 10**9, 10**12)] == [1, 1, 2, 2, 3, 3]
+
+
+def test_pivot_clashing_names_and_long_vectors(spark):
+    rng = np.random.default_rng(2)
+    rows = [(7 - i, [float(x) for x in rng.normal(size=3000)], "x", 1, 2, [3], "k") for i in range(6)] + [(None, [1.0] * 3000, "x", 1, 2, [3], "k"), (None, [2.0] * 3000, "x", 1, 2, [3], "k"), (3, None, None, None, None, None, None)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, uid string, node long, weight long, pivots array<int>, k1 string")
+    got = pivots.near_vectors(df).collect()
+    assert len(got) == 9 and sorted(r["n_links"] for r in got) == [0] * 7 + [1, 1] and sum(r["component_id"] is None for r in got) == 2 and sum(r["kept"] for r in got) == 7
+
+
 def test_pivot_recall_and_repeated_ids(spark, data):
     e = spark.read.parquet(f"{data}/embeddings.parquet")
     twice = e.unionByName(e.limit(20))
