@@ -15,8 +15,10 @@ HEX = r"(?<![0-9a-f])[0-9a-f]{24,}+"
 KINDS = ("assign", "access", "hex")
 #: The method's own candidates: long runs of token characters with letters and digits mixed.
 TOKEN = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}+"
-#: A value is live-looking if it belongs to one owner, and looks random: so many different characters.
-MOST_OWNERS, LEAST_CHARACTERS = 1, 12
+#: A value is live-looking if it belongs to one owner and few of its repositories, and looks random: so many different characters.
+MOST_OWNERS, MOST_REPOSITORIES, LEAST_CHARACTERS = 1, 3, 12
+#: Occurrences of one value are spread over so many keys when they meet its counts.
+SALTS = 16
 #: Matches of a text are gathered in blocks of so many, as an array that grows by one match at a time is copied each time.
 BLOCK = 256
 _IN, _OUT, _OTHER = "\u0001", "\u0002", "\u0003"
@@ -85,13 +87,14 @@ def find_secrets(docs: DataFrame, *, row_id: str = "doc_id", text: str = "text",
     """row_id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_shared for each row of `docs`.
 
     All candidates of the corpus are hashed and counted by distinct owners and repositories. A value
-    found with more than one owner is a widely copied example (n_shared counts a document's);
-    one that belongs to a single owner and looks random is live-looking (n_live). The spans are the
+    found with more than one owner, or in more than three repositories of one, is a widely copied example (n_shared
+    counts a document's); another that looks random is live-looking (n_live). The spans are the
     base ones and those live-looking candidates that touch no base span, as kind token.
 
     Rows are told apart even when ids repeat. Null texts have no spans; null owners and repositories
-    count as one of each. Values travel as hashes, and those of one value are summed before
-    the shuffle, so a value that a third of all documents hold is no task's burden.
+    count as one of each. Values travel as hashes; those of one owner and repository are one row before
+    the shuffle that counts them, and a value's occurrences meet its counts under several keys, so a value that a third of
+    all documents hold is no task's burden.
     """
     held = checkpoint(
         docs.select(
@@ -105,7 +108,10 @@ def find_secrets(docs: DataFrame, *, row_id: str = "doc_id", text: str = "text",
     )
     flat = held.where(F.size("_found") > 0).select("_row", "_owner", "_repo", F.explode("_found").alias("x")).select("_row", "_owner", "_repo", "x.*")
     owners = flat.select("hash", "_owner", "_repo").distinct().groupBy("hash").agg(F.count("*").alias("n_repos"), F.count_distinct("_owner").alias("n_owners"))
-    known = flat.join(owners, "hash").withColumn("live", (F.col("n_owners") <= MOST_OWNERS) & (F.col("chars") >= LEAST_CHARACTERS))
+    shared = (F.col("n_owners") > MOST_OWNERS) | (F.col("n_repos") > MOST_REPOSITORIES)
+    owners = owners.select("hash", shared.alias("shared"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
+    salted = flat.withColumn("_salt", F.pmod(F.xxhash64("_row"), F.lit(SALTS)).cast("int"))
+    known = salted.join(owners, ["hash", "_salt"]).withColumn("live", ~F.col("shared") & (F.col("chars") >= LEAST_CHARACTERS))
     # the furthest end of the base spans that start no later, and the nearest start of those that start no earlier
     is_base = F.col("kind") < 3
     before = Window.partitionBy("_row").orderBy("start").rangeBetween(Window.unboundedPreceding, Window.currentRow)
@@ -114,14 +120,14 @@ def find_secrets(docs: DataFrame, *, row_id: str = "doc_id", text: str = "text",
     touches = F.coalesce(F.col("_upto") > F.col("start"), F.lit(False)) | F.coalesce(F.col("_next") < F.col("end"), F.lit(False))
     known = known.withColumn("more", is_base | (F.col("live") & ~touches))
     by = known.groupBy("_row").agg(
-        F.sort_array(F.collect_list(F.struct("start", "kind", "end", "live", "n_owners", "more"))).alias("all"),
+        F.sort_array(F.collect_list(F.struct("start", "kind", "end", "live", "shared", "more"))).alias("all"),
     )
     base = F.filter("all", lambda x: x["kind"] < 3)
     more = F.filter("all", lambda x: x["more"])
     n = lambda k: F.size(F.filter("all", lambda x: x["kind"] == k)).cast("long")
     told = by.select(
         "_row", *(n(k).alias(f"n_{name}") for k, name in enumerate(KINDS)), _joined(base).alias("base"), _joined(more).alias("spans"),
-        F.size(F.filter(more, lambda x: x["live"])).cast("long").alias("n_live"), F.size(F.filter("all", lambda x: x["n_owners"] > MOST_OWNERS)).cast("long").alias("n_shared"),
+        F.size(F.filter(more, lambda x: x["live"])).cast("long").alias("n_live"), F.size(F.filter("all", lambda x: x["shared"])).cast("long").alias("n_shared"),
     )
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c)
     return held.select("_row", F.col("_id").alias(row_id)).join(told, "_row", "left").select(
@@ -151,16 +157,16 @@ with d as (
   select *, len(list_distinct(string_split(val, ''))) as chars from c
   where case kind when 0 then length(val) >= 6 when 1 then length(val) >= 20 when 2 then length(val) >= 24 else length(val) >= 20 and regexp_matches(val, '[0-9]') and regexp_matches(val, '[A-Za-z]') end
 ), own as (
-  select val, count(distinct o) as n_owners from f group by 1
+  select val, count(distinct o) > 1 or count(distinct rp) > 3 as shared from f group by 1
 ), k as (
-  select f.*, n_owners, n_owners <= 1 and chars >= 12 as live from f join own using (val)
+  select f.*, shared, not shared and chars >= 12 as live from f join own using (val)
 ), g as (
   select k.*, kind < 3 or (live and not exists (select 1 from k b where b.rid = k.rid and b.kind < 3 and b.s < k.e and k.s < b.e)) as more,
     (['assign', 'access', 'hex', 'token'])[kind + 1] || ':' || s || ':' || e as label from k
 ), told as (
   select rid, count_if(kind = 0) as n_assign, count_if(kind = 1) as n_access, count_if(kind = 2) as n_hex,
     coalesce(string_agg(label, ',' order by s, kind) filter (where kind < 3), '') as base, coalesce(string_agg(label, ',' order by s, kind) filter (where more), '') as spans,
-    count_if(more and live) as n_live, count_if(n_owners > 1) as n_shared from g group by 1
+    count_if(more and live) as n_live, count_if(shared) as n_shared from g group by 1
 )
 select doc_id, coalesce(n_assign, 0)::bigint as n_assign, coalesce(n_access, 0)::bigint as n_access, coalesce(n_hex, 0)::bigint as n_hex, sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans,
   coalesce(n_live, 0)::bigint as n_live, coalesce(n_shared, 0)::bigint as n_shared from d left join told using (rid)

@@ -637,6 +637,11 @@ def test_ownership(spark):
     rows = [(1, f"see {v} here", "a", "en"), (2, f"see {v} there", "b", "en"), (3, f"only {w} once", "c", "en")]
     got = {r["doc_id"]: r for r in secrets.find_secrets(spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")).collect()}
     assert got[1]["spans"] == "" and got[1]["n_shared"] == 1 and got[3]["spans"] == f"token:5:{5 + len(w)}" and got[3]["n_live"] == 1
+    # one owner: live in three repositories, an example in four
+    for n, live in ((3, 1), (4, 0)):
+        rows = [(i, f"see {v} here", "a", lang) for i, lang in enumerate(["en", "fr", "de", "es"][:n] * 40)]
+        got = secrets.find_secrets(spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")).collect()
+        assert len(got) == 40 * n and {(r["n_live"], r["n_shared"]) for r in got} == {(live, 1 - live)}
 
 
 # shared, pipeline
