@@ -200,6 +200,29 @@ def test_suffix_array():
 # 4
 
 
+def test_bradley_terry_against_descent(spark):
+    """Newton's weights against plain gradient descent on the same loss."""
+    rng = np.random.default_rng(4)
+    d = rng.normal(size=(400, ranking.WIDTH)) * 0.7 + rng.normal(size=ranking.WIDTH) * 0.3
+    got = ranking.fit_bradley_terry(spark.createDataFrame([(r.tolist(),) for r in d], "d array<double>").repartition(3))
+    w = np.zeros(ranking.WIDTH)
+    for _ in range(20_000):
+        w -= 0.5 * (-(d / (1 + np.exp(d @ w))[:, None]).mean(axis=0) + ranking.RIDGE / 10 * w)
+    assert np.abs(got - w).max() < 1e-3
+    assert not ranking.fit_bradley_terry(spark.createDataFrame([], "d array<double>")).any()
+
+
+def test_quality_cut_is_a_quantile(spark, data):
+    """As many of the labelled rows lie below the cut as the labels reject."""
+    labels = spark.read.parquet(data.replace("0.001", "0.01") + "/labels.parquet").where(~ranking.held_out(F.col("doc_id")))
+    docs = spark.read.parquet(data.replace("0.001", "0.01") + "/documents.parquet")
+    model = ranking.fit(docs, labels)
+    rows = ranking.score_documents(docs.join(labels.select("doc_id", "quality"), "doc_id"), model).select("quality", "predicted").collect()
+    assert abs(sum(r["predicted"] == 0 for r in rows) - sum(r["quality"] == 0 for r in rows)) <= 0.02 * len(rows) + 1
+    one = ranking.fit(docs, labels.where("quality = 1"))
+    assert not one[0].any() and ranking.score_documents(docs, one).where("predicted = 0").count() == 0
+
+
 def test_quality_held_out(spark, data):
     got = {r["doc_id"]: r for r in ranking.op4_quality(spark, data.replace("0.001", "0.01")).collect()}
     labels = spark.read.parquet(data.replace("0.001", "0.01") + "/labels.parquet").collect()
