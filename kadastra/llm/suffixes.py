@@ -20,6 +20,8 @@ LENGTH, ANCHOR = 200, 50
 BUFFER, BATCH = 1 << 21, 1 << 21
 #: An anchor with more different segments than this is split by exact windows.
 HOT = 2000
+#: Segments of one anchor are spread over so many keys when they meet what is known of it.
+SALTS = 16
 _P = 0x9E3779B97F4A7C15 | 1
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
 
@@ -380,10 +382,11 @@ def remove_repeats(docs: DataFrame, *, row_id: str = "doc_id", text: str = "text
         found.repartition(n, F.when(F.col("local"), F.col("k1")).otherwise(F.col("h"))).sortWithinPartitions("h", "w1", "w2")
         .mapInArrow(_keep_repeated, "h long, k1 long, k2 long, start long, size int, alike boolean, first boolean, number long")
     )
-    hot = again.where(F.col("first") & (F.col("number") == HOT)).select("h", F.lit(True).alias("hot"))
-    # segments of an anchor that has one kind only need no sorting
-    several = again.where("first and number = 2").select("h")
-    wanted = again.where("first").join(several, "h", "left_semi").join(hot, "h", "left").select("h", "k1", "k2", "start", "size", "alike", F.coalesce("hot", F.lit(False)).alias("hot"))
+    # segments of an anchor that has one kind only need no sorting; an anchor's segments meet its flag under several keys
+    flags = again.where(F.col("first") & F.col("number").isin(2, HOT)).groupBy("h").agg((F.max("number") == HOT).alias("hot"))
+    flags = flags.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = again.where("first").withColumn("salt", F.pmod(F.xxhash64("k1"), F.lit(SALTS)).cast("int"))
+    wanted = salted.join(flags, ["h", "salt"]).select("h", "k1", "k2", "start", "size", "alike", "hot")
     wanted = wanted.groupBy("k1", "k2").agg(F.collect_set(F.struct("start", "size", "h", "alike", "hot")).alias("wanted"))
     by_text = keyed.repartition(n, "k1", "k2")
     cut = checkpoint(
