@@ -7,16 +7,36 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from kadastra.operators.storage import cut_lineage
+
+
+def counts_before(df: DataFrame, value: str, *, descending: bool = True) -> DataFrame:
+    """(value, n, before): for each value how many rows have it, and how many come before it in order; null comes last.
+
+    The counts by value are dealt out by ranges of the value and summed within each; the driver adds up the ranges, one number
+    each. No task sees more than its range, however many different values there are.
+    """
+    col = F.col(value)
+    order = col.desc_nulls_last() if descending else col.asc_nulls_last()
+    by = df.groupBy(value).agg(F.count("*").alias("n"))
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = cut_lineage(by.repartitionByRange(parts, order).withColumn("_range", F.spark_partition_id()))
+    sums = sorted((r["_range"], r["n"]) for r in ranged.groupBy("_range").agg(F.sum("n").alias("n")).collect())
+    offsets, at = [], 0
+    for k, n in sums:
+        offsets += [F.lit(k), F.lit(at)]
+        at += n
+    offset = F.create_map(*offsets)[F.col("_range")] if offsets else F.lit(0)
+    w = Window.partitionBy("_range").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    return ranged.select(value, "n", (F.coalesce(F.sum("n").over(w), F.lit(0)) + offset).cast("long").alias("before"))
+
 
 def competition_ranks(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """rank_<c>: one more than the number of rows with a greater value; null values rank last.
 
-    Rows are counted by value first. Only the running sum over distinct values is ordered as a whole, which is
-    small for scores with few digits; the ranks come back by a join on the value.
+    Ranks come from the counts by value and return by a join on the value.
     """
     for c in columns:
-        by = df.groupBy(c).agg(F.count("*").alias("_n"))
-        w = Window.orderBy(F.col(c).desc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
-        ranks = by.select(F.col(c).alias("_v"), (F.coalesce(F.sum("_n").over(w), F.lit(0)) + 1).alias(f"rank_{c}"))
+        ranks = counts_before(df.select(c), c).select(F.col(c).alias("_v"), (F.col("before") + 1).alias(f"rank_{c}"))
         df = df.join(ranks, F.col(c).eqNullSafe(F.col("_v")), "left").drop("_v")
     return df

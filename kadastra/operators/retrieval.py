@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from kadastra.functions.columns import words
 from kadastra.operators.storage import cut_lineage
 
-#: Question tables up to this many vectors are sent to every task; larger ones are worked on in such blocks.
+#: Question tables up to about this many vectors are sent to every task; larger ones are worked on in such blocks.
 BLOCK = 4096
 
 
@@ -31,13 +31,13 @@ def dense_top_k(queries: DataFrame, docs: DataFrame, k: int, *, where: Column |
     Queries go block by block to the documents' partitions; each partition keeps k per query, so the shuffle
     carries partitions x queries x k narrow rows. Documents stay where they are. The predicate comes first and
     reaches the scan. Ties go by document id. A query whose column `same` isn't null is held against the
-    documents that have its value there.
+    documents that have its value there. Where there are several blocks, the driver holds one at a time and its result is
+    written before the next.
     """
     docs = docs if where is None else docs.where(where)
     more = [same] if same else []
     docs = docs.select(d, vector, *more).where(F.col(vector).isNotNull())
-    found = None
-    rows = queries.select(q, vector, *more).where(F.col(vector).isNotNull()).toLocalIterator()
+    queries = queries.select(q, vector, *more).where(F.col(vector).isNotNull())
     kinds = {c: df.schema[c].dataType.simpleString() for c, df in ((q, queries), (d, docs))}
 
     def part(ids: list, m: np.ndarray, wants: list):
@@ -67,20 +67,22 @@ def dense_top_k(queries: DataFrame, docs: DataFrame, k: int, *, where: Column |
 
         return run
 
-    def block(held: list) -> DataFrame:
-        m = _unit(pd.Series([r[vector] for r in held]))
-        return docs.mapInPandas(part([r[q] for r in held], m, [r[same] for r in held] if same else []), f"`{q}` {kinds[q]}, `{d}` {kinds[d]}, distance double")
-
-    held: list = []
-    for r in rows:
-        held.append(r)
-        if len(held) == BLOCK:
-            found, held = block(held) if found is None else found.unionByName(block(held)), []
-    if held or found is None:
-        one = block(held) if held else docs.sparkSession.createDataFrame([], f"`{q}` {kinds[q]}, `{d}` {kinds[d]}, distance double")
-        found = one if found is None else found.unionByName(one)
     w = Window.partitionBy(q).orderBy("distance", d)
-    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+    def block(rows: list) -> DataFrame:
+        m = _unit(pd.Series([r[vector] for r in rows]))
+        hits = docs.mapInPandas(part([r[q] for r in rows], m, [r[same] for r in rows] if same else []), f"`{q}` {kinds[q]}, `{d}` {kinds[d]}, distance double")
+        return hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+    n = max(1, -(-queries.count() // BLOCK))
+    number = F.pmod(F.xxhash64(q), F.lit(n))
+    found = None
+    for i in range(n):
+        rows = queries.where(number == i).collect() if n > 1 else queries.collect()
+        if rows:
+            one = block(rows) if n == 1 else cut_lineage(block(rows))
+            found = one if found is None else found.unionByName(one)
+    return found if found is not None else docs.sparkSession.createDataFrame([], f"`{q}` {kinds[q]}, `{d}` {kinds[d]}, distance double, rank int")
 
 
 def approximate_top_k(queries: DataFrame, docs: DataFrame, k: int, *, q: str = "query_id", d: str = "doc_id", vector: str = "embedding", tables: int = 4, width: float = 1.5, reach: float = 1.0) -> DataFrame:

@@ -69,7 +69,7 @@ def col6_ends(spark, d):
     return parts[0].unionByName(parts[1])
 
 
-NEAR = f"""{DENSE.replace('from q, e)', f'from q, e where doc_id % {EVERY} <> 0)')},
+NEAR = f"""{DENSE.replace('from q, e)', 'from q, e where doc_id <> query_id)')},
 qs as (select vec_id as q, case when vec_id % 300 = 0 then null when vec_id % 200 = 0 then 'T' || (label + 5) else 'T' || label end as town from embeddings where vec_id % {EVERY} = 0),
 nearest as (select query_id as q, doc_id as doc, case when label % 2 = 0 then 'T' || label end as town, distance from dist qualify row_number() over (partition by query_id order by distance, doc_id) = 1)"""
 
@@ -79,14 +79,17 @@ def _near(spark, d):
     town = lambda c: F.concat(F.lit("T"), c.cast("string"))
     qs = e.where(F.col("vec_id") % EVERY == 0)
     name = F.when(F.col("vec_id") % 300 == 0, None).when(F.col("vec_id") % 200 == 0, town(F.col("label") + 5)).otherwise(town(F.col("label")))
-    docs = e.where(F.col("vec_id") % EVERY != 0).select(F.col("vec_id").alias("doc_id"), "embedding", "label")
-    hits = R.dense_top_k(qs.select(F.col("vec_id").alias("query_id"), "embedding"), docs, 1)
+    docs = e.select(F.col("vec_id").alias("doc_id"), "embedding", "label")
+    # two hits, as the nearest may be the query's own row
+    own = F.col("doc_id") == F.col("query_id")
+    hits = R.dense_top_k(qs.select(F.col("vec_id").alias("query_id"), "embedding"), docs, 2).where(~own)
+    hits = hits.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "doc_id"))).where("rank = 1")
     nearest = hits.join(docs.select("doc_id", "label"), "doc_id").select(F.col("query_id").alias("q"), F.col("doc_id").alias("doc"), F.when(F.col("label") % 2 == 0, town(F.col("label"))).alias("town"), "distance")
     exact = docs.where("label < 4").select(town(F.col("label")).alias("town"), F.col("doc_id").alias("doc"))
     return qs.select(F.col("vec_id").alias("q"), name.alias("town")), exact, nearest, docs.agg(F.min("doc_id").alias("doc"))
 
 
-@query("win8_view_fallback", f"with {NEAR}, exact as (select 'T' || label as town, min(vec_id) as doc from embeddings where label < 4 and vec_id % {EVERY} <> 0 group by 1), a as (select q, doc, 1 as tier from qs join exact using (town) union all select q, doc, 2 from nearest where distance <= 0.6 union all select q, (select min(vec_id) from embeddings where vec_id % {EVERY} <> 0), 3 from qs) select q, doc, tier from a qualify row_number() over (partition by q order by tier) = 1")
+@query("win8_view_fallback", f"with {NEAR}, exact as (select 'T' || label as town, min(vec_id) as doc from embeddings where label < 4 group by 1), a as (select q, doc, 1 as tier from qs join exact using (town) union all select q, doc, 2 from nearest where distance <= 0.6 union all select q, (select min(vec_id) from embeddings), 3 from qs) select q, doc, tier from a qualify row_number() over (partition by q order by tier) = 1")
 def win8_fallback(spark, d):
     return V.fallback_view(*_near(spark, d))
 

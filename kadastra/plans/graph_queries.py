@@ -105,7 +105,7 @@ def gra11(spark, d):
     return G.neighbours(nodes(spark, d), edges(spark, d))
 
 
-@query("gra12_similar_nodes", "with q as (select vec_id as query_id, embedding::double[] as qe from embeddings where vec_id % 100 = 0), e as (select vec_id as doc_id, embedding::double[] as de from embeddings where label in (0, 1, 2)) select query_id, doc_id, row_number() over (partition by query_id order by 1 - list_cosine_similarity(qe, de), doc_id) as rank from q, e qualify rank <= 3")
+@query("gra12_similar_nodes", "with q as (select vec_id as query_id, embedding::double[] as qe from embeddings where vec_id % 50 = 0), e as (select vec_id as doc_id, embedding::double[] as de from embeddings where label in (0, 1, 2)) select query_id, doc_id, row_number() over (partition by query_id order by 1 - list_cosine_similarity(qe, de), doc_id) as rank from q, e qualify rank <= 3")
 def gra12(spark, d):
     from kadastra.plans.retrieval_queries import hits
 
@@ -135,19 +135,22 @@ def gra16(spark, d):
     return G.node_texts(table(spark, d, "part"), ["p_type", "p_name", "p_brand"]).select("p_partkey", "text")
 
 
-@query("join7_point_in_area", "select c_custkey as name, case when (c_custkey % 40) / 10.0 + 0.05 < 3 and (c_custkey % 23) / 10.0 + 0.03 < 2 then 'sq' || floor((c_custkey % 40) / 10.0 + 0.05)::int || floor((c_custkey % 23) / 10.0 + 0.03)::int end as area from customer")
+@query("join7_point_in_area", "select c_custkey as name, case when floor(c_custkey / 10.0)::int <= (select max(c_custkey) // 20 from customer) then 'sq' || (c_custkey % 10) || ':' || floor(c_custkey / 10.0)::int end as area from customer")
 def join7(spark, d):
-    pts = table(spark, d, "customer").select(F.col("c_custkey").alias("name"), ((F.col("c_custkey") % 40) / 10 + 0.05).alias("x"), ((F.col("c_custkey") % 23) / 10 + 0.03).alias("y"))
+    k = F.col("c_custkey")
+    pts = table(spark, d, "customer").select(k.alias("name"), (k % 10 + 0.5).alias("x"), (F.floor(k / 10) + 0.25).alias("y"))
     return Y.point_in_area(pts, squares(spark, d)).select("name", "area")
 
 
 def squares(spark, d):
-    """Unit squares, one for each nation number below 6: (0..2, 0..1)."""
-    n = table(spark, d, "nation").where("n_nationkey < 6").select((F.col("n_nationkey") % 3).alias("i"), F.floor(F.col("n_nationkey") / 3).cast("int").alias("j"))
+    """Unit squares in rows of ten, for the lower half of the customers' numbers."""
+    c = table(spark, d, "customer")
+    k = F.col("c_custkey")
+    n = c.crossJoin(F.broadcast(c.agg(F.max("c_custkey").alias("top")))).where(F.floor(k / 10) <= F.expr("top div 20")).select((k % 10).alias("i"), F.floor(k / 10).cast("int").alias("j"))
     pt = lambda a, b: F.struct((F.col("i") + a).cast("double").alias("x"), (F.col("j") + b).cast("double").alias("y"))
-    return n.select(F.concat(F.lit("sq"), F.col("i").cast("string"), F.col("j").cast("string")).alias("area"), F.array(F.array(pt(0, 0), pt(1, 0), pt(1, 1), pt(0, 1), pt(0, 0))).alias("rings"))
+    return n.select(F.concat(F.lit("sq"), F.col("i").cast("string"), F.lit(":"), F.col("j").cast("string")).alias("area"), F.array(F.array(pt(0, 0), pt(1, 0), pt(1, 1), pt(0, 1), pt(0, 0))).alias("rings"))
 
 
-@query("join8_adjacent_areas", "with s as (select n_nationkey % 3 as i, n_nationkey // 3 as j from nation where n_nationkey < 6) select 'sq' || a.i || a.j as a, 'sq' || b.i || b.j as b from s a join s b on abs(a.i - b.i) + abs(a.j - b.j) = 1")
+@query("join8_adjacent_areas", "with s as (select c_custkey % 10 as i, c_custkey // 10 as j from customer where c_custkey // 10 <= (select max(c_custkey) // 20 from customer)), m(di, dj) as (values (0, 1), (0, -1), (1, 0), (-1, 0)) select 'sq' || a.i || ':' || a.j as a, 'sq' || b.i || ':' || b.j as b from s a, m, s b where b.i = a.i + di and b.j = a.j + dj")
 def join8(spark, d):
     return Y.adjacent(squares(spark, d))

@@ -6,13 +6,13 @@ import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from kadastra.functions.columns import cosine
 from kadastra.operators import retrieval as R
 from kadastra.operators import views as V
 from kadastra.plans.registry import query
 from kadastra.plans.stand_ins import SURVEY, geography, survey, table
 
-EVERY = 100
+#: The stated query set: ids divisible by this, against all rows.
+EVERY = 50
 DENSE = f"""q as (select vec_id as query_id, embedding::double[] as qe from embeddings where vec_id % {EVERY} = 0), e as (select vec_id as doc_id, embedding::double[] as de, label from embeddings),
 dist as (select query_id, doc_id, label, 1 - list_cosine_similarity(qe, de) as distance from q, e)"""
 
@@ -41,7 +41,7 @@ def ret1_filtered(spark, d):
 @query("ret2_approximate_top_k")
 def ret2(spark, d):
     e = table(spark, d, "embeddings")
-    return R.approximate_top_k(e.where(F.col("vec_id") % 50 == 0).select(F.col("vec_id").alias("query_id"), "embedding"), e.select(F.col("vec_id").alias("doc_id"), "embedding"), 5)
+    return R.approximate_top_k(e.where(F.col("vec_id") % EVERY == 0).select(F.col("vec_id").alias("query_id"), "embedding"), e.select(F.col("vec_id").alias("doc_id"), "embedding"), 5)
 
 
 @query("ret3_normalised_scores", _top(10) + " select query_id, doc_id, round(1 - distance / nullif(max(distance) over (partition by query_id), 0), 6) as score from top")
@@ -49,7 +49,7 @@ def ret3(spark, d):
     return R.normalised(hits(spark, d, 10)).select("query_id", "doc_id", F.round("score", 6).alias("score"))
 
 
-BM25 = """asked as (select distinct query_id, term from (select item_id as query_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_\\p{M}]+')) as term from benchmark where item_id % 10 = 0)),
+BM25 = """asked as (select distinct query_id, term from (select item_id as query_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_\\p{M}]+')) as term from benchmark)),
 every as (select doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}_\\p{M}]+') as ws from documents), tot as (select count(*) as n, avg(len(ws)) as avgdl from every),
 tf as (select doc_id, term, count(*) as tf, any_value(dl) as dl from (select doc_id, len(ws) as dl, unnest(ws) as term from every) group by 1, 2),
 df as (select term, ln(n - count(*) + 0.5) - ln(count(*) + 0.5) as raw, avgdl from tf, tot group by term, n, avgdl),
@@ -58,7 +58,7 @@ bm as (select query_id, doc_id, sum(idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 *
 
 
 def lexical(spark, d):
-    q = table(spark, d, "benchmark").where("item_id % 10 = 0").select(F.col("item_id").alias("query_id"), "text")
+    q = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
     return R.bm25(q, table(spark, d, "documents").select("doc_id", "text"))
 
 
@@ -116,11 +116,13 @@ def ret10(spark, d):
 @query("ret11_collections", f"with {DENSE}, t as (select query_id, label as collection, doc_id, distance, row_number() over (partition by query_id, label order by distance, doc_id) as rank from dist where distance < 0.9 - 0.1 * (label % 2)) select query_id, collection, doc_id, rank from t where rank <= 2")
 def ret11(spark, d):
     e = table(spark, d, "embeddings")
-    q = e.where(F.col("vec_id") % EVERY == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qe"))
-    rows = q.crossJoin(e.select(F.col("vec_id").alias("doc_id"), F.col("label").alias("collection"), "embedding"))  # the stated query set against all rows
-    rows = rows.select("query_id", "collection", "doc_id", (1 - cosine(F.col("qe"), F.col("embedding"))).alias("distance"))
-    rows = rows.where(F.col("distance") < 0.9 - 0.1 * (F.col("collection") % 2)).withColumn("score", -F.col("distance"))
-    return R.top(rows, 2, ("query_id", "collection")).select("query_id", "collection", "doc_id", "rank")
+    docs = e.select(F.col("vec_id").alias("doc_id"), F.col("label").alias("collection"), "embedding")
+    # each query once for every collection, which are few, and held against that collection's rows
+    q = e.where(F.col("vec_id") % EVERY == 0).select(F.col("vec_id").alias("query_id"), "embedding").crossJoin(F.broadcast(docs.select("collection").distinct()))
+    asked = q.withColumn("ask", F.concat_ws("|", "query_id", "collection"))
+    found = R.dense_top_k(asked, docs, 2, q="ask", same="collection")
+    rows = found.join(asked.select("ask", "query_id", "collection"), "ask").where(F.col("distance") < 0.9 - 0.1 * (F.col("collection") % 2))
+    return rows.select("query_id", "collection", "doc_id", "rank")
 
 
 @query("ret12_one_per_town", _top(40) + ", g as (select *, doc_id % 4 as town, row_number() over (partition by query_id, doc_id % 4 order by distance, doc_id) as k from top) select query_id, town, doc_id from g where k = 1")
@@ -137,11 +139,11 @@ def ret13(spark, d):
     return g.withColumn("rank", F.row_number().over(Window.partitionBy("epci").orderBy(F.col("n").desc_nulls_last(), "commune"))).where("rank <= 5").select("epci", "commune", "n", "rank", "n_with_data")
 
 
-@query("ret14_view_per_town", f"with {SURVEY}, v as (select commune, count(*) as n from survey group by 1) select respondent_id, t as commune, n from (select respondent_id, unnest([commune, 'NATION_1']) as t from survey where respondent_id % 11 = 0) join v on v.commune = t")
+@query("ret14_view_per_town", f"with {SURVEY}, v as (select commune, count(*) as n from survey group by 1) select respondent_id, t as commune, n from (select respondent_id, unnest([commune, 'NATION_1']) as t from survey) join v on v.commune = t")
 def ret14(spark, d):
     s = survey(spark, d)
     views = V.materialise(s, {"by_commune": ["commune"]}, []).select(F.col("dim1_value").alias("commune"), "n")
-    q = s.where("respondent_id % 11 = 0").select("respondent_id", F.explode(F.array(F.col("commune"), F.lit("NATION_1"))).alias("commune"))
+    q = s.select("respondent_id", F.explode(F.array(F.col("commune"), F.lit("NATION_1"))).alias("commune"))
     return q.join(views, "commune").select("respondent_id", "commune", "n")
 
 

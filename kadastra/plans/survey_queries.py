@@ -198,11 +198,12 @@ def agg22(spark, d):
 @query("agg23_region_summary", f"with {INDICATORS} select count(*) as n, min(total) as min_total, max(total) as max_total, list_extract(list(total order by total desc), (count(*) // 2 + 1)::int) as upper_median, avg(opp) as avg_opp, avg(cho) as avg_cho, avg(vec) as avg_vec from indicators")
 def agg23(spark, d):
     i = indicators(spark, d)
-    # the element n div 2 of the descending order is a discrete percentile; no list is gathered
-    n = i.agg(F.count("*").alias("n"), F.min("total").alias("min_total"), F.max("total").alias("max_total"), *(F.avg(c).alias(f"avg_{c}") for c in ("opp", "cho", "vec")))
-    by = i.groupBy("total").agg(F.count("*").alias("k"))
-    above = by.withColumn("upto", F.sum("k").over(Window.orderBy(F.col("total").desc())))
-    return n.crossJoin(above.crossJoin(F.broadcast(n.select("n"))).where("upto >= n div 2 + 1").agg(F.max("total").alias("upper_median")))
+    # the element n div 2 of the descending order, found by counts of values; no list is gathered
+    from kadastra.operators.ranking import counts_before
+
+    n = i.agg(F.count("*").alias("n_rows"), F.min("total").alias("min_total"), F.max("total").alias("max_total"), *(F.avg(c).alias(f"avg_{c}") for c in ("opp", "cho", "vec")))
+    at = counts_before(i.select("total"), "total").crossJoin(F.broadcast(n)).where("before <= n_rows div 2 and n_rows div 2 < before + n")
+    return at.select(F.col("n_rows").alias("n"), "min_total", "max_total", "avg_opp", "avg_cho", "avg_vec", F.col("total").alias("upper_median"))
 
 
 @query("agg24_column_stats", " union all ".join(f"select '{c}' as col, avg({c}) as mean, median({c}) as median, min({c})::double as min, max({c})::double as max, round(stddev_samp({c}), 8) as std from ({{}}) i" for c in ("opp", "cho", "vec")).replace("{}", f"with {INDICATORS} select * from indicators"))

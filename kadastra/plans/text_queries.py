@@ -21,14 +21,14 @@ def docs(spark, d):
     return table(spark, d, "documents").select("doc_id", "text", "source", "lang")
 
 
-@query("txt1_folded", f"select doc_id, {FOLD.format('left(text, 80)')} as folded from documents")
+@query("txt1_folded", f"select doc_id, {FOLD.format('text')} as folded from documents")
 def txt1(spark, d):
-    return docs(spark, d).select("doc_id", C.fold(F.substring("text", 1, 80)).alias("folded"))
+    return docs(spark, d).select("doc_id", C.fold(F.col("text")).alias("folded"))
 
 
-@query("txt2_repaired_quotes", "select doc_id, translate('«' || left(text, 20) || '’s – “x”', '‘’“”–— ', '''''\"\"-- ') as t from documents")
+@query("txt2_repaired_quotes", "select doc_id, translate('«' || text || '’s – “x”', '‘’“”–— ', '''''\"\"-- ') as t from documents")
 def txt2(spark, d):
-    return docs(spark, d).select("doc_id", C.repair_quotes(F.concat(F.lit("«"), F.substring("text", 1, 20), F.lit("’s – “x”"))).alias("t"))
+    return docs(spark, d).select("doc_id", C.repair_quotes(F.concat(F.lit("«"), F.col("text"), F.lit("’s – “x”"))).alias("t"))
 
 
 @query("txt3_names", "select p_partkey, array_to_string(list_transform(string_split(p_name, ' '), lambda w: upper(w[1]) || lower(w[2:])), '') as camel, upper(replace(p_name, ' ', '_')) as snake, left(replace(p_name, ' ', '_'), 30) as slug from part")
@@ -51,8 +51,8 @@ def txt5(spark, d):
 
 @query("txt6_word_tokens", "with w as (select doc_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_\\p{M}]+')) as w from documents) select doc_id, count(*) as n, count(distinct w) as n_distinct from w where len(w) >= 4 and w not in ('that', 'with') group by 1")
 def txt6(spark, d):
-    w = docs(spark, d).select("doc_id", F.explode(C.words(F.col("text"), ["that", "with"], 4)).alias("w"))
-    return w.groupBy("doc_id").agg(F.count("*").alias("n"), F.count_distinct("w").alias("n_distinct"))
+    w = docs(spark, d).select("doc_id", C.words(F.col("text"), ["that", "with"], 4).alias("w"))
+    return w.where(F.size("w") > 0).select("doc_id", F.size("w").cast("long").alias("n"), F.size(F.array_distinct("w")).cast("long").alias("n_distinct"))
 
 
 @query("txt7_names_in_text", "with q as (select c_custkey, 'people of NATION_' || (c_custkey % 40) || ' and AFRICA' as t from customer), n as (select n_name as name from nation union select r_name from region) select c_custkey, name from q join n on regexp_matches(t, '(^|[^A-Z0-9_])' || name || '([^A-Z0-9_]|$)') qualify row_number() over (partition by c_custkey order by length(name) desc, name) = 1")
@@ -195,12 +195,12 @@ def txt24(spark, d):
     return table(spark, d, "part").select("p_partkey", C.stars_of_p(p).alias("stars"), C.correlation_word(p).alias("word"))
 
 
-@query("txt25_enriched", "select item_id, left(text, 30) || case when contains(lower(text), 'th') then ' [alpha, beta]' when contains(lower(text), 'en') then ' [beta]' else '' end as enriched from benchmark")
+@query("txt25_enriched", "select item_id, text || case when contains(lower(text), 'th') then ' [alpha, beta]' when contains(lower(text), 'en') then ' [beta]' else '' end as enriched from benchmark")
 def txt25(spark, d):
     from kadastra.operators.text import enrich
 
     terms = [("th", ["beta", "alpha"]), ("en", ["beta"])]
-    return enrich(table(spark, d, "benchmark"), F.col("text"), terms, most=5).select("item_id", F.concat(F.substring("text", 1, 30), F.when(F.size("terms") > 0, F.concat(F.lit(" ["), F.array_join("terms", ", "), F.lit("]"))).otherwise("")).alias("enriched")).where("true")
+    return enrich(table(spark, d, "benchmark"), F.col("text"), terms, most=5).select("item_id", F.concat("text", F.when(F.size("terms") > 0, F.concat(F.lit(" ["), F.array_join("terms", ", "), F.lit("]"))).otherwise("")).alias("enriched"))
 
 
 @query("txt26_length_differences", "select a.conv_id, a.turn, length(b.text) - length(a.text) as diff, length(b.text) / nullif(length(a.text), 0)::double as ratio from conversations a join conversations b on a.conv_id = b.conv_id and b.turn = a.turn + 1")
@@ -215,14 +215,43 @@ def win11(spark, d):
     return K.numbered(docs(spark, d), "doc_id", F.split("text", "\n")).select("doc_id", "n_chunks", "chunk_index", F.md5(F.col("chunk").cast("binary")).alias("h"))
 
 
+def typed(spark, d):
+    """Documents with a type of source each, by their source's number."""
+    types = F.array(*map(F.lit, [*K.BUDGETS, "other"]))
+    return docs(spark, d).withColumn("source_type", F.get(types, (F.col("doc_id") % 7).cast("int")))
+
+
 @query("win12_packed_sentences")
 def win12(spark, d):
-    return K.numbered(docs(spark, d), "doc_id", K.pack_sentences(F.col("text"), 80))
+    return K.numbered(typed(spark, d), "doc_id", K.pack_sentences(F.col("text"), K.word_budget(F.col("source_type"))))
 
 
 @query("win13_packed_lines")
 def win13(spark, d):
-    return K.numbered(docs(spark, d), "doc_id", K.pack_blocks(F.col("text"), 600))
+    return K.numbered(docs(spark, d), "doc_id", K.pack_lines(F.col("text")))
+
+
+def interviews(spark, d):
+    """(conv_id, text): the turns of a conversation as questions and answers, in order."""
+    c = table(spark, d, "conversations").where("text is not null")
+    line = F.concat(F.when(F.col("role") == "user", "Q : ").otherwise("R : "), F.regexp_replace("text", "[QR]\\s*[:：]", " "))
+    turns = c.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", line.alias("line")))).alias("t"))
+    return turns.select("conv_id", F.array_join(F.transform("t", lambda x: x["line"]), "\n").alias("text"))
+
+
+@query("win13_packed_questions")
+def win13_questions(spark, d):
+    return K.numbered(interviews(spark, d), "conv_id", K.pack_questions(F.col("text")))
+
+
+@query("win14_recursive_split")
+def win14_split(spark, d):
+    return K.numbered(docs(spark, d), "doc_id", K.recursive_split(F.col("text")))
+
+
+@query("win14_question_pairs")
+def win14_pairs(spark, d):
+    return K.numbered(interviews(spark, d), "conv_id", K.recursive_split(F.col("text")))
 
 
 @query("win14_windows", "with s as (select doc_id, text, unnest(generate_series(1, greatest(1, length(text) - 100), 400)) as s from documents) select doc_id, md5(substring(text, s, 500)) as h from s")
