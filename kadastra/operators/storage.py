@@ -4,12 +4,21 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """The rows of `df` checkpointed in the folder that `spark.checkpoint.dir` names; a temporary one only where unset."""
-    sc = df.sparkSession.sparkContext
+def shared_root(spark: SparkSession) -> str:
+    """The folder that `spark.checkpoint.dir` names. Where it is unset a local session gets a temporary one; a cluster must name one."""
+    sc = spark.sparkContext
+    named = sc.getConf().get("spark.checkpoint.dir")
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="kadastra-"))
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="kadastra-"))
+    return named or sc.getCheckpointDir()
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """The rows of `df` checkpointed in the shared folder."""
+    shared_root(df.sparkSession)
     return df.checkpoint(eager=True)

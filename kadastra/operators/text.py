@@ -110,3 +110,92 @@ def truth_tokens(df: DataFrame, key: str, text: str, rules: Sequence[tuple[str,
 
     t = df.select(key, F.explode(F.split(text, sep)).alias("token")).select(key, F.trim("token").alias("token")).where("token <> ''")
     return t.select(key, "token", first_keyword(F.col("token"), rules).alias("category"), F.nullif(F.regexp_extract("token", place, 1), F.lit("")).alias("commune"), F.startswith("token", F.lit("(")).alias("optional"))
+
+
+#: What a sub-query for scores begins with, and the themes behind each indicator.
+SCORES = "scores indicateurs oppchovec"
+INDICATOR_THEMES = (("vec", ("vécu", "logement", "santé", "insécurité")), ("opp", ("opportunités", "éducation", "mobilité", "connectivité")), ("chx", ("choix", "emploi", "transport")))
+#: A town after "à"; names go on over further capitalised words.
+TOWN = r"à\s+([A-ZÀ-Ža-zà-ž][a-zà-žA-ZÀ-Ž\-]+(?:\s+[A-ZÀ-Ža-zà-ž][a-zà-žA-ZÀ-Ž\-]+)*)"
+#: What a verbatim without a choice is about.
+UNNAMED = "Non spécifié"
+
+
+def sub_queries(question: Column) -> Column:
+    """Array of (sub, sub_query): the question for scores and the one for what people say.
+
+    The first asks for the town's scores, or for scores at all. The second has the first two themes of the indicators that
+    the question names by name or theme, and the town; without themes or town it is the question itself.
+    """
+    low, town = F.lower(question), F.regexp_extract(question, TOWN, 1)
+    none = F.array().cast("array<string>")
+    named = lambda words: F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(low, w))
+    themes = F.concat(*(F.when(named((name, *words)), F.array(*map(F.lit, words))).otherwise(none) for name, words in INDICATOR_THEMES))
+    people = F.when((F.size(themes) > 0) & (town != ""), F.concat_ws(" ", F.slice(themes, 1, 2), town)).otherwise(question)
+    scores = F.when(town != "", F.concat_ws(" ", F.lit(SCORES), town)).otherwise(F.lit(SCORES))
+    return F.array(F.struct(F.lit("quantitative").alias("sub"), scores.alias("sub_query")), F.struct(F.lit("qualitative").alias("sub"), people.alias("sub_query")))
+
+
+def own_dimension(text: Column, choices: Column, place: Column, classes: Sequence[tuple[str, Sequence[str]]], head: int = 30) -> Column:
+    """(dimension, hits, certain): which of a respondent's own choices a verbatim is about.
+
+    Keywords count 3 among the first characters of the folded text, else 1. A choice is looked up among the classes by its folded name; one that is no
+    class is its own keyword. The first of the best choices wins. Without any hit the choice at the verbatim's
+    own `place` (from 1) is taken, uncertain; certain is at least half of all hits.
+    """
+    t = fold(text)
+    first = F.substring(t, 1, head)
+    points = lambda k: F.when(F.contains(first, k), 3).when(F.contains(t, k), 1).otherwise(0)
+    words = F.create_map(*(x for name, ks in classes for x in (fold(F.lit(name)), F.transform(F.array(*map(F.lit, ks)), fold))))
+    known = lambda c: F.coalesce(F.try_element_at(words, fold(c)), F.array(fold(c)))
+    score = lambda c: F.aggregate(known(c), F.lit(0), lambda a, k: a + points(k))
+    own = F.coalesce(F.array_distinct(choices), F.array().cast("array<string>"))
+    scored = F.transform(own, lambda c, i: F.struct(score(c).alias("hits"), (-i).alias("o"), c.alias("dimension")))
+    best, total = F.array_max(scored), F.aggregate(scored, F.lit(0), lambda a, x: a + x["hits"])
+    by_place = F.coalesce(F.get(choices, place - 1), F.lit(UNNAMED))
+    hit = F.coalesce(total > 0, F.lit(False))
+    return F.struct(
+        F.when(hit, best["dimension"]).otherwise(by_place).alias("dimension"), F.when(hit, best["hits"]).otherwise(0).cast("long").alias("hits"),
+        F.when(hit, best["hits"] * 2 >= total).otherwise(False).alias("certain"),
+    )
+
+
+#: Phrases of a token of the second grammar and the type that each names, in the order in which they are tried.
+TOKEN_TYPES = (
+    ("raptor", ("raptor",)), ("entretiens", ("entretien",)), ("verbatims", ("verbatim",)), ("oppchovec", ("oppchovec", "opp chovec")), ("classement", ("classement",)), ("wiki", ("wiki",)), ("equipements", ("equipement",)),
+    ("epci", ("epci",)), ("stats_repondants", ("stats repondant", "profil repondant")), ("stats_enquete", ("stats", "resultats enquete")), ("methodology", ("explication", "methodo")), ("stats_enquete", ("resume enquete", "donnees enquete")),
+)
+#: Phrases that make a token a refusal, and those that leave it open.
+NOTHING, OPTIONAL = ("pas de donnee", "pas de data"), ("facultatif", "ou rien")
+#: Phrases for views of interviews and of the survey.
+VIEWS_OF_WORDS, VIEWS_OF_NUMBERS = ("quali", "portrait", "entretien"), ("quanti", "dimension", "global")
+#: Words for a group of people and the value that the views have for it.
+GROUPS = (
+    ("entrepreneur", "entrepreneurs"), ("artisan", "artisans"), ("retraite", "retraités"), ("senior", "retraités"), ("etudiant", "étudiants"), ("jeune", "18-25"), ("25-", "25-34"), ("18-25", "18-25"), ("15-24", "15-24"),
+)
+
+
+def structured_tokens(df: DataFrame, key: str, text: str, towns: Sequence[str]) -> DataFrame:
+    """(key, token, type, collection, commune, csp, age, optional): the comma tokens of a truth cell by the second grammar.
+
+    A token's type is that of the first phrase it has, accents and case aside; a score of the survey is `stats_enquete`, an explanation of
+    the index `methodology`. Views are of interviews, of numbers or of both. Towns are a short stated list, the longest that the token has is
+    taken. Wiki tokens are always optional. Null and blank cells and tokens give no row.
+    """
+    has = lambda words: F.exists(F.array(*map(F.lit, words)), lambda w: F.contains("_t", w))
+    cells = df.where(F.col(text).isNotNull() & ~F.lower(F.trim(text)).isin("", "nan", "none"))
+    t = cells.select(key, F.explode(F.split(text, ",")).alias("token")).select(key, F.trim("token").alias("token"), fold(F.trim("token")).alias("_t")).where(~F.col("_t").isin("", "nan", "none"))
+    by_phrase = F.coalesce(*(F.when(has(words), F.lit(name)) for name, words in TOKEN_TYPES[:9]), F.when(has(TOKEN_TYPES[9][1]) | (F.contains("_t", F.lit("score")) & F.contains("_t", F.lit("enquete"))), F.lit("stats_enquete")), *(F.when(has(words), F.lit(name)) for name, words in TOKEN_TYPES[10:]), F.lit("unknown"))
+    kind = F.when(F.startswith("_t", F.lit("rien")) | has(NOTHING), "rien").otherwise(by_phrase)
+    t = t.withColumn("type", kind).withColumn("type", F.when((F.col("type") == "oppchovec") & has(TOKEN_TYPES[10][1]), "methodology").otherwise(F.col("type")))
+    words, numbers = has(VIEWS_OF_WORDS), has(VIEWS_OF_NUMBERS)
+    told = F.col("type") != "rien"
+    known = sorted(towns, key=lambda n: (-len(n), n))
+    town = F.coalesce(*(F.when(F.contains("_t", fold(F.lit(n))), F.lit(n)) for n in known)) if known else F.lit(None).cast("string")
+    return t.select(
+        key, "token", "type",
+        F.when(F.col("type") == "raptor", F.when(words & ~numbers, "raptor_summaries").when(numbers & ~words, "raptor_quanti_summaries").otherwise("both")).alias("collection"),
+        F.when(told, town).alias("commune"), F.when(told, F.coalesce(*(F.when(F.contains("_t", F.lit(w)), F.lit(v)) for w, v in GROUPS))).alias("csp"),
+        F.when(told, F.nullif(F.regexp_extract("token", r"([0-9]{2}[-–][0-9]{2,3})", 1), F.lit(""))).alias("age"),
+        (told & (has(OPTIONAL) | (F.col("type") == "wiki") | F.col("_t").rlike(r"^wiki(\s|$)"))).alias("optional"),
+    )

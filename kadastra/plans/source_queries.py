@@ -2,25 +2,21 @@
 
 from __future__ import annotations
 
-import tempfile
 from uuid import uuid4
 
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kadastra.plans.registry import query
+from kadastra.operators.storage import shared_root
 from kadastra.plans.stand_ins import SURVEY, survey, table
 from kadastra.sources import files as X
 from kadastra.streaming.refresh import refreshed_view, windowed_counts
 
 
 def shared(spark) -> str:
-    """A new folder in the one that the cluster names in spark.checkpoint.dir; a temporary one where that is unset."""
-    sc = spark.sparkContext
-    root = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if root is None:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="kadastra-"))
-        root = sc.getCheckpointDir()
+    """A new folder in the one that the executors share."""
+    root = shared_root(spark)
     return f"{root.rstrip('/')}/files-{uuid4().hex}"
 
 

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from kadastra.functions import columns as C
+from kadastra.functions import scales as N
 from kadastra.operators import chunking as K
 from kadastra.operators import joins as J
 from kadastra.operators import survey as S
+from kadastra.operators import text as X
 from kadastra.plans.registry import query
 from kadastra.plans.stand_ins import SURVEY, survey, table
 
@@ -138,6 +140,81 @@ def txt14(spark, d):
     return table(spark, d, "benchmark").select("item_id", F.explode(items).alias("x")).select("item_id", "x.*")
 
 
+#: Questions of customers: one of these openings and a town made of a letter for the customer's number.
+ASKED = ["Pourquoi le score de logement à ", "Quel ressenti des transports à ", "Quelle est la qualité de vie à ", "Classement des dimensions, la note la plus basse à ", "Bonjour "]
+QUESTION = "select c_custkey, [" + ", ".join(f"'{x}'" for x in ASKED) + "][c_custkey % 5 + 1] || 'Porto-Vecch' || chr((97 + c_custkey % 26)::int) as question from customer"
+
+
+def questions(spark, d):
+    k = F.col("c_custkey")
+    return table(spark, d, "customer").select("c_custkey", F.concat(F.get(F.array(*map(F.lit, ASKED)), (k % 5).cast("int")), F.lit("Porto-Vecch"), F.chr(F.lit(97) + k % 26)).alias("question"))
+
+
+def _sql_has(column, words):
+    return "(" + " or ".join("contains({}, '{}')".format(column, w.replace("'", "''")) for w in words) + ")"
+
+
+@query("txt13_wellbeing_and_ranking", f"with q as ({QUESTION}), f as (select *, lower(question) as low, {FOLD.format('question')} as folded from q) select c_custkey, {_sql_has('low', N.WELLBEING)} and not {_sql_has('low', N.PERCEPTION)} as wellbeing, {_sql_has('folded', N.DIMENSION_RANKING)} as ranking from f")
+def txt13_scales(spark, d):
+    return questions(spark, d).select("c_custkey", N.asks_wellbeing(F.col("question")).alias("wellbeing"), N.asks_dimension_ranking(F.col("question")).alias("ranking"))
+
+
+def _themes_sql():
+    parts = []
+    for name, words in X.INDICATOR_THEMES:
+        parts.append(f"case when {_sql_has('low', (name, *words))} then [{', '.join(repr(w) for w in words)}] else [] end")
+    return " || ".join(parts)
+
+
+@query("txt14_rule_based_split", f"with q as ({QUESTION}), f as (select *, lower(question) as low, regexp_extract(question, 'à\\s+([\\p{{L}}][\\p{{L}}-]+(?:\\s+[\\p{{L}}][\\p{{L}}-]+)*)', 1) as town from q), t as (select *, {_themes_sql()} as themes from f) select c_custkey, 'quantitative' as sub, case when town <> '' then '{X.SCORES} ' || town else '{X.SCORES}' end as sub_query from t union all select c_custkey, 'qualitative', case when len(themes) > 0 and town <> '' then array_to_string(themes[1:2], ' ') || ' ' || town else question end from t")
+def txt14_rules(spark, d):
+    return questions(spark, d).select("c_custkey", F.explode(X.sub_queries(F.col("question"))).alias("x")).select("c_custkey", "x.*")
+
+
+OWN = [("Santé", ["th", "sante"]), ("Transports", ["ation", "route"]), ("Logement", ["heit", "logement"])]
+
+
+def _points(word):
+    return f"case when contains(left(t, 30), '{word}') then 3 when contains(t, '{word}') then 1 else 0 end"
+
+
+@query("txt15_own_choice", f"with d as (select doc_id, {FOLD.format('text')} as t, [['Transports', 'Santé'], ['Logement', 'la', 'Santé'], ['Tourisme'], []][doc_id % 4 + 1] as own, (doc_id % 3)::int + 1 as place from documents), s as (select *, {' + '.join(map(_points, OWN[0][1]))} as s0, {' + '.join(map(_points, OWN[1][1]))} as s1, {' + '.join(map(_points, OWN[2][1]))} as s2, {_points('la')} as s3, {_points('tourisme')} as s4 from d), l as (select *, list_transform(own, lambda c: case c when 'Santé' then s0 when 'Transports' then s1 when 'Logement' then s2 when 'la' then s3 else s4 end) as hits from s), b as (select *, coalesce(list_sum(hits), 0) as total, list_max(hits) as best from l) select doc_id, case when total > 0 then own[list_position(hits, best)] else coalesce(own[place], '{X.UNNAMED}') end as dimension, case when total > 0 then best else 0 end::bigint as hits, total > 0 and best * 2 >= total as certain from b")
+def txt15_own(spark, d):
+    own = F.array(*(F.array(*map(F.lit, c)) if c else F.array().cast("array<string>") for c in (["Transports", "Santé"], ["Logement", "la", "Santé"], ["Tourisme"], [])))
+    rows = docs(spark, d).select("doc_id", X.own_dimension(F.col("text"), F.get(own, (F.col("doc_id") % 4).cast("int")), (F.col("doc_id") % 3).cast("int") + 1, OWN).alias("x"))
+    return rows.select("doc_id", "x.*")
+
+
+#: Tokens of truth cells, and what each must give: type, collection, town, group, age and whether it is optional.
+TOKENS = [
+    ("raptor quali Bastia retraités", "raptor", "raptor_summaries", "Bastia", "retraités", None, False), ("tous les raptor Corte 25-34", "raptor", "both", "Corte", "25-34", "25-34", False),
+    ("raptor quanti global", "raptor", "raptor_quanti_summaries", None, None, None, False), ("entretiens Ajaccio (facultatif)", "entretiens", None, "Ajaccio", None, None, True),
+    ("Verbatims jeunes", "verbatims", None, None, "18-25", None, False), ("oppchovec Porto-Vecchio", "oppchovec", None, "Porto-Vecchio", None, None, False), ("explication oppchovec", "methodology", None, None, None, None, False),
+    ("classement communes", "classement", None, None, None, None, False), ("wiki Corte", "wiki", None, "Corte", None, None, True), ("équipements ou rien", "equipements", None, None, None, None, True), ("docu EPCI", "epci", None, None, None, None, False),
+    ("stats répondants", "stats_repondants", None, None, None, None, False), ("score enquête Bastia", "stats_enquete", None, "Bastia", None, None, False), ("résumé enquête", "stats_enquete", None, None, None, None, False),
+    ("méthodologie", "methodology", None, None, None, None, False), ("rien", "rien", None, None, None, None, False), ("autre chose 40–100", "unknown", None, None, None, "40–100", False),
+]
+
+
+@query("txt17_structured_tokens", "with v(i, token, type, collection, commune, csp, age, optional) as (values " + ", ".join(f"({i}, " + ", ".join("null" if x is None else str(x).lower() if isinstance(x, bool) else f"'{x}'" for x in t) + ")" for i, t in enumerate(TOKENS)) + f"), c as (select c_custkey, unnest(list_distinct([c_custkey % {len(TOKENS)}, c_custkey * 7 % {len(TOKENS)}])) as i from customer) select c_custkey, token, type, collection, commune, csp, age, optional from c join v using (i)")
+def txt17_structured(spark, d):
+    k, n = F.col("c_custkey"), len(TOKENS)
+    texts = F.array(*(F.lit(t[0]) for t in TOKENS))
+    cell = F.array_join(F.transform(F.array_distinct(F.array(k % n, k * 7 % n)), lambda i: F.get(texts, i.cast("int"))), " , ")
+    return X.structured_tokens(table(spark, d, "customer").select("c_custkey", cell.alias("gt")), "c_custkey", "gt", ["Ajaccio", "Bastia", "Corte", "Porto-Vecchio"])
+
+
+KINDS = ["raptor_summary", "raptor_enquete_summary", "classement_dimensions", "methodology", "oppchovec_score", "zones_epci", "", ""]
+STORES = ["enquete_scores_commune", "verbatim_evidence", "communes_profil", "entretiens", "enquete_responses", "none", "communes_geo"]
+
+
+@query("txt18_retrieved_categories", f"with s as (select doc_id, {KINDS!r}[doc_id % 8 + 1] as t, {STORES!r}[doc_id % 7 + 1] as st, case when doc_id % 11 = 0 then 'enquete_methodology' end as v from documents) select doc_id, case when t = 'raptor_summary' then 'raptor_portrait' when t = 'raptor_enquete_summary' then 'raptor_enquete' when t = 'classement_dimensions' then 'classement' when st = 'enquete_scores_commune' then 'stats_enquete' when v = 'enquete_methodology' then 'methodology_enquete' when t = 'methodology' then 'methodology_oppchovec' when t = 'oppchovec_score' then 'oppchovec' when st = 'verbatim_evidence' then 'verbatims' when st = 'communes_geo' or t = 'zones_epci' then 'equipements' when st = 'communes_profil' then 'stats_repondants' when st = 'entretiens' then 'entretiens' when st = 'enquete_responses' then 'stats_enquete' else 'autre' end as category from s")
+def txt18_scales(spark, d):
+    k = F.col("doc_id")
+    kind, store = (F.get(F.array(*map(F.lit, xs)), (k % n).cast("int")) for xs, n in ((KINDS, 8), (STORES, 7)))
+    return docs(spark, d).select("doc_id", N.source_category(kind, store, F.when(k % 11 == 0, "enquete_methodology")).alias("category"))
+
+
 @query("txt15_keyword_dimension", "with k(dim, kw) as (values ('D1','th'),('D1','er'),('D2','en'),('D3','que')), h as (select doc_id, dim, sum(case when strpos(lower(left(text, 30)), kw) > 0 then 3 when contains(lower(text), kw) then 1 else 0 end) as hits from documents, k group by 1, 2) select doc_id, arg_max(dim, (hits, -('0' || dim[2:])::int)) as dimension, max(hits)::bigint as hits, case when sum(hits) > 0 then max(hits) >= 0.5 * sum(hits) else false end as certain from h group by 1")
 def txt15(spark, d):
     from kadastra.operators.text import keyword_dimension

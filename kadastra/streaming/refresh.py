@@ -9,8 +9,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from kadastra.operators.survey import dimension_scores
-
 
 def _exists(spark: SparkSession, path: str) -> bool:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -20,9 +18,9 @@ def _exists(spark: SparkSession, path: str) -> bool:
 class ViewRefresher:
     """A view (keys, n, avg_score) over everything that arrived, refreshed batch by batch.
 
-    Rows are appended to a log partitioned by batch, so a batch that is retried overwrites its own rows and
-    counts once. Only the groups that a batch touches are recomputed; the view is written to a new folder for
-    each batch, which a reader takes as a whole. All paths are of a store that the executors share.
+    Sums and counts are kept for each group: a batch is summed by itself and merged with the sums up to the batch before, so no
+    row is read twice. The sums are written to a new folder for each batch, which a reader takes as a whole; a batch
+    that is retried finds the sums from before it and counts once. All paths are of a store that the executors share.
     """
 
     def __init__(self, spark: SparkSession, root: str, keys: Sequence[str], score: str = "score"):
@@ -31,26 +29,27 @@ class ViewRefresher:
     def apply(self, batch: DataFrame, batch_id: int) -> None:
         if self._done(batch_id):
             return
-        batch.write.mode("overwrite").parquet(f"{self.root}/log/batch={batch_id}")
-        log = self.spark.read.parquet(f"{self.root}/log").where(F.col("batch") <= batch_id)
-        touched = log.where(F.col("batch") == batch_id).select(*self.keys).distinct()
-        fresh = dimension_scores(log.join(touched, self.keys, "left_semi"), self.keys, self.score)
-        old = self.view(batch_id - 1)
+        sums = batch.groupBy(*self.keys).agg(F.count(self.score).alias("n"), F.sum(F.col(self.score).cast("double")).alias("total"))
+        old = self._sums(batch_id - 1)
         if old is not None:
-            fresh = fresh.unionByName(old.join(touched, self.keys, "left_anti"))
-        fresh.write.mode("overwrite").parquet(f"{self.root}/view/{batch_id:012d}")
+            sums = old.unionByName(sums).groupBy(*self.keys).agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
+        sums.write.mode("overwrite").parquet(f"{self.root}/view/{batch_id:012d}")
 
     def _done(self, batch_id: int) -> bool:
         return _exists(self.spark, f"{self.root}/view/{batch_id:012d}/_SUCCESS")
 
-    def view(self, batch_id: int) -> DataFrame | None:
-        """The view as of a batch; None before the first."""
+    def _sums(self, batch_id: int) -> DataFrame | None:
         while batch_id >= 0:
             if self._done(batch_id):
                 return self.spark.read.parquet(f"{self.root}/view/{batch_id:012d}")
             batch_id -= 1
         return None
 
+    def view(self, batch_id: int) -> DataFrame | None:
+        """The view as of a batch; None before the first. Groups without any known score are left out."""
+        sums = self._sums(batch_id)
+        return None if sums is None else sums.where("n > 0").select(*self.keys, "n", (F.col("total") / F.col("n")).alias("avg_score"))
+
     def start(self, stream: DataFrame, *, available_now: bool = True) -> StreamingQuery:
         w = stream.writeStream.foreachBatch(self.apply).option("checkpointLocation", f"{self.root}/checkpoint")
         return (w.trigger(availableNow=True) if available_now else w).start()
