@@ -22,11 +22,13 @@ def bound(value: Column, then: Callable[[Column], Column]) -> Column:
 def shared_folder(spark: SparkSession) -> str:
     """The folder that all executors share: the one the cluster names in `spark.checkpoint.dir`.
 
-    Only where that is unset (local tests) is a temporary folder taken and set instead.
+    Only where that is unset (local tests) is a temporary folder taken and set instead; a cluster must name one.
     """
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir")
     if sc.getCheckpointDir() is None:
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="kadastra-"))
     return named or sc.getCheckpointDir()
 
