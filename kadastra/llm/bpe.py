@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from kadastra.llm.common import table
 
 #: Texts are encoded in groups of so many bytes (a longer one alone), so memory holds one group.
-GROUP = 1 << 23
+GROUP = 1 << 21
 #: Pre-tokens of up to so many bytes share one list and one queue; a longer one has the queue for itself.
 SHORT = 64
 #: A bucket with fewer positions is merged one by one, a fuller one as arrays.

@@ -39,6 +39,15 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets the executors delete the shuffle files behind what has been checkpointed.
+
+    Spark does so once the driver's JVM has collected the plans that made them, which a driver with little to do may put off for
+    long while the disks fill. It only asks for that collection; no result depends on it.
+    """
+    spark.sparkContext._jvm.System.gc()
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """(id, component) of every id in `edges` (a, b: long); component is the least id reachable.
 

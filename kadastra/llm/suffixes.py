@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kadastra.llm.common import checkpoint, table
+from kadastra.llm.common import checkpoint, release, table
 
 #: Bytes of a repeated string; bytes of the anchors that part the texts.
 LENGTH, ANCHOR = 200, 50
@@ -382,6 +382,7 @@ def remove_repeats(docs: DataFrame, *, row_id: str = "doc_id", text: str = "text
         found.repartition(n, F.when(F.col("local"), F.col("k1")).otherwise(F.col("h"))).sortWithinPartitions("h", "w1", "w2")
         .mapInArrow(_keep_repeated, "h long, k1 long, k2 long, start long, size int, alike boolean, first boolean, number long")
     )
+    release(spark)
     # segments of an anchor that has one kind only need no sorting; an anchor's segments meet its flag under several keys
     flags = again.where(F.col("first") & F.col("number").isin(2, HOT)).groupBy("h").agg((F.max("number") == HOT).alias("hot"))
     flags = flags.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
@@ -393,6 +394,7 @@ def remove_repeats(docs: DataFrame, *, row_id: str = "doc_id", text: str = "text
         by_text.select("k1", "k2", "text").join(wanted, ["k1", "k2"]).select("k1", "k2", "text", "wanted")
         .mapInArrow(_cut, "h long, k1 long, k2 long, start long, weight int, part binary, window binary")
     )
+    release(spark)
     sorted_runs = (
         cut.where("part is not null").select("h", "k1", "k2", "start", "part").repartition(n, "h").sortWithinPartitions("h")
         .mapInArrow(_sort_segments, "k1 long, k2 long, start long, end long")
