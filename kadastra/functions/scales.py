@@ -42,7 +42,13 @@ VIEWS = {
     "survey_dimensions": {
         "enquete_dimension*commune": ("dimension", "commune"), "enquete_dimension*age_range": ("dimension", "age_range"), "enquete_dimension*profession": ("dimension", "profession"), "enquete_dimension": ("dimension",),
     },
+    "interviews": {"entretien_commune": ("commune",)},
 }
+# The order in which the survey's views are tried.
+SURVEY_ORDER = (
+    "enquete_dimension*commune", "enquete_dimension*age_range", "enquete_dimension*profession", "enquete_age_range*commune", "enquete_profession*commune", "enquete_age_range*profession",
+    "enquete_commune", "enquete_age_range", "enquete_profession", "enquete_dimension",
+)
 LEAST = {"verbatims": 3, "quantitative": 5, "survey": 2, "survey_dimensions": 3, "interviews": 5}
 
 # Collections searched beside the views and the greatest distance of a hit in each.
@@ -72,6 +78,29 @@ REFUSALS = (
     "n'ai pas", "ne dispose pas", "pas de données", "pas d'information", "hors de ma", "non disponible", "aucune donnée", "ne couvre pas", "je ne suis pas en mesure", "impossible de répondre", "données limitées", "pas dans les sources",
 )
 
+RANKING = (
+    "meilleur", "mieux", "meilleure", "mieux classé", "premier", "première", "premières", "premiers", "dernier", "dernière", "dernières", "derniers", "pire", "moins bon", "moins bonne",
+    "classement", "classée", "classées", "classés", "top ", "rang ", "rang?", "quel rang", "mieux placé", "moins bien placé", "quelle commune", "quelles communes",
+    "plus haut score", "plus bas score", "score le plus", "toutes les communes", "ensemble des communes", "comparer", "comparaison",
+)
+WHOLE = ("moyen", "moyenne", "general", "global", "ensemble", "niveau", "corse entiere", "ile entiere", "l ensemble", "toutes les communes", "score global", "score corse", "indicateur corse")
+COMPONENTS = ("composante", "opp ", "cho ", "vec ", "sous-score", "sous score")
+QUALITY = (
+    "qualite de vie", "bien-etre", "satisfaction", "perception", "habitants", "vivent", "ressentent", "ressenti", "score", "indice", "note", "enquete", "opinion", "avis", "vecu", "conditions de vie", "problemes", "difficultes",
+    "transports", "sante", "logement", "emploi", "securite", "education", "culture", "revenus", "services", "tourisme", "communaute", "relations", "institutions", "reseaux",
+)
+
+# Documents of the indicators that question classes get by id.
+FIXED_DOCUMENTS = {"components": "oppchovec_classement_composantes", "whole": "oppchovec_aggregate_corse", "ranking": "oppchovec_classement_global", "method": "oppchovec_methodology"}
+
+# Towns of the southern department, asked where a town has no text.
+SOUTHERN_TOWNS = (
+    "Ajaccio", "Afa", "Alata", "Bastelicaccia", "Albitreccia", "Grosseto-Prugna", "Porticcio", "Propriano", "Sartène", "Bonifacio", "Porto-Vecchio", "Lecci", "Zonza", "Levie", "Sollacaro",
+    "Sarrola-Carcopino", "Cuttoli-Corticchiato", "Peri", "Valle-di-Mezzana", "Appietto", "Cauro", "Eccica-Suarella", "Coggia", "Cargèse", "Olmeto", "Pietrosella", "Viggianello", "Quenza", "Serra-di-Ferro",
+    "Piana", "Osani", "Partinello", "Evisa", "Cristinacce", "Vico", "Soccia", "Orto", "Guagno", "Azzana", "Balogna", "Letia", "Renno", "Marignana", "Serriera", "Ota", "Calcatoggio",
+    "Sari-Solenzara", "Conca", "Monacia-d'Aullène", "Figari", "Pianotolli-Caldarello", "Sotta", "San-Gavino-di-Carbini",
+)
+
 
 def likert_table(spark: SparkSession, scheme: str) -> DataFrame:
     """(label, score) of a scheme, for `encode_labels`."""
@@ -92,6 +121,25 @@ def asks_dimension_ranking(text: Column) -> Column:
     return _has(text, DIMENSION_RANKING, True)
 
 
+def asks_quality(text: Column) -> Column:
+    return _has(text, QUALITY, True)
+
+
+def indicator_documents(text: Column, n_towns: Column) -> Column:
+    """Ids of the documents that a question gets by its class, in order: components, the whole, the ranking, and always the method."""
+    components = asks_dimension_ranking(text) | _has(text, COMPONENTS, False)
+    rules = [("components", components), ("whole", (n_towns == 0) & _has(text, WHOLE, True)), ("ranking", _has(text, RANKING, False)), ("method", F.lit(True))]
+    return F.array_compact(F.array(*(F.when(test, F.lit(FIXED_DOCUMENTS[name])) for name, test in rules)))
+
+
+def department(text: Column, name: Column) -> Column:
+    """The department that a town's text names, else the north; for towns without a text by the list of southern ones."""
+    t = F.lower(text)
+    empty = text.isNull() | (text == "")
+    south = F.contains(t, F.lit("corse-du-sud")) | F.contains(t, F.lit("corse du sud"))
+    return F.when(empty, F.when(name.isin(*SOUTHERN_TOWNS), "CorseDuSud").otherwise("HauteCorse")).otherwise(F.when(south, "CorseDuSud").otherwise("HauteCorse"))
+
+
 def is_refusal(answer: Column) -> Column:
     return _has(answer, REFUSALS, False)
 

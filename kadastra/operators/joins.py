@@ -41,14 +41,40 @@ def evidence(summaries: DataFrame, chunks: DataFrame, ids: str, k: int, *, key:
     return first.join(chunks, key)
 
 
-def all_or_text(rows: DataFrame, known: DataFrame, key: str, question: str, value: str) -> DataFrame:
-    """The value of the equal question, else of the first known one that holds or is held by it.
+def all_or_text(rows: DataFrame, known: DataFrame, question: str, value: str, order: str, *, gram: int = 8) -> DataFrame:
+    """`rows` with the value of the equal known question, else of the first by `order` that holds or is held by it.
 
-    The known questions are a curated list and are broadcast behind a count of them.
+    Equality is of trimmed texts, holding is of lower-cased ones; the empty question is held by every other. Rows with a null
+    question get null, as do those that nothing matches; known nulls match nothing. A text that lies in another shows
+    there all its runs of `gram` characters (shorter ones: themselves), so different questions meet known ones by the equality of
+    one run of the shorter, the least by hash, and each pair is then tested. The work grows with texts and matches, not with their product.
     """
-    k = known.select(F.col(question).alias("_q"), F.col(value).alias("_v"), F.monotonically_increasing_id().alias("_o"))
-    if known.count() <= 10_000:
-        k = F.broadcast(k)
-    j = rows.join(k, (F.col(question) == F.col("_q")) | F.contains(F.col(question), F.col("_q")) | F.contains(F.col("_q"), F.col(question)), "left")
-    w = Window.partitionBy(key).orderBy((F.col(question) != F.col("_q")).cast("int"), "_o")
-    return j.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").withColumnRenamed("_v", value).drop("_rn", "_q", "_o")
+    asked = rows.select(F.trim(question).alias("_q")).where("_q is not null").distinct().withColumn("_low", F.lower("_q"))
+    k = known.where(F.col(question).isNotNull()).select(F.col(question).alias("_k"), F.lower(question).alias("_klow"), F.col(value).alias("_v"), F.col(order).alias("_o"))
+    lengths = asked.select(F.char_length("_low").alias("n")).unionByName(k.select(F.char_length("_klow").alias("n")))
+    sizes = sorted(r[0] for r in lengths.select(F.least("n", F.lit(gram))).distinct().collect())  # 0 to `gram`
+
+    def runs(c: str, n: int) -> Column:
+        return F.when(F.char_length(c) >= n, F.transform(F.sequence(F.lit(1), F.char_length(c) - n + 1), lambda i: F.substring(c, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+
+    def anchor(c: str) -> Column:
+        least = F.array_min(F.transform(runs(c, gram), lambda g: F.struct(F.xxhash64(g).alias("h"), g.alias("g"))))["g"]
+        return F.when(F.char_length(c) <= gram, F.col(c)).otherwise(least)
+
+    def shown(c: str) -> Column:
+        return F.explode(F.array_distinct(F.flatten(F.array(F.array().cast("array<string>"), *(runs(c, n) for n in sizes if n)))))
+
+    a, b = asked.where("_low <> ''"), k.where("_klow <> ''")
+    held = a.withColumn("_g", anchor("_low")).join(b.withColumn("_g", shown("_klow")), "_g").where(F.contains("_klow", F.col("_low")))
+    holds = a.withColumn("_g", shown("_low")).join(b.withColumn("_g", anchor("_klow")), "_g").where(F.contains("_low", F.col("_klow")))
+    first = lambda df: F.broadcast(df.agg(F.min(F.struct("_o", "_k", "_v")).alias("x")).where("x is not null").select("x.*"))  # noqa: E731  one row
+    pairs = [
+        asked.join(k, F.col("_q") == F.col("_k")).withColumn("_tier", F.lit(0)), held.withColumn("_tier", F.lit(1)), holds.withColumn("_tier", F.lit(1)),
+        asked.where("_low = ''").crossJoin(first(k)).withColumn("_tier", F.lit(1)), asked.crossJoin(first(k.where("_klow = ''"))).withColumn("_tier", F.lit(1)),
+    ]
+    every = None
+    for x in pairs:
+        x = x.select("_q", "_tier", "_o", "_k", "_v")
+        every = x if every is None else every.unionByName(x)
+    best = every.groupBy("_q").agg(F.min(F.struct("_tier", "_o", "_k", "_v"))["_v"].alias(value))
+    return rows.join(best, F.trim(question) == F.col("_q"), "left").drop("_q")

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from kadastra.functions.columns import words
 from kadastra.operators.storage import cut_lineage
+from kadastra.operators.views import most_specific
 
 #: Question tables up to about this many vectors are sent to every task; larger ones are worked on in such blocks.
 BLOCK = 4096
@@ -229,11 +230,82 @@ def search_collections(
         if c.same and c.forced is not None:
             limit = F.when(F.col(c.same).isNotNull(), F.lit(c.forced)).otherwise(limit)
         hits = cut_lineage(dense_top_k(queries, docs, n * expand, where=F.col("collection") == c.name, q=q, d=d, same=c.same))
-        scored = hits.join(lexical(hits.select(q, d)).select(q, d, F.col("score").alias("_lex")), [q, d], "left")
-        by_words = F.row_number().over(Window.partitionBy(q).orderBy(F.coalesce("_lex", F.lit(0.0)).desc(), "rank"))
-        fused = scored.withColumn("_words", by_words).withColumn("_rrf", 1.0 / (constant + F.col("rank") - 1) + 1.0 / (constant + F.col("_words") - 1))
-        place = F.row_number().over(Window.partitionBy(q).orderBy(F.col("_rrf").desc(), "rank"))
-        kept = fused.withColumn("_place", place).where(F.col("_place") <= n).join(queries.select(q, limit.alias("_limit")), q).where(F.col("distance") <= F.col("_limit"))
+        fused = _reranked(hits, lexical, n, constant, q, d)
+        kept = fused.join(queries.select(q, limit.alias("_limit")), q).where(F.col("distance") <= F.col("_limit"))
         one = kept.select(q, F.lit(c.name).alias("collection"), d, "distance", F.col("_place").alias("rank"))
         out = one if out is None else out.unionByName(one)
     return out
+
+
+def _reranked(hits: DataFrame, lexical: Callable[[DataFrame], DataFrame], n: int, constant: int, q: str, d: str) -> DataFrame:
+    """The best n of each query's hits by the sum of 1 / (constant + rank) over the dense order and that of `lexical`, with _place."""
+    scored = hits.join(lexical(hits.select(q, d)).select(q, d, F.col("score").alias("_lex")), [q, d], "left")
+    by_words = F.row_number().over(Window.partitionBy(q).orderBy(F.coalesce("_lex", F.lit(0.0)).desc(), "rank"))
+    fused = scored.withColumn("_words", by_words).withColumn("_rrf", 1.0 / (constant + F.col("rank") - 1) + 1.0 / (constant + F.col("_words") - 1))
+    place = F.row_number().over(Window.partitionBy(q).orderBy(F.col("_rrf").desc(), "rank"))
+    return fused.withColumn("_place", place).where(F.col("_place") <= n)
+
+
+def indicator_search(
+    questions: DataFrame, towns: DataFrame, docs: DataFrame, fixed: Callable[[Column, Column], Column], lexical: Callable[[DataFrame], DataFrame], k: int = 3, *, expand: int = 3, constant: int = 60, question: str = "question", q: str = "query_id", d: str = "doc_id",
+) -> DataFrame:
+    """(q, rank, part, doc, distance): fixed documents of each question's class, then what is near it.
+
+    questions (q, question, embedding), towns (q, town) that they name, docs (d, town, embedding). `fixed` makes the ids of fixed
+    documents from the question's text and its number of towns; they come first, at distance 0. A question with several
+    towns then gets the nearest document of each, by town; one with a single town or none the best k - 1, one at least, of that
+    town's or all documents, ranked again by words as in search_collections. Questions without a vector get fixed documents only.
+    """
+    named = towns.where("town is not null").select(q, "town").distinct()
+    base = questions.select(q, question, "embedding").join(named.groupBy(q).agg(F.count("*").alias("_n")), q, "left").fillna(0, ["_n"])
+    rows = base.select(q, F.lit("fixed").alias("part"), F.posexplode(fixed(F.coalesce(question, F.lit("")), F.col("_n"))).alias("_at", "doc"), F.lit(0.0).alias("distance"))
+    n = max(1, k - 1)
+    asked = base.join(named, q, "left").withColumn("_ask", F.concat_ws("|", F.col(q).cast("string"), "town"))
+    hits = dense_top_k(asked, docs, n * expand, q="_ask", d=d, same="town").join(asked.select("_ask", q, "town", "_n"), "_ask")
+    hits = cut_lineage(hits)  # n * expand rows for each question and town
+    several = hits.where("_n > 1 and rank = 1").select(q, F.lit("town").alias("part"), F.row_number().over(Window.partitionBy(q).orderBy("town")).alias("_at"), F.col(d).cast("string").alias("doc"), "distance")
+    near = _reranked(hits.where("_n <= 1"), lexical, n, constant, q, d).select(q, F.lit("near").alias("part"), F.col("_place").alias("_at"), F.col(d).cast("string").alias("doc"), "distance")
+    every = rows.unionByName(several).unionByName(near)
+    w = Window.partitionBy(q).orderBy(F.col("part") != "fixed", "_at")
+    return every.select(q, F.row_number().over(w).alias("rank"), "part", "doc", "distance")
+
+
+def group_search(
+    questions: DataFrame, members: DataFrame, parents: DataFrame, families: Sequence[tuple[str, DataFrame, dict[str, Sequence[str]]]], indicators: DataFrame, *, most: int = 5, most_indicators: int = 3, q: str = "query_id",
+) -> DataFrame:
+    """(q, part, place, town, doc): what a question about a group of towns gets, in five parts.
+
+    questions (q, epci, asks_quality and the dimensions that they name), members (epci, commune), parents (epci, doc), indicators as
+    of indicator_search. `families` are (part, views (view_name, dim1_value, dim2_value, doc), each view's dimensions in the order in which views are tried).
+    Parts: "parent", the group's own document; for questions about quality of life the most specific view of each family for
+    each member, by name, until `most` members have one; "note", how many of all members these are, as n/m, and "without", the
+    others, where there are any; "indicator", the fixed documents and the `most_indicators` nearest of others. Groups without members or parent
+    lack those parts.
+    """
+    out = [questions.select(q, "epci").join(parents, "epci").select(q, F.lit("parent").alias("part"), F.lit(0).alias("place"), F.lit(None).cast("string").alias("town"), "doc")]
+    dims = list(dict.fromkeys(c for _, _, order in families for ds in order.values() for c in ds if c != "commune"))
+    asked = questions.where("asks_quality").select(q, "epci", *dims).join(members.select("epci", "commune").distinct(), "epci").withColumn("_m", F.struct(q, "commune"))
+    picked = None
+    for part, views, order in families:
+        value = lambda ds, i: F.col(ds[i]).cast("string") if i < len(ds) else F.lit("")
+        named = lambda ds: [F.col(c).isNotNull() for c in ds] + [F.lit(True)]
+        tries = F.array(*(F.when(F.least(*named(ds), F.lit(True)), F.struct(F.lit(v).alias("view_name"), value(ds, 0).alias("dim1_value"), value(ds, 1).alias("dim2_value"))) for v, ds in order.items()))
+        wanted = asked.select("_m", F.explode(F.array_compact(tries)).alias("x")).select("_m", "x.*")
+        one = most_specific(wanted, views, list(order), key="_m").select(F.col(f"_m.{q}").alias(q), F.col("_m.commune").alias("town"), F.lit(part).alias("part"), "doc")
+        picked = one if picked is None else picked.unionByName(one)
+    picked = cut_lineage(picked)
+    has = picked.select(q, "town").distinct().withColumn("place", F.row_number().over(Window.partitionBy(q).orderBy("town"))).where(F.col("place") <= most)
+    out.append(picked.join(has, [q, "town"]).select(q, "part", "place", "town", "doc"))
+    cover = asked.select(q, F.col("commune").alias("town")).join(has, [q, "town"], "left")
+    note = cover.groupBy(q).agg(F.count("place").alias("n"), F.count("*").alias("m")).where("n < m")
+    none = F.lit(None).cast("string")
+    out.append(note.select(q, F.lit("note").alias("part"), F.lit(0).alias("place"), none.alias("town"), F.concat_ws("/", F.col("n").cast("string"), F.col("m").cast("string")).alias("doc")))
+    lacks = Window.partitionBy(q).orderBy("town")
+    out.append(cover.where("place is null").select(q, F.lit("without").alias("part"), F.row_number().over(lacks).alias("place"), "town", none.alias("doc")))
+    nearest = F.row_number().over(Window.partitionBy(q, F.col("part") == "fixed").orderBy("distance", "rank"))
+    of = indicators.withColumn("_k", nearest).where((F.col("part") == "fixed") | (F.col("_k") <= most_indicators))
+    out.append(of.join(questions.select(q), q, "left_semi").select(q, F.lit("indicator").alias("part"), F.col("rank").alias("place"), none.alias("town"), "doc"))
+    every = out[0]
+    for x in out[1:]:
+        every = every.unionByName(x)
+    return every

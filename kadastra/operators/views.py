@@ -8,11 +8,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def materialise(df: DataFrame, views: dict[str, Sequence[str]], aggs: Sequence[Column], least: int = 1, count: str = "n", exempt: Sequence[str] = ()) -> DataFrame:
+def materialise(df: DataFrame, views: dict[str, Sequence[str]], aggs: Sequence[Column], least: int = 1, count: str = "n", exempt: Sequence[str] = (), rename: dict[str, str] | None = None) -> DataFrame:
     """(view_name, specificity, dim1/dim2 name and value, n, ...): all views in one pass over the rows.
 
     `views` gives each view's dimensions, two at most, none for the whole. Rows without one of a view's keys
-    are left out of that view; groups under the minimum too, but for the views in `exempt`.
+    are left out of that view; groups under the minimum too, but for the views in `exempt`. `rename` gives dimensions other names in the result.
     """
     dims = list(dict.fromkeys(d for ds in views.values() for d in ds))
     sets = [list(ds) for ds in views.values()]
@@ -30,11 +30,12 @@ def materialise(df: DataFrame, views: dict[str, Sequence[str]], aggs: Sequence[C
         name = F.when(here, F.lit(v)).otherwise(name)
         spec = F.when(here, F.lit(len(ds))).otherwise(spec)
         for i, c in enumerate(ds):
+            public = (rename or {}).get(c, c)
             keys = keys & (~here | F.col(c).isNotNull())
             if i == 0:
-                one, one_v = F.when(here, F.lit(c)).otherwise(one), F.when(here, F.col(c).cast("string")).otherwise(one_v)
+                one, one_v = F.when(here, F.lit(public)).otherwise(one), F.when(here, F.col(c).cast("string")).otherwise(one_v)
             else:
-                two, two_v = F.when(here, F.lit(c)).otherwise(two), F.when(here, F.col(c).cast("string")).otherwise(two_v)
+                two, two_v = F.when(here, F.lit(public)).otherwise(two), F.when(here, F.col(c).cast("string")).otherwise(two_v)
     enough = F.col(count) >= least
     out = grouped.select(name.alias("view_name"), spec.alias("specificity"), one.alias("dim1_name"), one_v.alias("dim1_value"), two.alias("dim2_name"), two_v.alias("dim2_value"), keys.alias("_k"), *(c for c in grouped.columns if c not in dims and not c.startswith("_g_")))
     return out.where(F.col("_k") & (enough | F.col("view_name").isin(list(exempt)) if exempt else enough)).drop("_k")

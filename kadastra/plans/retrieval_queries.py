@@ -6,6 +6,8 @@ import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from kadastra.functions import columns as C
+from kadastra.functions import scales as N
 from kadastra.operators import retrieval as R
 from kadastra.operators import views as V
 from kadastra.plans.registry import query
@@ -131,6 +133,102 @@ def ret12(spark, d):
     return R.top(h, 1, ("query_id", "town")).select("query_id", "town", "doc_id")
 
 
+#: Questions of the stated set: a benchmark item's text and words of some question class; towns that some of them name.
+WORDS = (" classement des dimensions", " score moyen", " quelle commune", " les habitants", "")
+ASKED = f"""quest as (select vec_id as query_id, coalesce(b.text, '') || ['{"', '".join(WORDS)}'][vec_id // {EVERY} % 5 + 1] as question from embeddings left join benchmark b on b.item_id = vec_id // {EVERY} where vec_id % {EVERY} = 0)"""
+
+
+def _asked(spark, d):
+    v = F.col("vec_id")
+    e = table(spark, d, "embeddings").where(v % EVERY == 0).withColumn("item_id", F.floor(v / EVERY))
+    words = F.get(F.array(*map(F.lit, WORDS)), (F.col("item_id") % 5).cast("int"))
+    return e.join(table(spark, d, "benchmark"), "item_id", "left").select(v.alias("query_id"), "embedding", F.concat(F.coalesce("text", F.lit("")), words).alias("question"), "item_id")
+
+
+def _by_words(spark, d):
+    """Scores of candidates by the words of the benchmark's questions in the documents."""
+    scores = lexical(spark, d).select((F.col("query_id") * EVERY).alias("query_id"), "doc_id", F.round("score", 5).alias("score"))
+    return lambda c: c.join(scores, ["query_id", "doc_id"])
+
+
+def _any_sql(words, folded, c="question"):
+    t = f"translate(lower({c}), '{C.ACCENTED}', '{C.FOLDED}')" if folded else f"lower({c})"
+    return "(" + " or ".join(f"contains({t}, '{w}')" for w in words) + ")"
+
+
+FIXED = f"""list_filter([case when {_any_sql(N.DIMENSION_RANKING, True)} or {_any_sql(N.COMPONENTS, False)} then '{N.FIXED_DOCUMENTS["components"]}' end, case when n = 0 and {_any_sql(N.WHOLE, True)} then '{N.FIXED_DOCUMENTS["whole"]}' end,
+  case when {_any_sql(N.RANKING, False)} then '{N.FIXED_DOCUMENTS["ranking"]}' end, '{N.FIXED_DOCUMENTS["method"]}'], lambda x: x is not null)"""
+
+
+@query("ret12_indicator_search", f"""with {BM25}, {DENSE}, {ASKED}, towns as (select query_id, unnest(case query_id // {EVERY} % 3 when 1 then ['T1'] when 2 then ['T0', 'T3'] else [] end) as town from quest),
+counted as (select query_id, question, (select count(*) from towns t where t.query_id = a.query_id) as n from quest a),
+hits as (select c.query_id, town, n, doc_id, distance, row_number() over (partition by c.query_id, town order by distance, doc_id) as rank from counted c left join towns t on t.query_id = c.query_id join dist on dist.query_id = c.query_id and (town is null or town = 'T' || label % 4)),
+words as (select h.*, row_number() over (partition by h.query_id order by coalesce(round(score, 5), 0) desc, rank) as words from hits h left join bm on bm.query_id * {EVERY} = h.query_id and bm.doc_id = h.doc_id where n <= 1 and rank <= 6),
+near as (select query_id, doc_id, distance, row_number() over (partition by query_id order by 1.0::double / (59 + rank) + 1.0::double / (59 + words) desc, rank) as nr from words),
+f as (select query_id, {FIXED} as ids from counted),
+u as (select query_id, 'fixed' as part, generate_subscripts(ids, 1) as nr, unnest(ids) as doc, 0.0::double as distance from f union all select query_id, 'near', nr, doc_id::varchar, distance from near where nr <= 2
+  union all select query_id, 'town', row_number() over (partition by query_id order by town), doc_id::varchar, distance from hits where n > 1 and rank = 1)
+select query_id, row_number() over (partition by query_id order by part <> 'fixed', nr) as rank, part, doc, round(distance, 6) as distance from u""")
+def ret12_search(spark, d):
+    q = _asked(spark, d)
+    e = table(spark, d, "embeddings")
+    docs = e.select(F.col("vec_id").alias("doc_id"), F.concat(F.lit("T"), (F.col("label") % 4).cast("string")).alias("town"), "embedding")
+    names = F.when(F.col("item_id") % 3 == 1, F.array(F.lit("T1"))).when(F.col("item_id") % 3 == 2, F.array(F.lit("T0"), F.lit("T3")))
+    towns = q.select("query_id", F.explode(names).alias("town"))
+    return R.indicator_search(q, towns, docs, N.indicator_documents, _by_words(spark, d), 3).withColumn("distance", F.round("distance", 6))
+
+
+#: The views of a group's members, by family: order, dimensions, and least size; towns whose names end in the last part have none.
+FAMILIES = {
+    "summary": (N.VIEWS["verbatims"], lambda v: N.LEAST["verbatims"], "3"),
+    "survey": ({v: {**N.VIEWS["survey"], **N.VIEWS["survey_dimensions"]}[v] for v in N.SURVEY_ORDER}, lambda v: N.LEAST["survey_dimensions" if v in N.VIEWS["survey_dimensions"] else "survey"], "4"),
+}
+
+
+def _members_sql():
+    rows = []
+    for part, (views, least, end) in FAMILIES.items():
+        for i, (v, ds) in enumerate(views.items()):
+            cols = ", ".join(ds)
+            on = " and ".join(f"m.{c} = v.{c}" for c in ds)
+            name = f"'{v}|' || " + " || '|' || ".join(f"v.{c}" for c in ds)
+            rows.append(f"select query_id, m.commune as town, '{part}' as part, {i} as nr, {name} as doc from m join (select {cols} from survey where right(commune, 1) <> '{end}' group by {cols} having count(*) >= {least(v)}) v on {on}")
+    return " union all ".join(rows)
+
+
+@query("ret13_group_search", f"""with {SURVEY}, {DENSE}, {ASKED}, g as (select query_id, question, {_any_sql(N.QUALITY, True)} as quality, r_name as epci, case when query_id // {EVERY} % 7 = 1 then '25-34' end as age_range, case when query_id // {EVERY} % 4 = 2 then 'BUILDING' end as profession, case when query_id // {EVERY} % 5 = 3 then 'D3' end as dimension from quest join region on r_regionkey = query_id // {EVERY} % 5),
+m as (select query_id, commune, age_range, profession, dimension from g join geography using (epci) where quality), tries as ({_members_sql()}),
+picked as (select * from tries qualify row_number() over (partition by query_id, town, part order by nr) = 1),
+has as (select query_id, town, row_number() over (partition by query_id order by town) as place from (select distinct query_id, town from picked) qualify place <= 5),
+cover as (select m.query_id, commune as town, place from m left join has h on h.query_id = m.query_id and h.town = m.commune),
+best as (select g.query_id, n_name as town, doc_id, distance, row_number() over (partition by g.query_id, n_name order by distance, doc_id) as k from g join geography t on t.epci = g.epci join nation on n_name = t.commune join dist on dist.query_id = g.query_id and doc_id % 25 = nation.n_nationkey),
+f as (select query_id, {FIXED} as ids from (select query_id, question, 5 as n from g)),
+i as (select query_id, len(ids) + row_number() over (partition by query_id order by town) as place, doc_id, distance from best join f using (query_id) where k = 1)
+select query_id, 'parent' as part, 0 as place, null as town, 'epci_' || epci as doc from g union all select query_id, part, place, town, doc from picked join has using (query_id, town)
+union all select query_id, 'note', 0, null, count(place) || '/' || count(*) from cover group by 1 having count(place) < count(*) union all select query_id, 'without', row_number() over (partition by query_id order by town), town, null from cover where place is null
+union all select query_id, 'indicator', generate_subscripts(ids, 1), null, unnest(ids) from f union all select query_id, 'indicator', place, null, doc_id::varchar from i qualify row_number() over (partition by query_id order by distance, place) <= 3""")
+def ret13_search(spark, d):
+    region, s, g = table(spark, d, "region"), survey(spark, d), geography(spark, d)
+    k = F.col("item_id")
+    q = _asked(spark, d).join(F.broadcast(region), F.col("r_regionkey") == k % 5).withColumnRenamed("r_name", "epci").withColumns({
+        "asks_quality": N.asks_quality(F.col("question")), "age_range": F.when(k % 7 == 1, "25-34"), "profession": F.when(k % 4 == 2, "BUILDING"), "dimension": F.when(k % 5 == 3, "D3"),
+    })
+    families = []
+    for part, (order, least, end) in FAMILIES.items():
+        of = s.where(~F.endswith("commune", F.lit(end)))
+        views = None
+        for n in sorted({least(v) for v in order}):
+            some = V.materialise(of, {v: ds for v, ds in order.items() if least(v) == n}, [], n)
+            views = some if views is None else views.unionByName(some)
+        families.append((part, views.select("view_name", "dim1_value", "dim2_value", F.concat_ws("|", "view_name", "dim1_value", "dim2_value").alias("doc")), order))
+    towns = q.join(g, "epci").select("query_id", F.col("commune").alias("town"))
+    places = g.select(F.col("commune").alias("town"), "n_nationkey")
+    docs = table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding").join(F.broadcast(places), F.col("doc_id") % 25 == F.col("n_nationkey")).drop("n_nationkey")
+    found = R.indicator_search(q, towns, docs, N.indicator_documents, _by_words(spark, d), 3)
+    parents = region.select(F.col("r_name").alias("epci"), F.concat(F.lit("epci_"), "r_name").alias("doc"))
+    return R.group_search(q, g, parents, families, found)
+
+
 @query("ret13_group_members", f"with {SURVEY}, n as (select commune, count(*) as n from survey group by 1) select epci, commune, n, row_number() over (partition by epci order by n desc, commune) as rank, count(n) over (partition by epci) as n_with_data from geography left join n using (commune) qualify rank <= 5")
 def ret13(spark, d):
     n = survey(spark, d).groupBy("commune").agg(F.count("*").alias("n"))

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from kadastra.functions import columns as C
+from kadastra.functions import scales as N
 from kadastra.operators import survey as S
 from kadastra.operators import views as V
 from kadastra.plans.registry import query
@@ -105,6 +106,25 @@ def agg11(spark, d):
     return V.materialise(scored(spark, d), SURVEY_VIEWS, [F.avg("score").alias("avg_score")], 2, exempt=["all"])
 
 
+#: The survey's own names of two dimensions, and the public ones.
+PUBLIC = {"cat_age": "age_range", "csp": "profession"}
+
+
+@query("agg11_renamed_views", _views_sql({k: v for k, v in N.VIEWS["survey"].items()}, N.LEAST["survey"], "count(*) as n", exempt=("enquete_global",)))
+def agg11_renamed(spark, d):
+    own = {public: name for name, public in PUBLIC.items()}
+    views = {k: [own.get(c, c) for c in v] for k, v in N.VIEWS["survey"].items()}
+    s = survey(spark, d).withColumnsRenamed(own)
+    return V.materialise(s, views, [], N.LEAST["survey"], exempt=["enquete_global"], rename=PUBLIC)
+
+
+@query("agg11_interview_views", f"with c as (select case when conv_id % 10 = 9 then ' ' else 'C' || (conv_id % 40) end as commune, length(text) as size from conversations) select 'entretien_commune' as view_name, 1 as specificity, 'commune' as dim1_name, commune as dim1_value, null as dim2_name, null as dim2_value, count(*) as n, sum(size)::bigint as n_chars from c where commune <> ' ' group by commune having count(*) >= {N.LEAST['interviews']}")
+def agg11_interviews(spark, d):
+    k = F.col("conv_id")
+    c = table(spark, d, "conversations").select(F.when(k % 10 == 9, " ").otherwise(F.concat(F.lit("C"), (k % 40).cast("string"))).alias("commune"), F.char_length("text").alias("size"))
+    return V.materialise(c, N.VIEWS["interviews"], [F.sum("size").alias("n_chars")], N.LEAST["interviews"])
+
+
 DIM_VIEWS = {"dim": ["dimension"], "dim_commune": ["dimension", "commune"], "dim_age": ["dimension", "age_range"], "dim_job": ["dimension", "profession"]}
 
 

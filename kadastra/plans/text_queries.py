@@ -40,15 +40,21 @@ def txt3(spark, d):
     return p.select("p_partkey", camel.alias("camel"), C.snake_case(camel).alias("snake"), C.slug(F.col("p_name")).alias("slug"))
 
 
-@query("txt4_name_uuids", "with h as (select n_name, left(sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || n_name::blob), 32) as h from nation) select n_name, h[1:8] || '-' || h[9:12] || '-5' || h[14:16] || '-' || ['8','9','a','b'][(instr('0123456789abcdef', h[17:17]) - 1) % 4 + 1] || h[18:20] || '-' || h[21:32] as id from h")
+@query("txt4_name_uuids", "with h as (select c_name, left(sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || c_name::blob), 32) as h from customer) select c_name, h[1:8] || '-' || h[9:12] || '-5' || h[14:16] || '-' || ['8','9','a','b'][(instr('0123456789abcdef', h[17:17]) - 1) % 4 + 1] || h[18:20] || '-' || h[21:32] as id from h")
 def txt4(spark, d):
-    return table(spark, d, "nation").select("n_name", C.uuid5(F.col("n_name")).alias("id"))
+    return table(spark, d, "customer").select("c_name", C.uuid5(F.col("c_name")).alias("id"))
 
 
-@query("txt5_department", "select doc_id, case when contains(text, 'was') then '2A' when contains(text, 'que') then '2B' else '20' end as department from documents")
+TXT5 = """with t as (select doc_id, ['Ajaccio', 'Bastia', 'Sartène', 'Corte'][doc_id // 5 % 4 + 1] as name, case doc_id % 5 when 0 then null when 1 then text || ' en Corse-du-Sud' when 2 then text || ' de la haute corse' when 3 then '' else text end as text from documents)
+select doc_id, case when text is null or text = '' then case when name in ('Ajaccio', 'Sartène') then 'CorseDuSud' else 'HauteCorse' end when contains(lower(text), 'corse-du-sud') or contains(lower(text), 'corse du sud') then 'CorseDuSud' else 'HauteCorse' end as department from t"""
+
+
+@query("txt5_department", TXT5)
 def txt5(spark, d):
-    t = F.col("text")
-    return docs(spark, d).select("doc_id", F.when(F.contains(t, F.lit("was")), "2A").when(F.contains(t, F.lit("que")), "2B").otherwise("20").alias("department"))
+    name = F.get(F.array(*map(F.lit, ("Ajaccio", "Bastia", "Sartène", "Corte"))), (F.floor(F.col("doc_id") / 5) % 4).cast("int"))
+    k, t = F.col("doc_id") % 5, F.col("text")
+    text = F.when(k == 0, F.lit(None)).when(k == 1, F.concat(t, F.lit(" en Corse-du-Sud"))).when(k == 2, F.concat(t, F.lit(" de la haute corse"))).when(k == 3, F.lit("")).otherwise(t)
+    return docs(spark, d).select("doc_id", N.department(text, name).alias("department"))
 
 
 @query("txt6_word_tokens", "with w as (select doc_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_\\p{M}]+')) as w from documents) select doc_id, count(*) as n, count(distinct w) as n_distinct from w where len(w) >= 4 and w not in ('that', 'with') group by 1")
@@ -99,13 +105,13 @@ def question_filters(df):
     return df.withColumns({"age": age, "genre": genre, "has_filter": age.isNotNull() | genre.isNotNull()})
 
 
-@query("txt17_truth_tokens", "with t as (select n_nationkey, trim(unnest(string_split('verbatims ' || n_name || ', (oppchovec), raptor', ','))) as token from nation) select n_nationkey, token, case when contains(token, 'verbatim') then 'verbatim' when contains(token, 'oppchovec') then 'indicator' when contains(token, 'raptor') then 'view' end as category, nullif(regexp_extract(token, '(NATION_[0-9]+)', 1), '') as commune, starts_with(token, '(') as optional from t")
+@query("txt17_truth_tokens", "with t as (select c_custkey, trim(unnest(string_split('verbatims NATION_' || (c_custkey % 40) || ', (oppchovec), raptor', ','))) as token from customer) select c_custkey, token, case when contains(token, 'verbatim') then 'verbatim' when contains(token, 'oppchovec') then 'indicator' when contains(token, 'raptor') then 'view' end as category, nullif(regexp_extract(token, '(NATION_[0-9]+)', 1), '') as commune, starts_with(token, '(') as optional from t")
 def txt17(spark, d):
     from kadastra.operators.text import truth_tokens
 
-    text = F.concat(F.lit("verbatims "), "n_name", F.lit(", (oppchovec), raptor"))
+    text = F.concat(F.lit("verbatims NATION_"), (F.col("c_custkey") % 40).cast("string"), F.lit(", (oppchovec), raptor"))
     rules = [("verbatim", ["verbatim"]), ("indicator", ["oppchovec"]), ("view", ["raptor"])]
-    return truth_tokens(table(spark, d, "nation").select("n_nationkey", text.alias("gt")), "n_nationkey", "gt", rules, r"(NATION_[0-9]+)")
+    return truth_tokens(table(spark, d, "customer").select("c_custkey", text.alias("gt")), "c_custkey", "gt", rules, r"(NATION_[0-9]+)")
 
 
 @query("txt18_source_categories", "select doc_id, case when source in ('src0', 'src1') then 'survey' when starts_with(source, 'src1') then 'view' else 'other' end as category from documents")
@@ -369,12 +375,18 @@ def join10(spark, d):
     return J.evidence(ids, s.select(F.col("respondent_id").alias("chunk_id"), "happiness"), "ids", 5).select("commune", "chunk_id", "happiness")
 
 
-@query("join16_fact_lookup", "select c_custkey, r_regionkey as fact from (select c_custkey, 'what of ' || ['AFRICA', 'ASIA', 'none'][c_custkey % 3 + 1] || ' today' as q from customer) left join region on contains(q, r_name)")
+JOIN16 = """q as (select c_custkey, case c_custkey % 5 when 0 then 'ask ' || c_custkey when 1 then ' Please ASK ' || c_custkey || ' today' when 2 then 'sk ' || c_custkey when 3 then 'none of these' end as q from customer),
+k as (select 'ask ' || p_partkey as k, p_partkey as fact from part),
+j as (select c_custkey, fact, row_number() over (partition by c_custkey order by trim(q) <> k, fact) as r from q join k on contains(lower(trim(q)), k) or contains(k, lower(trim(q))))"""
+
+
+@query("join16_fact_lookup", f"with {JOIN16} select q.c_custkey, fact from q left join (select * from j where r = 1) using (c_custkey)")
 def join16(spark, d):
-    names = F.array(*map(F.lit, ("AFRICA", "ASIA", "none")))
-    q = table(spark, d, "customer").select("c_custkey", F.concat(F.lit("what of "), F.get(names, (F.col("c_custkey") % 3).cast("int")), F.lit(" today")).alias("question"))
-    k = table(spark, d, "region").select(F.col("r_name").alias("question"), F.col("r_regionkey").alias("fact"))
-    return J.all_or_text(q, k, "c_custkey", "question", "fact").select("c_custkey", "fact")
+    s = F.col("c_custkey").cast("string")
+    kinds = F.array(F.concat(F.lit("ask "), s), F.concat(F.lit(" Please ASK "), s, F.lit(" today")), F.concat(F.lit("sk "), s), F.lit("none of these"), F.lit(None).cast("string"))
+    q = table(spark, d, "customer").select("c_custkey", F.get(kinds, (F.col("c_custkey") % 5).cast("int")).alias("question"))
+    k = table(spark, d, "part").select(F.concat(F.lit("ask "), F.col("p_partkey").cast("string")).alias("question"), F.col("p_partkey").alias("fact"))
+    return J.all_or_text(q, k, "question", "fact", "fact").select("c_custkey", "fact")
 
 
 @query("join17_shared_hits", "select doc_id, max(case when src = 'd' then 1 else 0 end) as in_docs, max(case when src = 'l' then 1 else 0 end) as in_labels from (select doc_id, 'd' as src from documents union all select doc_id, 'l' from labels) group by 1")
