@@ -178,10 +178,10 @@ def ret12_search(spark, d):
     return R.indicator_search(q, towns, docs, N.indicator_documents, _by_words(spark, d), 3).withColumn("distance", F.round("distance", 6))
 
 
-#: The views of a group's members, by family: order, dimensions, and least size; towns whose names end in the last part have none.
+#: The views of a group's members, by family: order, dimensions, and least size; towns whose names match the last part have none.
 FAMILIES = {
-    "summary": (N.VIEWS["verbatims"], lambda v: N.LEAST["verbatims"], "3"),
-    "survey": ({v: {**N.VIEWS["survey"], **N.VIEWS["survey_dimensions"]}[v] for v in N.SURVEY_ORDER}, lambda v: N.LEAST["survey_dimensions" if v in N.VIEWS["survey_dimensions"] else "survey"], "4"),
+    "summary": (N.VIEWS["verbatims"], lambda v: N.LEAST["verbatims"], "[34]$"),
+    "survey": ({v: {**N.VIEWS["survey"], **N.VIEWS["survey_dimensions"]}[v] for v in N.SURVEY_ORDER}, lambda v: N.LEAST["survey_dimensions" if v in N.VIEWS["survey_dimensions"] else "survey"], "3$"),
 }
 
 
@@ -192,11 +192,11 @@ def _members_sql():
             cols = ", ".join(ds)
             on = " and ".join(f"m.{c} = v.{c}" for c in ds)
             name = f"'{v}|' || " + " || '|' || ".join(f"v.{c}" for c in ds)
-            rows.append(f"select query_id, m.commune as town, '{part}' as part, {i} as nr, {name} as doc from m join (select {cols} from survey where right(commune, 1) <> '{end}' group by {cols} having count(*) >= {least(v)}) v on {on}")
+            rows.append(f"select query_id, m.commune as town, '{part}' as part, {i} as nr, {name} as doc from m join (select {cols} from survey where not regexp_matches(commune, '{end}') group by {cols} having count(*) >= {least(v)}) v on {on}")
     return " union all ".join(rows)
 
 
-@query("ret13_group_search", f"""with {SURVEY}, {DENSE}, {ASKED}, g as (select query_id, question, {_any_sql(N.QUALITY, True)} as quality, r_name as epci, case when query_id // {EVERY} % 7 = 1 then '25-34' end as age_range, case when query_id // {EVERY} % 4 = 2 then 'BUILDING' end as profession, case when query_id // {EVERY} % 5 = 3 then 'D3' end as dimension from quest join region on r_regionkey = query_id // {EVERY} % 5),
+@query("ret13_group_search", f"""with {SURVEY}, {DENSE}, {ASKED}, g as (select query_id, question, {_any_sql(N.QUALITY, True)} as quality, r_name as epci, case when query_id // {EVERY} % 7 = 5 then '25-34' end as age_range, case when query_id // {EVERY} % 4 = 3 then 'BUILDING' end as profession, case when query_id // {EVERY} % 10 = 3 then 'D3' end as dimension from quest join region on r_regionkey = query_id // {EVERY} % 5),
 m as (select query_id, commune, age_range, profession, dimension from g join geography using (epci) where quality), tries as ({_members_sql()}),
 picked as (select * from tries qualify row_number() over (partition by query_id, town, part order by nr) = 1),
 has as (select query_id, town, row_number() over (partition by query_id order by town) as place from (select distinct query_id, town from picked) qualify place <= 5),
@@ -211,11 +211,11 @@ def ret13_search(spark, d):
     region, s, g = table(spark, d, "region"), survey(spark, d), geography(spark, d)
     k = F.col("item_id")
     q = _asked(spark, d).join(F.broadcast(region), F.col("r_regionkey") == k % 5).withColumnRenamed("r_name", "epci").withColumns({
-        "asks_quality": N.asks_quality(F.col("question")), "age_range": F.when(k % 7 == 1, "25-34"), "profession": F.when(k % 4 == 2, "BUILDING"), "dimension": F.when(k % 5 == 3, "D3"),
+        "asks_quality": N.asks_quality(F.col("question")), "age_range": F.when(k % 7 == 5, "25-34"), "profession": F.when(k % 4 == 3, "BUILDING"), "dimension": F.when(k % 10 == 3, "D3"),
     })
     families = []
     for part, (order, least, end) in FAMILIES.items():
-        of = s.where(~F.endswith("commune", F.lit(end)))
+        of = s.where(~F.col("commune").rlike(end))
         views = None
         for n in sorted({least(v) for v in order}):
             some = V.materialise(of, {v: ds for v, ds in order.items() if least(v) == n}, [], n)

@@ -7,8 +7,11 @@ from collections import Counter
 import numpy as np
 from pyspark.sql import functions as F
 
+from kadastra.functions import scales as N
 from kadastra.operators import chunking as K
+from kadastra.operators.joins import all_or_text
 from kadastra.operators.ranking import competition_ranks
+from kadastra.operators.retrieval import group_search
 from kadastra.plans import QUERIES, graph_queries
 from kadastra.plans.text_queries import interviews, typed
 
@@ -137,3 +140,50 @@ def test_ranks_without_one_task(spark):
         assert r["rank_v"] == (len(known) + 1 if r["v"] is None else 1 + sum(x > r["v"] for x in known))
     assert competition_ranks(df.where("false"), ["v"]).count() == 0
     assert Counter(r["rank_v"] for r in competition_ranks(spark.range(3).select(F.lit(1.0).alias("v")), ["v"]).collect()) == {1: 3}
+
+
+def test_fact_lookup(spark):
+    """The equal question, else the first by order that holds or is held by the other; empty, null, short, repeated and long ones."""
+    known = ["", "what is the mean score of Ajaccio", "score", "WHAT is", "mean score of", None, "score", "the long question about schools and roads", "a"]
+    for names in (known, known[1:], []):
+        asked = ["score", " score ", "Mean Score of Ajaccio?", "what", "", None, "schools and roads", "nothing", "b", "zz " * 3000 + "score", "score"]
+        k = spark.createDataFrame([(n, f"v{i}" if i % 4 else None, i) for i, n in enumerate(names)], "question string, fact string, place int")
+        rows = spark.createDataFrame([(i, q, "own") for i, q in enumerate(asked)], "id int, question string, _x string")
+
+        def first(q):
+            if q is None:
+                return None
+            q, rows = q.strip(" "), [(n, f"v{i}" if i % 4 else None) for i, n in enumerate(names) if n is not None]
+            equal = [v for n, v in rows if n == q]
+            near = [v for n, v in rows if q.lower() in n.lower() or n.lower() in q.lower()]
+            return (equal or near or [None])[0]
+
+        got = all_or_text(rows, k, "question", "fact", "place").collect()
+        assert {r["id"]: r["fact"] for r in got} == {i: first(q) for i, q in enumerate(asked)} and len(got) == len(asked)
+
+
+def test_indicator_documents(spark):
+    """Fixed documents by question class; the whole only without towns, the method always."""
+    rows = [("Quel classement des dimensions ?", 0), ("le score moyen", 0), ("le score moyen", 1), ("Quelle commune est la première", 2), ("", 0)]
+    got = [r["f"] for r in spark.createDataFrame(rows, "q string, n int").select(N.indicator_documents(F.col("q"), F.col("n")).alias("f")).collect()]
+    c, w, r, m = (N.FIXED_DOCUMENTS[x] for x in ("components", "whole", "ranking", "method"))
+    assert got == [[c, r, m], [w, m], [m], [r, m], [m]]
+
+
+def test_group_search_edges(spark):
+    """A group without members or parent, a question that isn't about quality, a cut at `most`, and the towns left out."""
+    questions = spark.createDataFrame([(1, "G", True, None), (2, "G", False, None), (3, "none", True, None), (4, "G", True, "old")], "query_id int, epci string, asks_quality boolean, age_range string")
+    members = spark.createDataFrame([("G", f"t{i}") for i in (3, 1, 2, 4, 1)], "epci string, commune string")
+    parents = spark.createDataFrame([("G", "doc of G")], "epci string, doc string")
+    views = spark.createDataFrame([("by_town", f"t{i}", None, f"d{i}") for i in (2, 3, 4)] + [("by_age", "old", None, "old"), ("both", "old", "t3", "old3")], "view_name string, dim1_value string, dim2_value string, doc string")
+    order = {"both": ("age_range", "commune"), "by_town": ("commune",), "by_age": ("age_range",)}
+    found = spark.createDataFrame([(1, 1, "fixed", "m", 0.0)] + [(1, 2 + i, "town", f"x{i}", 1.0 - i / 10) for i in range(5)], "query_id int, rank int, part string, doc string, distance double")
+    got = {}
+    for r in group_search(questions, members, parents, [("summary", views, order)], found, most=2).collect():
+        got.setdefault((r["query_id"], r["part"]), []).append((r["place"], r["town"], r["doc"]))
+    assert {k: sorted(v, key=str) for k, v in got.items()} == {
+        (1, "parent"): [(0, None, "doc of G")], (2, "parent"): [(0, None, "doc of G")], (4, "parent"): [(0, None, "doc of G")],
+        (1, "summary"): [(1, "t2", "d2"), (2, "t3", "d3")], (1, "note"): [(0, None, "2/4")], (1, "without"): [(1, "t1", None), (2, "t4", None)],
+        (4, "summary"): [(1, "t1", "old"), (2, "t2", "d2")], (4, "note"): [(0, None, "2/4")], (4, "without"): [(1, "t3", None), (2, "t4", None)],
+        (1, "indicator"): [(1, None, "m"), (4, None, "x2"), (5, None, "x3"), (6, None, "x4")],
+    }
