@@ -117,17 +117,17 @@ def gra13(spark, d):
     return G.negative_pairs(edges(spark, d))
 
 
-@query("gra14_table_triples", "select 'nation:' || n_nationkey as s, 'label' as p, n_name as o from nation union all select 'nation:' || n_nationkey, 'partOf', 'region:' || n_regionkey from nation")
+@query("gra14_table_triples", "select 'customer:' || c_custkey as s, 'label' as p, c_name as o from customer union all select 'customer:' || c_custkey, 'partOf', 'nation:' || c_nationkey from customer")
 def gra14(spark, d):
-    n = table(spark, d, "nation")
-    return G.to_triples(n, F.concat(F.lit("nation:"), F.col("n_nationkey").cast("string")), [("label", F.col("n_name")), ("partOf", F.concat(F.lit("region:"), F.col("n_regionkey").cast("string"))), ("none", F.lit(None))])
+    n = table(spark, d, "customer")
+    return G.to_triples(n, F.concat(F.lit("customer:"), F.col("c_custkey").cast("string")), [("label", F.col("c_name")), ("partOf", F.concat(F.lit("nation:"), F.col("c_nationkey").cast("string"))), ("none", F.lit(None))])
 
 
-@query("gra15_source_ids", "select 'nation' as kind, n_name as key, 'nation:' || n_nationkey as id from nation union all select 'region', r_name, 'region:' || r_regionkey from region")
+@query("gra15_source_ids", "select 'customer' as kind, c_name as key, 'customer:' || c_custkey as id from customer union all select 'supplier', s_name, 'supplier:' || s_suppkey from supplier")
 def gra15(spark, d):
-    n, r = table(spark, d, "nation"), table(spark, d, "region")
-    one = n.select(F.lit("nation").alias("kind"), F.col("n_name").alias("key"), F.concat(F.lit("nation:"), F.col("n_nationkey").cast("string")).alias("id"))
-    return one.unionByName(r.select(F.lit("region").alias("kind"), F.col("r_name").alias("key"), F.concat(F.lit("region:"), F.col("r_regionkey").cast("string")).alias("id")))
+    n, r = table(spark, d, "customer"), table(spark, d, "supplier")
+    one = n.select(F.lit("customer").alias("kind"), F.col("c_name").alias("key"), F.concat(F.lit("customer:"), F.col("c_custkey").cast("string")).alias("id"))
+    return one.unionByName(r.select(F.lit("supplier").alias("kind"), F.col("s_name").alias("key"), F.concat(F.lit("supplier:"), F.col("s_suppkey").cast("string")).alias("id")))
 
 
 @query("gra16_node_texts", "select p_partkey, p_type || '. ' || p_name || '. ' || p_brand as text from part")

@@ -28,34 +28,34 @@ def src1(spark, d):
     return X.read_survey(spark, at, schema, exclude=F.col("id").isin(8, 10))
 
 
-@query("src2_latin1", "select n_nationkey as id, n_name || 'é' as name from nation")
+@query("src2_latin1", "select c_custkey as id, c_name || 'é' as name from customer")
 def src2(spark, d):
     at = shared(spark)
-    table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("id"), F.concat("n_name", F.lit("é")).alias("name")).write.option("header", True).option("encoding", "ISO-8859-1").csv(at)
+    table(spark, d, "customer").select(F.col("c_custkey").cast("long").alias("id"), F.concat("c_name", F.lit("é")).alias("name")).write.option("header", True).option("encoding", "ISO-8859-1").csv(at)
     return X.read_survey(spark, at, T.StructType([T.StructField("id", T.LongType()), T.StructField("name", T.StringType())]), encoding="ISO-8859-1")
 
 
-@query("src3_src4_folder", "select r_name as commune, r_regionkey::int as num, 'text of ' || r_name as text from region")
+@query("src3_src4_folder", "select s_name as commune, s_suppkey::int as num, 'text of ' || s_name as text from supplier")
 def src3(spark, d):
     at = shared(spark)
-    r = table(spark, d, "region").select(F.concat(F.lit("entretien_"), "r_name", F.lit("_"), F.col("r_regionkey").cast("string")).alias("name"), F.concat(F.lit("text of "), "r_name").alias("text"))
-    r.repartition("name").write.partitionBy("name").text(at)
+    s = table(spark, d, "supplier").select(F.concat(F.lit("entretien_"), "s_name", F.lit("_"), F.col("s_suppkey").cast("string")).alias("name"), F.concat(F.lit("text of "), "s_name").alias("text"))
+    s.repartition("name").write.partitionBy("name").text(at)
     names = spark.read.text(f"{at}/*/*.txt", wholetext=True).select(F.url_decode(F.url_decode(F.regexp_extract(F.col("_metadata.file_path"), "name=([^/]+)/", 1))).alias("name"), F.trim(F.regexp_replace("value", r"\n+$", "")).alias("text"))
     return X.interview_names(names.where("text <> ''")).select("commune", "num", "text")
 
 
-@query("src5_blocks", "select n_name as name, 'short ' || n_nationkey as summary, 'long ' || n_nationkey as description from nation")
+@query("src5_blocks", "select c_name as name, 'short ' || c_custkey as summary, 'long ' || c_custkey as description from customer")
 def src5(spark, d):
     at = shared(spark)
-    block = F.concat(F.lit("### "), "n_name", F.lit("\nRésumé : short "), F.col("n_nationkey").cast("string"), F.lit("\nDescription : long "), F.col("n_nationkey").cast("string"), F.lit("\n---"))
-    table(spark, d, "nation").select(block.alias("value")).write.text(at)
+    block = F.concat(F.lit("### "), "c_name", F.lit("\nRésumé : short "), F.col("c_custkey").cast("string"), F.lit("\nDescription : long "), F.col("c_custkey").cast("string"), F.lit("\n---"))
+    table(spark, d, "customer").select(block.alias("value")).write.text(at)
     return X.read_blocks(spark, at)
 
 
-@query("src6_keyed_lines", "select 'Town ' || n_nationkey as key, 'La commune de Town ' || n_nationkey || ' compte 5 parcs.' as text from nation")
+@query("src6_keyed_lines", "select 'Town ' || c_custkey as key, 'La commune de Town ' || c_custkey || ' compte 5 parcs.' as text from customer")
 def src6(spark, d):
     at = shared(spark)
-    table(spark, d, "nation").select(F.concat(F.lit("La commune de Town "), F.col("n_nationkey").cast("string"), F.lit(" compte 5 parcs.")).alias("value")).write.text(at)
+    table(spark, d, "customer").select(F.concat(F.lit("La commune de Town "), F.col("c_custkey").cast("string"), F.lit(" compte 5 parcs.")).alias("value")).write.text(at)
     return X.keyed_lines(spark, at)
 
 
@@ -66,20 +66,20 @@ def src7(spark, d):
     return X.interview_turns(X.interviews(c.select(text.alias("text"))))
 
 
-@query("src8_features", "select 'sq' || n_nationkey as nom, 1::int as n_rings, 5::int as n_points from nation")
+@query("src8_features", "select 'sq' || c_custkey as nom, 1::int as n_rings, 5::int as n_points from customer")
 def src8(spark, d):
     at = shared(spark)
-    feature = F.format_string('{"type":"FeatureCollection","features":[{"properties":{"nom":"sq%d"},"geometry":{"type":"Polygon","coordinates":[[[0,0],[1,0],[1,1],[0,1],[0,0]]]}}]}', F.col("n_nationkey"))
-    table(spark, d, "nation").select(feature.alias("value")).write.text(at)
+    feature = F.format_string('{"type":"FeatureCollection","features":[{"properties":{"nom":"sq%d"},"geometry":{"type":"Polygon","coordinates":[[[0,0],[1,0],[1,1],[0,1],[0,0]]]}}]}', F.col("c_custkey"))
+    table(spark, d, "customer").select(feature.alias("value")).write.text(at)
     f = X.read_features(spark, at, ["nom"], multi_line=False)
     return f.select("nom", F.size("rings").alias("n_rings"), F.size(F.col("rings")[0]).alias("n_points"))
 
 
-@query("src9_triples", "select 'ex:n' || n_nationkey as s, 'rdfs:label' as p, n_name as o, 'fr' as lang from nation")
+@query("src9_triples", "select 'ex:n' || c_custkey as s, 'rdfs:label' as p, c_name as o, 'fr' as lang from customer")
 def src9(spark, d):
-    line = F.concat(F.lit("<http://ex.org/n"), F.col("n_nationkey").cast("string"), F.lit('> <http://www.w3.org/2000/01/rdf-schema#label> "'), "n_name", F.lit('"@fr .'))
+    line = F.concat(F.lit("<http://ex.org/n"), F.col("c_custkey").cast("string"), F.lit('> <http://www.w3.org/2000/01/rdf-schema#label> "'), "c_name", F.lit('"@fr .'))
     prefixes = spark.createDataFrame([("http://ex.org/", "ex"), ("http://www.w3.org/2000/01/rdf-schema#", "rdfs")], "namespace string, prefix string")
-    return X.triples(table(spark, d, "nation").select(line.alias("value")), prefixes)
+    return X.triples(table(spark, d, "customer").select(line.alias("value")), prefixes)
 
 
 @query("src10_question_flags", "select item_id, item_id % 2 = 0 as do_factual, item_id % 3 = 0 as do_judge from benchmark where item_id % 5 <> 0")
@@ -88,11 +88,11 @@ def src10(spark, d):
     return X.flags(b, ["do_factual", "do_judge"]).select("item_id", "do_factual", "do_judge")
 
 
-@query("src11_run_results", "select c.config, n_nationkey::int as excel_row, n_name as answer from nation, (values ('k10'), ('k25')) c(config)")
+@query("src11_run_results", "select c.config, c_custkey::int as excel_row, c_name as answer from customer, (values ('k10'), ('k25')) c(config)")
 def src11(spark, d):
     at = shared(spark)
-    one = F.format_string('{"excel_row":%d,"answer":"%s"}', "n_nationkey", "n_name")
-    table(spark, d, "nation").select(F.concat(F.lit('{"k10":['), one, F.lit('],"k25":['), one, F.lit("]}")).alias("value")).write.text(at)
+    one = F.format_string('{"excel_row":%d,"answer":"%s"}', "c_custkey", "c_name")
+    table(spark, d, "customer").select(F.concat(F.lit('{"k10":['), one, F.lit('],"k25":['), one, F.lit("]}")).alias("value")).write.text(at)
     entry = T.StructType([T.StructField("excel_row", T.IntegerType()), T.StructField("answer", T.StringType())])
     return X.read_results(spark, at, entry, by_line=True)
 
@@ -122,14 +122,14 @@ def snk1(spark, d):
     return spark.read.text(at).groupBy("commune").agg(F.count("*").alias("n"))
 
 
-@query("snk2_exports", "select n_name, n_regionkey, '| ' || n_name || ' | ' || n_regionkey || ' |' as line from nation")
+@query("snk2_exports", "select c_name, c_nationkey, '| ' || c_name || ' | ' || c_nationkey || ' |' as line from customer")
 def snk2(spark, d):
     at = shared(spark)
-    n = table(spark, d, "nation").select("n_name", "n_regionkey")
+    n = table(spark, d, "customer").select("c_name", "c_nationkey")
     X.export(n, at, "json")
     back = spark.read.schema(n.schema).json(at)
-    line = X.markdown_rows(back.select("n_name", "n_regionkey"), ["n_name", "n_regionkey"])
-    return line.select(F.trim(F.split_part("line", F.lit("|"), F.lit(2))).alias("n_name"), F.trim(F.split_part("line", F.lit("|"), F.lit(3))).cast("int").alias("n_regionkey"), "line")
+    line = X.markdown_rows(back.select("c_name", "c_nationkey"), ["c_name", "c_nationkey"])
+    return line.select(F.trim(F.split_part("line", F.lit("|"), F.lit(2))).alias("c_name"), F.trim(F.split_part("line", F.lit("|"), F.lit(3))).cast("int").alias("c_nationkey"), "line")
 
 
 @query("str1_refreshed_view", "select event_type, count(*) as n, avg(user_id) as avg_score from events group by 1")
