@@ -74,21 +74,17 @@ def ret5(spark, d):
     return R.rank_scores(lexical(spark, d).withColumn("score", F.round("score", 5)))
 
 
-#: Dense and lexical channels of the same query ids, the lexical one by document order for a fixed result.
-LEX = "lex as (select query_id, doc_id, 1.0::double / (1 + (doc_id - query_id + 1000000) % 7) as score from (select distinct query_id, (query_id + k) as doc_id from top, (values (0), (1), (2), (3), (4)) t(k)))"
+#: The lexical channel of the stated questions: the words of the benchmark's item of each in the documents, by rank.
+LEX = f"lex as (select query_id * {EVERY} as query_id, doc_id, 1.0::double / row_number() over (partition by query_id order by round(score, 5) desc, doc_id) as score from bm where query_id * {EVERY} in (select query_id from top) qualify row_number() over (partition by query_id order by round(score, 5) desc, doc_id) <= 20)"
 
 
-def _lex(top):
-    k = F.explode(F.sequence(F.lit(0), F.lit(4)))
-    rows = top.select("query_id").distinct().select("query_id", k.alias("k")).select("query_id", (F.col("query_id") + F.col("k")).alias("doc_id"))
-    return rows.withColumn("score", 1.0 / (1 + (F.col("doc_id") - F.col("query_id") + 1000000) % 7))
-
-
-@query("ret6_weighted_fusion", _top(10, f", {LEX}, n as (select query_id, doc_id, round(1 - distance / nullif(max(distance) over (partition by query_id), 0), 6) as score from top), u as (select query_id, doc_id, 0.6 * score as score, 'dense' as c from n union all select query_id, doc_id, 0.4 * score, 'sparse' from lex)") + " select query_id, doc_id, round(sum(score), 6) as score, case when count(distinct c) > 1 then 'hybrid' else min(c) end as channel from u group by 1, 2")
+@query("ret6_weighted_fusion", _top(10, f", {BM25}, {LEX}, n as (select query_id, doc_id, round(1 - distance / nullif(max(distance) over (partition by query_id), 0), 6) as score from top), u as (select query_id, doc_id, 0.6 * score as score, 'dense' as c from n union all select query_id, doc_id, 0.4 * score, 'sparse' from lex)") + " select query_id, doc_id, round(sum(score), 6) as score, case when count(distinct c) > 1 then 'hybrid' else min(c) end as channel from u group by 1, 2")
 def ret6(spark, d):
     top = hits(spark, d, 10)
     n = R.normalised(top).withColumn("score", F.round("score", 6))
-    return R.fuse_weighted([("dense", n, 0.6), ("sparse", _lex(top), 0.4)]).withColumn("score", F.round("score", 6))
+    q = table(spark, d, "embeddings").where(F.col("vec_id") % EVERY == 0).join(table(spark, d, "benchmark"), F.col("item_id") * EVERY == F.col("vec_id")).select(F.col("vec_id").alias("query_id"), "text")
+    words = R.bm25(q, table(spark, d, "documents").select("doc_id", "text")).withColumn("score", F.round("score", 5))
+    return R.fuse_weighted([("dense", n, 0.6), ("sparse", R.rank_scores(words), 0.4)]).withColumn("score", F.round("score", 6))
 
 
 @query("ret7_rank_fusion", _top(30, ", b as (select query_id, doc_id, row_number() over (partition by query_id order by doc_id) - 1 as rank from top), u as (select query_id, doc_id, rank - 1 as rank from top union all select * from b)") + " select query_id, doc_id, round(sum(1.0::double / (60 + rank)), 9) as score from u group by 1, 2")
