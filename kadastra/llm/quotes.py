@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kadastra.llm.common import bound, checkpoint, table
 
 #: The marks that open a quoted line; each > is one level.
 QUOTED = r"^[ \t]*>[> \t]*"
+#: A normalised line that names the writer of the quote below it.
+NAMED = r"(?s)^on .+ wrote:\z"
 
 
 def quote_level(line: Column) -> Column:
@@ -21,22 +23,51 @@ def normalised(line: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(F.regexp_replace(line, QUOTED, "")), r"\s+", " "))
 
 
+def _lines(text: Column, then) -> Column:
+    """`then` of the lines of a text: an array of (line, level, norm), computed once.
+
+    A line that only names who wrote what the next, deeper line quotes counts as blank: its norm is empty, and `named` is true.
+    """
+    raw = F.transform(F.split(F.coalesce(text, F.lit("")), "\r?\n", -1), lambda x: F.struct(x.alias("line"), quote_level(x).alias("level"), normalised(x).alias("norm")))
+
+    def marked(xs: Column) -> Column:
+        def mark(x: Column, i: Column) -> Column:
+            named = F.coalesce(x["norm"].rlike(NAMED) & (F.get(xs, i + 1)["level"] > x["level"]), F.lit(False))
+            return F.struct(x["line"].alias("line"), x["level"].alias("level"), F.when(named, F.lit("")).otherwise(x["norm"]).alias("norm"), named.alias("named"))
+
+        return bound(F.transform(xs, mark), then)
+
+    return bound(raw, marked)
+
+
 def without_quotes(text: Column) -> Column:
-    """The lines of a text that are not quoted, blank ones at both ends removed."""
-    kept = bound(F.split(F.coalesce(text, F.lit("")), "\r?\n", -1), lambda lines: F.filter(lines, lambda x: ~x.rlike(QUOTED)))
+    """The lines of a text that are not quoted nor name who wrote a quote, blank ones at both ends removed."""
+    kept = _lines(text, lambda xs: F.transform(F.filter(xs, lambda x: (x["level"] == 0) & ~x["named"]), lambda x: x["line"]))
     return F.regexp_replace(F.array_join(kept, "\n"), r"^\s+|\s+$", "")
 
 
 def _runs(messages: DataFrame) -> DataFrame:
-    """(conv, turn, level, norms, text) of every passage of the messages (row, conv, turn, text); norms are its lines."""
-    lines = messages.select("row", "conv", "turn", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\r?\n", -1)).alias("pos", "line"))
-    lines = lines.select("row", "conv", "turn", "pos", quote_level(F.col("line")).alias("level"), normalised(F.col("line")).alias("norm"))
-    w = Window.partitionBy("row").orderBy("pos")
-    opens = (F.col("norm") == "") | F.coalesce(F.lag("norm").over(w) == "", F.lit(True)) | (F.lag("level").over(w) != F.col("level"))
-    runs = lines.withColumn("opens", opens.cast("int")).withColumn("run", F.sum("opens").over(w)).where("norm <> ''")
-    norms = F.transform(F.sort_array(F.collect_list(F.struct("pos", "norm"))), lambda x: x["norm"])
-    by = runs.groupBy("row", "run").agg(F.first("conv").alias("conv"), F.first("turn").alias("turn"), F.first("level").alias("level"), norms.alias("norms"))
-    return by.select("conv", "turn", "level", "norms", F.array_join("norms", " ").alias("text"))
+    """(conv, turn, level, norms, text) of every passage of the messages (row, conv, turn, text); norms are its lines.
+
+    Passages are cut inside the row, from where each begins and ends among the lines, so nothing is shuffled.
+    """
+
+    def cut(xs: Column) -> Column:
+        def edges(step: int) -> Column:
+            def at_edge(i: Column) -> Column:
+                here, beside = F.get(xs, i), F.get(xs, i + step)
+                return (here["norm"] != "") & ~F.coalesce((beside["norm"] != "") & (beside["level"] == here["level"]), F.lit(False))
+
+            return F.filter(F.sequence(F.lit(0), F.size(xs) - 1), at_edge)
+
+        def passage(start: Column, end: Column) -> Column:
+            norms = F.transform(F.slice(xs, start + 1, end - start + 1), lambda x: x["norm"])
+            return F.struct(F.get(xs, start)["level"].alias("level"), norms.alias("norms"))
+
+        return F.zip_with(edges(-1), edges(1), passage)
+
+    rows = messages.select("conv", "turn", F.explode(_lines(F.col("text"), cut)).alias("p"))
+    return rows.select("conv", "turn", "p.level", "p.norms", F.array_join("p.norms", " ").alias("text"))
 
 
 def _md5(text: Column) -> Column:
@@ -107,7 +138,7 @@ def reply_order(nodes: DataFrame) -> DataFrame:
 def thread_conversations(messages: DataFrame, *, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
     """conv, turn, role, body, n_passages, n_linked, parent_turn, root_turn, depth, in reply order.
 
-    Quoted lines are taken out of the bodies. A message replies to the one whose passages, or else their lines and
+    Quoted lines are taken out of the bodies, and so are lines "On ... wrote:" right above a deeper quote. A message replies to the one whose passages, or else their lines and
     sentences, it quotes:
     the outermost level that links decides, then the number of linked characters, then the later
     message. Without a link a message is a root. Reply order is by conversation, root, depth and
@@ -151,10 +182,16 @@ with recursive rows0 as (
   select rid, conv_id, turn, generate_subscripts(string_split_regex(text, '\r?\n'), 1) as pos, unnest(string_split_regex(text, '\r?\n')) as line from rows0
 ), parsed as (
   select rid, conv_id, turn, pos, length(regexp_replace(regexp_extract(line, '^[ \t]*>[> \t]*', 0), '[^>]', '', 'g')) as level,
-    trim(regexp_replace(lower(regexp_replace(line, '^[ \t]*>[> \t]*', '')), '\s+', ' ', 'g')) as norm from lines
+    trim(regexp_replace(lower(regexp_replace(line, '^[ \t]*>[> \t]*', '')), '\s+', ' ', 'g')) as plain, line from lines
+), named as (
+  select *, coalesce(regexp_matches(plain, '(?s)^on .+ wrote:\z') and lead(level) over (partition by rid order by pos) > level, false) as named from parsed
+), normed as (
+  select *, case when named then '' else plain end as norm from named
+), bodies as (
+  select rid, string_agg(line, chr(10) order by pos) as body from named where level = 0 and not named group by 1
 ), marked as (
   select *, case when norm = '' or coalesce(lag(norm) over w = '', true) or lag(level) over w <> level then 1 else 0 end as opens
-  from parsed window w as (partition by rid order by pos)
+  from normed window w as (partition by rid order by pos)
 ), runs as (
   select *, sum(opens) over (partition by rid order by pos rows unbounded preceding) as run from marked
 ), found as (
@@ -181,7 +218,7 @@ with recursive rows0 as (
   select conv_id, turn, count(*) as n from links group by 1, 2
 )
 select r.conv_id, r.turn, r.role,
-  regexp_replace(array_to_string(list_filter(string_split_regex(r.text, '\r?\n'), lambda x: not regexp_matches(x, '^[ \t]*>[> \t]*')), chr(10)), '^\s+|\s+$', '', 'g') as body,
+  regexp_replace(coalesce(b.body, ''), '^\s+|\s+$', '', 'g') as body,
   coalesce(c.n, 0)::bigint as n_passages, coalesce(l.n, 0)::bigint as n_linked, t.parent as parent_turn, coalesce(t.root, r.turn) as root_turn, coalesce(t.depth, 0)::bigint as depth
-from rows0 r left join tree t using (conv_id, turn) left join counted c using (conv_id, turn) left join linked l using (conv_id, turn)
+from rows0 r left join bodies b using (rid) left join tree t using (conv_id, turn) left join counted c using (conv_id, turn) left join linked l using (conv_id, turn)
 """
