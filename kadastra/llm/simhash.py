@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -98,6 +99,21 @@ def find_near(queries: DataFrame, fps: DataFrame, *, radius: int = RADIUS, block
     )
 
 
+def _range(value: Column, cuts: list[int]) -> Column:
+    """How many of the ascending `cuts` are at least `value`; one more than all for null. Found in two steps of about the root of their number."""
+    size = max(1, math.isqrt(len(cuts)))
+    groups = [cuts[k : k + size] for k in range(0, len(cuts), size)]
+    longs = lambda xs: F.array(*map(F.lit, xs)).cast("array<bigint>")
+    below = lambda xs: F.size(F.filter(xs, lambda c: c < value))
+    if not groups:
+        return F.when(value.isNull(), F.lit(1)).otherwise(F.lit(0))
+
+    def count(k: Column) -> Column:
+        return F.least(k * size, F.lit(len(cuts))) + below(F.coalesce(F.get(F.array(*map(longs, groups)), k), longs([])))
+
+    return F.when(value.isNull(), F.lit(len(cuts) + 1)).otherwise(F.lit(len(cuts)) - bound(below(longs([g[-1] for g in groups])), count))
+
+
 def with_next(docs: DataFrame, *, row_id: str = "doc_id") -> tuple[DataFrame, dict[int, int]]:
     """(rows, before): rows are (row_id, text, next_text, range, seq), each text beside that of the next row.
 
@@ -107,18 +123,18 @@ def with_next(docs: DataFrame, *, row_id: str = "doc_id") -> tuple[DataFrame, di
     a range is looked up for that row. Texts are shuffled once.
     """
     docs = docs.select(F.col(row_id).alias("id"), F.coalesce("text", F.lit("")).alias("text"))
-    n = max(2, min(10_000, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) * RANGES))
+    n = max(2, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) * RANGES)
     cuts = sorted(set(docs.agg(F.percentile_approx("id", [k / n for k in range(1, n)], 100_000)).first()[0] or []))
-    limits = F.array(*map(F.lit, cuts)).cast("array<bigint>")
-    number = F.when(F.col("id").isNull(), F.lit(len(cuts) + 1)).otherwise(F.size(F.filter(limits, lambda c: c >= F.col("id"))))
-    ranged = docs.withColumn("range", number)
+    ranged = docs.withColumn("range", _range(F.col("id"), cuts))
     heads = {r["range"]: r["id"] for r in ranged.groupBy("range").agg(F.max("id").alias("id")).collect()}
     order = sorted(heads)
     before = {b: a for a, b in zip([*order[-1:], *order[:-1]], order)}
     first = ranged.where(F.col("id").isin([v for v in heads.values() if v is not None]) | F.col("id").isNull())
     first = first.groupBy("range").agg(F.min("text").alias("value"))
     w = Window.partitionBy("range").orderBy(F.col("id").desc_nulls_last(), "text")
-    rows = ranged.withColumn("seq", F.row_number().over(w)).withColumn("inner", F.lead("text").over(w)).join(_moved(first, before), "range", "left")
+    rows = ranged.withColumn("seq", F.row_number().over(w)).withColumn("inner", F.lead("text").over(w))
+    # rows lie by range in order already, so a merge moves only the first texts; whole texts are never broadcast
+    rows = rows.join(_moved(first, before).hint("merge"), "range", "left")
     return rows.select(F.col("id").alias(row_id), "text", F.coalesce("inner", "value").alias("next_text"), "range", "seq"), before
 
 
