@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kadastra.llm.common import checkpoint, table
+from kadastra.operators.ranking import counts_before
 
 #: Words of a text: runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -29,27 +30,28 @@ def source_targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: i
     """(source, source_size, target) from rows (source, size).
 
     All sizes together are shared by weight; a target stops at `most` times its source's
-    size and the excess is shared again by weight until none is above. That fixed point is
-    min(most * size, level * weight) with one water level for all, found by a running sum
-    over the sources in order of most * size / weight. Works on the table of sources.
+    size and the excess is shared again by weight until none is above. Each sharing is one
+    sum over the table of sources, of which the driver keeps the level alone, and the sources'
+    places in order come from ranges of them, so no task sees all sources. Levels only rise,
+    so it ends; in practice after a few sharings.
     """
-    by = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
-    order = Window.orderBy(F.col("source").isNull(), F.col("source"))
-    w = F.element_at(F.array(*map(F.lit, weights)), (F.row_number().over(order) - 1) % len(weights) + 1)
-    by = by.withColumn("w", w.cast("double")).withColumn("cap", F.col("source_size") * float(most))
-    everyone = Window.partitionBy(F.lit(1))
-    filled = Window.partitionBy(F.lit(1)).orderBy(F.col("cap") / F.col("w"), F.col("source").isNull(), "source")
-    before = filled.rowsBetween(Window.unboundedPreceding, -1)
-    by = (
-        by.withColumn("total", F.sum("source_size").over(everyone))
-        .withColumn("w_left", F.sum("w").over(everyone) - F.coalesce(F.sum("w").over(before), F.lit(0.0)))
-        .withColumn("left", F.col("total") - F.coalesce(F.sum("cap").over(before), F.lit(0.0)))
-        .withColumn("level", F.col("left") / F.col("w_left"))
-        # the level holds from the first source whose cap it does not reach; from there on levels fall
-        .withColumn("at", F.when(F.col("level") * F.col("w") <= F.col("cap"), F.col("level")))
-        .withColumn("water", F.max("at").over(everyone))
+    by = checkpoint(sized.groupBy("source").agg(F.sum("size").alias("source_size")))
+    place = counts_before(by.select("source"), "source", descending=False).select(F.col("source").alias("_source"), "before")
+    w = F.element_at(F.array(*map(F.lit, weights)), (F.col("before") % len(weights) + 1).cast("int")).cast("double")
+    by = checkpoint(
+        by.join(place, F.col("source").eqNullSafe(F.col("_source")))
+        .select("source", "source_size", w.alias("w"), (F.col("source_size") * float(most)).alias("cap"))
     )
-    return by.select("source", "source_size", F.least("cap", F.coalesce(F.col("water") * F.col("w"), F.col("cap"))).alias("target"))
+    level, stopped = 0.0, None
+    while True:
+        full = F.col("cap") < F.col("w") * level
+        total, caps, w_left, n = by.agg(
+            F.sum("source_size"), F.sum(F.when(full, F.col("cap"))), F.sum(F.when(~full, F.col("w"))), F.count(F.when(full, True))
+        ).first()
+        if n == stopped or not w_left:
+            break
+        level, stopped = (total - (caps or 0.0)) / w_left, n
+    return by.select("source", "source_size", F.least("cap", F.col("w") * level).alias("target"))
 
 
 def balance(cells: DataFrame, targets: DataFrame, most: int = MOST) -> DataFrame:
