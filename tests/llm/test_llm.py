@@ -55,6 +55,53 @@ def test_quote_levels_and_order(spark):
     assert quotes.thread_conversations(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
 
 
+def test_names_of_writers_leave_the_bodies(spark):
+    rows = [
+        (1, 0, "a", "First thought.\n\nOn balance he wrote:\nnothing"),
+        (1, 1, "b", "Agreed.\nOn Monday, A wrote:\n> First thought.\n\nMore"),
+        (1, 2, "c", "On Tuesday, B wrote:\n> On Monday, A wrote:\n>> First thought.\n> More\nYes"),
+        (1, 3, "d", "> Agreed.\nSo do I"),
+    ]
+    got = {r["turn"]: r for r in quotes.thread_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert [got[k]["body"] for k in range(4)] == ["First thought.\n\nOn balance he wrote:\nnothing", "Agreed.\n\nMore", "Yes", "So do I"]
+    assert [got[k]["parent_turn"] for k in range(4)] == [None, 0, 1, 1] and got[2]["n_passages"] == 2
+
+
+def test_random_threads_against_sql(spark, tmp_path):
+    import duckdb
+    from compare import same
+
+    rng = random.Random(7)
+    rows = []
+    for conv in range(40):
+        said = []  # (turn, passage of one or two lines)
+        for turn in range(rng.randint(1, 9)):
+            lines = []
+            for _ in range(rng.randint(0, 3)):
+                if said:
+                    level, passage = rng.randint(1, 3), rng.choice(said)
+                    lines += [*(["On day 1, X wrote:"] if rng.random() < 0.4 else []), *("> " * level + x.upper() for x in passage), "> " * rng.randint(0, 1)]
+            own = [[f"c{conv} t{turn} p{k} l{n} says" for n in range(rng.randint(1, 2))] for k in range(rng.randint(0, 2))]
+            lines += [x for p in own for x in [*p, ""]]
+            said += own
+            rows.append((conv if rng.random() > 0.02 else None, turn, "u", rng.choice(["\n", "\r\n"]).join(lines) if lines else None, "clash", 1))
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, body string, depth long")
+    df.write.parquet(f"{tmp_path}/conversations.parquet")
+    got = quotes.op1_quotes(spark, str(tmp_path))
+    assert got.where("depth > 1").count() > 20
+    con = duckdb.connect()
+    con.execute(f"create view conversations as select * from read_parquet('{tmp_path}/conversations.parquet/*.parquet')")
+    same(got, con, ORACLE_SQL["op1_quotes"])
+
+
+def test_long_and_missing_messages(spark):
+    long = "\n".join(f"> line {k}" if k % 3 else f"own {k}" for k in range(60_000))
+    rows = [(1, 0, "a", long), (1, 0, "a", long), (1, None, "b", "> own 3"), (2, 1, None, None), (2, 1, None, "")]
+    got = quotes.thread_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    assert len(got) == 5 and {r["depth"] for r in got} == {0}
+    assert {r["n_passages"] for r in got if r["conv_id"] == 1 and r["turn"] == 0} == {20_000}
+
+
 def test_long_reply_chain(spark):
     rows = [(1, i, "u", (f"> line {i - 1}\n" if i else "") + f"line {i}") for i in range(70)]
     got = quotes.thread_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
@@ -96,6 +143,18 @@ def test_simhash_edge(spark, edge):
     assert simhash.fingerprint_documents(edge.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("cuts", [[], [5], [1, 2, 3, 9, 10, 40, 41], list(range(0, 3000, 3))])
+def test_ranges_of_ids(spark, cuts):
+    got = spark.range(-3, 60).select("id", simhash._range(F.col("id"), cuts).alias("k")).collect()
+    assert all(r["k"] == sum(c >= r["id"] for c in cuts) for r in got)
+    assert spark.range(1).select(simhash._range(F.lit(None).cast("long"), cuts)).first()[0] == len(cuts) + 1
+
+
+def test_first_texts_are_not_broadcast(spark, data):
+    rows, _ = simhash.with_next(spark.read.parquet(f"{data}/documents.parquet"))
+    assert "Broadcast" not in rows._jdf.queryExecution().executedPlan().toString()
+
+
 def test_simhash_votes(spark):
     t = "a b c d e f g"
     w = t.split()
@@ -275,6 +334,15 @@ def test_mixing_targets(spark, data, texts):
     assert again == {i: r["taken"] for i, r in got.items()}
 
 
+def test_many_sources_share_by_weight(spark):
+    sizes = {f"s{k:04d}": 1 + (k * 7919) % 5003 ** (1 + k % 2) for k in range(700)} | {None: 40, "": 0, "é": 11}
+    rows = spark.createDataFrame([(s, n) for s, n in sizes.items()], "source string, size long")
+    got = {r["source"]: r["target"] for r in mixing.source_targets(rows).collect()}
+    want = targets(sizes)
+    assert got.keys() == want.keys() and all(abs(got[s] - want[s]) <= 1e-9 * max(1, want[s]) for s in want)
+    assert mixing.source_targets(rows.where("source = ''")).first()["target"] == 0
+
+
 def test_mixing_edge(spark, edge):
     got = mixing.mix(edge, mixing.word_count(F.col("text"))).collect()
     assert len(got) == 9 and all(r["taken"] == r["copies"] * r["size"] <= 3 * r["size"] for r in got)
