@@ -6,7 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from kadastra.llm.audit import OP12_SQL, op12_filter_audit
 from kadastra.llm.bpe import op6_bpe
+from kadastra.llm.gnat import OP13_SQL, op13_vector_codes
+from kadastra.llm.licenses import OP11_SQL, op11_licenses
 from kadastra.llm.mixing import op5_mixing
 from kadastra.llm.pii import op8_pii
 from kadastra.llm.pivots import OP9_SQL, op9_pivots
@@ -28,6 +31,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pii": op8_pii,
     "op9_pivots": op9_pivots,
     "op10_secrets": op10_secrets,
+    "op11_licenses": op11_licenses,
+    "op12_filter_audit": op12_filter_audit,
+    "op13_vector_codes": op13_vector_codes,
 }
 
-ORACLE_SQL: dict[str, str] = {"op1_quotes": OP1_SQL, "op9_pivots": OP9_SQL, "op10_secrets": OP10_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_quotes": OP1_SQL, "op9_pivots": OP9_SQL, "op10_secrets": OP10_SQL, "op11_licenses": OP11_SQL, "op12_filter_audit": OP12_SQL, "op13_vector_codes": OP13_SQL}
