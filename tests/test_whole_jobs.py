@@ -4,7 +4,6 @@ from collections import Counter
 
 from pyspark.sql import functions as F
 
-from kadastra.llm import quotes
 from kadastra.operators import graph as G
 from kadastra.operators import retrieval as R
 from kadastra.plans import QUERIES
@@ -46,20 +45,6 @@ def test_negative_pairs_query(spark, data):
     assert got == {k: n for k, n in ends.items() if n}
 
 
-def test_trimmed_and_interleaved_quotes_link(spark):
-    para = "The first line of it\nand the second line.\nA third one! Then the last line"
-    rows = [
-        (1, 0, "a", para), (1, 1, "b", "unrelated words"), (1, 2, "c", "> and the second line.\nonly that"), (1, 3, "d", "> The first line of it\nwhy?\n> A third one! Then the last line\nand this?"),
-        (1, 4, "e", "> A third one!\nyes"), (1, 5, "f", "> the first line of it and\n> the second line.\nrewrapped"), (1, 6, "g", "> never said by anyone\nno"), (1, 7, "h", "> unrelated words\nwhole"),
-        (2, 1, "b", "> and the second line.\nother conversation"), (3, 0, "a", "ok. now"), (3, 1, "b", "ok. a much longer line here.\nand more"), (3, 2, "c", "> ok. a much longer line here.\nmost characters"),
-    ]
-    got = quotes.thread_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
-    key = {(r["conv_id"], r["turn"]): (r["parent_turn"], r["n_passages"], r["n_linked"], r["depth"]) for r in got}
-    assert key[1, 2] == (0, 1, 1, 1) and key[1, 3] == (0, 2, 2, 1) and key[1, 4] == (0, 1, 1, 1) and key[1, 5] == (0, 1, 1, 1)
-    assert key[1, 6] == (None, 1, 0, 0) and key[1, 7] == (1, 1, 1, 1) and key[2, 1] == (None, 1, 0, 0) and key[3, 2] == (1, 1, 1, 1)
-    assert {(r["turn"], r["body"]) for r in got if r["conv_id"] == 1} >= {(2, "only that"), (3, "why?\nand this?")}
-
-
 def test_approximate_query_asks_every_fiftieth(spark, data):
     asked = {r["vec_id"] for r in spark.read.parquet(f"{data}/embeddings.parquet").where("vec_id % 50 = 0").collect()}
     assert {r["query_id"] for r in QUERIES["ret2_approximate_top_k"](spark, data).select("query_id").distinct().collect()} == asked
