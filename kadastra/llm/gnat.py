@@ -28,9 +28,9 @@ _TOP = (1 << 63) - 1
 def quantise(values: np.ndarray) -> np.ndarray:
     """floor(256 x) of doubles, exactly: int64 where all fit, else Python's integers."""
     values = np.asarray(values, np.float64)
-    if not values.size or np.abs(values).max() < 2.0**40:
+    if not values.size or np.abs(values).max() < 2.0**53:
         return np.floor(values * SCALE).astype(np.int64)
-    return np.array([math.floor(v * SCALE) if abs(v) < 2.0**40 else int(v) * SCALE for v in values.ravel()], object).reshape(values.shape)
+    return np.array([math.floor(v * SCALE) if abs(v) < 2.0**53 else int(v) * SCALE for v in values.ravel()], object).reshape(values.shape)
 
 
 def _fitting(*arrays: np.ndarray) -> list[np.ndarray]:
@@ -75,7 +75,8 @@ def build(entries: np.ndarray, ids: np.ndarray | None = None) -> Node | np.ndarr
 
     Split points are chosen far apart, greedily; every other entry goes to its nearest one. Entries that are all equal make a leaf, however many they are.
     """
-    ids = np.arange(len(entries)) if ids is None else ids
+    if ids is None:
+        entries, ids = _fitting(entries)[0], np.arange(len(entries))
     if len(ids) <= LEAF:
         return ids
     d = squared(entries[ids], entries[ids])
