@@ -29,7 +29,10 @@ _DIGIT = re.compile(r"[0-9]")
 _PLUS = re.compile(r"\+[0-9]{1,3}[\x20.-]?(?:\([0-9]{1,4}\)[\x20.-]?)?[0-9]{2,4}(?:[\x20.-][0-9]{2,4}){1,3}(?![0-9])")
 _NUMBER = re.compile(r"(?<![\w.+-])\(?[0-9]{2,4}\)?[\x20.-][0-9]{2,4}(?:[\x20.-][0-9]{2,4}){1,3}(?![\w-])")
 #: Addresses with the signs spelt out, four numbers within longer dotted runs, and addresses of eight hexadecimal groups.
-_SPELT = re.compile(r"(?<![\w.])[A-Za-z0-9_%+-]{2,40}(?:\.[A-Za-z0-9_%+-]{1,40})*\s?[\[({]at[\])}]\s?[A-Za-z0-9-]{2,40}(?:\s?[\[({]dot[\])}]\s?[A-Za-z0-9-]{2,20})+", re.I)
+_AT = re.compile(r"[\[({]at[\])}]\s?[A-Za-z0-9-]{2,40}(?:\s?[\[({]dot[\])}]\s?[A-Za-z0-9-]{2,20})+", re.I)
+_NAME = re.compile(r"[A-Za-z0-9_%+-]{2,40}(?:\.[A-Za-z0-9_%+-]{1,40})*")
+#: Signs of a local part before a spelt sign, at most; mail systems allow 64.
+_LOCAL_SIGNS = 64
 _QUAD = re.compile(r"(?<![0-9])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9])")
 _COLONS = re.compile(r"(?<![\w:.])[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){7}(?![\w:])")
 _GROUP = re.compile(r"[0-9]++")
@@ -42,14 +45,22 @@ _NAMED = {
     "phone": ("phone", "tel", "call", "mobile", "fax", "cell", "whatsapp", "sms", "telefon", "portable"),
 }
 _AGAINST = ("version", "isbn", "issn", "order", "invoice", "page", "chapter", "section", "figure", "table", "no.", "id", "$", "#", "ref")
-#: Domains of all kinds (those of two letters are countries'), first digits of card issuers, calling codes of two digits.
+#: The generic domains of the first rounds of delegation (those of two letters are countries').
 _TOP_LEVEL = frozenset("com org net edu gov int mil arpa info biz name pro aero coop museum jobs mobi travel tel cat asia post app dev blog shop online site xyz".split())
-_ISSUERS = ("22", "23", "24", "25", "26", "27", "34", "35", "36", "37", "38", "4", "50", "51", "52", "53", "54", "55", "56", "57", "58", "60", "62", "63", "64", "65", "67")
-_TWO_DIGITS = frozenset("20 27 28 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split())
+#: Card networks' ranges of first digits and the lengths of their numbers, as the networks publish them under ISO/IEC 7812.
+_ISSUERS = (
+    ("2200", "2204", 16, 19), ("2221", "2720", 16, 16), ("300", "305", 14, 19), ("3095", "3095", 14, 19), ("34", "34", 15, 15), ("3528", "3589", 16, 19), ("36", "36", 14, 19), ("37", "37", 15, 15), ("38", "39", 14, 19),
+    ("4", "4", 13, 19), ("50", "50", 12, 19), ("51", "55", 16, 16), ("56", "59", 12, 19), ("60", "69", 12, 19), ("81", "82", 16, 19),
+)
+#: Country codes that are assigned, as ranges (ITU-T E.164).
+_CALLING = "1 7 20 211-213 216 218 220-258 260-269 27 290-291 297-299 30-34 350-359 36 370-379 380-383 385-387 389 39-41 420-421 423 43-49 500-509 51-58 590-599 60-66 670 672-679 680-683 685-692 800 808 81-82 84 850 852-853 855-856 86 870 878 880-883 886 888 90-95 960-968 970-977 979 98 992-996 998"
+_CODES = frozenset(str(n) for part in _CALLING.split() for n in range(int(part.split("-")[0]), int(part.split("-")[-1]) + 1))
+#: Networks that no host of the public internet has (IANA's registry of special addresses): this network, loopback, documentation, benchmarks, multicast and beyond.
+_SPECIAL = (((0,), 8), ((127,), 8), ((192, 0, 2), 24), ((198, 18), 15), ((198, 51, 100), 24), ((203, 0, 113), 24), ((224,), 3))
 #: Votes: 1 for, 0 against, 2 none.
 LABELERS = ("regex", "arithmetic", "context", "gazetteer", "neighbours")
-#: Before any text is seen, the other labelers are taken to vote for so many of the false and of the true spans, as if so many had been seen.
-FOR = ((0.2, 0.2, 0.4, 0.6), (0.98, 0.8, 0.8, 0.8))
+#: Before any text is seen, the labelers are taken to vote for so many of the false and of the true spans, as if so many had been seen.
+FOR = ((0.3, 0.2, 0.2, 0.4, 0.6), (0.7, 0.98, 0.8, 0.8, 0.8))
 SEEN = (4.0, 20.0)
 #: Added spans need this probability from the classifier.
 SURE = 0.9
@@ -111,6 +122,18 @@ def _number_groups(text: str, start: int, end: int) -> Iterator[tuple[int, int]]
         k += max(n, 1)
 
 
+def _spelt(text: str) -> Iterator[tuple[int, int]]:
+    """Addresses with the signs spelt out: each spelt sign is found first, then its local part by walking back over a bounded run."""
+    for m in _AT.finditer(text):
+        end = m.start() - (m.start() > 0 and text[m.start() - 1].isspace())
+        start = end
+        while start > 0 and end - start <= _LOCAL_SIGNS and text[start - 1] in _LOCAL_CHARS:
+            start -= 1
+        whole = start == 0 or not (text[start - 1].isalnum() or text[start - 1] == "_")
+        if whole and end - start <= _LOCAL_SIGNS and _NAME.fullmatch(text, start, end):
+            yield start, m.end()
+
+
 def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int, bool]]:
     """(start, kind number, end, is base): base spans, and wider matches that touch none of them.
 
@@ -121,7 +144,7 @@ def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, i
     out = [(s, k, e, True) for s, k, e in base]
     wider = []
     if ("[" in text or "(" in text or "{" in text) and "at" in text.lower():
-        wider += [(m.start(), 0, m.end()) for m in _SPELT.finditer(text)]
+        wider += [(s, 0, e) for s, e in _spelt(text)]
     if _DIGIT.search(text):
         wider += [(m.start(), 1, m.end()) for m in _QUAD.finditer(text)]
         if ":" in text:
@@ -145,25 +168,37 @@ def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, i
     return out
 
 
+def _is_special(groups: list[str]) -> bool:
+    """Whether four numbers lie in one of the networks that no public host has."""
+    address = 0
+    for g in groups[:4]:
+        address = address << 8 | min(int(g.lstrip("0")[:4] or 0), 255)
+    for first, bits in _SPECIAL:
+        net = int.from_bytes(bytes((*first, 0, 0, 0, 0)[:4]))
+        if address >> (32 - bits) == net >> (32 - bits):
+            return True
+    return False
+
+
 def _gazetteer(kind: int, value: str, groups: list[str]) -> int:
-    """Whether the value's beginning or end stands in the list for its kind."""
+    """Whether the value stands in the table for its kind: domains, public networks, card ranges with lengths, country codes."""
+    digits = "".join(groups)
     if kind == 0:
         last = re.split(r"[.@\s\[\](){}]+", value.lower().rstrip("])} "))[-1]
         return int(last in _TOP_LEVEL or len(last) == 2 and last.isalpha())
     if kind == 1:
-        return 2 if ":" in value else int(0 < int(groups[0].lstrip("0")[:4] or 0) < 224)
+        return 2 if ":" in value else int(not _is_special(groups))
     if kind == 2:
-        return int(value.startswith(_ISSUERS))
+        return int(any(low <= digits[: len(low)] <= high and a <= len(digits) <= b for low, high, a, b in _ISSUERS))
     if not value.startswith("+"):
         return 2
-    code = "".join(groups)
-    return int(code[0] in "17" or code[:2] in _TWO_DIGITS or code[0] in "2345689" and code[:2] not in _TWO_DIGITS)
+    return int(any(digits[:n] in _CODES for n in (1, 2, 3)))
 
 
 def votes(text: str, span: tuple[int, int, int, bool]) -> tuple[str, str]:
     """(votes, form) of a candidate: the kind and a digit for each labeler; the kind and the classifier's discrete features.
 
-    The regex labeler votes for base spans and has no vote on others. The others judge by the kind's arithmetic (check digit,
+    The regex labeler votes for base spans and against others, which its patterns pass over. The others judge by the kind's arithmetic (check digit,
     numbers up to 255, how many digits), by words before the span, by lists of known beginnings and ends, and by the characters beside it.
     """
     start, kind, end, is_base = span
@@ -187,7 +222,7 @@ def votes(text: str, span: tuple[int, int, int, bool]) -> tuple[str, str]:
     neighbours = int(not (longer or re.search(r"[\w=/$#%+-]", beside)))
     gazetteer = _gazetteer(kind, value, groups)
     form = f"{kind}{shape}{structure}{context}{gazetteer}{neighbours}{min(len(digits) // 2, 9)}{min(len(groups), 9)}{int('(' in value)}"
-    return f"{kind}{1 if is_base else 2}{structure}{context}{gazetteer}{neighbours}", form
+    return f"{kind}{int(is_base)}{structure}{context}{gazetteer}{neighbours}", form
 
 
 def vote_counts(docs: DataFrame, *, text: str = "text") -> DataFrame:
@@ -205,25 +240,22 @@ def vote_counts(docs: DataFrame, *, text: str = "text") -> DataFrame:
     return docs.select(text).mapInArrow(run, "votes string, form string, n long").groupBy("votes", "form").agg(F.sum("n").alias("n"))
 
 
-def fit_labelers(patterns: list[tuple[str, float]], rounds: int = 200) -> tuple[float, np.ndarray]:
+def fit_labelers(patterns: list[tuple[str, float]], rounds: int = 500) -> tuple[float, np.ndarray]:
     """(prior, share[truth, labeler] of votes for) by expectation-maximisation over counted vote patterns of one kind.
 
-    A pattern's first vote is the regex labeler's: what it votes for is personal data by definition, so the other labelers are measured
-    on it; the spans that it leaves open are weighed by their votes, round by round, and the prior is theirs. A missing vote says nothing.
-    Counts have those of FOR and SEEN added, so truth keeps its meaning where all spans vote alike. The number of patterns is
-    bounded by 3 to the number of labelers.
+    All five labelers vote and all are measured, the regex labeler too: no span is taken to be true beforehand, base spans are weighed by the votes on them like all
+    others. A missing vote says nothing. Counts have those of FOR and SEEN added, so truth keeps its meaning where all spans vote alike.
+    The number of patterns is bounded by 3 to the number of labelers.
     """
     v = np.array([[int(c) for c in p] for p, _ in patterns])
     n = np.array([float(x) for _, x in patterns])
-    known = v[:, 0] == 1
     prior, share = 0.5, np.array(FOR)
     post = np.array([posterior(p, prior, share) for p, _ in patterns])
     for _ in range(rounds):
-        prior = float((n * post)[~known].sum() + 2) / (n[~known].sum() + 4)
+        prior = float((n * post).sum() + 2) / (n.sum() + 4)
         for truth, weight in enumerate((n * (1 - post), n * post)):
             for j in range(share.shape[1]):
-                voted = v[:, j + 1] != 2
-                share[truth, j] = (weight[v[:, j + 1] == 1].sum() + SEEN[truth] * FOR[truth][j]) / (weight[voted].sum() + SEEN[truth])
+                share[truth, j] = (weight[v[:, j] == 1].sum() + SEEN[truth] * FOR[truth][j]) / (weight[v[:, j] != 2].sum() + SEEN[truth])
         new = np.array([posterior(p, prior, share) for p, _ in patterns])
         if np.abs(new - post).max() < 1e-9:
             break
@@ -233,10 +265,8 @@ def fit_labelers(patterns: list[tuple[str, float]], rounds: int = 200) -> tuple[
 
 def posterior(pattern: str, prior: float, share: np.ndarray) -> float:
     """Probability of personal data from the votes on one span."""
-    if pattern[0] == "1":
-        return 1.0
     score = math.log(prior / (1 - prior))
-    for j, c in enumerate(pattern[1:]):
+    for j, c in enumerate(pattern):
         if c != "2":
             no, yes = share[0, j], share[1, j]
             score += math.log(yes / no) if c == "1" else math.log((1 - yes) / (1 - no))
