@@ -1,10 +1,17 @@
-"""Polygons: a point's area and areas that touch."""
+"""Polygons: centres, covers by cells, a point's area and areas that touch."""
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kadastra.operators.storage import cut_lineage
+
 
 def inside(x: Column, y: Column, ring: Column) -> Column:
     """Even-odd rule: whether a ray from the point crosses the closed ring an odd number of times."""
@@ -18,24 +25,161 @@ def inside(x: Column, y: Column, ring: Column) -> Column:
     return F.size(F.filter(edges, lambda e: e)) % 2 == 1
 
 
-def point_in_area(points: DataFrame, areas: DataFrame, *, key: str = "name", cell: float = 1.0) -> DataFrame:
-    """`points` (name, x, y) with the first area (area, rings) that holds each, or null.
+def in_rings(x: Column, y: Column, rings: Column) -> Column:
+    """Even-odd rule over all rings: holes count as outside."""
+    return F.size(F.filter(rings, lambda r: inside(x, y, r))) % 2 == 1
+
+
+def centroid(rings: Column) -> Column:
+    """(x, y) of the centre of gravity of an area. Rings within an odd number of others are holes; without any extent it is the mean of all points."""
+
+    def moments(ring: Column, i: Column) -> Column:
+        o = ring[0]  # sums are taken from the ring's own first point, so that far away rings lose nothing
+        start = F.struct(F.lit(0.0).alias("a"), F.lit(0.0).alias("x"), F.lit(0.0).alias("y"))
+
+        def add(acc: Column, k: Column) -> Column:
+            px, py, qx, qy = (F.get(ring, k + j)[c] - o[c] for j in (0, 1) for c in ("x", "y"))
+            w = px * qy - qx * py
+            return F.struct((acc["a"] + w).alias("a"), (acc["x"] + w * (px + qx)).alias("x"), (acc["y"] + w * (py + qy)).alias("y"))
+
+        sums = F.aggregate(F.sequence(F.lit(0), F.greatest(F.size(ring) - 2, F.lit(0))), start, lambda acc, k: F.when(F.size(ring) > 1, add(acc, k)).otherwise(acc))
+        around = F.size(F.filter(rings, lambda r, j: (j != i) & inside(o["x"], o["y"], r)))
+        sign = F.when(around % 2 == 1, F.lit(-1.0)).otherwise(F.lit(1.0))
+
+        def placed(m: Column) -> Column:
+            weight = sign * F.abs(m["a"])
+            middle = lambda c: o[c] + F.coalesce(m[c] / F.nullif(3 * m["a"], F.lit(0.0)), F.lit(0.0))
+            return F.struct(weight.alias("a"), (weight * middle("x")).alias("x"), (weight * middle("y")).alias("y"))
+
+        return F.transform(F.array(sums), placed)[0]
+
+    parts = F.transform(F.filter(rings, lambda r: F.size(r) > 0), moments)
+    total = lambda c: F.aggregate(parts, F.lit(0.0), lambda acc, m: acc + m[c])
+    mean = lambda c: F.aggregate(F.flatten(rings), F.lit(0.0), lambda acc, p: acc + p[c]) / F.nullif(F.size(F.flatten(rings)), F.lit(0))
+    flat = total("a") == 0
+    one = lambda c: F.when(flat, mean(c)).otherwise(total(c) / F.nullif(total("a"), F.lit(0.0)))
+    return F.struct(one("x").alias("x"), one("y").alias("y"))
+
+
+def _edges(rings: list) -> np.ndarray:
+    found = [(p["x"], p["y"], q["x"], q["y"]) for r in rings or [] for p, q in zip(r, r[1:])]
+    return np.array(found, np.float64).reshape(-1, 4)
+
+
+def _cover(edges: np.ndarray, most: int) -> Iterator[tuple[int, int, int, bool]]:
+    """(level, cx, cy, inner): cells of side 2^level that cover the area; inner ones lie in it as a whole."""
+    x, y = edges[:, [0, 2]], edges[:, [1, 3]]
+    reach = max(np.ptp(x), np.ptp(y), 2.0**-60)
+    level = math.ceil(math.log2(reach))
+    at = lambda v: math.floor(v / 2.0**level)
+    cells = np.array([(i, j) for i in range(at(x.min()), at(x.max()) + 1) for j in range(at(y.min()), at(y.max()) + 1)], np.int64)
+    inner = 0
+    while True:
+        side = 2.0**level
+        x0, y0 = cells[:, :1] * side, cells[:, 1:] * side
+        meets = (x.min(axis=1) <= x0 + side) & (x.max(axis=1) >= x0) & (y.min(axis=1) <= y0 + side) & (y.max(axis=1) >= y0)
+        # an edge whose line has all four corners on one side doesn't meet the cell; what rounding leaves open counts as meeting
+        dx, dy = edges[:, 2] - edges[:, 0], edges[:, 3] - edges[:, 1]
+        turns = np.stack([dx * (y0 + v * side - edges[:, 1]) - dy * (x0 + u * side - edges[:, 0]) for u in (0, 1) for v in (0, 1)])
+        doubt = 1e-9 * (np.abs(dx) + np.abs(dy)) * (np.abs(x0) + np.abs(y0) + side + np.abs(edges[:, 0]) + np.abs(edges[:, 1]))
+        meets &= (turns.min(axis=0) <= doubt) & (turns.max(axis=0) >= -doubt)
+        border = meets.any(axis=1)
+        free = cells[~border]
+        cx, cy = (free[:, :1] + 0.5) * side, (free[:, 1:] + 0.5) * side
+        cross = (edges[:, 1] > cy) != (edges[:, 3] > cy)
+        right = cx < edges[:, 0] + (cy - edges[:, 1]) * dx / np.where(dy == 0, 1, dy)
+        for i, j in free[(cross & right).sum(axis=1) % 2 == 1].tolist():
+            inner += 1
+            yield level, i, j, True
+        cells = cells[border]
+        if not len(cells) or inner + 4 * len(cells) > most or side < reach / 4096 or np.abs(cells).max() > 1 << 50:
+            break
+        cells = np.concatenate([cells * 2 + (u, v) for u in (0, 1) for v in (0, 1)])
+        level -= 1
+    for i, j in cells.tolist():
+        yield level, i, j, False
+
+
+def cover(areas: DataFrame, *, most: int = 256) -> DataFrame:
+    """(area, level, cx, cy, inner): a quadtree cover of each area by at most `most` cells, as deep as that allows.
 
-    Areas are listed under the grid cells that their bounding box covers and points meet them by cell; the
-    ring test follows. Holes count as outside, as the even-odd rule over all rings says.
+    Cells have a side of 2^level and start at multiples of it, so an area is covered in its own scale however large or small it is. Only cells that the border
+    meets are split. Areas without edges have no cells, nor have those with coordinates that aren't finite.
     """
-    flat = F.flatten("rings")
-    xs, ys = F.transform(flat, lambda p: p["x"]), F.transform(flat, lambda p: p["y"])
-    bounds = {"x0": F.array_min(xs), "x1": F.array_max(xs), "y0": F.array_min(ys), "y1": F.array_max(ys)}
-    box = areas.select("area", "rings", *(F.floor(v / cell).cast("long").alias(n) for n, v in bounds.items()))
-    cells = box.select("area", "rings", F.explode(F.sequence("x0", "x1")).alias("cx"), "y0", "y1").select("area", "rings", "cx", F.explode(F.sequence("y0", "y1")).alias("cy"))
-    p = points.withColumn("cx", F.floor(F.col("x") / cell)).withColumn("cy", F.floor(F.col("y") / cell))
-    odd = F.size(F.filter("rings", lambda r: inside(F.col("x"), F.col("y"), r))) % 2 == 1
-    hits = p.join(cells, ["cx", "cy"]).where(odd)
-    first = hits.groupBy(key).agg(F.min("area").alias("area"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for area, rings in zip(batch.column(0).to_pylist(), batch.column(1)):
+                edges = _edges([r for r in rings.as_py() or [] if r])
+                if len(edges) and np.isfinite(edges).all():
+                    rows += [(area, *cell) for cell in _cover(edges, most)]
+            kinds = [batch.schema.field(0).type, pa.int32(), pa.int64(), pa.int64(), pa.bool_()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["area", "level", "cx", "cy", "inner"])
+
+    return areas.select("area", "rings").mapInArrow(run, f"area {areas.schema['area'].dataType.simpleString()}, level int, cx long, cy long, inner boolean")
+
+
+def areas_at(points: DataFrame, areas: DataFrame, *, key: str = "name", most: int = 256) -> DataFrame:
+    """(key, area): all areas that hold each point (key, x, y).
+
+    Points meet the cells of the areas' covers by equality, once for each level that occurs; inner cells are answers by themselves, only those on the border ask the ring
+    test. A cell is no larger than its area and their number for each area is bounded, so neither tiny nor huge areas are listed in many cells.
+    """
+    cells = cut_lineage(cover(areas, most=most))
+    levels = sorted(r["level"] for r in cells.select("level").distinct().collect())  # exponents of two: some dozens
+    usable = points.where((F.abs("x") < float("inf")) & (F.abs("y") < float("inf"))).select(key, "x", "y")
+    at = usable.withColumn("level", F.explode(F.array(*map(F.lit, levels)).cast("array<int>")))
+    side = F.pow(F.lit(2.0), F.col("level"))
+    met = at.withColumn("cx", F.floor(F.col("x") / side)).withColumn("cy", F.floor(F.col("y") / side)).join(cells, ["level", "cx", "cy"]).select(key, "x", "y", "area", "inner")
+    tested = met.where("not inner").join(areas.select("area", "rings"), "area").where(in_rings(F.col("x"), F.col("y"), F.col("rings")))
+    return met.where("inner").select(key, "area").unionByName(tested.select(key, "area"))
+
+
+def point_in_area(points: DataFrame, areas: DataFrame, *, key: str = "name", most: int = 256) -> DataFrame:
+    """`points` (name, x, y) with the first area (area, rings) that holds each, or null."""
+    first = areas_at(points, areas, key=key, most=most).groupBy(key).agg(F.min("area").alias("area"))
     return points.join(first, key, "left")
 
 
+def touching(areas: DataFrame, digits: int = 6) -> DataFrame:
+    """(a, b): areas whose polygon b meets the border of a: in a point, along part of an edge, by crossing it, or by holding all of it.
+
+    Edges are put into cells of about their own size, four at most, and into the larger cells around these for each size that occurs; two edges that meet
+    share a point, and so the cell around it that has the larger one's size. Only edges in one cell with overlapping boxes
+    are compared. Coordinates are rounded to `digits` and compared as integers, so contact is exact. An area that lies within another without
+    touching its border is found by a point of each ring. Areas don't meet themselves.
+    """
+    whole = lambda c: F.round(c * 10**digits).cast("long")
+    ring = areas.where(F.col("area").isNotNull()).select("area", F.explode("rings").alias("r"))
+    pairs = F.transform(F.slice("r", 1, F.greatest(F.size("r") - 1, F.lit(0))), lambda p, i: F.struct(whole(p["x"]).alias("x1"), whole(p["y"]).alias("y1"), whole(F.get("r", i + 1)["x"]).alias("x2"), whole(F.get("r", i + 1)["y"]).alias("y2")))
+    e = ring.select("area", F.explode(pairs).alias("e")).select("area", "e.*").where("x1 is not null and y1 is not null and x2 is not null and y2 is not null").distinct()
+    e = e.select("*", F.least("x1", "x2").alias("x0"), F.greatest("x1", "x2").alias("xx"), F.least("y1", "y2").alias("y0"), F.greatest("y1", "y2").alias("yy"))
+    level = F.ceil(F.log2(F.greatest(F.col("xx") - F.col("x0"), F.col("yy") - F.col("y0"), F.lit(1)).cast("double"))).cast("int")
+    e = cut_lineage(e.withColumn("own", level))
+    levels = F.array(*(F.lit(r["own"]) for r in e.select("own").distinct().orderBy("own").collect())).cast("array<int>")  # 64 at most
+    cells = F.expr("flatten(transform(sequence(shiftright(x0, level), shiftright(xx, level)), cx -> transform(sequence(shiftright(y0, level), shiftright(yy, level)), cy -> struct(cx, cy))))")
+    spread = e.withColumn("level", F.explode(F.filter(levels, lambda v: v >= F.col("own")))).withColumn("c", F.explode(cells))
+    names = ["area", "x1", "y1", "x2", "y2", "x0", "xx", "y0", "yy"]
+    side = lambda df, n: df.select("level", F.col("c.cx").alias("cx"), F.col("c.cy").alias("cy"), *(F.col(c).alias(f"{n}_{c}") for c in names))
+    p, q = side(spread, "p"), side(spread.where("level = own"), "q")
+    boxes = "p_area <> q_area and p_x0 <= q_xx and q_x0 <= p_xx and p_y0 <= q_yy and q_y0 <= p_yy"
+
+    def turn(a: tuple[str, str], b: tuple[str, str], c: tuple[str, str]) -> Column:
+        """On which side of the line from a to b the point c lies."""
+        gap = lambda u, v: (F.col(v) - F.col(u)).cast("decimal(19,0)")
+        left, right = gap(a[0], b[0]) * gap(a[1], c[1]), gap(a[1], b[1]) * gap(a[0], c[0])
+        return F.when(left > right, 1).when(left < right, -1).otherwise(0)
+
+    ends = {n: ((f"{n}_x1", f"{n}_y1"), (f"{n}_x2", f"{n}_y2")) for n in "pq"}
+    # with overlapping boxes, edges meet unless one lies wholly on one side of the other's line
+    apart = (turn(*ends["p"], ends["q"][0]) * turn(*ends["p"], ends["q"][1]) > 0) | (turn(*ends["q"], ends["p"][0]) * turn(*ends["q"], ends["p"][1]) > 0)
+    met = p.join(q, ["level", "cx", "cy"]).where(boxes).where(~apart).select(F.col("p_area").alias("a"), F.col("q_area").alias("b")).distinct()
+    corners = ring.where(F.size("r") > 0).select(F.struct("area", F.monotonically_increasing_id().alias("_n")).alias("name"), F.col("r")[0]["x"].alias("x"), F.col("r")[0]["y"].alias("y"))
+    held = areas_at(cut_lineage(corners), areas).select(F.col("name.area").alias("a"), F.col("area").alias("b")).where("a <> b")
+    return met.unionByName(met.select(F.col("b").alias("a"), F.col("a").alias("b"))).unionByName(held).distinct()
+
+
 def adjacent(areas: DataFrame, digits: int = 6) -> DataFrame:
     """(a, b): areas with a common border edge, both ways, without themselves. Edges are met by equality."""
     points = areas.select("area", F.explode("rings").alias("r"))
@@ -44,5 +188,3 @@ def adjacent(areas: DataFrame, digits: int = 6) -> DataFrame:
     edges = points.select("area", F.explode(F.transform(F.slice("r", 1, F.size("r") - 1), lambda p, i: F.array_join(pair(at(p), at(F.get("r", i + 1))), "|"))).alias("edge")).distinct()
     e = edges.alias("l").join(edges.withColumnRenamed("area", "other").alias("m"), "edge")
     return e.where("area <> other").select(F.col("area").alias("a"), F.col("other").alias("b")).distinct()
-
-

@@ -154,3 +154,37 @@ def squares(spark, d):
 @query("join8_adjacent_areas", "with s as (select c_custkey % 10 as i, c_custkey // 10 as j from customer where c_custkey // 10 <= (select max(c_custkey) // 20 from customer)), m(di, dj) as (values (0, 1), (0, -1), (1, 0), (-1, 0)) select 'sq' || a.i || ':' || a.j as a, 'sq' || b.i || ':' || b.j as b from s a, m, s b where b.i = a.i + di and b.j = a.j + dj")
 def join8(spark, d):
     return Y.adjacent(squares(spark, d))
+
+
+#: Triangles of very different sizes, by customers' balances and nations, and small ones by suppliers.
+TRIANGLES = """big as (select c_custkey as k, floor(c_acctbal)::bigint as x, (c_custkey * 7 % 1500)::bigint as y, (3 + c_nationkey * c_nationkey)::bigint as s from customer where c_acctbal is not null),
+small as (select s_suppkey as k, floor(s_acctbal)::bigint as x, (s_suppkey * 7 % 1500)::bigint as y, (3 + 3 * s_nationkey)::bigint as s from supplier where s_acctbal is not null),
+mid as (select c_custkey as k, floor(c_acctbal)::bigint as x, (c_custkey * 7 % 1500)::bigint as y, (3 + 2 * c_nationkey)::bigint as s from customer where c_acctbal is not null)"""
+#: Whether a point lies in a triangle, by the even-odd rule; its legs lie along the axes.
+IN = "({y} >= b.y and {y} < b.y + b.s and {x} >= b.x and {x} < b.x + b.s - ({y} - b.y))"
+
+
+def triangles(spark, d, name, prefix, side=lambda n: n * n):
+    c = table(spark, d, name).where(F.col(f"{prefix}_acctbal").isNotNull())
+    k, n = F.col(f"{prefix}_custkey" if prefix == "c" else f"{prefix}_suppkey"), F.col(f"{prefix}_nationkey")
+    rows = c.select(k.cast("string").alias("area"), F.floor(f"{prefix}_acctbal").alias("x"), (k * 7 % 1500).alias("y"), (3 + side(n)).alias("s"))
+    pt = lambda a, b: F.struct((F.col("x") + a).cast("double").alias("x"), (F.col("y") + b).cast("double").alias("y"))
+    zero = F.lit(0)
+    return rows.select("area", F.array(F.array(pt(zero, zero), pt(F.col("s"), zero), pt(zero, F.col("s")), pt(zero, zero))).alias("rings"))
+
+
+@query("join7_centroid_areas", f"with {TRIANGLES}, p as (select k, x + s / 3.0::double as x, y + s / 3.0::double as y from small) select p.k::varchar as name, min(b.k::varchar) as area, count(b.k) as n_areas from p left join big b on {IN.format(x='p.x', y='p.y')} group by 1")
+def join7_centroids(spark, d):
+    small, big = triangles(spark, d, "supplier", "s", lambda n: 3 * n), triangles(spark, d, "customer", "c")
+    points = small.select(F.col("area").alias("name"), Y.centroid(F.col("rings")).alias("c")).select("name", "c.x", "c.y")
+    hits = Y.areas_at(points, big).groupBy("name").agg(F.count("*").alias("n_areas"), F.min("area").alias("area"))
+    return points.select("name").join(hits, "name", "left").select("name", "area", F.coalesce("n_areas", F.lit(0)).cast("long").alias("n_areas"))
+
+
+@query("join8_touching_areas", f"""with {TRIANGLES}, near as (select a.k as ak, b.k as bk, a.x as ax, a.y as ay, a.s as sa, b.* from mid a join mid b on a.k <> b.k and a.x <= b.x + b.s and b.x <= a.x + a.s and a.y <= b.y + b.s and b.y <= a.y + a.s),
+ea as (select *, unnest([[ax, ay, ax + sa, ay], [ax + sa, ay, ax, ay + sa], [ax, ay + sa, ax, ay]]) as p from near), eb as (select *, unnest([[x, y, x + s, y], [x + s, y, x, y + s], [x, y + s, x, y]]) as q from ea),
+t as (select ak, bk, p, q, sign((p[3]-p[1])*(q[2]-p[2])-(p[4]-p[2])*(q[1]-p[1])) as t1, sign((p[3]-p[1])*(q[4]-p[2])-(p[4]-p[2])*(q[3]-p[1])) as t2, sign((q[3]-q[1])*(p[2]-q[2])-(q[4]-q[2])*(p[1]-q[1])) as t3, sign((q[3]-q[1])*(p[4]-q[2])-(q[4]-q[2])*(p[3]-q[1])) as t4 from eb),
+cross_ as (select distinct ak, bk from t where t1 * t2 <= 0 and t3 * t4 <= 0 and least(p[1], p[3]) <= greatest(q[1], q[3]) and least(q[1], q[3]) <= greatest(p[1], p[3]) and least(p[2], p[4]) <= greatest(q[2], q[4]) and least(q[2], q[4]) <= greatest(p[2], p[4]))
+select ak::varchar as a, bk::varchar as b from cross_ union select a.k::varchar, b.k::varchar from mid a join mid b on a.k <> b.k and {IN.format(x='a.x', y='a.y')}""")
+def join8_touching(spark, d):
+    return Y.touching(triangles(spark, d, "customer", "c", lambda n: 2 * n))

@@ -10,6 +10,7 @@ from kadastra.functions import columns as C
 from kadastra.functions import scales as N
 from kadastra.operators import retrieval as R
 from kadastra.operators import views as V
+from kadastra.operators.lexical import LexicalIndex
 from kadastra.plans.registry import query
 from kadastra.plans.stand_ins import SURVEY, geography, survey, table
 
@@ -59,19 +60,21 @@ idf as (select term, avgdl, case when raw < 0 then 0.25 * (select avg(raw) from
 bm as (select query_id, doc_id, sum(idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) as score from tf join asked using (term) join idf using (term) group by 1, 2)"""
 
 
-def lexical(spark, d):
-    q = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    return R.bm25(q, table(spark, d, "documents").select("doc_id", "text"))
+def lexical(spark, d, k, q=None):
+    """The k best documents of each question by words; only postings of words that some question has are stored."""
+    q = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text") if q is None else q
+    asked = q.select(F.explode(C.words(F.col("text"))).alias("term"))
+    return LexicalIndex.build(table(spark, d, "documents").select("doc_id", "text"), terms=asked).search(q, k)
 
 
 @query("ret4_bm25", f"with {BM25} select query_id, doc_id, round(score, 5) as score, row_number() over (partition by query_id order by round(score, 5) desc, doc_id) as rank from bm qualify rank <= 10")
 def ret4(spark, d):
-    return R.top(lexical(spark, d).withColumn("score", F.round("score", 5)), 10)
+    return lexical(spark, d, 10).select("query_id", "doc_id", "score", "rank")
 
 
 @query("ret5_rank_scores", f"with {BM25}, r as (select query_id, doc_id, row_number() over (partition by query_id order by round(score, 5) desc, doc_id) - 1 as rank from bm) select query_id, doc_id, rank, 1.0::double / (rank + 1) as score from r where rank < 20")
 def ret5(spark, d):
-    return R.rank_scores(lexical(spark, d).withColumn("score", F.round("score", 5)))
+    return R.rank_scores(lexical(spark, d, 20).select("query_id", "doc_id", "score"))
 
 
 #: The lexical channel of the stated questions: the words of the benchmark's item of each in the documents, by rank.
@@ -83,7 +86,7 @@ def ret6(spark, d):
     top = hits(spark, d, 10)
     n = R.normalised(top).withColumn("score", F.round("score", 6))
     q = table(spark, d, "embeddings").where(F.col("vec_id") % EVERY == 0).join(table(spark, d, "benchmark"), F.col("item_id") * EVERY == F.col("vec_id")).select(F.col("vec_id").alias("query_id"), "text")
-    words = R.bm25(q, table(spark, d, "documents").select("doc_id", "text")).withColumn("score", F.round("score", 5))
+    words = lexical(spark, d, 20, q).select("query_id", "doc_id", "score")
     return R.fuse_weighted([("dense", n, 0.6), ("sparse", R.rank_scores(words), 0.4)]).withColumn("score", F.round("score", 6))
 
 
@@ -143,7 +146,8 @@ def _asked(spark, d):
 
 def _by_words(spark, d):
     """Scores of candidates by the words of the benchmark's questions in the documents."""
-    scores = lexical(spark, d).select((F.col("query_id") * EVERY).alias("query_id"), "doc_id", F.round("score", 5).alias("score"))
+    every = R.bm25(table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text"), table(spark, d, "documents").select("doc_id", "text"))
+    scores = every.select((F.col("query_id") * EVERY).alias("query_id"), "doc_id", F.round("score", 5).alias("score"))
     return lambda c: c.join(scores, ["query_id", "doc_id"])
 
 

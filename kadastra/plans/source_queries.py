@@ -11,6 +11,7 @@ from kadastra.plans.registry import query
 from kadastra.operators.storage import shared_root
 from kadastra.plans.stand_ins import SURVEY, survey, table
 from kadastra.sources import files as X
+from kadastra.streaming.live_views import live_views
 from kadastra.streaming.refresh import refreshed_view, windowed_counts
 
 
@@ -145,6 +146,23 @@ def str1_windows(spark, d):
     return windowed_counts(table(spark, d, "events"), "ts", ["event_type"]).select("event_type", F.col("window.start").alias("start"), "n")
 
 
+#: What a user did last in each hour of the day; an error takes it out.
+LIVE = {"all": [], "by_type": ["event_type"], "by_hour": ["hour"], "type_hour": ["event_type", "hour"]}
+
+
+@query("str1_live_views", """with e as (select user_id, hour(ts) as hour, event_type, value from events qualify row_number() over (partition by user_id, hour(ts) order by event_id desc) = 1), l as (select * from e where event_type <> 'error'),
+s as (select case grouping(event_type, hour) when 3 then 'all' when 1 then 'by_type' when 2 then 'by_hour' else 'type_hour' end as view_name, event_type, hour, count(*) as n, count(distinct user_id) as n_persons, round(sum(round(value * 1000000)) / count(value) / 1000000, 9) as avg_score from l group by grouping sets ((), (event_type), (hour), (event_type, hour)))
+select view_name, case view_name when 'by_hour' then hour::varchar else coalesce(event_type, '') end as dim1_value, case view_name when 'type_hour' then hour::varchar else '' end as dim2_value, n, n_persons, avg_score from s where n >= 5""")
+def str1_live(spark, d):
+    at = shared(spark)
+    e = table(spark, d, "events").select("event_id", "ts", "user_id", "event_type", "value")
+    e.repartitionByRange(3, "event_id").write.parquet(f"{at}/in")
+    hour = F.hour("ts").cast("string")
+    rows = lambda s: s.select(F.concat_ws("|", F.col("user_id").cast("string"), hour).alias("id"), F.col("event_id").alias("version"), (F.col("event_type") == "error").alias("deleted"), "event_type", hour.alias("hour"), F.col("user_id").alias("person"), F.col("value").alias("score"))
+    live = live_views(spark, f"{at}/in", e.schema, LIVE, f"{at}/live", prepare=rows, least=5)
+    return live.view().withColumn("avg_score", F.round("avg_score", 9))
+
+
 @query("prj5_prj7_documents", f"with {SURVEY} select commune, 'Commune ' || commune || ': ' || count(*) || ' respondents, happiness ' || round(sum(happiness) * 1.0::double / count(*), 1) as doc from survey group by 1")
 def prj57(spark, d):
     s = survey(spark, d).groupBy("commune").agg(F.count("*").alias("n"), F.round(F.sum("happiness") / F.count("*"), 1).alias("h"))
