@@ -18,21 +18,14 @@ def labels(triples: DataFrame, predicate: str, prefer: str = "fr") -> DataFrame:
 
 
 def closure(edges: DataFrame, *, child: str = "child", parent: str = "parent") -> DataFrame:
-    """(child, parent): all ancestors. The set of pairs is joined with itself, so path lengths double each round.
+    """(child, parent): all ancestors, found round by round from the pairs of the round before.
 
     Cycles end when a round adds no pair; a node is its own ancestor only if a cycle says so.
     """
-    from kadastra.operators.storage import cut_lineage
+    from kadastra.operators.ontology import reach
 
-    known = cut_lineage(edges.select(F.col(child).alias("c"), F.col(parent).alias("p")).where("c is not null and p is not null").distinct())
-    n = known.count()
-    while True:
-        step = known.alias("a").join(known.alias("b"), F.col("a.p") == F.col("b.c")).select("a.c", "b.p")
-        known = cut_lineage(known.unionByName(step).distinct())
-        more = known.count()
-        if more == n:
-            return known.select(F.col("c").alias(child), F.col("p").alias(parent))
-        n = more
+    up = edges.select(F.col(child).alias("src"), F.col(parent).alias("dst"))
+    return reach(up, up.select(F.col("src").alias("origin"), F.col("dst").alias("node"))).select(F.col("origin").alias(child), F.col("node").alias(parent))
 
 
 def relation_rows(triples: DataFrame, predicates: Sequence[str], names: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from kadastra.operators import geography as Y
 from kadastra.operators import graph as G
+from kadastra.operators import ontology as O
 from kadastra.plans.registry import query
 from kadastra.plans.stand_ins import table
 
@@ -51,6 +52,33 @@ def gra2(spark, d):
     return G.closure(triples(spark, d).where("p = 'subClassOf'").select(F.col("s").alias("child"), F.col("o").alias("parent")))
 
 
+UP = "up(child, parent) as (select s, o from triples where p = 'subClassOf' union select up.child, t.o from up join triples t on t.s = up.parent and t.p = 'subClassOf')"
+INDICATORS = f"""with recursive {TRIPLES}, {UP}, l as (select s, o as label from triples where p = 'label' and lang = 'fr'), m as (select s, min(o) as dimension from triples where p = 'measures' group by 1),
+ind as (select child as uri, case when bool_or(parent = 'group:1') then 'objective' when bool_or(parent = 'group:2') then 'subjective' else 'unknown' end as type from up group by 1 having bool_or(parent = 'root')),
+found as (select uri, label, type, dimension from ind left join l on l.s = uri left join m on m.s = uri)"""
+
+
+def found_indicators(spark, d):
+    return O.indicators(triples(spark, d), indicator="root", objective="group:1", subjective="group:2", measures="measures")
+
+
+@query("gra2_indicators", INDICATORS + " select * from found")
+def gra2_indicators(spark, d):
+    return found_indicators(spark, d)
+
+
+@query("gra2_dimension_labels", INDICATORS + " select distinct dimension, label from found where dimension is not null and label is not null")
+def gra2_dimension_labels(spark, d):
+    return O.related_labels(found_indicators(spark, d))
+
+
+@query("gra2_nearest_brand", f"with recursive {TRIPLES}, walk(node, above, steps) as (select s, o, 1 from triples where p = 'subClassOf' union select node, t.o, steps + 1 from walk join triples t on t.s = walk.above and t.p = 'subClassOf') select node, above as mark, steps from walk where starts_with(above, 'brand:') or above = 'root' qualify row_number() over (partition by node order by steps, above) = 1")
+def gra2_nearest(spark, d):
+    e = triples(spark, d).where("p = 'subClassOf'").select(F.col("s").alias("child"), F.col("o").alias("parent"))
+    marks = e.where("parent like 'brand:%' or parent = 'root'").select(F.col("parent").alias("mark"))
+    return O.nearest_marked(e, marks)
+
+
 @query("gra3_relation_rows", f"with {TRIPLES}, l as (select s, o as label from triples where p = 'label' and lang = 'fr') select t.s, t.p, t.o, coalesce(a.label, t.s) as s_label, coalesce(b.label, t.o) as o_label from triples t left join l a on a.s = t.s left join l b on b.s = t.o where t.p = 'measures'")
 def gra3(spark, d):
     t = triples(spark, d)

@@ -10,6 +10,7 @@ from kadastra.functions import columns as C
 from kadastra.functions import scales as N
 from kadastra.operators import retrieval as R
 from kadastra.operators import views as V
+from kadastra.operators import walks as K
 from kadastra.operators.lexical import LexicalIndex
 from kadastra.plans.registry import query
 from kadastra.plans.stand_ins import SURVEY, geography, survey, table
@@ -245,18 +246,69 @@ def ret14(spark, d):
     return q.join(views, "commune").select("respondent_id", "commune", "n")
 
 
-@query("ret15_graph_fusion", _top(10, ", u as (select query_id, doc_id, 0.4 * round(1 - distance, 6) as s from top union all select query_id, query_id + 1, 0.6 from (select distinct query_id from top))") + ", f as (select query_id, doc_id, round(sum(s), 6) as score from u group by 1, 2) select *, row_number() over (partition by query_id order by score desc, doc_id) as rank from f qualify rank <= 10")
+#: Documents, their sources and languages as a graph; the nodes of a question are the three documents that share the best words with it.
+HOPS, RESTART, FRONTIER, FAN = 2, 0.15, 50, 20
+GRAPH = """edge as (select 'doc:' || doc_id as a, 'source:' || source as b, 1.0::double as w from documents where source is not null union all select 'doc:' || doc_id, 'lang:' || lang, 0.5 from documents where lang is not null),
+edges as (select a as src, b as dst, w from edge union all select b, a, w from edge)"""
+SEEDS = f"{BM25}, best as (select query_id, doc_id, round(score, 5) as score, row_number() over (partition by query_id order by round(score, 5) desc, 'doc:' || doc_id) as rank from bm qualify rank <= 3)"
+
+
+def _walk_sql():
+    """The hops written out one by one."""
+    sql = f"""{GRAPH}, {SEEDS}, way as (select src, dst, w / sum(w) over (partition by src) as share from (select *, row_number() over (partition by src order by w desc, dst) as n from edges) where n <= {FAN}),
+p0 as (select query_id * {EVERY} as query_id, 'doc:' || doc_id as node, round(score / sum(score) over (partition by query_id), 12) as weight from best where score > 0)"""
+    for k in range(1, HOPS + 1):
+        sql += f""", p{k} as (select query_id, node, round(sum(weight), 12) as weight from (select query_id, dst as node, weight * share * {1 - RESTART} as weight from p{k - 1} join way on src = node union all select query_id, node, weight * {RESTART} from p0) group by 1, 2
+qualify row_number() over (partition by query_id order by round(sum(weight), 12) desc, node) <= {FRONTIER})"""
+    return sql + f""", graph as (select query_id, split_part(node, ':', 2)::bigint as doc_id, round(weight / max(weight) over (partition by query_id), 12) as score from p{HOPS} where starts_with(node, 'doc:')),
+gtop as (select *, row_number() over (partition by query_id order by score desc, doc_id) as rank from graph qualify rank <= 10)"""
+
+
+def document_graph(spark, d):
+    """(documents (node, doc_id, text), edges (src, rel, dst, weight))."""
+    docs = table(spark, d, "documents").select(F.concat(F.lit("doc:"), F.col("doc_id").cast("string")).alias("node"), "doc_id", "text", "source", "lang")
+    edge = lambda c, w: docs.where(F.col(c).isNotNull()).select(F.col("node").alias("src"), F.lit(c).alias("rel"), F.concat(F.lit(f"{c}:"), c).alias("dst"), F.lit(w).alias("weight"))
+    return docs, edge("source", 1.0).unionByName(edge("lang", 0.5))
+
+
+def question_nodes(spark, d, k):
+    docs, edges = document_graph(spark, d)
+    questions = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    return K.search_nodes(questions, docs.select(F.col("node").alias("uri"), "text"), edges, k, fields=("text",))
+
+
+def graph_channel(spark, d, k=10):
+    """The best documents of each question by the walk; question i asks with vector i * EVERY too."""
+    docs, edges = document_graph(spark, d)
+    e = edges.select("src", "dst", "weight")
+    seeds = question_nodes(spark, d, 3).select((F.col("query_id") * EVERY).alias("query_id"), F.col("uri").alias("node"), "weight")
+    at = K.walk(seeds, e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")), hops=HOPS, restart=RESTART, frontier=FRONTIER, fan=FAN)
+    return K.graph_hits(at, docs, k)
+
+
+@query("gra8_question_nodes", f"with {GRAPH}, {SEEDS}, r as (select src, count(distinct dst) as n from edges group by 1) select query_id, 'doc:' || doc_id as uri, rank, score as weight, coalesce(n, 0)::bigint as n_relations, round(least(1.0, 1 - 0.1 * (rank - 1) + least(0.05 * coalesce(n, 0), 0.2)), 12)::double as score from best left join r on src = 'doc:' || doc_id")
+def gra8_questions(spark, d):
+    return question_nodes(spark, d, 3)
+
+
+@query("ret15_graph_walk", f"with {_walk_sql()} select query_id, doc_id, rank, round(score, 6) as score from gtop")
+def ret15_walk(spark, d):
+    return graph_channel(spark, d).select("query_id", "doc_id", "rank", F.round("score", 6).alias("score"))
+
+
+@query("ret15_graph_fusion", _top(10, f", {_walk_sql()}, u as (select query_id, doc_id, 0.4 * round(1 - distance, 6) as s from top union all select query_id, doc_id, 0.6 * round(score, 6) from gtop where query_id in (select query_id from top))") + ", f as (select query_id, doc_id, round(sum(s), 6) as score from u group by 1, 2) select *, row_number() over (partition by query_id order by score desc, doc_id) as rank from f qualify rank <= 10")
 def ret15(spark, d):
     top = hits(spark, d, 10).select("query_id", "doc_id", F.round(1 - F.col("distance"), 6).alias("score"))
-    graph = top.select("query_id").distinct().select("query_id", (F.col("query_id") + 1).alias("doc_id"), F.lit(1.0).alias("score"))
+    graph = graph_channel(spark, d).join(top.select("query_id").distinct(), "query_id", "left_semi").select("query_id", "doc_id", F.round("score", 6).alias("score"))
     return R.top(R.fuse_weighted([("vector", top, 0.4), ("graph", graph, 0.6)]).withColumn("score", F.round("score", 6)).drop("channel"), 10)
 
 
-@query("ret16_concatenated", _top(5, ", u as (select query_id, doc_id, 'vector' as channel, round(0.4 * (1 - distance), 6) as score from top union all select query_id, query_id + 1, 'graph', 0.6 from (select distinct query_id from top))") + " select *, row_number() over (partition by query_id order by score desc, doc_id) as rank from u qualify rank <= 4")
+@query("ret16_concatenated", _top(5, f", {_walk_sql()}, u as (select query_id, doc_id, 'vector' as channel, round(0.4 * (1 - distance), 6) as score from top union all select query_id, doc_id, 'graph', round(0.6 * score, 6) from gtop where query_id in (select query_id from top))") + " select *, row_number() over (partition by query_id order by score desc, doc_id, channel) as rank from u qualify rank <= 4")
 def ret16(spark, d):
     top = hits(spark, d, 5).select("query_id", "doc_id", F.lit("vector").alias("channel"), F.round(0.4 * (1 - F.col("distance")), 6).alias("score"))
-    graph = top.select("query_id").distinct().select("query_id", (F.col("query_id") + 1).alias("doc_id"), F.lit("graph").alias("channel"), F.lit(0.6).alias("score"))
-    return R.top(top.unionByName(graph), 4)
+    graph = graph_channel(spark, d).join(top.select("query_id").distinct(), "query_id", "left_semi").select("query_id", "doc_id", F.lit("graph").alias("channel"), F.round(0.6 * F.col("score"), 6).alias("score"))
+    w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "doc_id", "channel")
+    return top.unionByName(graph).withColumn("rank", F.row_number().over(w)).where("rank <= 4")
 
 
 @query("ret17_sub_questions", f"with {DENSE} select query_id, sub, doc_id from (select query_id, sub, doc_id, row_number() over (partition by query_id, sub order by distance, doc_id) as k from dist, (values (0), (1)) t(sub) where doc_id % 2 = sub) where k <= 3")
