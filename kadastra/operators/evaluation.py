@@ -6,10 +6,11 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kadastra.functions.columns import cosine, f1
+from kadastra.operators.ranking import group_counts_before, same_keys
 
 
 def set_metrics(expected: Column, optional: Column, found: Column, empty_f1: float | None = 0.0) -> dict[str, Column]:
@@ -21,23 +22,39 @@ def set_metrics(expected: Column, optional: Column, found: Column, empty_f1: flo
     return {"recall": recall, "precision": precision, "f1": f1(precision, recall, empty_f1)}
 
 
-def with_average_ranks(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
-    """Columns r_<c>: ranks within the group, ties sharing their average."""
-    for c in columns:
-        by = Window.partitionBy(*keys).orderBy(c)
-        ties = Window.partitionBy(*keys, c)
-        df = df.withColumn(f"r_{c}", F.rank().over(by) + (F.count("*").over(ties) - 1) / 2.0)
-    return df
+def average_ranks(df: DataFrame, keys: Sequence[str], value: str, name: str) -> DataFrame:
+    """(keys, value, name): each value's rank within its group, ties sharing their average; null comes first."""
+    counts = group_counts_before(df, keys, value)
+    return counts.select(*keys, value, (F.col("before") + (F.col("n") + 1) / 2.0).alias(name))
 
 
 def agreement(df: DataFrame, keys: Sequence[str], a: str, b: str, exact: float = 0.0) -> DataFrame:
-    """n, pearson, spearman, mae, bias, exact and within-1 shares of pairs without nulls, by group."""
-    pairs = with_average_ranks(df.where(F.col(a).isNotNull() & F.col(b).isNotNull()), keys, [a, b])
+    """n, pearson, spearman, mae, bias, exact and within-1 shares of pairs without nulls, by group.
+
+    Ranks come from counts by value, and different pairs meet them once with their number, so no task holds a group. Ranks are taken from their mean, which is
+    known, before they are multiplied.
+    """
+    pairs = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(*keys, a, b)
     d = F.col(b) - F.col(a)
-    return pairs.groupBy(*keys).agg(
-        F.count("*").alias("n"), F.corr(a, b).alias("pearson"), F.corr(f"r_{a}", f"r_{b}").alias("spearman"), F.avg(F.abs(d)).alias("mae"), F.avg(d).alias("bias"),
+    spread = F.nullif(F.stddev_pop(a) * F.stddev_pop(b), F.lit(0.0))  # null where one side is the same throughout
+    pearson = F.least(F.lit(1.0), F.greatest(F.lit(-1.0), F.covar_pop(a, b) / spread))
+    pearson = F.when(spread.isNotNull(), pearson)
+    plain = pairs.groupBy(*keys).agg(
+        F.count("*").alias("n"), pearson.alias("pearson"), F.avg(F.abs(d)).alias("mae"), F.avg(d).alias("bias"),
         (F.count_if(F.abs(d) <= exact) * 100.0 / F.count("*")).alias("exact_pct"), (F.count_if(F.abs(d) <= 1) * 100.0 / F.count("*")).alias("within1_pct"),
-    )
+    )
+    cells = pairs.groupBy(*keys, a, b).agg(F.count("*").alias("_m"))
+    for c in (a, b):
+        ranks = average_ranks(pairs, keys, c, f"_r_{c}")
+        cells = cells.alias("l").join(ranks.alias("r"), same_keys("l", "r", [*keys, c])).select("l.*", f"r._r_{c}")
+    cells = cells.alias("l").join(plain.alias("r"), same_keys("l", "r", keys)).select("l.*", F.col("r.n").alias("_n"))
+    x, y = (F.col(f"_r_{c}") - (F.col("_n") + 1) / 2.0 for c in (a, b))
+    total = lambda v: F.sum(F.col("_m") * v)
+    norm = F.nullif(F.sqrt(total(x * x)) * F.sqrt(total(y * y)), F.lit(0.0))
+    spearman = F.when(norm.isNotNull(), F.least(F.lit(1.0), F.greatest(F.lit(-1.0), total(x * y) / norm)))
+    ranked = cells.groupBy(*keys).agg(spearman.alias("spearman"))
+    out = plain.alias("l").join(ranked.alias("r"), same_keys("l", "r", keys), "left")
+    return out.select(*(F.col(f"l.{k}").alias(k) for k in keys), "n", "pearson", "spearman", "mae", "bias", "exact_pct", "within1_pct")
 
 
 def _beta_tail(x: float, a: float, b: float) -> float:

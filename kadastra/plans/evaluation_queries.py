@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from kadastra.functions import columns as C
 from kadastra.operators import evaluation as E
+from kadastra.operators.ranking import group_medians
 from kadastra.plans.registry import query
 from kadastra.plans.stand_ins import SURVEY, scored, survey, table
 
@@ -49,7 +50,8 @@ def eva5(spark, d):
 def eva6(spark, d):
     m = E.set_metrics(F.array(*map(F.lit, ("D1", "D2", "D3"))), F.array(F.lit("D4")), F.split("choices", ";"))
     s = survey(spark, d).select("commune", m["recall"].alias("r"))
-    return s.groupBy("commune").agg(F.round(F.avg("r"), 8).alias("mean"), F.median("r").alias("median"), F.round(F.when(F.count("*") >= 2, F.stddev_samp("r")), 8).alias("std"))
+    stats = s.groupBy("commune").agg(F.round(F.avg("r"), 8).alias("mean"), F.round(F.when(F.count("*") >= 2, F.stddev_samp("r")), 8).alias("std"))
+    return stats.join(group_medians(s, ["commune"], "r"), "commune", "left").select("commune", "mean", "median", "std")
 
 
 @query("eva7_section_table", f"{W} select dimension as section, count(*) as n, avg(score) as judge, avg(case when genre = 'F' then (score >= 3)::int end) as binary_ok, count_if(score = 1) as n_refused from scored group by 1")

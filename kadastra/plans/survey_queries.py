@@ -9,6 +9,7 @@ from kadastra.functions import columns as C
 from kadastra.functions import scales as N
 from kadastra.operators import survey as S
 from kadastra.operators import views as V
+from kadastra.operators.ranking import group_medians
 from kadastra.plans.registry import query
 from kadastra.plans.stand_ins import INDICATORS, SURVEY, geography, indicators, likert, scored, survey, table
 
@@ -210,9 +211,15 @@ def agg21(spark, d):
 select epci, count(*) as n, avg(opp) as avg_opp, avg(cho) as avg_cho, avg(vec) as avg_vec, string_agg(zone::varchar, ',' order by up) filter (where up <= 3) as top3, string_agg(zone::varchar, ',' order by down) filter (where down <= 3) as bottom3 from r where epci is not null group by 1""")
 def agg22(spark, d):
     i = indicators(spark, d).where("epci is not null")
-    i = i.withColumn("up", F.row_number().over(Window.partitionBy("epci").orderBy(F.col("total").desc(), "zone"))).withColumn("down", F.row_number().over(Window.partitionBy("epci").orderBy("total", "zone")))
-    ids = lambda o: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col(o) <= 3, F.struct(o, "zone")))), lambda x: x["zone"].cast("string")), ",")
-    return i.groupBy("epci").agg(F.count("*").alias("n"), *(F.avg(c).alias(f"avg_{c}") for c in ("opp", "cho", "vec")), ids("up").alias("top3"), ids("down").alias("bottom3"))
+
+    def ends(order, name):
+        """The first three of each group; the limit is put before the shuffle."""
+        first = i.withColumn("k", F.row_number().over(Window.partitionBy("epci").orderBy(*order))).where("k <= 3").select("epci", "k", "zone")
+        ids = F.transform(F.array_sort(F.collect_list(F.struct("k", "zone"))), lambda x: x["zone"].cast("string"))
+        return first.groupBy("epci").agg(F.array_join(ids, ",").alias(name))
+
+    sums = i.groupBy("epci").agg(F.count("*").alias("n"), *(F.avg(c).alias(f"avg_{c}") for c in ("opp", "cho", "vec")))
+    return sums.join(ends([F.col("total").desc(), "zone"], "top3"), "epci").join(ends([F.col("total"), "zone"], "bottom3"), "epci")
 
 
 @query("agg23_region_summary", f"with {INDICATORS} select count(*) as n, min(total) as min_total, max(total) as max_total, list_extract(list(total order by total desc), (count(*) // 2 + 1)::int) as upper_median, avg(opp) as avg_opp, avg(cho) as avg_cho, avg(vec) as avg_vec from indicators")
@@ -229,7 +236,8 @@ def agg23(spark, d):
 @query("agg24_column_stats", " union all ".join(f"select '{c}' as col, avg({c}) as mean, median({c}) as median, min({c})::double as min, max({c})::double as max, round(stddev_samp({c}), 8) as std from ({{}}) i" for c in ("opp", "cho", "vec")).replace("{}", f"with {INDICATORS} select * from indicators"))
 def agg24(spark, d):
     i = indicators(spark, d).select(F.explode(F.array(*(F.struct(F.lit(c).alias("col"), F.col(c).alias("v")) for c in ("opp", "cho", "vec")))).alias("x")).select("x.*")
-    return i.groupBy("col").agg(F.avg("v").alias("mean"), F.median("v").alias("median"), F.min("v").alias("min"), F.max("v").alias("max"), F.round(F.stddev_samp("v"), 8).alias("std"))
+    stats = i.groupBy("col").agg(F.avg("v").alias("mean"), F.min("v").alias("min"), F.max("v").alias("max"), F.round(F.stddev_samp("v"), 8).alias("std"))
+    return stats.join(group_medians(i, ["col"], "v"), "col", "left").select("col", "mean", "median", "min", "max", "std")
 
 
 @query("agg25_facet_values", f"{W} select distinct age_range, case age_range " + " ".join(f"when '{a}' then {i}" for i, a in enumerate(AGES)) + " else 9 end as place from survey")
