@@ -74,6 +74,26 @@ DIMENSION_RANKING = (
     "classement", "dimension la plus", "dimension la moins", "la plus faible", "la plus elevee", "la plus eleve", "le plus faible", "le plus eleve", "la note la plus", "la note la moins", "moins bien note", "mieux note",
     "meilleure dimension", "pire dimension", "quelle dimension", "quel score le plus", "toutes les dimensions", "comparaison des dimensions", "note la plus basse", "note la plus haute", "dimension obtient", "dimension recoit",
 )
+#: Words and patterns of further question classes. Patterns are looked for in the lower-cased text.
+COMPARISON = ("compar", "moyenne", "reste", "île", "corse entiere", "corse entière")
+QUANTITATIVE = ("indicateur", "statistique", "taux", "pourcentage", "nombre", "combien", "mesure", "chiffre", "données quantitatives", "questionnaire")
+CROSS_ANALYSIS = (
+    "pourquoi.*score", "pourquoi.*indicateur", "expliqu.*score", "expliqu.*indicateur", "corrélation", "lien entre", "rapport entre", "comment.*influenc", "impact.*sur", "caus.*de", "raison.*de",
+    "pourquoi.*opp", "pourquoi.*chx", "pourquoi.*vec",
+)
+OFF_TOPIC = ("pib", "météo", "recette", "cuisine", "sport", "football", "histoire de france", "election nationale", "president", "impot", "bourse", "action", "crypto", "bitcoin")
+SIMPLE = (
+    "(quel est le score|quelle commune|score .{1,30}(ajaccio|bastia|corse|sartène|calvi|corte))", "(meilleure commune|commune .{1,20}meilleur|meilleur score|plus (haut|elevé|faible|bas))",
+    "(ajaccio .{1,20}(supérieur|inférieur)|bastia .{1,20}(supérieur|inférieur))", "(quel rang|classement|quelle place|quelle est la commune)", r"(oppchovec|opp ?chovec|score .{1,20}bien-être)\s*(d'|de |a |à )\w",
+)
+#: Words for the professions of the survey, accents left out.
+PROFESSIONS = [
+    ("Étudiant(e)", ("etudiants", "etudiant", "etudiante", "etudiantes")), ("Salarié(e) – Cadre ou profession intermédiaire", ("cadres", "cadre", "professions intermediaires")),
+    ("Salarié(e) – Employé(e)", ("employes", "employe", "employee", "employees", "salaries", "salarie")), ("Fonctionnaire", ("fonctionnaires", "fonctionnaire", "agents publics", "fonction publique")),
+    ("Travailleur(se) indépendant(e) / Entrepreneur(e)", ("independants", "independant", "entrepreneurs", "entrepreneur", "auto-entrepreneurs")), ("Retraité(e)", ("retraites", "retraite", "retraitee", "retraitees")),
+    ("Agriculteur(trice), artisan(e) ou commerçant(e)", ("agriculteurs", "agriculteur", "artisans", "artisan", "commercants", "commercant")), ("Sans emploi (en recherche d'emploi)", ("chomeurs", "chomeur", "demandeurs d'emploi", "sans emploi")),
+]
+GENDERS = [("F", ("femmes", "femme")), ("M", ("hommes", "homme"))]
 REFUSALS = (
     "n'ai pas", "ne dispose pas", "pas de données", "pas d'information", "hors de ma", "non disponible", "aucune donnée", "ne couvre pas", "je ne suis pas en mesure", "impossible de répondre", "données limitées", "pas dans les sources",
 )
@@ -163,3 +183,16 @@ def source_category(kind: Column, source_type: Column, view: Column) -> Column:
         .when(st == "enquete_responses", "stats_enquete")
         .otherwise("autre")
     )
+
+
+def question_classes(text: Column) -> dict[str, Column]:
+    """Booleans wellbeing, ranking, comparison, cross_analysis and quantitative, and complexity: out of domain, simple or complex.
+
+    A question that names something out of the domain is that whatever else it asks. A null text is in no class and complex.
+    """
+    low = F.coalesce(F.lower(text), F.lit(""))
+    return {
+        "wellbeing": F.coalesce(asks_wellbeing(text), F.lit(False)), "ranking": F.coalesce(asks_dimension_ranking(text), F.lit(False)), "comparison": _has(low, COMPARISON, False),
+        "cross_analysis": low.rlike("|".join(CROSS_ANALYSIS)), "quantitative": _has(low, QUANTITATIVE, False),
+        "complexity": F.when(_has(low, OFF_TOPIC, False), "out of domain").when(low.rlike("|".join(SIMPLE)), "simple").otherwise("complex"),
+    }

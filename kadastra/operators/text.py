@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kadastra.functions import columns as C
+from kadastra.functions import scales as N
 from kadastra.functions.columns import fold
 
 
@@ -199,3 +201,9 @@ def structured_tokens(df: DataFrame, key: str, text: str, towns: Sequence[str])
         F.when(told, F.nullif(F.regexp_extract("token", r"([0-9]{2}[-–][0-9]{2,3})", 1), F.lit(""))).alias("age"),
         (told & (has(OPTIONAL) | (F.col("type") == "wiki") | F.col("_t").rlike(r"^wiki(\s|$)"))).alias("optional"),
     )
+
+
+def question_filters(text: Column, dimensions: Sequence[tuple[str, Sequence[str]]], professions: Sequence[tuple[str, Sequence[str]]] = N.PROFESSIONS, genders: Sequence[tuple[str, Sequence[str]]] = N.GENDERS) -> dict[str, Column]:
+    """age, genre, profession and dimension that a question asks for, and has_filter: whether it asks for any. Words are compared without accents; the longest counts."""
+    found = {"age": C.age_filter(text), "genre": C.longest_keyword(text, genders), "profession": C.longest_keyword(text, professions), "dimension": C.longest_keyword(text, dimensions)}
+    return found | {"has_filter": F.coalesce(*found.values()).isNotNull()}

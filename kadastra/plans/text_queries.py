@@ -165,6 +165,41 @@ def txt13_scales(spark, d):
     return questions(spark, d).select("c_custkey", N.asks_wellbeing(F.col("question")).alias("wellbeing"), N.asks_dimension_ranking(F.col("question")).alias("ranking"))
 
 
+#: Openings of customers' questions for all classes and filters, a market segment's word behind them.
+OPENINGS = [
+    "Pourquoi le score de santé des retraités", "Combien de femmes de 25 à 35 ans", "Quel est le lien entre logement et culture pour les", "Comparaison avec la moyenne des étudiants", "Une recette de cuisine pour", "Quel rang pour les fonctionnaires",
+    "Le PIB et quelle commune", "Comment l'école influence les cadres", "Que disent les artisans de plus de 60 ans", "Les transports des hommes sans emploi", "Bonjour",
+]
+TOPICS = [("Santé", ["sante", "soins"]), ("Logement", ["logement", "maison"]), ("Culture", ["culture"]), ("Transports", ["transports", "transport"]), ("Éducation", ["ecole"])]
+OPENED = "select c_custkey, [" + ", ".join("'" + x.replace("'", "''") + "'" for x in OPENINGS) + f"][c_custkey % {len(OPENINGS)} + 1] || ' ' || lower(c_mktsegment) as question from customer"
+
+
+def opened(spark, d):
+    k = F.col("c_custkey")
+    return table(spark, d, "customer").select("c_custkey", F.concat(F.get(F.array(*map(F.lit, OPENINGS)), (k % len(OPENINGS)).cast("int")), F.lit(" "), F.lower("c_mktsegment")).alias("question"))
+
+
+def _sql_longest(column, classes):
+    pairs = sorted(((k, n) for n, ks in classes for k in ks), key=lambda p: -len(p[0]))
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    return "case " + " ".join(f"when contains({column}, {quoted(k)}) then {quoted(n)}" for k, n in pairs) + " end"
+
+
+@query("txt12_all_filters", f"with q as ({OPENED}), f as (select *, {FOLD.format('question')} as t from q), g as (select c_custkey, case when contains(t, '25 a 35 ans') then '25-34' when contains(t, 'plus de 60') then '50-64' end as age, {_sql_longest('t', N.GENDERS)} as genre, {_sql_longest('t', N.PROFESSIONS)} as profession, {_sql_longest('t', TOPICS)} as dimension from f) select *, coalesce(age, genre, profession, dimension) is not null as has_filter from g")
+def txt12_all(spark, d):
+    q = opened(spark, d)
+    return q.withColumns(X.question_filters(F.col("question"), TOPICS)).drop("question")
+
+
+def _sql_any(patterns):
+    return "regexp_matches(low, '" + "|".join(patterns).replace("'", "''") + "')"
+
+
+@query("txt13_all_classes", f"with q as ({OPENED}), f as (select *, lower(question) as low, {FOLD.format('question')} as folded from q) select c_custkey, {_sql_has('low', N.WELLBEING)} and not {_sql_has('low', N.PERCEPTION)} as wellbeing, {_sql_has('folded', N.DIMENSION_RANKING)} as ranking, {_sql_has('low', N.COMPARISON)} as comparison, {_sql_any(N.CROSS_ANALYSIS)} as cross_analysis, {_sql_has('low', N.QUANTITATIVE)} as quantitative, case when {_sql_has('low', N.OFF_TOPIC)} then 'out of domain' when {_sql_any(N.SIMPLE)} then 'simple' else 'complex' end as complexity from f")
+def txt13_all(spark, d):
+    return opened(spark, d).withColumns(N.question_classes(F.col("question"))).drop("question")
+
+
 def _themes_sql():
     parts = []
     for name, words in X.INDICATOR_THEMES:
