@@ -86,6 +86,11 @@ class LexicalIndex:
         wanted = pairs.join(asked.select(q, "term"), q)
         return wanted.join(self._table("postings").select("term", self.d, "impact"), ["term", self.d]).groupBy(q, self.d).agg(F.sum("impact").alias("score"))
 
+    def score(self, pairs: DataFrame, queries: DataFrame, *, q: str = "query_id", text: str = "text") -> DataFrame:
+        """(q, d, score) of stated pairs (q, d); pairs without a common word have no row."""
+        asked = queries.select(q, F.explode(F.array_distinct(words(F.col(text)))).alias("term")).distinct()
+        return self._full(pairs.select(q, self.d).distinct(), asked, q)
+
     def search(self, queries: DataFrame, k: int, *, q: str = "query_id", text: str = "text", digits: int = 5) -> DataFrame:
         """(q, d, score, rank, n_scored): the k best documents of each question; n_scored is how many of its documents were added up.
 

@@ -301,3 +301,31 @@ def group_search(
     for x in out[1:]:
         every = every.unionByName(x)
     return every
+
+
+def sub_question_search(
+    subs: DataFrame, retrieve: Callable[[DataFrame], DataFrame], rescore: Callable[[DataFrame], DataFrame], sources: DataFrame, k: int, *, per_source: int = 3, q: str = "query_id", d: str = "doc_id",
+) -> tuple[DataFrame, DataFrame]:
+    """((q, sub, d, sub_rank), (q, d, score, n_subs, source, rank)): what each sub-question finds, and the best k of all for each question.
+
+    `subs` is (q, sub, text). `retrieve` makes (ask, d, rank) of (ask, text), all sub-questions in one go; `rescore` makes (q, d, score) of the pooled candidates
+    (q, d) against the whole question, those without a score count as 0. Of the pool the best k stay, at most `per_source` of one source first
+    (sources (d, source); null is a source). A document that several sub-questions find is pooled once and keeps their number.
+    """
+    asked = cut_lineage(subs.where(F.col("text").isNotNull()).select(q, "sub", "text").withColumn("ask", F.monotonically_increasing_id()))
+    found = cut_lineage(retrieve(asked.select("ask", "text")).join(asked.select("ask", q, "sub"), "ask").select(q, "sub", d, F.col("rank").alias("sub_rank")))
+    pool = cut_lineage(found.groupBy(q, d).agg(F.count_distinct("sub").alias("n_subs")))
+    scored = pool.join(rescore(pool.select(q, d)).select(q, d, "score"), [q, d], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
+    placed = scored.join(sources.select(d, F.coalesce("source", F.lit("")).alias("source")), d, "left")
+    return found, diverse(placed, k, per_source, q=q, d=d).select(q, d, "score", "n_subs", "source", "rank")
+
+
+#: Parts of source types that speak for what people say and for what is measured.
+SUBJECTIVE = ("raptor", "enquete", "verbatim")
+OBJECTIVE = ("opp", "objectif", "equipement")
+
+
+def evidence_balance(hits: DataFrame, kind: Column, *, keys: Sequence[str] = ("query_id", "sub"), subjective: Sequence[str] = SUBJECTIVE, objective: Sequence[str] = OBJECTIVE) -> DataFrame:
+    """(keys, has_subjective, has_objective): whether a sub-question's hits hold evidence of each sort, by parts of their type's name. A null type is neither."""
+    has = lambda parts: F.coalesce(F.bool_or(F.exists(F.array(*map(F.lit, parts)), lambda p: F.contains(kind, p))), F.lit(False))
+    return hits.groupBy(*keys).agg(has(subjective).alias("has_subjective"), has(objective).alias("has_objective"))

@@ -322,6 +322,39 @@ def ret18(spark, d):
     return hits(spark, d, 10).groupBy("query_id").agg(F.bool_or(F.col("doc_id") % 3 == 0).alias("has_subjective"), F.bool_or(F.col("doc_id") % 3 == 1).alias("has_objective"))
 
 
+#: The sentences of a benchmark item are its sub-questions; each finds five documents by its words.
+SUBS = """subs as (select item_id, row_number() over (partition by item_id order by p) as sub, s as text from (select item_id, unnest(ss) as s, unnest(range(0, len(ss))) as p from (select item_id, string_split_regex(text, '[.?!]+\\s*') as ss from benchmark)) where trim(s) <> '')"""
+SUB_HITS = f"""{SUBS}, {BM25}, sub_asked as (select distinct item_id, sub, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_\\p{{M}}]+')) as term from subs),
+sub_bm as (select item_id, sub, doc_id, round(sum(idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 5) as score from tf join sub_asked using (term) join idf using (term) group by 1, 2, 3),
+sub_top as (select item_id as query_id, sub, doc_id, row_number() over (partition by item_id, sub order by score desc, doc_id) as sub_rank from sub_bm qualify sub_rank <= 5)"""
+
+
+def sub_search(spark, d):
+    q = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    pieces = F.filter(F.split("text", r"[.?!]+\s*", -1), lambda s: F.trim(s) != "")
+    subs = q.select("query_id", F.posexplode(pieces).alias("at", "text")).select("query_id", (F.col("at") + 1).cast("long").alias("sub"), "text")
+    docs = table(spark, d, "documents")
+    index = LexicalIndex.build(docs.select("doc_id", "text"), terms=q.select(F.explode(C.words(F.col("text"))).alias("term")))
+    rescored = lambda pool: index.score(pool, q).withColumn("score", F.round("score", 5))
+    return R.sub_question_search(subs, lambda a: index.search(a, 5, q="ask"), rescored, docs.select("doc_id", "source"), 6)
+
+
+@query("ret17_sub_question_hits", f"with {SUB_HITS} select * from sub_top")
+def ret17_hits(spark, d):
+    return sub_search(spark, d)[0]
+
+
+@query("ret17_pooled", f"with {SUB_HITS}, pool as (select query_id, doc_id, count(distinct sub) as n_subs from sub_top group by 1, 2), sc as (select p.*, coalesce(round(b.score, 5), 0) as score, coalesce(source, '') as source from pool p left join bm b using (query_id, doc_id) join documents using (doc_id)), g as (select *, row_number() over (partition by query_id, source order by score desc, doc_id) as k from sc) select query_id, doc_id, score, n_subs, source, row_number() over (partition by query_id order by k > 3, score desc, doc_id) as rank from g qualify rank <= 6")
+def ret17_pooled(spark, d):
+    return sub_search(spark, d)[1]
+
+
+@query("ret18_sub_question_evidence", f"with {SUB_HITS} select query_id, sub, bool_or(contains(source, 'src0') or contains(source, 'src3')) as has_subjective, bool_or(contains(source, 'src1')) as has_objective from sub_top join documents using (doc_id) group by 1, 2")
+def ret18_evidence(spark, d):
+    found = sub_search(spark, d)[0].join(table(spark, d, "documents").select("doc_id", "source"), "doc_id")
+    return R.evidence_balance(found, F.col("source"), subjective=("src0", "src3"), objective=("src1",))
+
+
 @query("ret19_relevance_gate", _top(10) + " select query_id, round(greatest(0, least(1, avg(1 - distance))), 6) as relevance, avg(1 - distance) < 0.4 as is_low from top group by 1")
 def ret19(spark, d):
     return R.relevance_gate(hits(spark, d, 10), 0.4).withColumn("relevance", F.round("relevance", 6))
