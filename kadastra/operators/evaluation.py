@@ -36,7 +36,7 @@ def agreement(df: DataFrame, keys: Sequence[str], a: str, b: str, exact: float =
     """
     pairs = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(*keys, a, b)
     d = F.col(b) - F.col(a)
-    spread = F.nullif(F.stddev_pop(a) * F.stddev_pop(b), F.lit(0.0))  # null where one side is the same throughout
+    spread = F.nullif(F.sqrt(F.var_pop(a) * F.var_pop(b)), F.lit(0.0))  # null where one side is the same throughout
     pearson = F.least(F.lit(1.0), F.greatest(F.lit(-1.0), F.covar_pop(a, b) / spread))
     pearson = F.when(spread.isNotNull(), pearson)
     plain = pairs.groupBy(*keys).agg(

@@ -11,12 +11,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kadastra.functions.columns import words
-from kadastra.operators.storage import cut_lineage, shared_root
+from kadastra.operators.storage import cut_lineage, shared_root, written
 
 #: Documents are classed by length, so many classes for each doubling: a word's greatest impact says little over all lengths, and much within one class.
 CLASSES = 3
-#: Blocks of a term's postings in a class, by the impact's share of the greatest one there.
-BLOCKS = 8
+#: Postings of a term and class whose impacts differ by no more than this are one block.
+BLOCK = 0.5
+#: So many asked terms at most are sent to every task; more meet the postings by a shuffle.
+SENT = 100_000
 #: The first terms of a question are scored until so many times k postings have been seen; of their documents so many times k are scored in full.
 FIRST, FULL = 20, 5
 #: Scores that differ by less are taken to be equal when something is left out.
@@ -45,8 +47,8 @@ def term_counts(docs: DataFrame, *, d: str = "doc_id", text: str = "text") -> Da
 class LexicalIndex:
     """BM25 postings (term, class, block, d, impact), sorted so, with a table of terms (term, df, top) and one of blocks (term, class, block, top, n).
 
-    A posting's impact is what its document gets for the term, so a score is a sum of impacts. Documents of about the same length are one class; block 0
-    holds the greatest impacts of a term in a class. Documents without id aren't searched. Idf is
+    A posting's impact is what its document gets for the term, so a score is a sum of impacts. Documents of about the same length are one class; a block
+    holds the postings of a term and class with about the same impact. Documents without id aren't searched. Idf is
     ln(n - df + 0.5) - ln(df + 0.5); negative ones become `floor` times the mean idf over all terms of the corpus.
     """
 
@@ -61,24 +63,23 @@ class LexicalIndex:
         """Counts all documents and stores the postings of all terms, or of those in `terms` (term). Document frequencies and lengths are those of all. Null texts are empty."""
         spark = docs.sparkSession
         path = path or f"{shared_root(spark)}/lexical-{uuid4().hex}"
-        tf = cut_lineage(term_counts(docs, d=d, text=text))
-        n, n_terms = docs.count(), tf.agg(F.sum("tf")).first()[0] or 0
-        df = cut_lineage(tf.groupBy("term").agg(F.count("*").alias("df")).withColumn("raw", F.log(F.lit(n) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)))
-        low = floor * (df.agg(F.avg("raw")).first()[0] or 0.0)
-        idf = df.select("term", "df", F.when(F.col("raw") < 0, F.lit(low)).otherwise(F.col("raw")).alias("idf"))
+        tf = term_counts(docs, d=d, text=text)  # looked at twice: counting words again takes less than keeping all counts
+        n = docs.count()
+        df = written(tf.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf")).withColumn("raw", F.log(F.lit(n) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)))
+        n_terms, mean = df.agg(F.sum("cf"), F.avg("raw")).first()
+        idf = df.select("term", "df", F.when(F.col("raw") < 0, F.lit(floor * (mean or 0.0))).otherwise(F.col("raw")).alias("idf"))
         if terms is not None:
-            idf = idf.join(terms.select("term").distinct(), "term", "left_semi")
+            idf = cut_lineage(idf.join(terms.select("term").distinct(), "term", "left_semi"))
+            idf = F.broadcast(idf) if idf.count() <= SENT else idf
         length = F.col("dl") / F.lit(n_terms / n if n_terms else 1.0)
         impact = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * length))
         kind = F.floor(F.log2(F.col("dl") + 1.0) * CLASSES).cast("int")
-        rows = cut_lineage(tf.where(F.col(d).isNotNull()).join(idf, "term").select("term", "df", kind.alias("class"), d, impact.alias("impact")))
-        tops = cut_lineage(rows.groupBy("term", "class").agg(F.max("impact").alias("top"), F.first("df").alias("df")))
-        block = F.least(F.lit(BLOCKS - 1), F.greatest(F.lit(0), F.floor((1 - F.col("impact") / F.nullif(F.col("top"), F.lit(0.0))) * BLOCKS))).cast("int")
-        rows = rows.drop("df").join(tops.select("term", "class", "top"), ["term", "class"]).select("term", "class", F.coalesce(block, F.lit(0)).alias("block"), d, "impact")
+        rows = tf.where(F.col(d).isNotNull()).join(idf, "term").select("term", kind.alias("class"), d, impact.alias("impact"))
+        rows = rows.withColumn("block", F.floor(F.col("impact") / BLOCK).cast("int"))
         rows.repartitionByRange("term", "class", "block", F.xxhash64(d)).sortWithinPartitions("term", "class", "block").write.parquet(f"{path}/postings")
         index = cls(spark, path, d)
         index._table("postings").groupBy("term", "class", "block").agg(F.max("impact").alias("top"), F.count("*").alias("n")).write.parquet(f"{path}/blocks")
-        tops.groupBy("term").agg(F.first("df").alias("df"), F.max("top").alias("top")).write.parquet(f"{path}/terms")
+        index._table("blocks").groupBy("term").agg(F.sum("n").alias("df"), F.max("top").alias("top")).write.parquet(f"{path}/terms")
         return index
 
     def _full(self, pairs: DataFrame, asked: DataFrame, q: str) -> DataFrame:
@@ -125,7 +126,7 @@ class LexicalIndex:
         parts = seen.groupBy(q, "class", d).agg(F.sum("impact").alias("part"), F.sum(F.coalesce("rest", F.lit(0.0))).alias("own"))
         parts = parts.join(rests, [q, "class"], "left").join(bound, q, "left")
         reach = F.col("part") + F.coalesce("rests", F.lit(0.0)) - F.col("own")
-        scored = cut_lineage(parts.select(q, d, "part", F.coalesce(reach >= F.col("bound"), F.lit(True)).alias("able"), F.coalesce(F.col("rests") > F.col("own"), F.lit(False)).alias("open")))
+        scored = written(parts.select(q, d, "part", F.coalesce(reach >= F.col("bound"), F.lit(True)).alias("able"), F.coalesce(F.col("rests") > F.col("own"), F.lit(False)).alias("open")))
         counted = scored.groupBy(q).agg(F.count("*").alias("n_scored"))
         left = scored.where("able and open").select(q, d)
         done = scored.where("able and not open").select(q, d, F.col("part").alias("score")).unionByName(self._full(left, asked, q)).withColumn("score", F.round("score", digits))

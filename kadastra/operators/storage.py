@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,3 +23,10 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """The rows of `df` checkpointed in the shared folder."""
     shared_root(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def written(df: DataFrame) -> DataFrame:
+    """The rows of `df` written to the shared folder as Parquet and read again: for tables of many rows, which take a fraction of a checkpoint's space."""
+    path = f"{shared_root(df.sparkSession)}/written-{uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
