@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kadastra.operators.retrieval import dense_top_k
-from kadastra.operators.storage import cut_lineage, shared_root
+from kadastra.operators.storage import cut_lineage, shared_root, written
 
 #: Rows that the cells and codes are trained on, at most; every row is indexed.
 SAMPLE = 65_536
@@ -182,17 +182,33 @@ class VectorIndex:
                     yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), pa.array(order.astype(np.int32).tolist(), pa.list_(pa.int32()))], names=[q, "embedding", "order"])
 
         kind = queries.schema[q].dataType.simpleString()
-        return queries.mapInArrow(run, f"`{q}` {kind}, embedding array<double>, order array<int>").select(q, "embedding", F.explode("order").alias("cell"))
+        return queries.mapInArrow(run, f"`{q}` {kind}, embedding array<double>, order array<int>").select(q, "embedding", F.posexplode("order").alias("place", "cell"))
 
     def _candidates(self, queries: DataFrame, q: str, probes: int, rerank: int) -> DataFrame:
-        """(q, _row, near): of each group of a probed cell's rows the `rerank` ones whose codes are nearest.
+        """(q, _row, near): the `rerank` rows of the probed cells whose codes are nearest, and some that are farther.
+
+        The nearest cells, which hold a few times as many rows, are looked at first; the distance of their `rerank`-th row is a bound for all further
+        cells, from which only nearer rows come. So what comes out grows with questions and `rerank`, not with what is looked at.
+        """
+        asked = cut_lineage(self._order(queries, q, probes))
+        most = min(probes, 1 + math.ceil(2 * rerank * len(self.quantiser.cells) / max(1, self.rows().count())))
+        near = written(self._match(asked.where(F.col("place") < most).withColumn("bound", F.lit(float("inf"))), q, rerank))
+        if most >= probes:
+            return near
+        place = F.row_number().over(Window.partitionBy(q).orderBy("near", "_row"))
+        bounds = near.withColumn("_n", place).where(F.col("_n") == rerank).select(q, F.col("near").alias("bound"))
+        rest = asked.where(F.col("place") >= most).join(bounds, q, "left").withColumn("bound", F.coalesce("bound", F.lit(float("inf"))))
+        return near.unionByName(self._match(rest, q, rerank))
+
+    def _match(self, asked: DataFrame, q: str, rerank: int) -> DataFrame:
+        """(q, _row, near): of each group of an asked cell's rows the `rerank` ones at most whose codes are nearest and within the question's bound.
 
         Questions meet a cell's rows in groups of bounded size: a large cell is dealt out by hash, and so are the questions of a cell
-        that many probe. Only codes and questions are shuffled; each group gives `rerank` narrow rows a question.
+        that many probe. Only codes and questions are shuffled.
         """
         quantiser = self.quantiser
-        kind = queries.schema[q].dataType.simpleString()
-        asked = cut_lineage(self._order(queries, q, probes))
+        kind = asked.schema[q].dataType.simpleString()
+        asked = cut_lineage(asked.select(q, "embedding", "cell", "bound"))
         rows = self.rows()
         wanted = [r["cell"] for r in asked.select("cell").distinct().collect()]  # at most MOST_CELLS numbers
         if len(wanted) < len(quantiser.cells):
@@ -202,7 +218,7 @@ class VectorIndex:
         part = lambda key, total, seed: F.pmod(F.xxhash64(key, F.lit(seed)), F.col(total)).cast("int")
         each = lambda total: F.explode(F.sequence(F.lit(0), F.col(total) - 1))
         right = rows.select("cell", "_row", "code").join(sizes, "cell").withColumn("i", part("_row", "i_all", 1)).withColumn("j", each("j_all")).select("cell", "i", "j", "_row", "code")
-        left = asked.join(sizes, "cell").withColumn("j", part(q, "j_all", 2)).withColumn("i", each("i_all")).select("cell", "i", "j", q, "embedding")
+        left = asked.join(sizes, "cell").withColumn("j", part(q, "j_all", 2)).withColumn("i", each("i_all")).select("cell", "i", "j", q, "embedding", "bound")
 
         def match(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
             out = []
@@ -218,7 +234,9 @@ class VectorIndex:
                         near += tables[:, p, codes[:, p]]
                     m = min(rerank, len(b))
                     best = np.argpartition(near, m - 1, axis=1)[:, :m]
-                    out.append(pd.DataFrame({q: np.repeat(a[q].to_numpy()[at : at + 64], m), "_row": names[best].ravel(), "near": np.take_along_axis(near, best, axis=1).ravel()}))
+                    least = np.take_along_axis(near, best, axis=1)
+                    row, column = np.nonzero(least <= a["bound"].to_numpy()[at : at + 64, None])
+                    out.append(pd.DataFrame({q: a[q].to_numpy()[at : at + 64][row], "_row": names[best[row, column]], "near": least[row, column]}))
             return pd.concat(out) if out else pd.DataFrame({q: a[q].iloc[:0], "_row": np.zeros(0, np.int64), "near": np.zeros(0)})
 
         return left.groupBy("cell", "i", "j").cogroup(right.groupBy("cell", "i", "j")).applyInPandas(match, f"`{q}` {kind}, _row long, near double")
