@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from kadastra.functions.columns import cosine, f1
 from kadastra.operators.ranking import group_counts_before, same_keys
+from kadastra.operators.storage import cut_lineage
 
 
 def set_metrics(expected: Column, optional: Column, found: Column, empty_f1: float | None = 0.0) -> dict[str, Column]:
@@ -101,16 +102,61 @@ def board(df: DataFrame, keys: Sequence[str], note: str) -> DataFrame:
     return df.groupBy(*keys).agg(F.count("*").alias("n"), F.avg(note).alias("avg_note"), F.min(note).alias("min_note"), F.max(note).alias("max_note"), F.count_if(F.col(note).isNull()).alias("errors"))
 
 
+#: Rows of a block, in whose pairs the farthest answers are looked for, and ranges of the angle that blocks are cut from.
+BLOCK, RANGES = 1024, 16
+#: Bounds on angles are widened by this, as they come from rounded cosines.
+SLACK = 1e-6
+
+
 def robustness(df: DataFrame, group: str, row_id: str, vector: str) -> DataFrame:
-    """Mean and least cosine over the pairs of each group's answers; null under two answers.
+    """(group, n_answers, avg_cos, min_cos): mean and least cosine over the pairs of each group's answers; null under two of them.
 
-    Pairs are made within small groups of paraphrases; the number of answers is part of the result.
+    The mean comes from the sum of the unit vectors. For the least, angles to the group's mean direction bound those between answers by their sum: what can't
+    be in a pair wider than the widest one known (from the answer farthest from the mean) is left out, the others are compared in blocks whose bounds allow it,
+    a matrix product for each pair of blocks. So tight groups compare few answers, however large they are. Null, empty and zero vectors and those without a finite length count as
+    answers but are in no pair. A null group is none. Repeated ids are different answers.
     """
-    a, b = df.alias("a"), df.alias("b")
-    pairs = a.join(b, (F.col(f"a.{group}") == F.col(f"b.{group}")) & (F.col(f"a.{row_id}") < F.col(f"b.{row_id}")))
-    sims = pairs.select(F.col(f"a.{group}").alias(group), cosine(F.col(f"a.{vector}"), F.col(f"b.{vector}")).alias("c"))
-    n = df.groupBy(group).agg(F.count("*").alias("n_answers"))
-    return n.join(sims.groupBy(group).agg(F.avg("c").alias("avg_cos"), F.min("c").alias("min_cos")), group, "left")
+    n = df.where(F.col(group).isNotNull()).groupBy(group).agg(F.count("*").alias("n_answers"))
+    x = F.col(vector).cast("array<double>")
+    norm = F.sqrt(F.aggregate(x, F.lit(0.0), lambda s, v: s + v * v))
+    units = df.where(F.col(group).isNotNull()).select(F.col(group).alias("g"), F.xxhash64(row_id).alias("h"), x.alias("x"), norm.alias("norm")).where(F.col("norm") > 0).where(F.col("norm") < F.lit(float("inf")))
+    units = units.select("g", "h", F.transform("x", lambda v: F.try_divide(v, F.col("norm"))).alias("x"))
+    sums = units.select("g", F.posexplode("x").alias("at", "v")).groupBy("g", "at").agg(F.sum("v").alias("s"))
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("at", "s"))), lambda p: p["s"])
+    whole = sums.groupBy("g").agg(F.sum(F.col("s") * F.col("s")).alias("square"), listed.alias("mean"))
+    sizes = units.groupBy("g").agg(F.count("*").alias("m"), F.min_by("x", "h").alias("any"))
+    pivots = whole.join(sizes, "g").where("m > 1").select("g", "m", "square", F.when(F.sqrt("square") > 1e-6, F.col("mean")).otherwise(F.col("any")).alias("pivot"))
+    angle = lambda a, b: F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cosine(a, b))))
+    turned = cut_lineage(units.join(pivots.select("g", "pivot"), "g").select("g", "h", "x", angle(F.col("x"), F.col("pivot")).alias("a")))
+    ends = turned.groupBy("g").agg(F.max("a").alias("most"), F.max_by("x", "a").alias("far"))
+    known = turned.join(ends, "g").groupBy("g").agg(F.first("most").alias("most"), F.max(angle(F.col("x"), F.col("far"))).alias("known"))
+    low = F.col("known") - F.col("most") - SLACK
+    wide = turned.join(known, "g").where(F.col("a") >= low)
+    place = F.least(F.lit(RANGES - 1), F.greatest(F.lit(0), F.floor((F.col("most") - F.col("a")) / F.greatest(F.col("most") - F.greatest(low, F.lit(0.0)), F.lit(SLACK)) * RANGES))).cast("int")
+    wide = cut_lineage(wide.select("g", "h", "x", "a", "known", place.alias("range")))
+    cells = wide.groupBy("g", "range").agg(F.ceil(F.count("*") / F.lit(BLOCK)).alias("parts"))
+    placed = wide.join(cells, ["g", "range"]).withColumn("part", F.pmod("h", "parts"))
+    blocks = cut_lineage(placed.groupBy("g", "range", "part").agg(F.max("a").alias("top"), F.first("known").alias("known"), F.count("*").alias("rows"), F.flatten(F.collect_list("x")).alias("xs")).withColumn("block", F.monotonically_increasing_id()))
+    ids = blocks.select("g", "block", "top", "known")
+    l, r = ids.alias("l"), ids.alias("r")
+    met = l.join(r, (F.col("l.g") == F.col("r.g")) & (F.col("l.block") <= F.col("r.block")) & (F.col("l.top") + F.col("r.top") + SLACK >= F.col("l.known")))
+    met = met.select(F.col("l.block").alias("b1"), F.col("r.block").alias("b2"))
+    side = lambda k: blocks.select(F.col("block").alias(f"b{k}"), F.col("xs").alias(f"x{k}"), F.col("rows").alias(f"n{k}"), *(["g"] if k == 1 else []))
+
+    @F.pandas_udf("double")
+    def least(x1: pd.Series, n1: pd.Series, x2: pd.Series, n2: pd.Series, same: pd.Series) -> pd.Series:
+        out = []
+        for a, i, b, j, one in zip(x1, n1, x2, n2, same):
+            c = np.asarray(a, np.float64).reshape(i, -1) @ np.asarray(b, np.float64).reshape(j, -1).T
+            c = c[np.triu_indices(i, 1)] if one else c.ravel()
+            out.append(float(c.min()) if len(c) else None)
+        return pd.Series(out, dtype="float64")
+
+    found = met.join(side(1), "b1").join(side(2), "b2").select("g", least("x1", "n1", "x2", "n2", F.col("b1") == F.col("b2")).alias("c"))
+    lowest = found.groupBy("g").agg(F.min("c").alias("c"))
+    mean = F.try_divide(F.col("square") - F.col("m"), (F.col("m") * (F.col("m") - 1)).cast("double"))
+    both = pivots.join(lowest, "g", "left").select(F.col("g").alias(group), mean.alias("avg_cos"), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("c"))).alias("min_cos"))
+    return n.join(both, group, "left").select(group, "n_answers", "avg_cos", "min_cos")
 
 
 def outliers(df: DataFrame, a: str, b: str, dims: Sequence[tuple[str, str, str]], over: float = 1.0) -> DataFrame:
