@@ -196,3 +196,23 @@ def question_classes(text: Column) -> dict[str, Column]:
         "cross_analysis": low.rlike("|".join(CROSS_ANALYSIS)), "quantitative": _has(low, QUANTITATIVE, False),
         "complexity": F.when(_has(low, OFF_TOPIC, False), "out of domain").when(low.rlike("|".join(SIMPLE)), "simple").otherwise("complex"),
     }
+
+#: Indicators by the sign that names them, with their parts (sign, label, related words).
+INDICATOR_PARTS = (
+    ("opp", "Opportunités", (
+        ("opp1", "Education", ("education", "diplome", "niveau scolaire")),
+        ("opp2", "Diversité sociale", ("diversite", "mixite sociale", "inegalite")),
+        ("opp3", "Transports", ("transport", "mobilite", "voiture", "bus")),
+        ("opp4", "Technologies", ("technologie", "numerique", "internet", "communication")),
+    )),
+    ("cho", "Choix", (
+        ("chx1", "Choix de logement", ("logement", "habitation", "residence")),
+        ("chx2", "Choix emploi", ("emploi", "travail", "metier", "profession")),
+    )),
+    ("vec", "Vécu", (
+        ("vec1", "Sécurité", ("securite", "insecurite", "peur", "danger")),
+        ("vec2", "Environnement", ("environnement", "cadre de vie", "qualite", "pollution")),
+        ("vec3", "Santé", ("sante", "medical", "hopital", "medecin")),
+        ("vec4", "Social", ("social", "lien social", "communaute", "voisinage")),
+    )),
+)

@@ -303,6 +303,25 @@ def group_search(
     return every
 
 
+def view_search(questions: DataFrame, views: DataFrame, k: int, *, q: str = "query_id", d: str = "doc", vector: str = "embedding", age: str = "age_range", job: str = "profession") -> DataFrame:
+    """(q, d, distance, rank): the k nearest of the views that fit each question.
+
+    questions (q, vector, age, job), views (d, dim1_value, dim2_value, vector). Where a question names an age, a view's first dimension must have that value, and its
+    second the job's if that is named too; a job alone is the first dimension's value; a question that names neither is held against all views. A question that no view fits
+    has no row. Questions are parted by what they name, so each part is one dense search whose equality is looked at inside the product.
+    """
+    has_age, has_job = F.col(age).isNotNull(), F.col(job).isNotNull()
+    pair = lambda a, b: F.to_json(F.array(F.col(a).cast("string"), F.col(b).cast("string")))
+    first = F.coalesce(F.col(age).cast("string"), F.col(job).cast("string"))
+    one, two = F.col("dim1_value").isNotNull(), F.col("dim2_value").isNotNull()
+    parts = [
+        dense_top_k(questions.where(~has_age & ~has_job), views, k, q=q, d=d, vector=vector),
+        dense_top_k(questions.where(has_age != has_job).withColumn("_fits", first), views.where(one).withColumn("_fits", F.col("dim1_value").cast("string")), k, q=q, d=d, vector=vector, same="_fits"),
+        dense_top_k(questions.where(has_age & has_job).withColumn("_fits", pair(age, job)), views.where(one & two).withColumn("_fits", pair("dim1_value", "dim2_value")), k, q=q, d=d, vector=vector, same="_fits"),
+    ]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 def sub_question_search(
     subs: DataFrame, retrieve: Callable[[DataFrame], DataFrame], rescore: Callable[[DataFrame], DataFrame], sources: DataFrame, k: int, *, per_source: int = 3, q: str = "query_id", d: str = "doc_id",
 ) -> tuple[DataFrame, DataFrame]:

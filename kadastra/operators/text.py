@@ -77,6 +77,44 @@ def enrich(df: DataFrame, text: Column, terms: Sequence[tuple[str, Sequence[str]
     return df.withColumn("terms", F.slice(F.array_sort(F.array_distinct(found)), 1, most))
 
 
+def enrich_by_ontology(
+    df: DataFrame, text: str, keywords: Sequence[tuple[str, str]], labels: DataFrame, related: DataFrame, *, most: int = 5, words_each: int = 2, parts: Sequence[tuple[str, str, Sequence[tuple[str, str, Sequence[str]]]]] = N.INDICATOR_PARTS,
+) -> DataFrame:
+    """`df` with dimensions, indicators, terms and enriched: the text with at most `most` terms of what it names behind it.
+
+    A text names the dimensions (uris) of the `keywords` (keyword, dimension) that its folded form holds, in their order, and the indicators of `parts` by their sign or a
+    part's. Terms are the dimensions' labels (dimension, label), the first `most` labels of `related` (dimension, label) for each, the named parts' labels, and
+    `words_each` of their words; they are sorted, as the least ones stay. A null text names nothing and stays null.
+
+    What the dimensions bring is at most keywords x (most + 1) labels, whatever the ontology's size: one small row, sent to all tasks; the texts stay where they are.
+    """
+    wanted = sorted({d for _, d in keywords})
+    of = lambda t: t.where(F.col("dimension").isin(wanted) & F.col("label").isNotNull()).select("dimension", "label")
+    place = F.row_number().over(Window.partitionBy("dimension").orderBy("label"))
+    own = of(labels).groupBy("dimension").agg(F.min("label").alias("label"))
+    more = of(related).distinct().withColumn("_at", place).where(F.col("_at") <= most).drop("_at")
+    lists = own.unionByName(more).groupBy("dimension").agg(F.array_sort(F.collect_set("label")).alias("brings"))
+    known = lists.agg(F.map_from_entries(F.collect_list(F.struct("dimension", "brings"))).alias("_known"))  # one row, of no dimension an empty map
+
+    t = fold(F.col(text))
+    names = F.array(*(F.struct(F.lit(d).alias("d"), fold(F.lit(k)).alias("k")) for k, d in keywords)) if keywords else F.array().cast("array<struct<d:string,k:string>>")
+    dims = F.array_distinct(F.transform(F.filter(names, lambda x: F.contains(t, x["k"])), lambda x: x["d"]))
+    nothing = F.array().cast("array<string>")
+    holds = lambda sign: F.coalesce(F.contains(t, F.lit(sign)), F.lit(False))
+    found, brought = [nothing], [nothing]
+    for sign, label, inner in parts:
+        named = holds(sign)
+        for part, part_label, part_words in inner:
+            here = holds(sign) | holds(part)
+            named = named | here
+            brought.append(F.when(here, F.array(*map(F.lit, (part_label, *part_words[:words_each])))).otherwise(nothing))
+        found.append(F.when(named, F.array(F.lit(label))).otherwise(nothing))
+    out = df.crossJoin(F.broadcast(known)).withColumns({"dimensions": F.coalesce(dims, nothing), "indicators": F.concat(*found)})
+    by_dims = F.flatten(F.transform("dimensions", lambda d: F.coalesce(F.try_element_at("_known", d), nothing)))
+    out = out.withColumn("terms", F.slice(F.array_sort(F.array_distinct(F.concat(by_dims, *brought))), 1, most))
+    return out.withColumn("enriched", F.when(F.size("terms") > 0, F.concat(F.col(text), F.lit(" "), F.array_join("terms", " "))).otherwise(F.col(text))).drop("_known")
+
+
 def tagged_union(parts: dict[str, DataFrame], tag: str = "tag") -> DataFrame:
     out = None
     for name, df in parts.items():

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kadastra.functions.columns import words
-from kadastra.operators.graph import both_ways
+from kadastra.operators.graph import both_ways, neighbours
 from kadastra.operators.lexical import LexicalIndex
+from kadastra.operators.retrieval import dense_top_k
 from kadastra.operators.storage import cut_lineage
 
 #: Weights are compared after rounding to so many decimals, so that equal ones tie on every run.
@@ -73,3 +76,24 @@ def graph_hits(walked: DataFrame, documents: DataFrame, k: int, *, q: str = "que
     most = F.max("weight").over(Window.partitionBy(q))
     scored = by.withColumn("score", F.round(F.col("weight") / most, DIGITS))
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy(q).orderBy(F.col("score").desc(), d))).where(F.col("rank") <= k).select(q, d, "score", "rank")
+
+
+def similar_nodes(
+    questions: DataFrame, nodes: DataFrame, edges: DataFrame, k: int, *, types: Sequence[str], names: DataFrame | None = None, most: int = 3, q: str = "query_id", key: str = "uri", vector: str = "embedding",
+) -> DataFrame:
+    """(q, key, type, rank, score, neighbours): the k nodes of the given types nearest to each question's vector, with at most `most` of their neighbours each.
+
+    nodes (key, type, vector), edges (src, rel, dst) in either direction, names (key, label) of neighbours. A neighbour is (rel, other, direction, label), the first ones
+    in that order; nodes without any get an empty list. Only neighbours of what was found are looked at. Nodes and questions without a vector are left out, ties go by key.
+    """
+    near = cut_lineage(dense_top_k(questions, nodes, k, where=F.col("type").isin(list(types)), q=q, d=key, vector=vector))
+    found = near.select(key).distinct()
+    kinds = nodes.where(F.col("type").isin(list(types))).join(found, key, "left_semi").groupBy(key).agg(F.min("type").alias("type"))
+    around = neighbours(found, edges, most, key)
+    label = F.lit(None).cast("string").alias("label")
+    if names is not None:
+        around = around.join(names.groupBy(F.col(key).alias("other")).agg(F.min("label").alias("label")), "other", "left")
+        label = F.col("label")
+    listed = around.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("rel", "other", "direction", label))).alias("neighbours"))
+    none = F.array().cast(listed.schema["neighbours"].dataType)
+    return near.join(kinds, key).join(listed, key, "left").select(q, key, "type", "rank", (1 - F.col("distance")).alias("score"), F.coalesce("neighbours", none).alias("neighbours"))

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import functions as F
 
+from kadastra.functions import scales as N
 from kadastra.operators import geography as Y
 from kadastra.operators import graph as G
 from kadastra.operators import ontology as O
+from kadastra.operators import text as X
+from kadastra.operators import walks as K
 from kadastra.plans.registry import query
 from kadastra.plans.stand_ins import table
 
@@ -140,6 +145,22 @@ def gra12(spark, d):
     return hits(spark, d, 3, F.col("label").isin(0, 1, 2)).select("query_id", "doc_id", "rank")
 
 
+@query("gra12_nodes_with_neighbours", """with q as (select vec_id as query_id, embedding::double[] as qe from embeddings where vec_id % 50 = 0), n as (select doc_id, lang, source, embedding::double[] as de from documents join embeddings on vec_id = doc_id where lang in ('en', 'fr')),
+t as (select query_id, 'doc:' || doc_id as uri, lang as type, source, 1 - list_cosine_similarity(qe, de) as distance, row_number() over (partition by query_id order by 1 - list_cosine_similarity(qe, de), 'doc:' || doc_id) as rank from q, n qualify rank <= 3)
+select query_id, uri, type, rank, round(1 - distance, 6) as score, 'lang>lang:' || type || '>LANG:' || upper(type) || case when source is null then '' else ' source>source:' || source || '>SOURCE:' || upper(source) end as around from t""")
+def gra12_neighbours(spark, d):
+    from kadastra.plans.retrieval_queries import EVERY, document_graph
+
+    docs, e = document_graph(spark, d)
+    vectors = table(spark, d, "embeddings").select("vec_id", "embedding")
+    near = docs.join(vectors, F.col("vec_id") == F.col("doc_id")).select(F.col("node").alias("uri"), F.col("lang").alias("type"), "embedding")
+    names = e.select(F.col("dst").alias("uri")).distinct().select("uri", F.upper("uri").alias("label"))
+    asked = vectors.where(F.col("vec_id") % EVERY == 0).withColumnRenamed("vec_id", "query_id")
+    found = K.similar_nodes(asked, near, e, 3, types=("en", "fr"), names=names)
+    around = F.array_join(F.transform("neighbours", lambda x: F.concat_ws(">", x["rel"], x["other"], x["label"])), " ")
+    return found.select("query_id", "uri", "type", "rank", F.round("score", 6).alias("score"), around.alias("around"))
+
+
 @query("gra13_negative_pairs")
 def gra13(spark, d):
     return G.negative_pairs(edges(spark, d))
@@ -216,3 +237,22 @@ cross_ as (select distinct ak, bk from t where t1 * t2 <= 0 and t3 * t4 <= 0 and
 select ak::varchar as a, bk::varchar as b from cross_ union select a.k::varchar, b.k::varchar from mid a join mid b on a.k <> b.k and {IN.format(x='a.x', y='a.y')}""")
 def join8_touching(spark, d):
     return Y.touching(triangles(spark, d, "customer", "c", lambda n: 2 * n))
+
+
+#: Runs of letters of the benchmark's texts stand for the words that name a dimension.
+NAMING = (("the", "type:PROMO"), ("ion", "type:SMALL"), ("éa", "type:LARGE"), ("the", "type:SMALL"))
+NAMED = f"""txt as (select item_id, text, strip_accents(lower(text)) as t from benchmark),
+named as (select distinct item_id, d from txt, (values {", ".join(f"(strip_accents('{k}'), '{v}')" for k, v in NAMING)}) as k(k, d) where contains(t, k)),
+brings as (select distinct dimension, label from found where label is not null qualify dense_rank() over (partition by dimension order by label) <= 5 union select distinct o, substr(o, 6) from triples where p = 'measures'),
+signs as (select unnest(from_json('{{json}}', '[{{"k": "VARCHAR", "p": "VARCHAR", "l": "VARCHAR", "w": ["VARCHAR"]}}]'), recursive := true)),
+terms as (select item_id, label as term from named join brings on dimension = d union select item_id, unnest(list_prepend(l, w)) from txt join signs on contains(t, k) or contains(t, p)),
+five as (select item_id, term from terms qualify row_number() over (partition by item_id order by term) <= 5),
+dims as (select item_id, count(*)::int as n_dimensions from named group by 1)"""
+SIGNS = [{"k": k, "p": p, "l": name, "w": list(w[:2])} for k, _, inner in N.INDICATOR_PARTS for p, name, w in inner]
+
+
+@query("txt25_by_ontology", INDICATORS + ", " + NAMED.replace("{json}", json.dumps(SIGNS, ensure_ascii=False)) + " select item_id, coalesce(n_dimensions, 0) as n_dimensions, text || coalesce(' ' || (select string_agg(term, ' ' order by term) from five f where f.item_id = txt.item_id), '') as enriched from txt left join dims using (item_id)")
+def txt25_ontology(spark, d):
+    measured = triples(spark, d).where("p = 'measures'").select(F.col("o").alias("dimension"), F.substring("o", 6, 1000).alias("label")).distinct()
+    found = X.enrich_by_ontology(table(spark, d, "benchmark"), "text", NAMING, measured, O.related_labels(found_indicators(spark, d)))
+    return found.select("item_id", F.size("dimensions").alias("n_dimensions"), "enriched")

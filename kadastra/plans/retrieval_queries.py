@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from kadastra.functions import columns as C
 from kadastra.functions import scales as N
+from kadastra.functions.columns import age_bucket_sql
+from kadastra.operators import models as M
 from kadastra.operators import retrieval as R
 from kadastra.operators import views as V
 from kadastra.operators import walks as K
@@ -372,6 +374,27 @@ def ret21(spark, d):
     return v.where("dim1_value = 'BUILDING'").select(F.col("dim1_value").alias("profession"), F.col("dim2_value").alias("age_range"), "n")
 
 
+#: Views by age and job; the vector of a view is the mean of its respondents' vectors. Questions name what the customer of the same number has: an age under a balance of 5000, a job over 0.
+WIDTH = 64
+VIEW_SEARCH = f"""resp as (select age_range, profession, embedding::double[] as v from survey join embeddings on vec_id = person),
+cells as (select 'age' as view_name, age_range as dim1_value, null as dim2_value, v from resp where age_range is not null union all select 'job', profession, null, v from resp where profession is not null
+union all select 'age_job', age_range, profession, v from resp where age_range is not null and profession is not null),
+views as (select concat_ws('|', view_name, dim1_value, dim2_value) as doc, dim1_value, dim2_value, [{", ".join(f"avg(v[{i + 1}])" for i in range(WIDTH))}] as ve from cells group by view_name, dim1_value, dim2_value),
+ask as (select vec_id as query_id, embedding::double[] as qe, case when c_acctbal < 5000 then {age_bucket_sql("(c_custkey % 70 + 15)", "survey")} end as age, case when c_acctbal > 0 then c_mktsegment end as job from embeddings left join customer on c_custkey = vec_id where vec_id % {EVERY} = 0)"""
+
+
+@query("ret21_nearest_views", f"with {SURVEY}, {VIEW_SEARCH} select query_id, doc, row_number() over (partition by query_id order by 1 - list_cosine_similarity(qe, ve), doc) as rank, round(1 - list_cosine_similarity(qe, ve), 6) as distance from ask join views on case when age is not null then dim1_value = age and (job is null or coalesce(dim2_value, '') = job) when job is not null then dim1_value = job else true end qualify rank <= 3")
+def ret21_nearest(spark, d):
+    e = table(spark, d, "embeddings").select("vec_id", "embedding")
+    people = survey(spark, d).join(e, F.col("vec_id") == F.col("person"))
+    vector = F.array(*(F.avg(F.get("embedding", F.lit(i)).cast("double")) for i in range(WIDTH))).alias("embedding")
+    v = V.materialise(people, {"age": ["age_range"], "job": ["profession"], "age_job": ["age_range", "profession"]}, [vector])
+    views = v.select(F.concat_ws("|", "view_name", "dim1_value", "dim2_value").alias("doc"), "dim1_value", "dim2_value", "embedding")
+    c = table(spark, d, "customer").select(F.col("c_custkey").alias("vec_id"), F.when(F.col("c_acctbal") < 5000, C.age_bucket(F.col("c_custkey") % 70 + 15, "survey")).alias("age_range"), F.when(F.col("c_acctbal") > 0, F.col("c_mktsegment")).alias("profession"))
+    asked = e.where(F.col("vec_id") % EVERY == 0).join(c, "vec_id", "left").withColumnRenamed("vec_id", "query_id")
+    return R.view_search(asked, views, 3).withColumn("distance", F.round("distance", 6))
+
+
 @query("win10_source_diversity", _top(20, ", g as (select query_id, doc_id, doc_id % 3 as source, round(1 - distance, 9) as score from top), k as (select *, row_number() over (partition by query_id, source order by score desc, doc_id) as k from g)") + " select query_id, doc_id, row_number() over (partition by query_id order by k > 3, score desc, doc_id) as rank from k qualify rank <= 10")
 def win10(spark, d):
     h = hits(spark, d, 20).select("query_id", "doc_id", (F.col("doc_id") % 3).alias("source"), F.round(1 - F.col("distance"), 9).alias("score"))
@@ -395,3 +418,23 @@ def udf1(spark, d):
         return v * 2.0 + 1
 
     return hits(spark, d, 10).select("query_id", "doc_id", user("doc_id").alias("score"))
+
+
+def _lengths():
+    """A stand-in for a model: what it gives for a list of texts."""
+    return lambda texts: [[float(len(t)), float(t.count(" "))] for t in texts]
+
+
+@query("udf1_model_vectors", "select doc_id, length(text)::double as n_chars, (length(text) - length(replace(text, ' ', '')))::double as n_blanks from documents")
+def udf1_vectors(spark, d):
+    v = M.with_model(table(spark, d, "documents").select("doc_id", "text"), "text", _lengths, "v", "array<double>")
+    return v.select("doc_id", F.col("v")[0].alias("n_chars"), F.col("v")[1].alias("n_blanks"))
+
+
+@query("udf1_view_summaries", """with cells as (select 'all' as view_name, null as dim1_value, null as dim2_value, text from documents union all select 'by_lang', lang, null, text from documents where lang is not null
+union all select 'by_both', lang, source, text from documents where lang is not null and source is not null),
+best as (select view_name, dim1_value, dim2_value, text, count(*) as n, row_number() over (partition by view_name, dim1_value, dim2_value order by length(text) desc, text) as k from cells where text is not null group by 1, 2, 3, 4),
+s as (select view_name, dim1_value, dim2_value, sum(n)::bigint as n, coalesce(string_agg(left(text, 80), ' | ' order by k) filter (where k <= 3), '') as t from best group by 1, 2, 3)
+select view_name, dim1_value, dim2_value, n || ' textes : ' || t as summary from s""")
+def udf1_summaries(spark, d):
+    return M.view_summaries(table(spark, d, "documents"), {"all": [], "by_lang": ["lang"], "by_both": ["lang", "source"]}, "text", lambda: M.Longest(unit="textes"))

@@ -67,6 +67,16 @@ def src7(spark, d):
     return X.interview_turns(X.interviews(c.select(text.alias("text"))))
 
 
+@query("src7_conversations", "select 'C ' || conv_id as commune, (conv_id % 9)::int as num, (row_number() over (partition by conv_id order by turn) - 1)::int as turn, case role when 'user' then 'Q' else 'R' end as role, trim(text, ' ' || chr(9) || chr(10) || chr(13)) as text from conversations")
+def src7_conversations(spark, d):
+    """Transcripts made of the conversations' whole texts, a file's text for each, parsed again."""
+    c = table(spark, d, "conversations")
+    said = F.struct("turn", F.concat(F.when(F.col("role") == "user", F.lit("Q: ")).otherwise(F.lit("R : ")), "text", F.lit("\n")).alias("line"))
+    lines = c.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(said)), lambda x: x["line"]), "").alias("body"))
+    head = F.format_string("preface\n### Commune : C %d | Entretien %d\n", F.col("conv_id"), (F.col("conv_id") % 9).cast("int"))
+    return X.interview_turns(X.interviews(lines.select(F.concat(head, "body").alias("text"))))
+
+
 @query("src8_features", "select 'sq' || c_custkey as nom, 1::int as n_rings, 5::int as n_points from customer")
 def src8(spark, d):
     at = shared(spark)
