@@ -7,6 +7,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kadastra.operators.storage import cut_lineage
+
 
 def code_by_variants(rows: DataFrame, codes: DataFrame, key: str, variants: Sequence[Callable[[Column], Column]], code: str = "code") -> DataFrame:
     """`rows` with the code of the first key variant that has one."""
@@ -41,35 +43,45 @@ def evidence(summaries: DataFrame, chunks: DataFrame, ids: str, k: int, *, key:
     return first.join(chunks, key)
 
 
-def all_or_text(rows: DataFrame, known: DataFrame, question: str, value: str, order: str, *, gram: int = 8) -> DataFrame:
-    """`rows` with the value of the equal known question, else of the first by `order` that holds or is held by it.
+def text_candidates(parts: DataFrame, wholes: DataFrame, *, gram: int = 8) -> DataFrame:
+    """(p, w): pairs of parts (p, text) and wholes (w, text), among them every one whose part lies in its whole. Empty texts are in none.
 
-    Equality is of trimmed texts, holding is of lower-cased ones; the empty question is held by every other. Rows with a null
-    question get null, as do those that nothing matches; known nulls match nothing. A text that lies in another shows
-    there all its runs of `gram` characters (shorter ones: themselves), so different questions meet known ones by the equality of
-    one run of the shorter, the least by hash, and each pair is then tested. The work grows with texts and matches, not with their product.
+    A whole shows all its runs of `gram` characters, and those as long as shorter parts are. A part must show all its own there, so the one that the fewest wholes
+    show is enough to meet them by, and a part with a run that no whole shows meets none. Phrases that most texts share so bring no pairs,
+    as long as a text has anything else. Runs carry ids only, not texts.
     """
-    asked = rows.select(F.trim(question).alias("_q")).where("_q is not null").distinct().withColumn("_low", F.lower("_q"))
-    k = known.where(F.col(question).isNotNull()).select(F.col(question).alias("_k"), F.lower(question).alias("_klow"), F.col(value).alias("_v"), F.col(order).alias("_o"))
-    lengths = asked.select(F.char_length("_low").alias("n")).unionByName(k.select(F.char_length("_klow").alias("n")))
-    sizes = sorted(r[0] for r in lengths.select(F.least("n", F.lit(gram))).distinct().collect())  # 0 to `gram`
+    sizes = sorted(r[0] for r in parts.where(F.char_length("text") > 0).select(F.least(F.char_length("text"), F.lit(gram)).alias("n")).distinct().collect())  # 1 to `gram`
+    if not sizes:
+        return parts.select("p").limit(0).crossJoin(wholes.select("w").limit(0))
 
-    def runs(c: str, n: int) -> Column:
-        return F.when(F.char_length(c) >= n, F.transform(F.sequence(F.lit(1), F.char_length(c) - n + 1), lambda i: F.substring(c, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+    def runs(n: Column) -> Column:
+        every = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.char_length("text") - n + 1)), lambda i: F.substring("text", i, n))
+        return F.when(F.char_length("text") >= n, every).otherwise(F.array().cast("array<string>"))
 
-    def anchor(c: str) -> Column:
-        least = F.array_min(F.transform(runs(c, gram), lambda g: F.struct(F.xxhash64(g).alias("h"), g.alias("g"))))["g"]
-        return F.when(F.char_length(c) <= gram, F.col(c)).otherwise(least)
+    shown = wholes.select("w", F.explode(F.array_distinct(F.flatten(F.array(*(runs(F.lit(n)) for n in sizes))))).alias("g"))
+    counts = shown.groupBy("g").agg(F.count("*").alias("n"))
+    own = parts.where(F.char_length("text") > 0).select("p", F.explode(F.array_distinct(runs(F.least(F.char_length("text"), F.lit(gram))))).alias("g"))
+    rarest = own.join(counts, "g", "left").groupBy("p").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "g")).alias("x")).where("x.n > 0")
+    return rarest.select("p", F.col("x.g").alias("g")).join(shown, "g").select("p", "w")
 
-    def shown(c: str) -> Column:
-        return F.explode(F.array_distinct(F.flatten(F.array(F.array().cast("array<string>"), *(runs(c, n) for n in sizes if n)))))
 
-    a, b = asked.where("_low <> ''"), k.where("_klow <> ''")
-    held = a.withColumn("_g", anchor("_low")).join(b.withColumn("_g", shown("_klow")), "_g").where(F.contains("_klow", F.col("_low")))
-    holds = a.withColumn("_g", shown("_low")).join(b.withColumn("_g", anchor("_klow")), "_g").where(F.contains("_low", F.col("_klow")))
+def all_or_text(rows: DataFrame, known: DataFrame, question: str, value: str, order: str, *, gram: int = 8) -> DataFrame:
+    """`rows` with the value of the equal known question, else of the first by `order` that holds or is held by it.
+
+    Equality is of trimmed texts, holding is of lower-cased ones; the empty question is held by every other. Rows with a null
+    question get null, as do those that nothing matches; known nulls match nothing. Different questions meet known ones
+    by the rarest run of characters of the shorter (text_candidates), and each pair is then tested. The work grows with texts and matches, not with their product.
+    """
+    asked = cut_lineage(rows.select(F.trim(question).alias("_q")).where("_q is not null").distinct().withColumns({"_low": F.lower("_q"), "_a": F.monotonically_increasing_id()}))
+    k = known.where(F.col(question).isNotNull()).select(F.col(question).alias("_k"), F.lower(question).alias("_klow"), F.col(value).alias("_v"), F.col(order).alias("_o"))
+    k = cut_lineage(k.withColumn("_b", F.monotonically_increasing_id()))
+    side = lambda df, i, text, name: df.select(F.col(i).alias(name), F.col(text).alias("text"))
+    held = text_candidates(side(asked, "_a", "_low", "p"), side(k, "_b", "_klow", "w"), gram=gram).select(F.col("p").alias("_a"), F.col("w").alias("_b"))
+    holds = text_candidates(side(k, "_b", "_klow", "p"), side(asked, "_a", "_low", "w"), gram=gram).select(F.col("w").alias("_a"), F.col("p").alias("_b"))
+    met = held.unionByName(holds).join(asked, "_a").join(k, "_b").where(F.contains("_klow", F.col("_low")) | F.contains("_low", F.col("_klow")))
     first = lambda df: F.broadcast(df.agg(F.min(F.struct("_o", "_k", "_v")).alias("x")).where("x is not null").select("x.*"))  # noqa: E731  one row
     pairs = [
-        asked.join(k, F.col("_q") == F.col("_k")).withColumn("_tier", F.lit(0)), held.withColumn("_tier", F.lit(1)), holds.withColumn("_tier", F.lit(1)),
+        asked.join(k, F.col("_q") == F.col("_k")).withColumn("_tier", F.lit(0)), met.withColumn("_tier", F.lit(1)),
         asked.where("_low = ''").crossJoin(first(k)).withColumn("_tier", F.lit(1)), asked.crossJoin(first(k.where("_klow = ''"))).withColumn("_tier", F.lit(1)),
     ]
     every = None
