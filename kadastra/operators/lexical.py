@@ -1,11 +1,12 @@
-"""A stored lexical index: postings in blocks by impact, and top-k search that leaves out what upper bounds rule out."""
+"""A stored lexical index: postings in segments of documents of about one length, and top-k search that leaves out what upper bounds rule out."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
 from uuid import uuid4
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -13,11 +14,11 @@ from pyspark.sql import functions as F
 from kadastra.functions.columns import words
 from kadastra.operators.storage import cut_lineage, shared_root, written
 
-#: Documents are classed by length, so many classes for each doubling: a word's greatest impact says little over all lengths, and much within one class.
+#: Texts are classed by length, so many classes for each doubling: a word's greatest impact says little over all lengths, and much within one class.
 CLASSES = 3
-#: Postings of a term and class whose impacts differ by no more than this are one block.
-BLOCK = 0.5
-#: So many asked terms at most are sent to every task; more meet the postings by a shuffle.
+#: Documents of a segment, on average; a class has as many segments as its size asks for.
+SEGMENT = 4096
+#: So many asked terms at most are sent to every task; more meet the postings by a shuffle. As many (question, term) rows make a block of questions.
 SENT = 100_000
 #: The first terms of a question are scored until so many times k postings have been seen; of their documents so many times k are scored in full.
 FIRST, FULL = 20, 5
@@ -25,30 +26,81 @@ FIRST, FULL = 20, 5
 SLACK = 1e-4
 
 
-def term_counts(docs: DataFrame, *, d: str = "doc_id", text: str = "text") -> DataFrame:
-    """(d, dl, term, tf): the different words of each text. A text's words are counted where it lies; nothing is shuffled."""
+def term_counts(docs: DataFrame, *, d: str = "doc_id", text: str = "text", keep: Sequence[str] = ()) -> DataFrame:
+    """(d, keep, dl, term, tf): the different words of each text. A text's words are counted where it lies; nothing is shuffled."""
+    n = 1 + len(keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 some = batch.slice(at, 256)
-                lists = some.column(1)
+                lists = some.column(n)
                 terms = lists.flatten().dictionary_encode()
                 sizes = np.diff(np.asarray(lists.offsets))
                 key = np.repeat(np.arange(len(sizes)), sizes) * max(1, len(terms.dictionary)) + np.asarray(terms.indices, np.int64)
                 key, tf = np.unique(key, return_counts=True)
                 row, term = np.divmod(key, max(1, len(terms.dictionary)))
-                yield pa.RecordBatch.from_arrays([some.column(0).take(pa.array(row)), pa.array(sizes[row], pa.int32()), terms.dictionary.take(pa.array(term)), pa.array(tf, pa.int64())], names=[d, "dl", "term", "tf"])
+                own = [some.column(i).take(pa.array(row)) for i in range(n)]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(sizes[row], pa.int32()), terms.dictionary.take(pa.array(term)), pa.array(tf, pa.int64())], names=[d, *keep, "dl", "term", "tf"])
 
-    cut = docs.select(d, F.coalesce(words(F.col(text)), F.array().cast("array<string>")).alias("_ws"))
-    return cut.mapInArrow(run, f"`{d}` {docs.schema[d].dataType.simpleString()}, dl int, term string, tf long")
+    cut = docs.select(d, *keep, F.coalesce(words(F.col(text)), F.array().cast("array<string>")).alias("_ws"))
+    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in (d, *keep))
+    return cut.mapInArrow(run, f"{kinds}, dl int, term string, tf long")
+
+
+def segment_search(ids: list, lists: list[np.ndarray], bounds: np.ndarray, k: int, digits: int, q: str, d: str) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """What a task does with the postings (tid, d, impact) of one segment: (q, d, score, n) of the k best documents that may reach their question's bound, and a row without d for the number n that was added up.
+
+    A question's terms go from the rarest to the commonest. A document whose first term is the i-th gets at most that impact and the segment's greatest ones of all later
+    terms, so of each list only the head is taken whose impacts lie this little below the bound; common words mostly have none. What a document can get
+    in the tails is bounded by their first impacts, and only documents that can reach the bound are completed from them.
+    """
+
+    def run(f: pd.DataFrame) -> pd.DataFrame:
+        at, docs = pd.factorize(f[d].to_numpy())
+        tid, impact = f["tid"].to_numpy(np.int64), f["impact"].to_numpy(np.float64)
+        cell, where = np.unique(np.stack([tid, at]), axis=1, return_inverse=True)
+        if cell.shape[1] < len(tid):  # documents of one id are added up
+            (tid, at), impact = cell, np.bincount(where.ravel(), impact, cell.shape[1])
+        order = np.lexsort((-impact, tid))
+        tid, at, impact = tid[order], at[order], impact[order]
+        names, starts, sizes = np.unique(tid, return_index=True, return_counts=True)
+        out: list[tuple[list, list, list, list]] = []
+        for i, terms in enumerate(lists):
+            p = np.searchsorted(names, terms)
+            p = p[names[np.minimum(p, len(names) - 1)] == terms]
+            if not len(p):
+                continue
+            p = p[np.argsort(sizes[p], kind="stable")]
+            tops = np.maximum(impact[starts[p]], 0)
+            need = bounds[i] - (tops[::-1].cumsum()[::-1] - tops)
+            first, last = starts[p], starts[p] + sizes[p]
+            middle = np.array([s + np.searchsorted(-impact[s:e], -x, side="right") for s, e, x in zip(first, last, need)])
+            tail = middle < last
+            rest = np.where(tail, np.maximum(impact[np.minimum(middle, len(impact) - 1)], 0), 0)
+            head = np.concatenate([np.arange(s, m) for s, m in zip(first, middle)])
+            if not len(head):
+                continue
+            part = np.bincount(at[head], impact[head], len(docs))
+            own = np.bincount(at[head], np.repeat(rest, middle - first), len(docs))
+            hit = np.bincount(at[head], minlength=len(docs)) > 0
+            able = np.flatnonzero(hit & (part + rest.sum() - own >= bounds[i]))
+            if len(able) and tail.any():
+                behind = np.concatenate([np.arange(m, e) for m, e in zip(middle, last)])
+                part = part + np.bincount(at[behind], impact[behind], len(docs))
+            score = np.round(part[able], digits)
+            best = np.lexsort((docs[able], -score))[:k]
+            out.append(([ids[i]] * (len(best) + 1), [*docs[able][best].tolist(), None], [*score[best].tolist(), None], [None] * len(best) + [int(hit.sum())]))
+        return pd.DataFrame({c: pd.Series([v for o in out for v in o[j]], dtype=object) for j, c in enumerate((q, d, "score", "n"))})
+
+    return run
 
 
 class LexicalIndex:
-    """BM25 postings (term, class, block, d, impact), sorted so, with a table of terms (term, df, top) and one of blocks (term, class, block, top, n).
+    """BM25 postings (class, seg, tid, d, impact) by segment, with a table of terms (term, tid, df).
 
-    A posting's impact is what its document gets for the term, so a score is a sum of impacts. Documents of about the same length are one class; a block
-    holds the postings of a term and class with about the same impact. Documents without id aren't searched. Idf is
+    A posting's impact is what its document gets for the term, so a score is a sum of impacts. A segment holds whole documents of about the same length, some thousands whatever the
+    corpus's size. Documents without id aren't searched, scores of those with one id are added up. Idf is
     ln(n - df + 0.5) - ln(df + 0.5); negative ones become `floor` times the mean idf over all terms of the corpus.
     """
 
@@ -63,72 +115,75 @@ class LexicalIndex:
         """Counts all documents and stores the postings of all terms, or of those in `terms` (term). Document frequencies and lengths are those of all. Null texts are empty."""
         spark = docs.sparkSession
         path = path or f"{shared_root(spark)}/lexical-{uuid4().hex}"
-        tf = term_counts(docs, d=d, text=text)  # looked at twice: counting words again takes less than keeping all counts
-        n = docs.count()
+        kind = F.floor(F.log2(F.coalesce(F.char_length(text), F.lit(0)) + 1.0) * CLASSES).cast("int")
+        docs = docs.select(d, text).withColumn("class", kind)
+        sizes = {r["class"]: r["count"] for r in docs.groupBy("class").count().collect()}  # at most CLASSES x 32 rows
+        n = sum(sizes.values())
+        parts = F.lit(1)
+        for c, size in sizes.items():
+            parts = F.when(F.col("class") == c, F.lit(-(-size // SEGMENT))).otherwise(parts) if size > SEGMENT else parts
+        tf = term_counts(docs.withColumn("seg", F.pmod(F.xxhash64(d), parts).cast("int")), d=d, text=text, keep=("class", "seg"))  # looked at twice: counting words again takes less than keeping all counts
         df = written(tf.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf")).withColumn("raw", F.log(F.lit(n) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)))
         n_terms, mean = df.agg(F.sum("cf"), F.avg("raw")).first()
-        idf = df.select("term", "df", F.when(F.col("raw") < 0, F.lit(floor * (mean or 0.0))).otherwise(F.col("raw")).alias("idf"))
+        idf = df.select("term", F.when(F.col("raw") < 0, F.lit(floor * (mean or 0.0))).otherwise(F.col("raw")).alias("idf"))
         if terms is not None:
-            idf = cut_lineage(idf.join(terms.select("term").distinct(), "term", "left_semi"))
-            idf = F.broadcast(idf) if idf.count() <= SENT else idf
+            idf = idf.join(terms.select("term").distinct(), "term", "left_semi")
+        idf = written(idf.withColumn("tid", F.monotonically_increasing_id()))
+        sent = F.broadcast(idf) if idf.count() <= SENT else idf
         length = F.col("dl") / F.lit(n_terms / n if n_terms else 1.0)
         impact = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * length))
-        kind = F.floor(F.log2(F.col("dl") + 1.0) * CLASSES).cast("int")
-        rows = tf.where(F.col(d).isNotNull()).join(idf, "term").select("term", kind.alias("class"), d, impact.alias("impact"))
-        rows = rows.withColumn("block", F.floor(F.col("impact") / BLOCK).cast("int"))
-        rows.repartitionByRange("term", "class", "block", F.xxhash64(d)).sortWithinPartitions("term", "class", "block").write.parquet(f"{path}/postings")
+        rows = tf.where(F.col(d).isNotNull()).join(sent, "term").select("class", "seg", "tid", d, impact.alias("impact"))
+        rows.repartition("class", "seg").sortWithinPartitions("class", "seg", "tid").write.parquet(f"{path}/postings")
         index = cls(spark, path, d)
-        index._table("postings").groupBy("term", "class", "block").agg(F.max("impact").alias("top"), F.count("*").alias("n")).write.parquet(f"{path}/blocks")
-        index._table("blocks").groupBy("term").agg(F.sum("n").alias("df"), F.max("top").alias("top")).write.parquet(f"{path}/terms")
+        index._table("postings").groupBy("tid").agg(F.count("*").alias("df")).join(idf.select("term", "tid"), "tid").write.parquet(f"{path}/terms")
         return index
 
     def _full(self, pairs: DataFrame, asked: DataFrame, q: str) -> DataFrame:
         """(q, d, score): all impacts of the pairs (q, d), looked up by term and document."""
-        wanted = pairs.join(asked.select(q, "term"), q)
-        return wanted.join(self._table("postings").select("term", self.d, "impact"), ["term", self.d]).groupBy(q, self.d).agg(F.sum("impact").alias("score"))
+        wanted = pairs.join(asked.select(q, "tid"), q)
+        return wanted.join(self._table("postings").select("tid", self.d, "impact"), ["tid", self.d]).groupBy(q, self.d).agg(F.sum("impact").alias("score"))
+
+    def _asked(self, queries: DataFrame, q: str, text: str) -> DataFrame:
+        """(q, tid, df): the indexed terms of each question, once each."""
+        asked = queries.select(q, F.explode(F.array_distinct(words(F.col(text)))).alias("term")).distinct()
+        return asked.join(self._table("terms"), "term").select(q, "tid", "df")
 
     def score(self, pairs: DataFrame, queries: DataFrame, *, q: str = "query_id", text: str = "text") -> DataFrame:
         """(q, d, score) of stated pairs (q, d); pairs without a common word have no row."""
-        asked = queries.select(q, F.explode(F.array_distinct(words(F.col(text)))).alias("term")).distinct()
-        return self._full(pairs.select(q, self.d).distinct(), asked, q)
+        return self._full(pairs.select(q, self.d).distinct(), self._asked(queries, q, text), q)
 
     def search(self, queries: DataFrame, k: int, *, q: str = "query_id", text: str = "text", digits: int = 5) -> DataFrame:
         """(q, d, score, rank, n_scored): the k best documents of each question; n_scored is how many of its documents were added up.
 
-        A question's terms are taken from the rarest to the commonest. Its first ones, whose lists are short, give documents that are scored in full, and the
-        k-th best of these is a bound that the k best all reach. Then in each class of lengths: a document whose first term is the i-th gets at most that impact and the
-        class's greatest ones of all later terms; where this lies below the bound the block is left out, and common words are left out as a whole. What stands in
-        the other blocks is added up, and completed only if it can reach the bound with the greatest impacts in what was left out. So no document of the k
+        A question's rarest terms, whose lists are short, give documents that are scored in full, and the k-th best of these is a bound that the k best all
+        reach. Then each segment is searched where its postings lie, with the bounds of a block of questions (segment_search), and gives k documents for each question at most; so
+        what is shuffled are postings once for each block of questions, and k rows for each question and segment. No document of the k
         best is lost. Scores are compared after rounding to `digits`, ties go by id. Questions without known words have no rows.
         """
-        d = self.d
-        asked = queries.select(q, F.explode(F.array_distinct(words(F.col(text)))).alias("term")).distinct().join(self._table("terms"), "term")
-        asked = cut_lineage(asked.withColumn("before", F.sum("df").over(Window.partitionBy(q).orderBy("df", "term")) - F.col("df")))
-        postings, blocks = self._table("postings"), self._table("blocks")
-
-        first = asked.where(F.col("before") < FIRST * k).select(q, "term").join(postings, "term").groupBy(q, d).agg(F.sum("impact").alias("part"))
+        d, postings = self.d, self._table("postings")
+        asked = cut_lineage(self._asked(queries, q, text).withColumn("before", F.sum("df").over(Window.partitionBy(q).orderBy("df", "tid")) - F.col("df")))
+        first = asked.where(F.col("before") < FIRST * k).select(q, "tid").join(postings, "tid").groupBy(q, d).agg(F.sum("impact").alias("part"))
         best = first.withColumn("_n", F.row_number().over(Window.partitionBy(q).orderBy(F.col("part").desc(), d))).where(F.col("_n") <= FULL * k)
         known = self._full(best.select(q, d), asked, q).withColumn("_n", F.row_number().over(Window.partitionBy(q).orderBy(F.col("score").desc(), d)))
-        bound = cut_lineage(known.where(F.col("_n") == k).select(q, (F.col("score") - SLACK).alias("bound")))
-
-        # questions whose first terms stand in fewer than k documents have no bound: all of their blocks are taken
-        in_class = blocks.groupBy("term", "class").agg(F.max("top").alias("class_top"), F.sum("n").alias("class_df"))
-        order = Window.partitionBy(q, "class").orderBy("class_df", "term").rowsBetween(1, Window.unboundedFollowing)
-        later = F.coalesce(F.sum(F.greatest("class_top", F.lit(0.0))).over(order), F.lit(0.0))
-        need = asked.select(q, "term").join(in_class, "term").withColumn("later", later).join(bound, q, "left")
-        need = need.select(q, "term", "class", F.coalesce(F.col("bound") - F.col("later"), F.lit(float("-inf"))).alias("need"))
-        chosen = cut_lineage(need.join(blocks.select("term", "class", "block", F.col("top").alias("block_top")), ["term", "class"]).withColumn("taken", F.col("block_top") >= F.col("need")))
-        # what an unseen document may still get for a term: the greatest impact in the blocks that were left out
-        rest = chosen.where("not taken").groupBy(q, "class", "term").agg(F.greatest(F.max("block_top"), F.lit(0.0)).alias("rest"))
-        rests = rest.groupBy(q, "class").agg(F.sum("rest").alias("rests"))
-        taken = chosen.where("taken").select(q, "term", "class", "block").join(rest, [q, "class", "term"], "left")
-        seen = taken.join(postings, ["term", "class", "block"])
-        parts = seen.groupBy(q, "class", d).agg(F.sum("impact").alias("part"), F.sum(F.coalesce("rest", F.lit(0.0))).alias("own"))
-        parts = parts.join(rests, [q, "class"], "left").join(bound, q, "left")
-        reach = F.col("part") + F.coalesce("rests", F.lit(0.0)) - F.col("own")
-        scored = written(parts.select(q, d, "part", F.coalesce(reach >= F.col("bound"), F.lit(True)).alias("able"), F.coalesce(F.col("rests") > F.col("own"), F.lit(False)).alias("open")))
-        counted = scored.groupBy(q).agg(F.count("*").alias("n_scored"))
-        left = scored.where("able and open").select(q, d)
-        done = scored.where("able and not open").select(q, d, F.col("part").alias("score")).unionByName(self._full(left, asked, q)).withColumn("score", F.round("score", digits))
+        # questions whose first terms stand in fewer than k documents have no bound: all that they meet is added up
+        bound = known.where(F.col("_n") == k).select(q, (F.col("score") - SLACK).alias("bound"))
+        bounded = cut_lineage(asked.select(q, "tid").join(bound, q, "left"))
+
+        kinds = f"`{q}` {queries.schema[q].dataType.simpleString()}, `{d}` {postings.schema[d].dataType.simpleString()}, score double, n long"
+        blocks = max(1, -(-bounded.count() // SENT))
+        found = None
+        for i in range(blocks):
+            of = bounded.where(F.pmod(F.xxhash64(q), F.lit(blocks)) == i)
+            rows = of.groupBy(q).agg(F.sort_array(F.collect_list("tid")).alias("tids"), F.coalesce(F.first("bound"), F.lit(float("-inf"))).alias("bound")).collect()  # about SENT numbers
+            if not rows:
+                continue
+            run = segment_search([r[q] for r in rows], [np.array(r["tids"], np.int64) for r in rows], np.array([r["bound"] for r in rows]), k, digits, q, d)
+            own = postings.join(F.broadcast(of.select("tid").distinct()), "tid", "left_semi")
+            one = own.groupBy("class", "seg").applyInPandas(run, kinds)
+            one = written(one)  # k rows for each question and segment
+            found = one if found is None else found.unionByName(one)
+        if found is None:
+            return self.spark.createDataFrame([], kinds.replace("n long", "rank int, n_scored long"))
+        counted = found.where("n is not null").groupBy(q).agg(F.sum("n").alias("n_scored"))
         w = Window.partitionBy(q).orderBy(F.col("score").desc(), d)
-        return done.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).join(counted, q).select(q, d, "score", "rank", "n_scored")
+        return found.where("n is null").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).join(counted, q).select(q, d, "score", "rank", "n_scored")
