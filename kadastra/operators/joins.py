@@ -7,7 +7,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kadastra.operators.storage import cut_lineage
+from kadastra.operators.storage import cut_lineage, merged
 
 
 def code_by_variants(rows: DataFrame, codes: DataFrame, key: str, variants: Sequence[Callable[[Column], Column]], code: str = "code") -> DataFrame:
@@ -59,10 +59,10 @@ def text_candidates(parts: DataFrame, wholes: DataFrame, *, gram: int = 8) -> Da
         return F.when(F.char_length("text") >= n, every).otherwise(F.array().cast("array<string>"))
 
     shown = wholes.select("w", F.explode(F.array_distinct(F.flatten(F.array(*(runs(F.lit(n)) for n in sizes))))).alias("g"))
-    counts = shown.groupBy("g").agg(F.count("*").alias("n"))
+    counts = merged(shown.groupBy("g").agg(F.count("*").alias("n")))
     own = parts.where(F.char_length("text") > 0).select("p", F.explode(F.array_distinct(runs(F.least(F.char_length("text"), F.lit(gram))))).alias("g"))
     rarest = own.join(counts, "g", "left").groupBy("p").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "g")).alias("x")).where("x.n > 0")
-    return rarest.select("p", F.col("x.g").alias("g")).join(shown, "g").select("p", "w")
+    return rarest.select("p", F.col("x.g").alias("g")).join(merged(shown), "g").select("p", "w")
 
 
 def all_or_text(rows: DataFrame, known: DataFrame, question: str, value: str, order: str, *, gram: int = 8) -> DataFrame:
@@ -78,10 +78,10 @@ def all_or_text(rows: DataFrame, known: DataFrame, question: str, value: str, or
     side = lambda df, i, text, name: df.select(F.col(i).alias(name), F.col(text).alias("text"))
     held = text_candidates(side(asked, "_a", "_low", "p"), side(k, "_b", "_klow", "w"), gram=gram).select(F.col("p").alias("_a"), F.col("w").alias("_b"))
     holds = text_candidates(side(k, "_b", "_klow", "p"), side(asked, "_a", "_low", "w"), gram=gram).select(F.col("w").alias("_a"), F.col("p").alias("_b"))
-    met = held.unionByName(holds).join(asked, "_a").join(k, "_b").where(F.contains("_klow", F.col("_low")) | F.contains("_low", F.col("_klow")))
+    met = held.unionByName(holds).join(merged(asked), "_a").join(merged(k), "_b").where(F.contains("_klow", F.col("_low")) | F.contains("_low", F.col("_klow")))
     first = lambda df: F.broadcast(df.agg(F.min(F.struct("_o", "_k", "_v")).alias("x")).where("x is not null").select("x.*"))  # noqa: E731  one row
     pairs = [
-        asked.join(k, F.col("_q") == F.col("_k")).withColumn("_tier", F.lit(0)), met.withColumn("_tier", F.lit(1)),
+        asked.join(merged(k), F.col("_q") == F.col("_k")).withColumn("_tier", F.lit(0)), met.withColumn("_tier", F.lit(1)),
         asked.where("_low = ''").crossJoin(first(k)).withColumn("_tier", F.lit(1)), asked.crossJoin(first(k.where("_klow = ''"))).withColumn("_tier", F.lit(1)),
     ]
     every = None
@@ -89,4 +89,4 @@ def all_or_text(rows: DataFrame, known: DataFrame, question: str, value: str, or
         x = x.select("_q", "_tier", "_o", "_k", "_v")
         every = x if every is None else every.unionByName(x)
     best = every.groupBy("_q").agg(F.min(F.struct("_tier", "_o", "_k", "_v"))["_v"].alias(value))
-    return rows.join(best, F.trim(question) == F.col("_q"), "left").drop("_q")
+    return rows.join(merged(best), F.trim(question) == F.col("_q"), "left").drop("_q")

@@ -34,6 +34,14 @@ def test_candidates_hold_every_part_in_its_whole(spark):
     assert J.text_candidates(df(parts, "p"), df(["q"], "w").limit(0)).collect() == []
 
 
+def test_questions_and_known_ones_are_never_broadcast(spark):
+    known = spark.range(50).select(F.concat(F.lit("ask "), F.col("id").cast("string")).alias("question"), F.col("id").alias("v"))
+    rows = spark.range(80).select("id", F.concat(F.lit("Please ASK "), F.col("id").cast("string")).alias("question"))
+    found = J.all_or_text(rows, known, "question", "v", "v")
+    assert {r.id: r.v for r in found.collect()} == {i: int(str(i)[0]) for i in range(80)}
+    assert "BroadcastHashJoin" not in found._jdf.queryExecution().executedPlan().toString()  # the sides' sizes are unknown, files don't tell them
+
+
 def test_views_that_fit_the_question(spark):
     rng = np.random.default_rng(2)
     vec = lambda: [float(x) for x in rng.normal(size=4)]
