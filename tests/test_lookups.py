@@ -88,3 +88,22 @@ def test_nodes_with_and_without_neighbours(spark):
     assert [(x.rel, x.other, x.direction, x.label) for x in got[0].neighbours] == [("q", "m", "in", "Em"), ("r", "n0", "out", "Zero"), ("r", "n1", "out", None)]
     assert got[1].neighbours == []
     assert K.similar_nodes(q.limit(0), nodes, edges, 5, types=["Concept"]).collect() == []
+
+
+def test_dense_search_over_many_blocks_of_rows(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(3 * R.ROWS + 7, 4)).round(1)
+    rows = [(i, v.tolist(), i % 700) for i, v in enumerate(x)] + [(9_000 + i, [float("nan")] * 4, 699) for i in range(50)]
+    docs = spark.createDataFrame(rows, "doc_id long, embedding array<double>, part long").coalesce(1)
+    asked = spark.createDataFrame([(i, x[i].tolist(), None if i % 2 else i) for i in range(20)] + [(99, x[5].tolist(), 699)], "query_id long, embedding array<double>, part long")
+    got = [tuple(r) for r in R.dense_top_k(asked, docs, 3, same="part").orderBy("query_id", "rank").select("query_id", "doc_id").collect()]
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    want = []
+    for i, part in [(i, None if i % 2 else i) for i in range(20)] + [(99, 699)]:
+        dist = 1 - u @ u[5 if i == 99 else i]
+        able = [j for j in range(len(x)) if part is None or j % 700 == part]
+        want += [(i, j) for j in sorted(able, key=lambda j: (round(dist[j], 12), j))[:3]]
+    assert got == want
+    few = spark.createDataFrame([*rows[:2], *((j, [float("nan")] * 4, 0) for j in range(10, 100))], docs.schema).coalesce(1)
+    assert {r.doc_id for r in R.dense_top_k(asked.where("query_id = 1"), few, 3).collect()} == {0, 1}  # before, a block without k finite distances gave none
+    assert R.ROWS * R.BLOCK * 8 <= 32 << 20
