@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kadastra.operators.storage import cut_lineage
+from kadastra.operators.storage import cut_lineage, merged, written
 
 
 def inside(x: Column, y: Column, ring: Column) -> Column:
@@ -66,80 +65,125 @@ def _edges(rings: list) -> np.ndarray:
     return np.array(found, np.float64).reshape(-1, 4)
 
 
-def _cover(edges: np.ndarray, most: int) -> Iterator[tuple[int, int, int, bool]]:
-    """(level, cx, cy, inner): cells of side 2^level that cover the area; inner ones lie in it as a whole."""
-    x, y = edges[:, [0, 2]], edges[:, [1, 3]]
-    reach = max(np.ptp(x), np.ptp(y), 2.0**-60)
-    level = math.ceil(math.log2(reach))
-    at = lambda v: math.floor(v / 2.0**level)
-    cells = np.array([(i, j) for i in range(at(x.min()), at(x.max()) + 1) for j in range(at(y.min()), at(y.max()) + 1)], np.int64)
-    inner = 0
-    while True:
-        side = 2.0**level
-        x0, y0 = cells[:, :1] * side, cells[:, 1:] * side
-        meets = (x.min(axis=1) <= x0 + side) & (x.max(axis=1) >= x0) & (y.min(axis=1) <= y0 + side) & (y.max(axis=1) >= y0)
+def _covers(edges: np.ndarray, sizes: np.ndarray, most: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """((area, level, cx, cy, inner), n_asked, asked): cells of side 2^level that cover each area, inner ones lie in it as a whole; all areas' cells of one depth are looked at together.
+
+    `edges` are those of all areas in turn, `sizes` their numbers, each one at least. Each border cell has n_asked of the edges `asked`: a ray to the right from a point in it may
+    cross these; edges below, above or left of the cell are never crossed.
+    """
+    begins = np.cumsum(sizes) - sizes
+    x, y = np.sort(edges[:, [0, 2]], axis=1), np.sort(edges[:, [1, 3]], axis=1)
+    low = {c: np.minimum.reduceat(v[:, 0], begins) for c, v in (("x", x), ("y", y))}
+    high = {c: np.maximum.reduceat(v[:, 1], begins) for c, v in (("x", x), ("y", y))}
+    reach = np.maximum(np.maximum(high["x"] - low["x"], high["y"] - low["y"]), 2.0**-60)
+    level = np.ceil(np.log2(reach)).astype(np.int64)
+    first, last = ({c: np.floor(v[c] / np.exp2(level)).astype(np.int64) for c in "xy"} for v in (low, high))
+    area, cx, cy = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    for u in (0, 1, 2):
+        for v in (0, 1, 2):
+            k = np.flatnonzero((first["x"] + u <= last["x"]) & (first["y"] + v <= last["y"]))
+            area, cx, cy = np.append(area, k), np.append(cx, first["x"][k] + u), np.append(cy, first["y"][k] + v)
+    inner = np.zeros(len(sizes), np.int64)
+    out, asked = [], []
+    while len(area):
+        many = sizes[area]
+        starts = np.cumsum(many) - many
+        cell = np.repeat(np.arange(len(area)), many)
+        edge = np.arange(len(cell)) - starts[cell] + begins[area][cell]
+        e, ex, ey = edges[edge], x[edge], y[edge]
+        side = np.exp2(level[area].astype(np.float64))
+        s, x0, y0 = side[cell], (cx * side)[cell], (cy * side)[cell]
         # an edge whose line has all four corners on one side doesn't meet the cell; what rounding leaves open counts as meeting
-        dx, dy = edges[:, 2] - edges[:, 0], edges[:, 3] - edges[:, 1]
-        turns = np.stack([dx * (y0 + v * side - edges[:, 1]) - dy * (x0 + u * side - edges[:, 0]) for u in (0, 1) for v in (0, 1)])
-        doubt = 1e-9 * (np.abs(dx) + np.abs(dy)) * (np.abs(x0) + np.abs(y0) + side + np.abs(edges[:, 0]) + np.abs(edges[:, 1]))
+        dx, dy = e[:, 2] - e[:, 0], e[:, 3] - e[:, 1]
+        turns = np.stack([dx * (y0 + v * s - e[:, 1]) - dy * (x0 + u * s - e[:, 0]) for u in (0, 1) for v in (0, 1)])
+        doubt = 1e-9 * (np.abs(dx) + np.abs(dy)) * (np.abs(x0) + np.abs(y0) + s + np.abs(e[:, 0]) + np.abs(e[:, 1]))
+        meets = (ex[:, 0] <= x0 + s) & (ex[:, 1] >= x0) & (ey[:, 0] <= y0 + s) & (ey[:, 1] >= y0)
         meets &= (turns.min(axis=0) <= doubt) & (turns.max(axis=0) >= -doubt)
-        border = meets.any(axis=1)
-        free = cells[~border]
-        cx, cy = (free[:, :1] + 0.5) * side, (free[:, 1:] + 0.5) * side
-        cross = (edges[:, 1] > cy) != (edges[:, 3] > cy)
-        right = cx < edges[:, 0] + (cy - edges[:, 1]) * dx / np.where(dy == 0, 1, dy)
-        for i, j in free[(cross & right).sum(axis=1) % 2 == 1].tolist():
-            inner += 1
-            yield level, i, j, True
-        cells = cells[border]
-        if not len(cells) or inner + 4 * len(cells) > most or side < reach / 4096 or np.abs(cells).max() > 1 << 50:
-            break
-        cells = np.concatenate([cells * 2 + (u, v) for u in (0, 1) for v in (0, 1)])
-        level -= 1
-    for i, j in cells.tolist():
-        yield level, i, j, False
-
-
-def cover(areas: DataFrame, *, most: int = 256) -> DataFrame:
+        border = np.logical_or.reduceat(meets, starts)
+        mx, my = x0 + s / 2, y0 + s / 2
+        crossed = ((e[:, 1] > my) != (e[:, 3] > my)) & (mx < e[:, 0] + (my - e[:, 1]) * dx / np.where(dy == 0, 1, dy))
+        full = ~border & (np.add.reduceat(crossed.astype(np.int64), starts) % 2 == 1)
+        inner += np.bincount(area[full], minlength=len(sizes))
+        n = np.bincount(area[border], minlength=len(sizes))
+        far = np.bincount(area, (np.abs(cx) > 1 << 50) | (np.abs(cy) > 1 << 50), len(sizes)) > 0
+        stop = (inner + 4 * n > most) | (np.exp2(level.astype(np.float64)) < reach / 4096) | far
+        done = border & stop[area]
+        near = done[cell] & (ey[:, 0] <= y0 + s) & (ey[:, 1] >= y0) & (ey[:, 0] < ey[:, 1])
+        near &= ex[:, 1] + 1e-9 * (np.abs(e[:, 0]) + np.abs(e[:, 2]) + s) >= x0
+        for some in (full, done):
+            out.append((area[some], level[area[some]], cx[some], cy[some], np.full(some.sum(), some is full)))
+            asked.append((np.bincount(cell[near], minlength=len(area))[some] * (some is done), e[near] if some is done else e[:0]))
+        go = border & ~stop[area]
+        area, cx, cy = (np.concatenate(v) for v in zip(*((area[go], cx[go] * 2 + u, cy[go] * 2 + v) for u in (0, 1) for v in (0, 1))))
+        level = level - 1
+    columns = [np.concatenate(c) for c in zip(*out)]
+    return columns, np.concatenate([n for n, _ in asked]), np.concatenate([v for _, v in asked])
+
+
+def cover(areas: DataFrame, *, most: int = 256, edges: bool = False) -> DataFrame:
     """(area, level, cx, cy, inner): a quadtree cover of each area by at most `most` cells, as deep as that allows.
 
     Cells have a side of 2^level and start at multiples of it, so an area is covered in its own scale however large or small it is. Only cells that the border
-    meets are split. Areas without edges have no cells, nor have those with coordinates that aren't finite.
+    meets are split. Areas without edges have no cells, nor have those with coordinates that aren't finite. With `edges` cells on the border bring
+    the edges that decide about their points, as (px, py, qx, qy); inner ones bring none.
     """
+    names = ("px", "py", "qx", "qy")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for area, rings in zip(batch.column(0).to_pylist(), batch.column(1)):
-                edges = _edges([r for r in rings.as_py() or [] if r])
-                if len(edges) and np.isfinite(edges).all():
-                    rows += [(area, *cell) for cell in _cover(edges, most)]
-            kinds = [batch.schema.field(0).type, pa.int32(), pa.int64(), pa.int64(), pa.bool_()]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["area", "level", "cx", "cy", "inner"])
-
-    return areas.select("area", "rings").mapInArrow(run, f"area {areas.schema['area'].dataType.simpleString()}, level int, cx long, cy long, inner boolean")
+    kinds = [pa.int32(), pa.int64(), pa.int64(), pa.bool_()]
 
+    def cells(batch: pa.RecordBatch, at: list[int], found: list[np.ndarray]) -> pa.RecordBatch:
+        (area, *columns), n, asked = _covers(np.concatenate(found), np.array([len(f) for f in found]), most)
+        arrays = [batch.column(0).take(pa.array(np.array(at)[area])), *(pa.array(c).cast(k) for c, k in zip(columns, kinds))]
+        if edges:
+            offsets = np.concatenate([[0], n.cumsum()]).astype(np.int32)
+            arrays.append(pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays([pa.array(asked[:, j]) for j in range(4)], names=list(names))))
+        return pa.RecordBatch.from_arrays(arrays, names=["area", "level", "cx", "cy", "inner", *(["edges"] if edges else [])])
 
-def areas_at(points: DataFrame, areas: DataFrame, *, key: str = "name", most: int = 256) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, found, n = [], [], 0
+            for i, rings in enumerate(batch.column(1)):
+                mine = _edges([r for r in rings.as_py() or [] if r])
+                if len(mine) and np.isfinite(mine).all():
+                    if found and (n + len(mine)) * most > 500_000:  # what is looked at together
+                        yield cells(batch, at, found)
+                        at, found, n = [], [], 0
+                    at.append(i)
+                    found.append(mine)
+                    n += len(mine)
+            if found:
+                yield cells(batch, at, found)
+
+    tasks = 4 * areas.sparkSession.sparkContext.defaultParallelism  # small files are few tasks, and covers take time
+    more = f", edges array<struct<{', '.join(f'{n}:double' for n in names)}>>" if edges else ""
+    return areas.select("area", "rings").repartition(tasks, "area").mapInArrow(run, f"area {areas.schema['area'].dataType.simpleString()}, level int, cx long, cy long, inner boolean{more}")
+
+
+def areas_at(points: DataFrame, areas: DataFrame, *, key: str = "name", most: int = 32) -> DataFrame:
     """(key, area): all areas that hold each point (key, x, y).
 
-    Points meet the cells of the areas' covers by equality, once for each level that occurs; inner cells are answers by themselves, only those on the border ask the ring
-    test. A cell is no larger than its area and their number for each area is bounded, so neither tiny nor huge areas are listed in many cells.
+    Points meet the cells of the areas' covers by equality, once for each level that occurs; inner cells are answers by themselves, those on the border ask the few
+    edges that they bring, so pairs are neither shuffled nor joined again. A cell is no larger than its area and their number for each area is bounded, so neither tiny
+    nor huge areas are listed in many cells. How deep covers go changes the work and not the answer.
     """
-    cells = cut_lineage(cover(areas, most=most))
+    cells = written(cover(areas, most=most, edges=True))
     levels = sorted(r["level"] for r in cells.select("level").distinct().collect())  # exponents of two: some dozens
     usable = points.where((F.abs("x") < float("inf")) & (F.abs("y") < float("inf"))).select(key, "x", "y")
     at = usable.withColumn("level", F.explode(F.array(*map(F.lit, levels)).cast("array<int>")))
     side = F.pow(F.lit(2.0), F.col("level"))
-    met = at.withColumn("cx", F.floor(F.col("x") / side)).withColumn("cy", F.floor(F.col("y") / side)).join(cells, ["level", "cx", "cy"]).select(key, "x", "y", "area", "inner")
-    tested = met.where("not inner").join(areas.select("area", "rings"), "area").where(in_rings(F.col("x"), F.col("y"), F.col("rings")))
-    return met.where("inner").select(key, "area").unionByName(tested.select(key, "area"))
+    met = at.withColumn("cx", F.floor(F.col("x") / side)).withColumn("cy", F.floor(F.col("y") / side)).join(merged(cells), ["level", "cx", "cy"])
+
+    def crosses(e: Column) -> Column:
+        across = e["px"] + (F.col("y") - e["py"]) * (e["qx"] - e["px"]) / (e["qy"] - e["py"])
+        return ((e["py"] > F.col("y")) != (e["qy"] > F.col("y"))) & (F.col("x") < across)
+
+    return met.where(F.col("inner") | (F.size(F.filter("edges", crosses)) % 2 == 1)).select(key, "area")
 
 
-def point_in_area(points: DataFrame, areas: DataFrame, *, key: str = "name", most: int = 256) -> DataFrame:
+def point_in_area(points: DataFrame, areas: DataFrame, *, key: str = "name", most: int = 32) -> DataFrame:
     """`points` (name, x, y) with the first area (area, rings) that holds each, or null."""
     first = areas_at(points, areas, key=key, most=most).groupBy(key).agg(F.min("area").alias("area"))
-    return points.join(first, key, "left")
+    return points.join(merged(first), key, "left")
 
 
 def touching(areas: DataFrame, digits: int = 6) -> DataFrame:
@@ -160,21 +204,28 @@ def touching(areas: DataFrame, digits: int = 6) -> DataFrame:
     levels = F.array(*(F.lit(r["own"]) for r in e.select("own").distinct().orderBy("own").collect())).cast("array<int>")  # 64 at most
     cells = F.expr("flatten(transform(sequence(shiftright(x0, level), shiftright(xx, level)), cx -> transform(sequence(shiftright(y0, level), shiftright(yy, level)), cy -> struct(cx, cy))))")
     spread = e.withColumn("level", F.explode(F.filter(levels, lambda v: v >= F.col("own")))).withColumn("c", F.explode(cells))
-    names = ["area", "x1", "y1", "x2", "y2", "x0", "xx", "y0", "yy"]
+    names = ["area", "own", "x1", "y1", "x2", "y2", "x0", "xx", "y0", "yy"]
     side = lambda df, n: df.select("level", F.col("c.cx").alias("cx"), F.col("c.cy").alias("cy"), *(F.col(c).alias(f"{n}_{c}") for c in names))
     p, q = side(spread, "p"), side(spread.where("level = own"), "q")
     boxes = "p_area <> q_area and p_x0 <= q_xx and q_x0 <= p_xx and p_y0 <= q_yy and q_y0 <= p_yy"
+    # two edges are compared in one cell only, where their boxes begin to overlap; those of one size once, not from either side
+    once = "(p_own < level or p_area < q_area) and shiftright(greatest(p_x0, q_x0), level) = cx and shiftright(greatest(p_y0, q_y0), level) = cy"
 
     def turn(a: tuple[str, str], b: tuple[str, str], c: tuple[str, str]) -> Column:
         """On which side of the line from a to b the point c lies."""
-        gap = lambda u, v: (F.col(v) - F.col(u)).cast("decimal(19,0)")
-        left, right = gap(a[0], b[0]) * gap(a[1], c[1]), gap(a[1], b[1]) * gap(a[0], c[0])
-        return F.when(left > right, 1).when(left < right, -1).otherwise(0)
+        gap = lambda u, v, kind: (F.col(v) - F.col(u)).cast(kind)
+        product = lambda kind: (gap(a[0], b[0], kind) * gap(a[1], c[1], kind), gap(a[1], b[1], kind) * gap(a[0], c[0], kind))
+        left, right = product("decimal(19,0)")
+        exact = F.when(left > right, 1).when(left < right, -1).otherwise(0)
+        # doubles decide unless the products lie as near as their rounding; then integers do
+        left, right = product("double")
+        doubt = 1e-15 * (F.abs(left) + F.abs(right))
+        return F.when(left - right > doubt, 1).when(right - left > doubt, -1).when((left == 0) & (right == 0), 0).otherwise(exact)
 
     ends = {n: ((f"{n}_x1", f"{n}_y1"), (f"{n}_x2", f"{n}_y2")) for n in "pq"}
     # with overlapping boxes, edges meet unless one lies wholly on one side of the other's line
     apart = (turn(*ends["p"], ends["q"][0]) * turn(*ends["p"], ends["q"][1]) > 0) | (turn(*ends["q"], ends["p"][0]) * turn(*ends["q"], ends["p"][1]) > 0)
-    met = p.join(q, ["level", "cx", "cy"]).where(boxes).where(~apart).select(F.col("p_area").alias("a"), F.col("q_area").alias("b")).distinct()
+    met = p.join(merged(q), ["level", "cx", "cy"]).where(boxes).where(once).where(~apart).select(F.col("p_area").alias("a"), F.col("q_area").alias("b")).distinct()
     corners = ring.where(F.size("r") > 0).select(F.struct("area", F.monotonically_increasing_id().alias("_n")).alias("name"), F.col("r")[0]["x"].alias("x"), F.col("r")[0]["y"].alias("y"))
     held = areas_at(cut_lineage(corners), areas).select(F.col("name.area").alias("a"), F.col("area").alias("b")).where("a <> b")
     return met.unionByName(met.select(F.col("b").alias("a"), F.col("a").alias("b"))).unionByName(held).distinct()

@@ -12,6 +12,7 @@ from kadastra.operators import graph as G
 from kadastra.operators import ontology as O
 from kadastra.operators import text as X
 from kadastra.operators import walks as K
+from kadastra.operators.storage import merged
 from kadastra.plans.registry import query
 from kadastra.plans.stand_ins import table
 
@@ -227,7 +228,7 @@ def join7_centroids(spark, d):
     small, big = triangles(spark, d, "supplier", "s", lambda n: 3 * n), triangles(spark, d, "customer", "c")
     points = small.select(F.col("area").alias("name"), Y.centroid(F.col("rings")).alias("c")).select("name", "c.x", "c.y")
     hits = Y.areas_at(points, big).groupBy("name").agg(F.count("*").alias("n_areas"), F.min("area").alias("area"))
-    return points.select("name").join(hits, "name", "left").select("name", "area", F.coalesce("n_areas", F.lit(0)).cast("long").alias("n_areas"))
+    return points.select("name").join(merged(hits), "name", "left").select("name", "area", F.coalesce("n_areas", F.lit(0)).cast("long").alias("n_areas"))
 
 
 @query("join8_touching_areas", f"""with {TRIANGLES}, near as (select a.k as ak, b.k as bk, a.x as ax, a.y as ay, a.s as sa, b.* from mid a join mid b on a.k <> b.k and a.x <= b.x + b.s and b.x <= a.x + a.s and a.y <= b.y + b.s and b.y <= a.y + a.s),

@@ -136,3 +136,12 @@ def test_touching_random_areas_of_all_sizes(spark, seed):
 def test_touching_of_nothing(spark):
     assert Y.touching(frame(spark, [])).count() == 0
     assert Y.touching(frame(spark, [("a", None), ("b", []), ("c", [[]]), (None, [closed([(0, 0), (1, 0), (0, 1)])])])).count() == 0
+
+
+def test_areas_and_cells_are_never_broadcast(spark):
+    areas = frame(spark, polygons(5, 30))
+    points = spark.createDataFrame([("p", 0.0, 0.0)], "name string, x double, y double")
+    for found in (Y.areas_at(points, areas), Y.point_in_area(points, areas)):
+        assert "BroadcastHashJoin" not in found._jdf.queryExecution().executedPlan().toString()  # files don't tell how many cells there are
+    cells = Y.cover(areas, edges=True).collect()
+    assert all((not c["edges"]) or not c["inner"] for c in cells) and any(c["edges"] for c in cells)
