@@ -40,9 +40,9 @@ def src2(spark, d):
 def src3(spark, d):
     at = shared(spark)
     s = table(spark, d, "supplier").select(F.concat(F.lit("entretien_"), "s_name", F.lit("_"), F.col("s_suppkey").cast("string")).alias("name"), F.concat(F.lit("text of "), "s_name").alias("text"))
-    s.repartition("name").write.partitionBy("name").text(at)
-    names = spark.read.text(f"{at}/*/*.txt", wholetext=True).select(F.url_decode(F.url_decode(F.regexp_extract(F.col("_metadata.file_path"), "name=([^/]+)/", 1))).alias("name"), F.trim(F.regexp_replace("value", r"\n+$", "")).alias("text"))
-    return X.interview_names(names.where("text <> ''")).select("commune", "num", "text")
+    X.write_files(s, at)
+    texts = X.read_folder(spark, at, "interviews").withColumn("name", F.url_decode("name"))
+    return X.interview_names(texts).select("commune", "num", "text")
 
 
 @query("src5_blocks", "select c_name as name, 'short ' || c_custkey as summary, 'long ' || c_custkey as description from customer")

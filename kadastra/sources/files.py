@@ -1,10 +1,11 @@
-"""Readers and writers of the formats that collections come in, all through Spark's own sources."""
+"""Readers and writers of the formats that collections come in, all through Spark's own sources but for folders of one file a row."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow.fs as arrow_fs
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -21,7 +22,8 @@ def read_survey(spark: SparkSession, path: str, schema: T.StructType, *, encodin
 
 def read_folder(spark: SparkSession, path: str, source: str) -> DataFrame:
     """(name, text, source): one row per file, named by its file name; empty files are skipped."""
-    df = spark.read.text(path, wholetext=True).select(F.regexp_replace(F.col("_metadata.file_name"), r"\.[^.]*$", "").alias("name"), F.col("value").alias("text"))
+    file = F.url_decode(F.replace(F.col("_metadata.file_name"), F.lit("+"), F.lit("%2B")))  # it comes as part of a URI, where a plus is itself
+    df = spark.read.text(path, wholetext=True).select(F.regexp_replace(file, r"\.[^.]*$", "").alias("name"), F.col("value").alias("text"))
     return df.where(F.trim("text", F.lit(BLANKS)) != "").withColumn("source", F.lit(source))
 
 
@@ -116,6 +118,24 @@ def write_texts(df: DataFrame, path: str, key: str = "commune", text: str = "tex
     df.select(key, text).repartition(key).write.partitionBy(key).mode(mode).text(path)
 
 
+def write_files(df: DataFrame, path: str, name: str = "name", text: str = "text") -> None:
+    """One file `<name>.txt` in the folder for each row whose name and text aren't null; names are URL-encoded, so a name may hold any character.
+
+    Tasks write through Arrow's file systems, whose URIs are those of Spark's paths. Spark's own writer makes a folder for each
+    name, and on a local disk without Hadoop's native library starts a process for the mode of every folder and file. A task that is run again writes the same files.
+    """
+    arrow_fs.FileSystem.from_uri(path)[0].create_dir(arrow_fs.FileSystem.from_uri(path)[1])
+
+    def write(rows: Iterator[Row]) -> None:
+        store, root = arrow_fs.FileSystem.from_uri(path)
+        for file, value in rows:
+            with store.open_output_stream(f"{root}/{file}.txt") as out:
+                out.write(value.encode())
+
+    rows = df.where(F.col(name).isNotNull() & F.col(text).isNotNull()).select(F.url_encode(name).alias("_file"), F.col(text).alias("_value"))
+    rows.repartition(df.sparkSession.sparkContext.defaultParallelism, "_file").foreachPartition(write)
+
+
 def export(df: DataFrame, path: str, kind: str = "csv", mode: str = "overwrite") -> None:
     """CSV with a header, or JSON lines."""
     (df.write.mode(mode).option("header", True).csv if kind == "csv" else df.write.mode(mode).json)(path)

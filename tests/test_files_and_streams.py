@@ -64,3 +64,11 @@ def test_refresh_is_idempotent(spark, tmp_path):
     assert sorted(tuple(r) for r in run.view(1).collect()) == [("a", 2, 2.0), ("b", 2, 3.0), ("c", 1, 4.0)]
     assert sorted(tuple(r) for r in run.view(0).collect()) == [("a", 2, 2.0), ("b", 1, 5.0)]
     assert ViewRefresher(spark, str(tmp_path / "t"), ["k"]).view(3) is None
+
+
+def test_one_file_for_each_text_in_one_folder(spark, tmp_path):
+    rows = [("entretien_Saint-Florent_x_1", "one\ntwo"), ("entretien_a/b#c é+%41_2", "été"), (None, "lost"), ("entretien_none_3", None), ("blank", " ")]
+    files.write_files(spark.createDataFrame(rows, "name string, text string"), f"file://{tmp_path}/in")
+    assert len(list((tmp_path / "in").glob("*.txt"))) == 3 and not [p for p in (tmp_path / "in").iterdir() if p.is_dir()]
+    back = files.interview_names(files.read_folder(spark, f"file://{tmp_path}/in", "s").withColumn("name", F.url_decode("name")))
+    assert sorted((r["commune"], r["num"], r["text"]) for r in back.collect()) == [("Saint-Florent_x", 1, "one\ntwo"), ("a/b#c é+%41", 2, "été")]
