@@ -169,7 +169,8 @@ def str1_live(spark, d):
     e.repartitionByRange(3, "event_id").write.parquet(f"{at}/in")
     hour = F.hour("ts").cast("string")
     rows = lambda s: s.select(F.concat_ws("|", F.col("user_id").cast("string"), hour).alias("id"), F.col("event_id").alias("version"), (F.col("event_type") == "error").alias("deleted"), "event_type", hour.alias("hour"), F.col("user_id").alias("person"), F.col("value").alias("score"))
-    live = live_views(spark, f"{at}/in", e.schema, LIVE, f"{at}/live", prepare=rows, least=5)
+    third = -(-len(spark.read.parquet(f"{at}/in").inputFiles()) // 3)
+    live = live_views(spark, f"{at}/in", e.schema, LIVE, f"{at}/live", prepare=rows, least=5, files=third)
     return live.view().withColumn("avg_score", F.round("avg_score", 9))
 
 
