@@ -7,15 +7,13 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kadastra.llm.common import checkpoint, table
+from kadastra.operators.ranking import counts_before
 
-#: Labelled rows used for the fit: at most so many of each class, the least by a hash of their id.
-SAMPLE = 6000
 #: Pairs that each document of the smaller class takes part in.
 RIVALS = 8
 #: Newton steps, ridge and the score at which a document counts as good.
@@ -75,22 +73,34 @@ def _featured(columns: list[str], text: str, then):
     return run
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, *, row_id: str = "doc_id", sample: int = SAMPLE) -> DataFrame:
-    """(label, rank, x): features of a bounded sample of the labelled documents.
+def training_rows(docs: DataFrame, labels: DataFrame, *, row_id: str = "doc_id") -> DataFrame:
+    """(row_id, label, x): features of all labelled documents.
 
-    Of each class the `sample` labels with the least hash of their id are taken, so the sample
-    is the same at every run and its side of the join has a fixed bound.
+    Texts become features where they lie, so only features are shuffled to meet the labels; neither side is broadcast.
     """
-    taken = None
-    for label in (0, 1):
-        one = labels.where(F.col("quality") == label).select(F.col(row_id), F.lit(label).alias("label")).distinct()
-        one = one.orderBy(F.xxhash64(row_id), row_id).limit(sample)
-        taken = one if taken is None else taken.unionByName(one)
-    rows = docs.select(row_id, "text").join(F.broadcast(taken), row_id)
-    return rows.mapInArrow(
-        _featured([row_id, "label"], "text", lambda x: {"x": pa.array(list(x), pa.list_(pa.float64()))}),
-        f"{row_id} {docs.schema[row_id].dataType.simpleString()}, label int, x array<double>",
+    given = labels.where("quality in (0, 1)").select(row_id, F.col("quality").cast("int").alias("label")).distinct()
+    rows = docs.select(row_id, "text").mapInArrow(
+        _featured([row_id], "text", lambda x: {"x": pa.array(list(x), pa.list_(pa.float64()))}),
+        f"{row_id} {docs.schema[row_id].dataType.simpleString()}, x array<double>",
     )
+    return rows.join(given.hint("merge"), row_id).select(row_id, "label", "x")
+
+
+def numbered(rows: DataFrame, *, row_id: str = "doc_id") -> tuple[DataFrame, dict[int, int]]:
+    """((label, x, rank), rows of each label): each class numbered from 0 in the order of a hash of the id.
+
+    Rows are dealt out by ranges of that order and numbered within each; the driver adds up the ranges, two numbers each.
+    """
+    order = [F.xxhash64(row_id, F.lit(7)), F.col(row_id), F.xxhash64("x")]
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = checkpoint(rows.repartitionByRange(parts, "label", *order).withColumn("_range", F.spark_partition_id()))
+    sizes, offsets = {}, []
+    for r in sorted(ranged.groupBy("label", "_range").agg(F.count("*").alias("n")).collect(), key=lambda r: (r["label"], r["_range"])):
+        offsets += [F.lit(2 * r["_range"] + r["label"]), F.lit(sizes.get(r["label"], 0))]
+        sizes[r["label"]] = sizes.get(r["label"], 0) + r["n"]
+    offset = F.create_map(*offsets)[2 * F.col("_range") + F.col("label")] if offsets else F.lit(0)
+    w = Window.partitionBy("_range", "label").orderBy(*order)
+    return ranged.select("label", "x", (F.row_number().over(w) - 1 + offset).cast("long").alias("rank")), sizes
 
 
 def preference_pairs(rows: DataFrame, *, row_id: str = "doc_id", rivals: int = RIVALS) -> DataFrame:
@@ -99,10 +109,7 @@ def preference_pairs(rows: DataFrame, *, row_id: str = "doc_id", rivals: int = R
     The join is on a computed rank, so it makes `rivals` rows for each row of the larger class
     and no cross product.
     """
-    from pyspark.sql import Window
-
-    ranked = checkpoint(rows.withColumn("rank", F.row_number().over(Window.partitionBy("label").orderBy(F.xxhash64(row_id, F.lit(7)), row_id)) - 1))
-    sizes = {r["label"]: r["n"] for r in ranked.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    ranked, sizes = numbered(rows, row_id=row_id)
     n0, n1 = sizes.get(0, 0), sizes.get(1, 0)
     few, n_few = (0, n0) if n0 <= n1 else (1, n1)
     many = ranked.where(F.col("label") != few).select(F.col("x").alias("xm"), "rank")
@@ -123,18 +130,17 @@ def fit_bradley_terry(pairs: DataFrame, *, steps: int = STEPS, ridge: float = RI
     w = np.zeros(WIDTH)
     for _ in range(steps):
 
-        def part(frames: Iterator[pd.DataFrame], w=w) -> Iterator[pd.DataFrame]:
+        def part(batches: Iterator[pa.RecordBatch], w=w) -> Iterator[pa.RecordBatch]:
             g, h, n = np.zeros(WIDTH), np.zeros((WIDTH, WIDTH)), 0
-            for f in frames:
-                if len(f):
-                    d = np.stack(f["d"].to_numpy())
-                    p = 1 / (1 + np.exp(np.clip(d @ w, -500, 500)))
-                    g -= p @ d
-                    h += (d * (p * (1 - p))[:, None]).T @ d
-                    n += len(d)
-            yield pd.DataFrame({"n": [n], "g": [g.tolist()], "h": [h.ravel().tolist()]})
-
-        sums = pairs.mapInPandas(part, "n long, g array<double>, h array<double>").collect()
+            for batch in batches:
+                d = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(-1, WIDTH)
+                p = 1 / (1 + np.exp(np.clip(d @ w, -500, 500)))
+                g -= p @ d
+                h += (d * (p * (1 - p))[:, None]).T @ d
+                n += len(d)
+            yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([g], pa.list_(pa.float64())), pa.array([h.ravel()], pa.list_(pa.float64()))], names=["n", "g", "h"])
+
+        sums = pairs.mapInArrow(part, "n long, g array<double>, h array<double>").collect()
         n = sum(r["n"] for r in sums)
         if not n:
             return w
@@ -148,10 +154,10 @@ def fit_bradley_terry(pairs: DataFrame, *, steps: int = STEPS, ridge: float = RI
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float, float]:
-    """(weights, cut, scale): the cut is the quantile of the raw scores below which the share of label 0 lies.
+    """(weights, cut, scale), all from all labelled rows: the cut is the quantile of the raw scores below which the share of label 0 lies.
 
-    So many of the labelled rows are rejected as the labels reject. Scores of the sample count by their class's share of all
-    labels; where no score lies near the quantile, the cut stands in the middle of the gap. Rows without a label of 0 or 1 are passed
+    So many of the labelled rows are rejected as the labels reject, as nearly as ties allow; the cut stands in the middle of the gap between two scores.
+    The scale is half the median distance from it. Rows without a label of 0 or 1 are passed
     over, and ids that repeat count once for each label. Ties share a side. Without labels, or with labels of one kind only, the model is empty.
     """
     rows = checkpoint(training_rows(docs, labels))
@@ -159,19 +165,19 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float, float]:
     if not w.any():
         return w, 0.0, 1.0
     scored = rows.select("label", F.aggregate(F.zip_with("x", F.array(*map(F.lit, w.tolist())), lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b).alias("raw"))
-    grid = [i / 200 for i in range(201)]
-    q = {r["label"]: np.array(r["q"]) for r in scored.groupBy("label").agg(F.percentile("raw", F.array(*map(F.lit, grid))).alias("q")).collect()}
-    n = {r["quality"]: r["count"] for r in labels.where("quality in (0, 1)").groupBy("quality").count().collect()}
-    share = n[0] / (n[0] + n[1])
-    at = np.unique(np.concatenate([q[0], q[1]]))
-    mid = (at[:-1] + at[1:]) / 2 if len(at) > 1 else at
-    below = lambda k: np.interp(mid, q[k], grid, left=0, right=1)
-    off = np.abs(share * below(0) + (1 - share) * below(1) - share)
-    best = at[:-1][np.isclose(off, off.min(), atol=1e-9)] if len(at) > 1 else at
-    ends = at[1:][np.isclose(off, off.min(), atol=1e-9)] if len(at) > 1 else at
-    cut = float((best.min() + ends.max()) / 2)
-    scale = float(max(np.median(np.abs(np.concatenate([q[0], q[1]]) - cut)) / 2, 1e-6))
-    return w, cut, scale
+    by = checkpoint(counts_before(scored, "raw", descending=False))
+    n, least = by.agg(F.sum("n"), F.min("raw")).first()
+    off = F.abs(F.col("before") - scored.where("label = 0").count())
+    gaps = by.where("before > 0").withColumn("off", off)
+    closest = gaps.agg(F.min("off")).first()[0]
+    if closest is None:
+        cut = float(least)
+    else:
+        first, last = gaps.where(F.col("off") == closest).agg(F.min("raw"), F.max("raw")).first()
+        cut = (by.where(F.col("raw") < first).agg(F.max("raw")).first()[0] + last) / 2
+    away = counts_before(scored.select(F.abs(F.col("raw") - cut).alias("away")), "away", descending=False)
+    middle = away.where((F.col("before") <= n // 2) & (F.lit(n // 2) < F.col("before") + F.col("n"))).first()["away"]
+    return w, cut, float(max(middle / 2, 1e-6))
 
 
 def score_documents(docs: DataFrame, model: tuple[np.ndarray, float, float], *, text: str = "text", keep: list[str] | None = None) -> DataFrame:

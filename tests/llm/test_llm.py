@@ -297,6 +297,20 @@ def test_quality_cut_is_a_quantile(spark, data):
     assert not one[0].any() and ranking.score_documents(docs, one).where("predicted = 0").count() == 0
 
 
+def test_quality_learns_from_all_labels(spark):
+    """More labelled rows of a class than the 6,000 once taken: each is in the pairs, and the cut is the exact quantile of all."""
+    ids = spark.range(9000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, F.concat(F.lit("a fine sentence "), F.col("id").cast("string"))).otherwise(F.concat(F.lit("## $$ "), F.hash("id").cast("string"))).alias("text"))
+    labels = ids.select("doc_id", F.when(F.col("doc_id") % 90 == 0, 0).otherwise((F.col("doc_id") % 3 == 0).cast("int")).alias("quality"))
+    rows = ranking.training_rows(ids, labels)
+    assert rows.count() == 9000
+    ranked, sizes = ranking.numbered(rows)
+    assert sizes == {0: 6100, 1: 2900} and ranked.groupBy("label").agg(F.min("rank"), F.max("rank"), F.count_distinct("rank")).orderBy("label").collect() == [(0, 0, 6099, 6100), (1, 0, 2899, 2900)]
+    assert ranking.preference_pairs(rows).count() == 8 * 6100
+    model = ranking.fit(ids, labels)
+    low = ranking.score_documents(ids, model).where("predicted = 0").count()
+    assert 6000 <= low <= 6100  # texts of a length tie
+
+
 def test_quality_held_out(spark, data):
     got = {r["doc_id"]: r for r in ranking.op4_quality(spark, data.replace("0.001", "0.01")).collect()}
     labels = spark.read.parquet(data.replace("0.001", "0.01") + "/labels.parquet").collect()
