@@ -21,8 +21,8 @@ COSINE = 0.95
 NEAREST, SHARED = 10, 2
 #: Pivots: four times the square root of the number of vectors, within these bounds.
 LEAST_PIVOTS, MOST_PIVOTS = 64, 8192
-#: Lists are kept for sets of so many pivots, and a vector is in those of all sets of its so many nearest. Beyond the number of vectors for
-#: which the pivots suffice, sets grow by one pivot for every DEEPER times as many vectors, so lists keep their length.
+#: Lists are kept for sets of so many pivots, and a vector is in those of all sets of its so many nearest. One pivot is the default at any size. A caller
+#: may ask for more: lists keep their length if sets grow by one pivot for every DEEPER times as many vectors as the pivots suffice for (`prefix_length`).
 SETS, DEEPER = {1: NEAREST, 2: 6, 3: 6}, 32
 #: Pivots have at most this cosine with each other.
 APART = 0.7
@@ -66,7 +66,7 @@ def choose_pivots(vectors: DataFrame, n: int, *, column: str = "embedding") -> n
 
 
 def prefix_length(n: int) -> int:
-    """How many pivots a list's set has, for n vectors."""
+    """How many pivots a list's set may have for n vectors so that lists keep their length; a choice for callers, `near_vectors` never makes it."""
     enough, length = (MOST_PIVOTS / 4) ** 2, 1
     while n > enough and length < max(SETS):
         enough, length = enough * DEEPER, length + 1
@@ -147,15 +147,15 @@ def _verify(cosine: float, least_shared: int):
     return run
 
 
-def near_vectors(vectors: DataFrame, *, row_id: str = "vec_id", column: str = "embedding", cosine: float = COSINE, nearest: int = NEAREST, least_shared: int = SHARED, block: int = BLOCK, prefix: int | None = None) -> DataFrame:
+def near_vectors(vectors: DataFrame, *, row_id: str = "vec_id", column: str = "embedding", cosine: float = COSINE, nearest: int = NEAREST, least_shared: int = SHARED, block: int = BLOCK, prefix: int = 1) -> DataFrame:
     """row_id, n_links, component_id, kept for each row of `vectors`.
 
     Every vector is described by its nearest pivots in order. The inverted list of a pivot holds all
     vectors that have it among theirs; each vector meets the list of its nearest pivot, those that
     share too few pivots are passed over and the rest verified in double precision. A pair is
     found if either end's nearest pivot is among the other's, and is counted once for
-    each end. With very many vectors a list is kept for each set of two or three pivots instead (`prefix`), so lists don't grow with
-    the table. A list is dealt out in blocks of a fixed size, home rows by members, so that a
+    each end. Where the caller asks for it (`prefix`) a list is kept for each set of two or three pivots instead; nothing chooses that by
+    the table's size. A list is dealt out in blocks of a fixed size, home rows by members, so that a
     pivot with a large share of all vectors is spread over tasks; blocks return counts and a
     spanning forest, never pairs.
 
@@ -181,7 +181,6 @@ def near_vectors(vectors: DataFrame, *, row_id: str = "vec_id", column: str = "e
     pivots = choose_pivots(kinds, n)
     width = max(width or 1, pivots.shape[1] if len(pivots) else 1, 1)
     if len(pivots):
-        prefix = prefix or prefix_length(n)
         seen = checkpoint(describe(kinds, pivots, width, nearest=nearest, prefix=prefix))
         homes = seen.groupBy(F.col("keys")[0].alias("pivot")).agg(F.count("*").alias("n_home"))
         lists = seen.select(F.explode("keys").alias("pivot")).groupBy("pivot").agg(F.count("*").alias("n_member"))

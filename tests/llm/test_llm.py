@@ -857,3 +857,15 @@ def test_secrets_in_a_text_of_many_matches(spark):
         more = [(int(a), int(b)) for k, a, b in spans if k == "token"]
         assert len(spans) - len(more) == len(base) and not any(a < e and s < b for a, b in more for s, _, e in base)
         assert more or r["doc_id"] == 2
+
+
+def test_sets_of_pivots_never_follow_the_number_of_vectors(spark, monkeypatch):
+    """With as few pivots as would once have made pairs of them, vectors are still listed under one pivot each."""
+    monkeypatch.setattr(pivots, "MOST_PIVOTS", 8)
+    seen = []
+    describe = pivots.describe
+    monkeypatch.setattr(pivots, "describe", lambda *a, **k: seen.append(k["prefix"]) or describe(*a, **k))
+    rng = np.random.default_rng(3)
+    v = rng.normal(size=(200, 16))
+    got = pivots.near_vectors(spark.createDataFrame([(i, x.tolist()) for i, x in enumerate([*v, *v * 2])], "vec_id long, embedding array<double>"))
+    assert pivots.prefix_length(400) > 1 and seen == [1] and got.count() == 400
