@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kadastra.functions.columns import f1, fold
+from kadastra.operators.storage import merged
 
 #: The categories of which one satisfies a token of the type, view tokens by collection.
 SATISFY = {
@@ -39,6 +40,8 @@ RIGHT = {
 }
 #: Share of a view's evidence that stands for the view where a configuration has none.
 SHARE = 0.3
+#: Parts into which the questions that ask for one token are dealt.
+SPREAD = 64
 
 
 def _looked_up(table: dict[str, list[str]], key: Column) -> Column:
@@ -73,7 +76,7 @@ def token_pools(tokens: DataFrame, lineage: DataFrame, named: Sequence[str] = ("
     meant = hits.groupBy("token_key", "n", *names).agg(F.count("*").alias("k")).where("k = n").select("token_key", *names)
     free = asked.where(F.size("wants") == 0).select("token_key", "asked").join(views, here).select("token_key", *names)
     evidence = lineage.select(*view, "chunk_id")
-    return meant.unionByName(free).join(evidence, names).select("token_key", "chunk_id").distinct()
+    return meant.unionByName(free).join(merged(evidence), names).select("token_key", "chunk_id").distinct()
 
 
 def token_metrics(runs: DataFrame, retrieved: DataFrame, tokens: DataFrame, pools: DataFrame, *, with_views: Sequence[str], share: float = SHARE, digits: int = 3) -> DataFrame:
@@ -87,16 +90,19 @@ def token_metrics(runs: DataFrame, retrieved: DataFrame, tokens: DataFrame, pool
     question whose truth is "rien" is a refusal: no scores, tnrr 1 if nothing was retrieved. f1 is null if both are 0.
 
     Lists of retrieved rows are k for each run, so meeting them with the tokens of their question stays small;
-    evidence is met by equality and counted before anything is joined on.
+    evidence is met by equality and counted before anything is joined on. Every side grows with its table, so none is broadcast.
     """
     kind = F.when(F.col("type") == "raptor", F.concat(F.lit("raptor:"), F.coalesce("collection", F.lit("both")))).otherwise(F.col("type"))
     toks = tokens.select("question", "type", kind.alias("kind"), token_key().alias("token_key"), F.coalesce("optional", F.lit(False)).alias("optional"))
     run = ["question", "config"]
-    cats = runs.join(retrieved.groupBy(*run).agg(F.count("*").alias("n_found"), F.collect_set("category").alias("cats")), run, "left").withColumns({"n_found": F.coalesce("n_found", F.lit(0)), "cats": F.coalesce("cats", F.array().cast("array<string>"))})
+    cats = runs.join(merged(retrieved.groupBy(*run).agg(F.count("*").alias("n_found"), F.collect_set("category").alias("cats"))), run, "left").withColumns({"n_found": F.coalesce("n_found", F.lit(0)), "cats": F.coalesce("cats", F.array().cast("array<string>"))})
     asked = toks.where("type = 'raptor'").select("question", "token_key").distinct()
-    shared = retrieved.where("chunk_id is not null").select(*run, "chunk_id").distinct().join(asked, "question").join(pools, ["token_key", "chunk_id"]).groupBy(*run, "token_key").agg(F.count("*").alias("n_shared"))
+    shared = retrieved.where("chunk_id is not null").select(*run, "chunk_id").distinct().join(merged(asked), "question").join(merged(pools), ["token_key", "chunk_id"]).groupBy(*run, "token_key").agg(F.count("*").alias("n_shared"))
     sizes = pools.groupBy("token_key").agg(F.count("*").alias("n_pool"))
-    each = cats.join(toks, "question").join(sizes, "token_key", "left").join(shared, [*run, "token_key"], "left")
+    # popular tokens are dealt out in SPREAD parts, narrow rows of view tokens only; all other tokens would be one key
+    part = F.pmod(F.xxhash64("question"), F.lit(SPREAD)).alias("_part")
+    sized = asked.select("*", part).join(merged(sizes.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SPREAD - 1).cast("long"))).alias("_part"))), ["token_key", "_part"]).drop("_part")
+    each = cats.join(merged(toks), "question").join(merged(sized), ["question", "token_key"], "left").join(merged(shared), [*run, "token_key"], "left")
     has = lambda table: F.arrays_overlap("cats", _looked_up(table, F.col("kind")))
     by_evidence = F.when(F.col("n_pool").isNotNull(), F.coalesce("n_shared", F.lit(0)) / F.col("n_pool") >= share).otherwise(has(INSTEAD))
     ok = F.when((F.col("type") == "raptor") & ~F.col("config").isin(list(with_views)), by_evidence).otherwise(has(SATISFY))

@@ -51,8 +51,8 @@ def metrics(spark, d):
     k = F.col("p_partkey")
     part = table(spark, d, "part").select("p_partkey")
     configs = F.explode(F.array(F.lit("plain"), F.lit("views"))).alias("config")
-    ordered = people(spark, d).withColumn("k", F.row_number().over(Window.partitionBy("c_nationkey").orderBy("chunk_id"))).where("k <= 20")
-    found = part.join(ordered, (F.col("c_nationkey") == k % 25) & (F.col("k") <= k % 6 * 4)).select(k.alias("question"), "chunk_id", configs)
+    ordered = people(spark, d).withColumn("k", F.row_number().over(Window.partitionBy("c_nationkey").orderBy("chunk_id"))).where("k <= 20")  # twenty rows of each of 25 nations
+    found = part.join(F.broadcast(ordered), (F.col("c_nationkey") == k % 25) & (F.col("k") <= k % 6 * 4)).select(k.alias("question"), "chunk_id", configs)
     c = F.col("chunk_id") % 4
     category = F.when(c == 0, "verbatims").when(c == 1, "entretiens").when(c == 2, "unknown").when(F.col("config") == "views", "raptor_portrait").otherwise("stats_enquete")
     asked = tokens(spark, d)

@@ -48,3 +48,11 @@ def test_negative_pairs_query(spark, data):
 def test_approximate_query_asks_every_fiftieth(spark, data):
     asked = {r["vec_id"] for r in spark.read.parquet(f"{data}/embeddings.parquet").where("vec_id % 50 = 0").collect()}
     assert {r["query_id"] for r in QUERIES["ret2_approximate_top_k"](spark, data).select("query_id").distinct().collect()} == asked
+
+
+def test_no_growing_side_of_the_token_metrics_is_broadcast(spark, data):
+    from kadastra.plans.truth_queries import metrics
+
+    plan = metrics(spark, data)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("strategy=broadcast") == 2  # twenty rows of each nation, used twice
+    assert plan.count("strategy=merge") >= 7
