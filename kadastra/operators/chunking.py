@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -89,12 +88,8 @@ def split_text(text: str | None, size: int = 500, overlap: int = 100, separators
 
 
 def recursive_split(text: Column, size: int = 500, overlap: int = 100) -> Column:
-    """`split_text` of a column, by Arrow batches; interviews with Q/R pairs give their pairs instead."""
-
-    @F.pandas_udf("array<string>")
-    def split(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: split_text(t, size, overlap))
-
+    """`split_text` of a column, a hundred rows at a time (an Arrow batch has ten thousand texts and all their chunks); interviews with Q/R pairs give their pairs instead."""
+    split = F.udf(lambda t: split_text(t, size, overlap), "array<string>", useArrow=False)
     pairs = question_answer_pairs(text)
     return F.when(F.size(pairs) > 0, pairs).otherwise(split(text))
 

@@ -56,3 +56,10 @@ def test_no_growing_side_of_the_token_metrics_is_broadcast(spark, data):
     plan = metrics(spark, data)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("strategy=broadcast") == 2  # twenty rows of each nation, used twice
     assert plan.count("strategy=merge") >= 7
+
+
+def test_texts_are_split_in_small_batches(spark, data):
+    from kadastra.plans import QUERIES
+
+    plan = QUERIES["win14_recursive_split"](spark, data)._jdf.queryExecution().executedPlan().toString()
+    assert "BatchEvalPython" in plan and "ArrowEvalPython" not in plan
