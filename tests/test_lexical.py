@@ -88,3 +88,15 @@ def test_sub_questions_are_pooled(spark):
     assert [(r["doc_id"], r["score"], r["n_subs"], r["source"]) for r in best.orderBy("rank").collect()] == [(11, 5.0, 2, "b"), (12, 4.0, 1, "b"), (10, 1.0, 1, "a"), (14, 0.0, 1, "")]
     kinds = spark.createDataFrame([(1, 1, "raptor_view"), (1, 1, "other"), (1, 2, "oppchovec"), (1, 2, "verbatims"), (2, 1, None)], "query_id long, sub long, type string")
     assert sorted(map(tuple, R.evidence_balance(kinds, F.col("type")).collect())) == [(1, 1, True, False), (1, 2, True, True), (2, 1, False, False)]
+
+
+def test_scores_of_stated_pairs_only(spark):
+    docs, questions = corpus(5, 80)
+    d, q = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(questions, "query_id long, text string")
+    pairs = [(i, j) for i, _ in questions for j in (docs[i % 80][0], docs[(7 * i) % 80][0], 2000, 2003)] + [(999, 1), (1, 999_999)]
+    want = {(i, j): s for i, t in questions for j, s in bm25(docs, t).items()}
+    every = {(r["query_id"], r["doc_id"]): r["score"] for r in R.bm25(q, d).collect()}
+    assert every == pytest.approx(want, abs=1e-6)
+    some = R.bm25(q, d, pairs=spark.createDataFrame([*pairs, *pairs], "query_id long, doc_id long"))  # before, all pairs were made and then joined
+    assert {(r["query_id"], r["doc_id"]): r["score"] for r in some.collect()} == pytest.approx({p: want[p] for p in pairs if p in want}, abs=1e-6)
+    assert R.bm25(q, d.where("false"), pairs=spark.createDataFrame(pairs, "query_id long, doc_id long")).count() == 0

@@ -107,3 +107,12 @@ def test_dense_search_over_many_blocks_of_rows(spark):
     few = spark.createDataFrame([*rows[:2], *((j, [float("nan")] * 4, 0) for j in range(10, 100))], docs.schema).coalesce(1)
     assert {r.doc_id for r in R.dense_top_k(asked.where("query_id = 1"), few, 3).collect()} == {0, 1}  # before, a block without k finite distances gave none
     assert R.ROWS * R.BLOCK * 8 <= 32 << 20
+
+
+def test_dense_search_by_named_questions_over_empty_partitions(spark):
+    docs = spark.createDataFrame([(i, [1.0, i / 10], f"T{i % 3}") for i in range(6)], "doc_id long, embedding array<double>, town string").repartition(3, "doc_id").where("doc_id < 5")
+    asked = spark.createDataFrame([("a", [1.0, 0.0], "T1"), ("b", [1.0, 0.5], None), ("c", [1.0, 0.0], "T9"), ("d", [1.0, 0.0], "T2")], "ask string, embedding array<double>, town string")
+    want = [("a", 1, 1), ("a", 4, 2), ("b", 4, 1), ("b", 3, 2), ("d", 2, 1)]
+    for parts in (docs.coalesce(1), docs, docs.repartition(40, "doc_id")):
+        got = [tuple(r) for r in R.dense_top_k(asked, parts, 2, q="ask", same="town").orderBy("ask", "rank").select("ask", "doc_id", "rank").collect()]
+        assert got == want
