@@ -100,3 +100,26 @@ def test_scores_of_stated_pairs_only(spark):
     some = R.bm25(q, d, pairs=spark.createDataFrame([*pairs, *pairs], "query_id long, doc_id long"))  # before, all pairs were made and then joined
     assert {(r["query_id"], r["doc_id"]): r["score"] for r in some.collect()} == pytest.approx({p: want[p] for p in pairs if p in want}, abs=1e-6)
     assert R.bm25(q, d.where("false"), pairs=spark.createDataFrame(pairs, "query_id long, doc_id long")).count() == 0
+
+
+@pytest.mark.parametrize("seed,k,held", [(1, 1, 4_000_000), (2, 5, 40), (3, 400, 300)])
+def test_best_documents_without_an_index(spark, monkeypatch, seed, k, held):
+    monkeypatch.setattr(L, "HELD", held)
+    built = []
+    monkeypatch.setattr(L.LexicalIndex, "build", classmethod(lambda cls, *a, **x: built.append(a)))  # before, every search stored and shuffled all postings
+    docs, questions = corpus(seed)
+    d, q = spark.createDataFrame([*docs, (None, "w1 w2")], "doc_id long, text string").repartition(3), spark.createDataFrame(questions, "query_id long, text string")
+    got = {}
+    for x in L.best_documents(q, d, k).collect():
+        got.setdefault(x["query_id"], []).append((x["rank"], x["doc_id"], x["score"]))
+    for i, text in questions:
+        want = sorted((-round(s, 5), j) for j, s in bm25([*docs, (None, "w1 w2")], text).items() if j is not None)[:k]
+        mine = sorted(got.get(i, []))
+        assert [x[1] for x in mine] == [j for _, j in want] and [x[2] for x in mine] == pytest.approx([-s for s, _ in want], abs=2e-5)
+    assert not built and L.best_documents(q.where("query_id = 102"), d, k).count() == 0 == L.best_documents(q, d.where("false"), k).count()
+
+
+def test_documents_of_one_id_are_added_up_by_the_index(spark):
+    d = spark.createDataFrame([(1, "a b"), (1, "a"), (2, "a c c"), (3, "b")], "doc_id long, text string")
+    q = spark.createDataFrame([(1, "a b")], "query_id long, text string")
+    assert sorted(map(tuple, L.best_documents(q, d, 2).collect())) == sorted(map(tuple, L.LexicalIndex.build(d).search(q, 2).drop("n_scored").collect()))
