@@ -1,8 +1,10 @@
 """Questions that share long phrases, view search, enrichment and neighbours, on rows of edge cases."""
 
 import random
+import tracemalloc
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from kadastra.operators import joins as J
@@ -109,6 +111,32 @@ def test_dense_search_over_many_blocks_of_rows(spark):
     assert R.ROWS * R.BLOCK * 8 <= 32 << 20
 
 
+def test_equal_vectors_go_by_id_wherever_they_lie(spark):
+    rng = np.random.default_rng(3)
+    v = rng.normal(size=64)
+    ids = [*range(R.ROWS, 0, -1), 0]  # the least id is alone in the last product, whose rounding differs
+    docs = spark.createDataFrame([(i, v.tolist()) for i in ids], "doc_id long, embedding array<double>").coalesce(1)
+    asked = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(rng.normal(size=(300, 64)))], "query_id long, embedding array<double>")
+    got = [tuple(r) for r in R.dense_top_k(asked, docs, 3).orderBy("query_id", "rank").select("query_id", "doc_id").collect()]
+    assert got == [(i, j) for i in range(300) for j in range(3)]
+    got = [tuple(r) for r in R.dense_top_k(asked.limit(1), docs.where("doc_id < 7"), 9).orderBy("rank").select("doc_id", "rank").collect()]
+    assert got == [(j, j + 1) for j in range(7)]
+
+
+def test_memory_of_dense_search_does_not_follow_the_tables():
+    rng = np.random.default_rng(4)
+    m = R._unit(pd.Series(list(rng.normal(size=(R.BLOCK, 16)))))
+    frames = [pd.DataFrame({"doc_id": np.arange(2000) + 2000 * i, "embedding": list(rng.normal(size=(2000, 16)))}) for i in range(3)]
+    copies = [f.assign(embedding=[frames[0].embedding[0]] * 2000) for f in frames[:1]]
+    for some in (frames, copies):
+        tracemalloc.start()
+        got = pd.concat(R._nearest(list(range(R.BLOCK)), m, [], 5, "query_id", "doc_id", "embedding", None)(iter(some)))
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert len(got) == 5 * R.BLOCK and peak < 30 << 20, peak  # a matrix over the whole block alone is 32 MB
+    assert set(got.doc_id) == set(range(5))
+
+
 def test_dense_search_by_named_questions_over_empty_partitions(spark):
     docs = spark.createDataFrame([(i, [1.0, i / 10], f"T{i % 3}") for i in range(6)], "doc_id long, embedding array<double>, town string").repartition(3, "doc_id").where("doc_id < 5")
     asked = spark.createDataFrame([("a", [1.0, 0.0], "T1"), ("b", [1.0, 0.5], None), ("c", [1.0, 0.0], "T9"), ("d", [1.0, 0.0], "T2")], "ask string, embedding array<double>, town string")
