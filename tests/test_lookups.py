@@ -123,9 +123,20 @@ def test_equal_vectors_go_by_id_wherever_they_lie(spark):
     assert got == [(j, j + 1) for j in range(7)]
 
 
+def test_copies_of_a_question_are_at_distance_zero(spark):
+    x = [v.astype(np.float32).tolist() for v in np.random.default_rng(6).normal(size=(40, 64))]
+    docs = spark.createDataFrame([(100 * j + i, v) for j in range(3) for i, v in enumerate(x)] + [(900, [0.0] * 64)], "doc_id long, embedding array<float>")
+    asked = docs.where("doc_id < 40").withColumnRenamed("doc_id", "query_id")
+    got = R.normalised(R.dense_top_k(asked, docs, 3)).collect()
+    assert len(got) == 120 and all(r.distance == 0 and r.score is None and r.doc_id % 100 == r.query_id for r in got)  # as SQL: before, scores by rounding
+    far = R.dense_top_k(spark.createDataFrame([(1, [1e-120, 0.0]), (2, [1e120, 1e120]), (3, [0.0, 0.0])], "query_id long, embedding array<double>"), spark.createDataFrame([(5, [1e-120, 1e-120]), (6, [1e120, 0.0])], "doc_id long, embedding array<double>"), 2)
+    half = 1 - 0.5**0.5
+    assert [(r.query_id, r.doc_id, round(r.distance, 9)) for r in far.orderBy("query_id", "rank").collect()] == [(1, 6, 0), (1, 5, round(half, 9)), (2, 5, 0), (2, 6, round(half, 9)), (3, 5, 1), (3, 6, 1)]
+
+
 def test_memory_of_dense_search_does_not_follow_the_tables():
     rng = np.random.default_rng(4)
-    m = R._unit(pd.Series(list(rng.normal(size=(R.BLOCK, 16)))))
+    m = rng.normal(size=(R.BLOCK, 16))
     frames = [pd.DataFrame({"doc_id": np.arange(2000) + 2000 * i, "embedding": list(rng.normal(size=(2000, 16)))}) for i in range(3)]
     copies = [f.assign(embedding=[frames[0].embedding[0]] * 2000) for f in frames[:1]]
     for some in (frames, copies):
