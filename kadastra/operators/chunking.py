@@ -116,11 +116,15 @@ def pack_blocks(text: Column, characters: int, sep: str = "\n") -> Column:
     return pack(F.split(text, "\r?\n"), F.char_length, characters, sep)
 
 
-def windows(text: Column, size: int = 500, overlap: int = 100) -> Column:
-    """Windows of `size` code points that overlap, over the whole text; the last may be shorter."""
+def windows(text: Column, size: int = 500, overlap: int = 100, *, blank: bool = False) -> Column:
+    """Windows of `size` code points that overlap, over the whole text; the last may be shorter.
+
+    Null and empty texts have none; with `blank` they have one, the text itself.
+    """
     n = F.char_length(text)
     starts = F.sequence(F.lit(1), F.greatest(F.lit(1), n - overlap), F.lit(size - overlap))
-    return F.filter(F.transform(starts, lambda s: F.substring(text, s, F.lit(size))), lambda x: x != "")
+    found = F.transform(starts, lambda s: F.substring(text, s, F.lit(size)))
+    return found if blank else F.filter(found, lambda x: x != "")
 
 
 def question_answers(text: Column) -> Column:

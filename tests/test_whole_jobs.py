@@ -2,11 +2,13 @@
 
 from collections import Counter
 
+import duckdb
+from compare import same
 from pyspark.sql import functions as F
 
 from kadastra.operators import graph as G
 from kadastra.operators import retrieval as R
-from kadastra.plans import QUERIES
+from kadastra.plans import ORACLE_SQL, QUERIES
 
 
 def test_approximate_search_finds_nine_of_ten(spark, data):
@@ -63,3 +65,13 @@ def test_texts_are_split_in_small_batches(spark, data):
 
     plan = QUERIES["win14_recursive_split"](spark, data)._jdf.queryExecution().executedPlan().toString()
     assert "BatchEvalPython" in plan and "ArrowEvalPython" not in plan
+
+
+def test_windows_of_null_empty_and_odd_texts(spark, tmp_path):
+    texts = [None, "", " ", "a", "\r\n" * 300, "a\x00b" * 300, "\U0010ffff" * 650, "\U0001f9d1\u200d\U0001f680" * 300, *("é" * n for n in (100, 101, 499, 500, 501, 502, 900, 901))]
+    spark.createDataFrame([(i, t, "src0", "en") for i, t in enumerate(texts)], "doc_id long, text string, source string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = QUERIES["win14_windows"](spark, str(tmp_path))
+    with duckdb.connect() as c:
+        c.sql(f"create view documents as select * from read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+        same(got, c, ORACLE_SQL["win14_windows"])
+    assert [r["h"] for r in got.where("doc_id < 2").orderBy("doc_id").collect()] == [None, "d41d8cd98f00b204e9800998ecf8427e"]
