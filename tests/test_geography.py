@@ -145,3 +145,40 @@ def test_areas_and_cells_are_never_broadcast(spark):
         assert "BroadcastHashJoin" not in found._jdf.queryExecution().executedPlan().toString()  # files don't tell how many cells there are
     cells = Y.cover(areas, edges=True).collect()
     assert all((not c["edges"]) or not c["inner"] for c in cells) and any(c["edges"] for c in cells)
+
+
+def test_touching_pairs_are_made_once_and_not_shuffled(spark):
+    found = Y.touching(frame(spark, polygons(6, 20)).where("size(rings[0]) < 20"))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    pairs = plan[: plan.index("MapInArrow")]
+    assert "Aggregate" not in pairs and "Exchange" not in pairs  # the pairs grow with the square of the rows
+    got = [tuple(r) for r in found.collect()]
+    assert len(got) == len(set(got)) > 0
+
+
+@pytest.mark.parametrize("most", [2, 7, 4096])
+def test_touching_in_cells_of_many_areas(spark, monkeypatch, most):
+    monkeypatch.setattr(Y, "CELL_ROWS", most)
+    r = random.Random(most)
+    shapes = [[closed([(x, y), (x + s, y), (x, y + s)])] for x, y, s in ((r.randrange(12), r.randrange(12), r.choice([1, 2, 9])) for _ in range(25))]
+    areas = [(f"t{i}", rings) for i, rings in enumerate([*shapes, *shapes[:12], *shapes[:6]])]  # some are copies
+    got = [tuple(x) for x in Y.touching(frame(spark, areas)).collect()]
+    assert len(got) == len(set(got)) and set(got) == neighbours(areas)
+
+
+def test_touching_areas_of_few_and_many_points_and_rows(spark):
+    r = random.Random(9)
+    rows = [(n, [star(r, r.uniform(-9, 9), r.uniform(-9, 9), 10 ** r.uniform(-1, 1), k)]) for n, k in ((f"n{i % 18}", r.choice([3, 5, 40, 90])) for i in range(24))]
+    rows = [(n, [[(round(x, 3), round(y, 3)) for x, y in ring] for ring in rings]) for n, rings in rows]
+    single = neighbours([(str(i), rings) for i, (_, rings) in enumerate(rows)])
+    want = {(rows[int(a)][0], rows[int(b)][0]) for a, b in single if rows[int(a)][0] != rows[int(b)][0]}
+    got = [tuple(x) for x in Y.touching(frame(spark, rows)).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_touching_is_exact_for_large_areas(spark):
+    base = [closed([(0, 0), (300000, 100000), (0, 100000)])]
+    at = lambda x, y: [closed([(x, y), (x + 200000, y - 150000), (x + 250000, y - 100000)])]
+    areas = [("base", base), ("on", at(150000, 50000)), ("on too", at(150000.000003, 50000.000001)), ("off", at(150000.000003, 50000)), ("over", at(150000.000002, 50000.000001))]
+    got = {tuple(x) for x in Y.touching(frame(spark, areas)).collect()}
+    assert got == neighbours(areas) and ("base", "off") not in got and {("base", "on"), ("base", "on too"), ("base", "over")} <= got
